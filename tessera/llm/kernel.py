@@ -38,7 +38,7 @@ def alnum_words() -> np.ndarray:
 
 
 @functools.cache
-def _byte_values() -> np.ndarray:
+def byte_values() -> np.ndarray:
     """A random 64-bit value for each byte; A-Z share those of a-z."""
     values = np.random.Generator(np.random.PCG64(20240917)).integers(1, 1 << 63, 256, dtype=np.uint64)
     values[65:91] = values[97:123]
@@ -104,7 +104,7 @@ def _pieces(buf: np.ndarray, table: np.ndarray):
         at = end
 
 
-def _hash_piece(buf, cuts, table):
+def _hash_piece(buf, cuts, table, values, prefix):
     word = table[buf]
     before, after = np.empty_like(word), np.empty_like(word)
     before[0], after[-1] = False, False
@@ -113,17 +113,20 @@ def _hash_piece(buf, cuts, table):
     starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
     up, down = _powers(1 << max(20, (len(buf) - 1).bit_length()))
     total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_byte_values()[buf] * up[: len(buf)], out=total[1:], dtype=np.uint64)
-    return starts, ends, mix((total[ends] - total[starts]) * down[starts])
+    np.cumsum(values[buf] * up[: len(buf)], out=total[1:], dtype=np.uint64)
+    upto = np.minimum(starts + prefix, ends) if prefix else starts
+    return starts, ends, mix((total[ends] - total[starts]) * down[starts]), mix((total[upto] - total[starts]) * down[starts]) if prefix else starts[:0]
 
 
 class Words:
     """Words of consecutive rows: ``hash``, ``start`` and ``end`` (bytes from the first row's
-    begin), and ``at``, where ``at[i]:at[i + 1]`` are the words of row i."""
+    begin), and ``at``, where ``at[i]:at[i + 1]`` are the words of row i.  ``head`` has
+    the hash of each word's first ``prefix`` bytes, if asked for."""
 
-    __slots__ = ("at", "end", "hash", "start")
+    __slots__ = ("at", "end", "hash", "head", "start")
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, table: np.ndarray):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, table: np.ndarray, values: np.ndarray | None = None, prefix: int = 0):
+        values = byte_values() if values is None else values
         lo, hi = int(offsets[0]), int(offsets[-1])
         buf = raw[lo:hi]
         edges = np.asarray(offsets, np.int64) - lo
@@ -135,13 +138,10 @@ class Words:
                 pieces = _pieces(buf, table)
             for a, b in pieces:
                 inner = edges[(edges > a) & (edges < b)] - a
-                s, e, h = _hash_piece(buf[a:b], inner, table)
-                parts.append((s + a, e + a, h))
-        if len(parts) == 1:
-            self.start, self.end, self.hash = parts[0]
-        else:
-            kinds = (np.int64, np.int64, np.uint64)
-            self.start, self.end, self.hash = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, kinds[i]) for i in range(3))
+                s, e, h, head = _hash_piece(buf[a:b], inner, table, values, prefix)
+                parts.append((s + a, e + a, h, head))
+        kinds = (np.int64, np.int64, np.uint64, np.uint64)
+        self.start, self.end, self.hash, self.head = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, kinds[i]) for i in range(4))
         self.at = np.searchsorted(self.start, edges, "left")
 
 
