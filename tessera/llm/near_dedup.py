@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..shipping import attach
 from . import kernel
@@ -27,6 +28,8 @@ from .storage import keep
 SAFETY = 4.75
 #: Lists with more members than this, not all of one component, are settled by full sets.
 LONG_LIST = 64
+#: So many ids at most are broadcast.
+FEW_IDS = 1_000_000
 
 
 def sketch_texts(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -> DataFrame:
@@ -113,26 +116,40 @@ def _across(left: DataFrame, percent: int) -> DataFrame:
     return met.where(~(F.col("whole1") & F.col("whole2")) | ranks).select(F.col("rep1").alias("a"), F.col("rep2").alias("b")).distinct()
 
 
+def _only(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is in the stored one-column table ``ids``.  Few ids go to
+    the rows; many meet them in a shuffle."""
+    ids = ids.toDF(key)
+    return df.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, key, "left_semi")
+
+
+def _members(pairs: DataFrame) -> DataFrame:
+    return keep(pairs.select("a").union(pairs.select("b")).distinct(), "members")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked.  The sketch of the union filters, full sets decide."""
-    sk = classes.select(F.col("rep"), "n", "sketch")
-    a, b = sk.toDF("a", "na", "sa"), sk.toDF("b", "nb", "sb")
-    met = pairs.join(a, "a").join(b, "b")
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-    met = met.select("a", "b", "na", "nb", F.array_intersect("sa", "sb").alias("common"), union.alias("u"))
-    hits = F.size(F.filter("common", lambda x: x <= F.element_at("u", -1)))
+    sk = keep(_only(classes.select("rep", "n", "sketch"), "rep", _members(pairs)), "pair-sketches")
+    met = pairs.join(sk.toDF("a", "na", "sa"), "a").join(sk.toDF("b", "nb", "sb"), "b")
+    common = F.array_intersect("sa", "sb")
+    hits = F.size(F.array_intersect(common, F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)))
     whole = (F.col("na") <= k) & (F.col("nb") <= k)
-    exact = F.size("common") * 100 >= percent * (F.col("na") + F.col("nb") - F.size("common"))
+    exact = F.size(common) * 100 >= percent * (F.col("na") + F.col("nb") - F.size(common))
     met = keep(met.where(F.when(whole, exact).otherwise(hits >= expected_overlap(k, percent))).select("a", "b", whole.alias("whole")), "likely")
     rest = met.where("not whole").select("a", "b")
-    needed = rest.select("a").union(rest.select("b")).distinct().withColumnRenamed("a", id_col)
-    sets = keep(full_sets(docs.select(id_col, text_col).join(needed, id_col, "left_semi"), id_col, text_col, width), "sets")
-    x, y = sets.toDF("a", "xa"), sets.toDF("b", "xb")
+    sets = keep(full_sets(_only(docs.select(id_col, text_col), id_col, _members(rest)), id_col, text_col, width), "sets")
     common = F.size(F.array_intersect("xa", "xb"))
-    sure = rest.join(x, "a").join(y, "b").where(common * 100 >= percent * (F.size("xa") + F.size("xb") - common)).select("a", "b")
+    sure = rest.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").where(common * 100 >= percent * (F.size("xa") + F.size("xb") - common)).select("a", "b")
     return keep(met.where("whole").select("a", "b").union(sure).distinct(), "links")
 
 
+def _same_id(own: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): classes that rows of one id belong to, linked by the first of them."""
+    many = keep(own.groupBy("id").agg(F.count_distinct("sig").alias("m")).where("m > 1").select("id"), "repeated-ids")
+    reps = keep(_only(own.select("id", "sig"), "id", many).join(classes.select("sig", "rep"), "sig").select("id", "rep").distinct(), "reps-of-ids")
+    return reps.join(reps.groupBy("id").agg(F.min("rep").alias("a")), "id").where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, k: int = 64) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of ``docs``.
 
@@ -157,6 +174,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = lists.join(pivots, ["h", "band"]).where("rep <> p").where(F.least("n", "np") * 100 >= percent * F.greatest("n", "np"))
     tried = keep(star.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct(), "tried")
     links = check(tried)
+    links = links.union(_same_id(own, classes))
     comp = keep(connected_components(links), "components")
 
     # Members of different components: in short lists by the same ranks, in long ones by those of their full sets.
@@ -164,7 +182,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = _across(left.where(F.col("m") <= LONG_LIST), percent)
     crowd = keep(left.where(F.col("m") > LONG_LIST).select("rep", "n").distinct(), "crowd")
     if not crowd.isEmpty():
-        sets = full_sets(docs.join(crowd.select(F.col("rep").alias(id_col)), id_col, "left_semi"), id_col, text_col, width)
+        sets = full_sets(_only(docs.select(id_col, text_col), id_col, crowd.select("rep").distinct()), id_col, text_col, width)
         exact = _listed(keep(sets.select(F.col("id").alias("rep"), F.size("items").cast("bigint").alias("n"), F.col("items").alias("values")), "crowd-sets"), None, percent)
         more = more.union(_across(_open(keep(exact, "crowd-lists"), comp), percent)).distinct()
     more = keep(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tried, ["a", "b"], "left_anti"), "more")
@@ -175,3 +193,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = keep(found, "found")
     out = own.join(found, "sig", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"))
     return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, k: int = 64) -> DataFrame:
+    """One row of each group of near duplicates, with all columns of ``docs``: that of the smallest
+    id, and of rows that repeat this id the one whose text has the least hash."""
+    found = near_duplicates(docs, id_col, text_col, width, percent, k)
+    found = keep(found.select(F.col(id_col).alias("id"), "kept").groupBy("id").agg(F.max("kept").alias("kept"), F.count("*").alias("m")), "kept")
+    gone = found.where("not kept").select("id")
+    gone = gone.toDF(id_col)
+    left = docs.join(F.broadcast(gone) if gone.count() <= FEW_IDS else gone, id_col, "left_anti").select(docs.columns)
+    many = keep(found.where("kept and m > 1").select("id"), "many")
+    if many.isEmpty():
+        return left
+    order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col)
+    one = _only(left, id_col, many).withColumn("__at", F.row_number().over(order)).where("__at = 1").select(docs.columns)
+    return left.join(many.toDF(id_col), id_col, "left_anti").select(docs.columns).union(one)
