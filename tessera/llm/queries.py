@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, mixture, near_dedup, substring_dedup, toxicity, url_filter
+from . import decontaminate, fingerprint, lm_score, mixture, near_dedup, packing, secrets, substring_dedup, toxicity, url_filter
 
 #: The rules of the url query.
 URL_RULES = [
@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    target = table(spark, sf_dir, "labels").where("quality = 1 and doc_id is not null").select("doc_id")
+    return lm_score.scores(docs, lm_score.fit(docs, target), target)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -36,6 +42,14 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mixture(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings()))
+
+
+def op7_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
 
@@ -48,5 +62,19 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_benchmark_decontamination, op4_url_filter, op5_source_mixing, op8_substring_dedup, op9_fingerprint, op10_minhash_near_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_lm_scoring,
+        op2_toxicity,
+        op3_benchmark_decontamination,
+        op4_url_filter,
+        op5_source_mixing,
+        op6_secret_scan,
+        op7_packed_tokens,
+        op8_substring_dedup,
+        op9_fingerprint,
+        op10_minhash_near_dedup,
+    )
+}
 ORACLES: dict[str, str] = {}
