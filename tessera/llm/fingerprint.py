@@ -83,9 +83,13 @@ def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return exact, like
 
 
+def _bytes(exact: np.ndarray, like: np.ndarray) -> list[bytes]:
+    return [e.astype("<u8").tobytes() + v.astype("<u2").tobytes() for e, v in zip(exact, like, strict=True)]
+
+
 def encode(exact: np.ndarray, like: np.ndarray) -> list[str]:
     """Fingerprints as text."""
-    return [base64.b64encode(e.astype("<u8").tobytes() + v.astype("<u2").tobytes()).decode() for e, v in zip(exact, like, strict=True)]
+    return [base64.b64encode(x).decode() for x in _bytes(exact, like)]
 
 
 def decode(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +119,7 @@ def likeness(exact_a, like_a, exact_b, like_b) -> np.ndarray:
     return np.where((exact_a == exact_b).all(1) & (like_a == like_b).all(1), 1.0, np.where(whole > 0, share, 0.0))
 
 
-_REPORT = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_REPORT = "n_chars bigint, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _report(texts: list[str], exact, like, nexts: list[str], next_exact, next_like) -> list[pa.Array]:
@@ -124,8 +128,8 @@ def _report(texts: list[str], exact, like, nexts: list[str], next_exact, next_li
     return [
         pa.array([len(t) for t in texts], pa.int64()),
         pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
-        pa.array(encode(exact, like), pa.string()),
-        pa.array(encode(*new), pa.string()),
+        pa.array(_bytes(exact, like), pa.binary()),
+        pa.array(_bytes(*new), pa.binary()),
         pa.array(likeness(exact, like, *new), pa.float64()),
         pa.array(likeness(exact, like, next_exact, next_like), pa.float64()),
     ]
@@ -150,7 +154,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         part, last = TaskContext.get().partitionId(), None
 
         def end(kind, ids, text):
-            return pa.RecordBatch.from_arrays([ids, *(pa.nulls(1, t) for t in (pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64())), pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([text], pa.string())], names)
+            return pa.RecordBatch.from_arrays([ids, *(pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64())), pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([text], pa.string())], names)
 
         for batch in batches:
             _, at, _ = kernel.string_buffers(batch.column(1))
@@ -172,7 +176,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if last is not None:
             yield end(2, last[0], last[1])
 
-    done = keep(rows.mapInArrow(run, f"id {kind}, {_REPORT}, kind int, part int, text string"), "fingerprints")
+    done = keep(rows.mapInArrow(run, f"id {kind}, {_REPORT}, kind int, part int, text string"), "fingerprints", "zstd")
 
     # Two rows for each range: the last document of one is followed by the first of the next.
     ends = done.where("kind > 0").select("id", "kind", "part", "text")
@@ -186,4 +190,5 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *_report(text.to_pylist(), *vectors(text), following.to_pylist(), *vectors(following))], names[:7])
 
     ends = ends.select("id", "text", "next").mapInArrow(finish, f"id {kind}, {_REPORT}")
-    return done.where("kind = 0").select(names[:7]).union(ends).withColumnRenamed("id", id_col)
+    found = done.where("kind = 0").select(names[:7]).union(ends)
+    return found.withColumns({c: F.translate(F.base64(c), "\r\n", "") for c in ("fingerprint", "edited_fingerprint")}).withColumnRenamed("id", id_col)

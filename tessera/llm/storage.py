@@ -20,10 +20,10 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-def keep(df: DataFrame, what: str) -> DataFrame:
+def keep(df: DataFrame, what: str, codec: str = "snappy") -> DataFrame:
     """``df`` as a stored table: later reads do not depend on executors that made it."""
     path = f"{shared_folder(df.sparkSession)}/tessera-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
