@@ -145,7 +145,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
 
 def _same_id(own: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b): classes that rows of one id belong to, linked by the first of them."""
-    many = keep(own.groupBy("id").agg(F.count_distinct("sig").alias("m")).where("m > 1").select("id"), "repeated-ids")
+    many = keep(own.where("id is not null").groupBy("id").agg(F.count_distinct("sig").alias("m")).where("m > 1").select("id"), "repeated-ids")
     reps = keep(_only(own.select("id", "sig"), "id", many).join(classes.select("sig", "rep"), "sig").select("id", "rep").distinct(), "reps-of-ids")
     return reps.join(reps.groupBy("id").agg(F.min("rep").alias("a")), "id").where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
 
@@ -162,9 +162,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id get a null component and are kept.  Repeated rows of one id are one document.
     An empty table gives an empty result."""
     attach(docs.sparkSession)
-    named = docs.where(F.col(id_col).isNotNull())
-    own = keep(sketch_texts(named, id_col, text_col, width, k), "sketches")
-    classes = keep(own.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.min_by("sketch", "id").alias("sketch")), "classes")
+    own = keep(sketch_texts(docs, id_col, text_col, width, k), "sketches")
+    classes = keep(own.where("n > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.min_by("sketch", "id").alias("sketch")), "classes")
     lists = keep(_listed(classes.select("rep", "n", F.col("sketch").alias("values")), k, percent), "lists")
     check = lambda pairs: _verified(pairs, classes, docs, id_col, text_col, width, k, percent)
     forest = lambda comp: comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
@@ -191,8 +190,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         comp = keep(connected_components(forest(comp).union(links)), "components")
     found = classes.select("sig", "rep").join(comp.toDF("rep", "c"), "rep", "left").select("sig", F.coalesce("c", "rep").alias("c"))
     found = keep(found, "found")
-    out = own.join(found, "sig", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"))
-    return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
+    out = own.join(found, "sig", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, k: int = 64) -> DataFrame:
@@ -203,7 +202,7 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     gone = found.where("not kept").select("id")
     gone = gone.toDF(id_col)
     left = docs.join(F.broadcast(gone) if gone.count() <= FEW_IDS else gone, id_col, "left_anti").select(docs.columns)
-    many = keep(found.where("kept and m > 1").select("id"), "many")
+    many = keep(found.where("kept and m > 1 and id is not null").select("id"), "many")
     if many.isEmpty():
         return left
     order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col)
