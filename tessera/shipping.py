@@ -1,4 +1,4 @@
-"""Puts this package's source on the executors, so that Python workers can import it."""
+"""Prepares a session for Python workers: they can import this package, and get small batches."""
 
 import tempfile
 import zipfile
@@ -7,10 +7,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_BATCH, _DEFAULT, _SMALL = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16777216b"
 
 
 def attach(spark: SparkSession) -> None:
-    """Ships the package once per application; workers need no copy of their own."""
+    """Ships the package once per application; workers need no copy of their own.  Where the size of
+    Arrow batches is Spark's default, it becomes a quarter: texts are large rows, and a worker
+    and its task hold several batches at a time."""
+    if spark.conf.get(_BATCH, None) == _DEFAULT:
+        spark.conf.set(_BATCH, _SMALL)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
