@@ -105,8 +105,8 @@ def scores(docs: DataFrame, models: tuple[np.ndarray, np.ndarray], target_ids: D
                 before = np.append(CLASSES, classes[:-1])[: len(classes)]
                 before[words.at[:-1][words.at[:-1] < len(classes)]] = CLASSES
                 own_class = _own(classes, row, CLASSES)
-                # What the row itself adds to the count of the word before.
-                own_before = np.where(before < CLASSES, np.append(0, own_class[:-1])[: len(classes)], n[row])
+                # What the row itself adds to the count of the word before; a first word's context is all words.
+                own_before = np.where(before < CLASSES, np.append(0, own_class[:-1])[: len(classes)], 0)
                 less = (own_class, _own(pairs, row, PAIRS), own_before, n[row])
                 mean = lambda v, row=row, n=n: np.bincount(row, v, len(n)) / np.maximum(n, 1)
                 inside, outside = mean(_loss(target, classes, pairs, before, less)), mean(_loss(target, classes, pairs, before))

@@ -1,0 +1,33 @@
+import hashlib
+
+import numpy as np
+
+from tessera.llm import secrets
+from tessera.llm.forest import predict
+
+MODEL = secrets.train(secrets.labelled_findings())
+
+
+def test_findings_not_trained_on_are_told_apart():
+    other = secrets.labelled_findings(1500, seed=77)
+    score = predict(MODEL, np.array([secrets.features(v, b, a) for v, b, a, _ in other], float))
+    assert ((score >= 0.5) == np.array([y for *_, y in other])).mean() > 0.97
+
+
+def test_places_digests_and_verdicts(spark):
+    key = "3f786850e387550fdab836ed7e6dc881de23001b"
+    rows = [
+        (1, f'é token = "{key}" und mehr'), (2, f"see commit {key} for more"), (3, "card 4785380592391135 here"), (4, None), (5, ""), (6, "plain words only"),
+        (7, f"api_key={key} api_key={key}"), (8, "http://a.org/static/images/header_2019/main_page_02.html"), (None, f"password: {key}"), (9, "y " * 200_000 + f"secret = {key}"),
+    ]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, score int")
+    got = secrets.scan(df, MODEL).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r)
+    assert {i for i, rs in by.items() if any(r.is_secret for r in rs)} == {1, 7, None, 9}
+    assert {2, 3} <= set(by) and not {4, 5, 6} & set(by)
+    one = by[1][0]
+    assert rows[0][1][one.start : one.start + one.length] == key and one.digest == hashlib.sha256(key.encode()).hexdigest()
+    assert len(by[7]) == 2 and by[7][0].start != by[7][1].start
+    assert secrets.scan(df.limit(0), MODEL).count() == 0
