@@ -26,6 +26,8 @@ BLOCK = 64
 SHARD_DOCS = 2000
 #: Bound of what the driver holds and sends of shards, and of sources that are broadcast.
 MOST_SHARDS = 1 << 16
+#: Bytes of text whose rows of the mix are made at a time.
+OUTPUT_BYTES = 2 << 20
 #: Most times that a word is taken.
 REPEATS = 3
 
@@ -155,25 +157,29 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     kind = docs.schema[text_col].dataType
 
     def run(batches):
-        for batch in batches:
-            base, extra = batch.columns[: len(names)], {c: np.asarray(batch.column(c)) for c in ("__size", "__times", "__a", "__b", "__c", "__d")}
-            rows = np.arange(batch.num_rows)
-            once_more = (extra["__b"] - extra["__a"] == extra["__size"]) & (extra["__size"] > 0)
-            times = extra["__times"] + once_more
-            whole = pa.array(np.repeat(rows, times))
-            if len(whole):
-                yield pa.RecordBatch.from_arrays([c.take(whole) for c in base], names)
-            parts = [(r, int(extra[x][r]), int(extra[y][r])) for x, y in (("__a", "__b"), ("__c", "__d")) for r in np.flatnonzero((extra[y] > extra[x]) & ~once_more).tolist()]
-            if parts:
-                texts = []
-                for r, a, b in parts:
-                    data = base[column][r].as_py().encode()
-                    words = kernel.Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), kernel.space_words())
-                    texts.append(data[words.start[a] : words.end[b - 1]].decode())
-                picked = pa.array([r for r, _, _ in parts])
-                out = [c.take(picked) for c in base]
-                out[column] = pa.array(texts, pa.string()).cast(base[column].type)
-                yield pa.RecordBatch.from_arrays(out, names)
+        for whole_batch in batches:
+            _, at, _ = kernel.string_buffers(whole_batch.column(column))
+            for a, b in kernel.slices(at, OUTPUT_BYTES):
+                yield from emitted(whole_batch.slice(a, b - a))
+
+    def emitted(batch):
+        """Rows of the mix: whole texts, and then excerpts."""
+        base, extra = batch.columns[: len(names)], {c: np.asarray(batch.column(c)) for c in ("__size", "__times", "__a", "__b", "__c", "__d")}
+        once_more = (extra["__b"] - extra["__a"] == extra["__size"]) & (extra["__size"] > 0)
+        whole = pa.array(np.repeat(np.arange(batch.num_rows), extra["__times"] + once_more))
+        if len(whole):
+            yield pa.RecordBatch.from_arrays([c.take(whole) for c in base], names)
+        parts = [(r, int(extra[x][r]), int(extra[y][r])) for x, y in (("__a", "__b"), ("__c", "__d")) for r in np.flatnonzero((extra[y] > extra[x]) & ~once_more).tolist()]
+        if parts:
+            texts = []
+            for r, a, b in parts:
+                data = base[column][r].as_py().encode()
+                words = kernel.Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), kernel.space_words())
+                texts.append(data[words.start[a] : words.end[b - 1]].decode())
+            picked = pa.array([r for r, _, _ in parts])
+            out = [c.take(picked) for c in base]
+            out[column] = pa.array(texts, pa.string()).cast(out[column].type)
+            yield pa.RecordBatch.from_arrays(out, names)
 
     assert kind.simpleString() == "string", "the text column must be a string"
     return m.mapInArrow(run, docs.schema)

@@ -18,7 +18,7 @@ from . import kernel
 from .boosting import Boosted, isotonic
 
 #: Labelled texts that the model is fitted on at most; a seeded choice of the labelled rows.
-MOST_LABELLED = 12_000
+MOST_LABELLED = 8_000
 #: Words, and beginnings of words, that the lexicon holds at most.
 LEXICON = 4096
 #: Bytes of a word's beginning.
@@ -122,11 +122,11 @@ def _learn_lexicon(word_sets: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray
     return out
 
 
-def train(texts: list[str | None], toxic: list[int], fold: list[int]) -> dict:
+def train(texts: list[str | None] | pa.Array, toxic: list[int], fold: list[int]) -> dict:
     """A model from labelled texts.  Of the ``fold`` numbers 0 to 3, the texts of 3 calibrate and
     never fit; features of the others come from lexicons that have not seen them."""
     y, fold = np.array(toxic, float), np.array(fold)
-    column = pa.array(texts, pa.large_string())
+    column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
     if not len(y) or y.min() == y.max():
         return {"constant": float(y.mean()) if len(y) else 0.0}
     raw, at, _ = kernel.string_buffers(column)
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = rows.select(F.col(id_col).alias("__id"), (F.col(label_col) > 0).cast("int").alias("__y")).orderBy(F.xxhash64(F.lit(7), "__id"), "__id", "__y").limit(most)
     sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
     sample = sample.select("__text", "__y", F.pmod(F.xxhash64(F.lit(8), "__id"), F.lit(4)).alias("__fold"), "__id").limit(2 * most).toArrow().sort_by([("__id", "ascending"), ("__y", "ascending")])
-    return train(sample.column("__text").to_pylist(), sample.column("__y").to_pylist(), sample.column("__fold").to_pylist())
+    return train(sample.column("__text").cast(pa.large_string()).combine_chunks(), sample.column("__y").to_pylist(), sample.column("__fold").to_pylist())
 
 
 def toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,6 +195,9 @@ def without_toxic(docs: DataFrame, model: dict, text_col: str = "text", most: fl
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(score(batch.column(column), sent.value) < most))
+            _, at, _ = kernel.string_buffers(batch.column(column))
+            for a, b in kernel.slices(at, 4 * kernel.SLICE_BYTES):
+                part = batch.slice(a, b - a)
+                yield part.filter(pa.array(score(part.column(column), sent.value) < most))
 
     return docs.mapInArrow(run, docs.schema)
