@@ -17,6 +17,8 @@ from . import kernel
 
 #: Vocabulary classes and pair counters; powers of two.
 CLASSES, PAIRS = 1 << 16, 1 << 20
+#: So many target ids at most are broadcast.
+FEW_IDS = 1_000_000
 #: Weight of the word model in the pair model, and of each class in the word model.
 ALPHA, BETA = 4.0, 0.5
 
@@ -32,36 +34,37 @@ def _ids(words: kernel.Words) -> tuple[np.ndarray, np.ndarray]:
     return classes.astype(np.int64), pairs.astype(np.int64)
 
 
-def _counts(texts: DataFrame, text_col: str, name: str) -> DataFrame:
-    """(slot, name): counts of classes (slots under CLASSES) and of pairs (slots from there on)."""
+def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the (target, background) models, each over all of its documents: classes in the
+    first CLASSES slots, pairs in the others.
+
+    One pass counts for both.  Few target ids go to the texts; many meet them in a shuffle.
+    Null and empty texts add nothing."""
+    attach(docs.sparkSession)
+    ids = target_ids.select(F.col(target_ids.columns[0]).alias("__id")).where("__id is not null").distinct().withColumn("__in", F.lit(True))
+    ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(ids, "__id", "left").select("__text", F.coalesce("__in", F.lit(False)))
 
     def run(batches):
-        total = np.zeros(CLASSES + PAIRS, np.int64)
+        totals = [np.zeros(CLASSES + PAIRS, np.int64) for _ in range(2)]
         for batch in batches:
             raw, at, _ = kernel.string_buffers(batch.column(0))
+            chosen = np.asarray(batch.column(1))
             for a, b in kernel.slices(at):
-                classes, pairs = _ids(kernel.Words(raw, at[a : b + 1], kernel.alnum_words()))
-                total += np.bincount(np.concatenate([classes, pairs + CLASSES]), minlength=len(total))
-        slots = np.flatnonzero(total)
+                words = kernel.Words(raw, at[a : b + 1], kernel.alnum_words())
+                classes, pairs = _ids(words)
+                inside = np.repeat(chosen[a:b], np.diff(words.at))
+                for total, rows in ((totals[0], inside), (totals[1], slice(None))):
+                    total += np.bincount(np.concatenate([classes[rows], pairs[rows] + CLASSES]), minlength=len(total))
+        slots = np.flatnonzero(totals[1])
         for i in range(0, len(slots), 1 << 16):
             part = slots[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["slot", name])
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(totals[0][part]), pa.array(totals[1][part])], ["slot", "target", "ground"])
 
-    return texts.select(text_col).mapInArrow(run, f"slot int, {name} bigint").groupBy("slot").agg(F.sum(name).alias(name))
-
-
-def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the (target, background) models, each over all of its documents.
-
-    Their size is CLASSES + PAIRS, whatever the corpus.  Null and empty texts add nothing."""
-    attach(docs.sparkSession)
-    out = []
-    ids = target_ids.select(F.col(target_ids.columns[0]).alias(id_col)).distinct()
-    for texts in (docs.select(id_col, text_col).join(ids, id_col, "left_semi"), docs):
-        found = _counts(texts, text_col, "n").toArrow()
-        counts = np.zeros(CLASSES + PAIRS, np.int64)
-        counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
-        out.append(counts)
+    found = texts.mapInArrow(run, "slot int, target bigint, ground bigint").groupBy("slot").agg(F.sum("target").alias("target"), F.sum("ground").alias("ground")).toArrow()
+    out = np.zeros((2, CLASSES + PAIRS), np.int64)
+    for row, name in enumerate(("target", "ground")):
+        out[row, found.column("slot").to_numpy()] = found.column(name).to_numpy()
     return out[0], out[1]
 
 
