@@ -77,4 +77,45 @@ QUERIES = {
         op10_minhash_near_dedup,
     )
 }
-ORACLES: dict[str, str] = {}
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP3 = f"""WITH items AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({_LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+windows AS (SELECT DISTINCT item, least(len(w), 13) AS n, unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1), lambda i: array_to_string(w[i:i + least(len(w), 13) - 1], ' '))) AS win FROM items WHERE len(w) > 0),
+docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce({_LOWER.format("text")}, ''), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+places AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n),
+hits AS (SELECT p.r, p.i, p.n, item FROM (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM places) p JOIN windows USING (n, win)),
+covered AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM hits) GROUP BY r),
+named AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hits GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+ coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM docs LEFT JOIN covered USING (r) LEFT JOIN named USING (r)"""
+
+
+def _rule_sql(host: str, path: str, what: str) -> str:
+    cases = " ".join(f"WHEN ({host} = '{r.host}' OR ends_with({host}, '.{r.host}')) AND starts_with({path}, '{r.path}') THEN '{r.text if what == 'rule' else r.verdict}'" for r in url_filter._ranked(URL_RULES))
+    return f"CASE {cases} END"
+
+
+_HOST, _PATH = "coalesce(translate(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')", "coalesce(regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+_ADDRESS = f"CASE WHEN contains({{u}}, '://') THEN {_HOST} || CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END || regexp_extract({{u}}, '(?s)^.*?://[^/?#]*[^?#]*(\\?[^#]*)', 1) END"
+_OP4 = f"""WITH RECURSIVE own AS (SELECT page_id, url, {_HOST.format(u="url")} AS host, {_PATH.format(u="url")} AS path, {_ADDRESS.format(u="url")} AS address FROM pages),
+refs AS (SELECT url AS u, replace(r, '&amp;', '&') AS r FROM (
+  SELECT url, regexp_extract(regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>'), '(?is)\\bhref\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1) AS r FROM pages UNION ALL
+  SELECT url, regexp_extract(regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>'), '(?is)\\burl\\s*=\\s*["'']?\\s*([^"''\\s>;]+)', 1) FROM pages) WHERE r <> '' AND url IS NOT NULL),
+full_refs AS (SELECT u, CASE WHEN regexp_matches(r, '(?s)^[A-Za-z][A-Za-z0-9+.-]*://') THEN r WHEN starts_with(r, '//') THEN 'http:' || r WHEN starts_with(r, '/') THEN 'http://' || {_HOST.format(u="u")} || r
+  ELSE 'http://' || {_HOST.format(u="u")} || CASE WHEN regexp_extract({_PATH.format(u="u")}, '(?s)^(.*/)', 1) = '' THEN '/' ELSE regexp_extract({_PATH.format(u="u")}, '(?s)^(.*/)', 1) END || r END AS f FROM refs),
+edges AS (SELECT DISTINCT {_ADDRESS.format(u="u")} AS a, {_ADDRESS.format(u="f")} AS b FROM full_refs),
+two_way AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
+reach AS (SELECT a AS x, a AS y FROM two_way UNION SELECT x, b FROM reach JOIN two_way ON y = a),
+verdicts AS (SELECT y, {_rule_sql(_HOST.format(u="'://' || y"), _PATH.format(u="'://' || y"), "verdict")} AS v FROM (SELECT DISTINCT y FROM reach)),
+alias AS (SELECT x, CASE WHEN bool_or(v = 'allow') THEN 'allow' WHEN bool_or(v = 'block') THEN 'block' END AS v FROM reach JOIN verdicts USING (y) GROUP BY x)
+SELECT page_id, host, path, {_rule_sql("host", "path", "rule")} AS rule, coalesce({_rule_sql("host", "path", "verdict")}, alias.v, 'allow') AS verdict FROM own LEFT JOIN alias ON alias.x = own.address"""
+
+_OP10 = f"""WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM docs),
+each AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM each a JOIN each b ON a.x = b.x AND a.doc_id <> b.doc_id AND a.n * 100 >= b.n * 85 AND b.n * 100 >= a.n * 85 GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM docs UNION SELECT x, b FROM reach JOIN links ON y = a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, c AS component_id, doc_id = c AS kept FROM sets JOIN (SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY x) USING (doc_id)"""
+
+ORACLES: dict[str, str] = {"op3_benchmark_decontamination": _OP3, "op4_url_filter": _OP4, "op10_minhash_near_dedup": _OP10}

@@ -47,3 +47,17 @@ def test_long_alias_chains(spark):
     pages = spark.createDataFrame([(i, f"http://s{i}.org/", link(f"http://s{i + 1}.org/")) for i in range(40)], "page_id long, url string, html string")
     got = url_filter.judge(pages, [Rule("block", "s40.org")]).collect()
     assert [r.verdict for r in got] == ["block"] * 40
+
+
+def test_the_sql_says_the_same(spark):
+    duckdb = pytest.importorskip("duckdb")
+    import pandas as pd
+
+    from tessera.llm.queries import ORACLES
+
+    c = duckdb.connect()
+    pages = pd.DataFrame(PAGES, columns=["page_id", "url", "html"])
+    c.register("pages_frame", pages)
+    c.execute("create view pages as select page_id, url, html from pages_frame")
+    got = {r[0]: tuple(None if x is None else x for x in r[1:]) for r in c.execute(ORACLES["op4_url_filter"]).fetchall()}
+    assert got == EXPECTED
