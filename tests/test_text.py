@@ -1,0 +1,130 @@
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.functions import text as T
+
+
+def value(spark, text, make, **more):
+    df = spark.createDataFrame([(text,)], "t string")
+    return df.select(make(F.col("t"), **more).alias("x")).first().x
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("　가  나\t다 \n\n\n\n라﻿\x07 ", "가 나 다\n\n라"), ("", ""), (None, None), ("a\r\n b", "a\nb"), ("\n\n a", "a"),
+    ],
+)
+def test_clean_text(spark, text, want):
+    assert value(spark, text, T.clean_text) == want
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ("<p>가&nbsp;나</p><p>A &amp; B &lt;x&gt;</p>", "가 나\nA & B <x>"),
+        ("<script>var a='<b>';</script>본<!-- x\ny -->문<br/>끝", "본 문\n끝"),
+        ('<img alt="a>b" src=\'c>d\'/>텍스트 <', "텍스트 <"),
+        ("<STYLE>p{}</STYLE><h2>제목</h2>줄", "제목\n줄"),
+        ("앞'); return false;", "앞'); return false;"), ("&#44032;&eacute;", "가é"), (None, None),
+    ],
+)
+def test_html_to_text(spark, html, want):
+    assert value(spark, html, T.html_to_text) == want
+
+
+def test_names(spark):
+    assert value(spark, '학칙: "개정/안"?', T.safe_file_name) == "학칙_ _개정_안"
+    assert value(spark, "가" * 100, T.safe_file_name) == "가" * 80
+    assert value(spark, "가나 대학교 연구(비)·관리-규정 「안」", T.norm_name, institution="가나대학교") == "연구비관리규정안"
+    assert value(spark, "산학협력단 [교육부고시] 운영, 규정", T.loose_title) == "운영규정"
+    assert value(spark, "제 3 편  연구비 및 사업비 기 타", T.category_label) == "제3편 연구비·사업비 기타"
+    assert value(spark, "규정", T.category_label) == "규정"
+
+
+def test_residue(spark):
+    text = '조문목록 없음" src="/i.gif" />본문  끝\n\n\n\n다음 체크박스" value="1" />'
+    assert value(spark, text, T.without_residue) == " 본문 끝\n\n다음 "
+
+
+def test_dates(spark):
+    assert value(spark, " 2026. 5. 9.", T.norm_date) == "2026-05-09"
+    assert value(spark, "x", T.norm_date) == ""
+    h = value(spark, "학칙\n[시행 2026.5.29.] [가나대학교학칙 제529호, 2026.5.29., 일부 개정]", T.law_header)
+    assert tuple(h) == ("2026-05-29", "2026-05-29", "일부개정", "가나대학교학칙 제529호")
+    assert tuple(value(spark, "없음", T.law_header)) == ("", "", "", "")
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("제정 2004.01.30 … 개정 2025. 7. 1.", ("2025-07-01", "개정")), ("제정 2004.01.30", ("2004-01-30", "제정")),
+        ("제정 2004.01.30 폐지: 2010.2.3", ("2010-02-03", "폐지")), ("이력 없음", ("", "")), ("제정 2004.1.1 제정 2005.1.1", ("2005-01-01", "개정")),
+    ],
+)
+def test_revision_history(spark, text, want):
+    h = value(spark, text, T.revision_history)
+    assert (h.enforce_date, h.revision_type) == want
+
+
+def test_status(spark):
+    got = spark.createDataFrame([("폐지 규정", ""), ("규정", "타법폐지"), ("규정", None), (None, "개정")], "n string, k string").select(T.status("n", "k")).collect()
+    assert [r[0] for r in got] == ["폐지", "폐지", "현행", "현행"]
+
+
+@pytest.mark.parametrize(
+    "listed,contact,want",
+    [
+        ("교무처>교무과", "교무처(교무과) 055-772-0101", ("교무과", "교무처", "055-772-0101")), ("교무처 > 교무과", "055-772-0211", ("교무과", "교무처", "055-772-0211")),
+        ("총무과", "", ("총무과", "", "")), ("", None, ("담당부서 미확인", "", "")), ("가>나", "연구처 055-1-2", ("연구처", "", "")), ("", "같은(같은)", ("같은", "", "")),
+    ],
+)
+def test_department(spark, listed, contact, want):
+    got = spark.createDataFrame([(listed, contact)], "d string, c string").select(T.department("d", "c").alias("x")).first().x
+    assert tuple(got) == want
+
+
+def test_tokens(spark):
+    assert value(spark, "제12조 휴학하려면 a bb 7 어떻게 해?", T.tokens) == ["제12조", "휴학하려면", "bb", "7", "어떻게"]
+    assert value(spark, "", T.tokens) == [] and value(spark, None, T.tokens) is None
+
+
+def test_particle(spark):
+    assert [value(spark, w, T.topic_particle) for w in ("복학", "복학시기", "abc", "")] == ["은", "는", "은", "은"]
+
+
+def excerpt(text, query, width=90):
+    import re
+
+    at = -1
+    for term in sorted(re.findall("[0-9A-Za-z가-힣]+", query), key=len, reverse=True):
+        at = text.find(term)
+        if at >= 0:
+            break
+    start = max(0, at - width // 2) if at >= 0 else 0
+    cut = text[start : start + 2 * width].replace("\n", " ").strip()
+    return cut[: 2 * width] + "…" if len(cut) >= 2 * width else cut
+
+
+@pytest.mark.parametrize("query", ["휴학 신청서", "없는말", "가나 나다", ""])
+def test_snippet(spark, query):
+    for text in ("가나" * 150 + "\n신청서를 낸다. " + "나다" * 120, "짧은 휴학 글", ""):
+        assert value(spark, text, T.snippet, query=F.lit(query)) == excerpt(text, query)
+
+
+def test_highlight(spark):
+    assert value(spark, "A<b> 휴학 휴학원 a+", T.highlight, query=F.lit("휴학 휴학원 A+")) == "A&lt;b&gt; <mark>휴학</mark> <mark>휴학원</mark> <mark>a+</mark>"
+    assert value(spark, "a & b", T.highlight, query=F.lit("  ")) == "a &amp; b"
+
+
+def test_article_span(spark):
+    full = "머리\n제3조(가) 본문 제3조의2 언급\n제3조의2(나) 다음\n부 칙\n끝 문장"
+    df = spark.createDataFrame([(full, "제3조", "x"), (full, "제3조의2", "x"), (full, "부칙", "끝 문장"), (full, "제9조", "없다")], "f string, a string, c string")
+    got = [full[r.x.start : r.x.end] if r.x.start >= 0 else None for r in df.select(T.article_span("f", "a", "c").alias("x")).collect()]
+    assert got == ["제3조(가) 본문 제3조의2 언급", "제3조의2(나) 다음", "끝 문장", None]
+
+
+def test_category_order(spark):
+    names = ["제10편 가", "지침", "기타", "제2편 나", "학칙", "규정"]
+    df = spark.createDataFrame([(n,) for n in names], "c string")
+    assert [r.c for r in df.orderBy(T.category_key("c")).collect()] == ["학칙", "규정", "지침", "제2편 나", "제10편 가", "기타"]
