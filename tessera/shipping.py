@@ -7,12 +7,12 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
-_BATCH, _DEFAULT, _SMALL = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16777216b"
+_BATCH, _DEFAULT, _SMALL = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304b"
 
 
 def attach(spark: SparkSession) -> None:
     """Ships the package once per application; workers need no copy of their own.  Where the size of
-    Arrow batches is Spark's default, it becomes a quarter: texts are large rows, and a worker
+    Arrow batches is Spark's default, it becomes 4 MB: texts are large rows, and a worker
     and its task hold several batches at a time."""
     if spark.conf.get(_BATCH, None) == _DEFAULT:
         spark.conf.set(_BATCH, _SMALL)
