@@ -21,9 +21,9 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_log(spark: SparkSession, path: str, schema: str = ASK_LOG, days: int | None = None) -> DataFrame:
     """Daily JSONL logs: lines that are no JSON, and feedback files, are skipped; of ``days``, files
     named by an older day are, too."""
-    rows = spark.read.schema(schema + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)
-    rows = rows.withColumn("__file", name).where(~F.col("__file").startswith("feedback-")).where("_bad is null").drop("_bad")
+    lines = spark.read.text(path).withColumn("__file", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)).where(~F.col("__file").startswith("feedback-"))
+    parsed = lines.select("__file", F.from_json("value", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r")).where("r is not null and r._bad is null")
+    rows = parsed.select("__file", "r.*").drop("_bad")
     if days is not None:
         day = F.try_to_timestamp(F.regexp_extract("__file", r"^(\d{4}-\d{2}-\d{2})\.", 1), F.lit("yyyy-MM-dd")).cast("date")
         rows = rows.where(day.isNull() | (day >= F.date_sub(F.current_date(), days)))
@@ -32,7 +32,7 @@ def read_log(spark: SparkSession, path: str, schema: str = ASK_LOG, days: int |
 
 def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     """(text_file, body) of stored regulation texts."""
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     return rows.select(F.replace(F.input_file_name(), F.lit("\\"), F.lit("/")).alias("text_file"), body_of(F.col("value")).alias("body"))
 
 
