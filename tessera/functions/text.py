@@ -18,9 +18,18 @@ def _col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+#: Fixed value: all characters that are white space.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(_col(text), r"(?U)^[\s\x{1c}-\x{1f}]+|[\s\x{1c}-\x{1f}]+\z", "")
+    return F.btrim(_col(text), F.lit(WHITE))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def clean_text(text) -> Column:

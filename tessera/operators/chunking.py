@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.text import strip
+from ..functions.text import let, strip
 
 APPENDIX = r"(?Umd)^(부\s*칙|별\s*표|별\s*지|\[별표|〔별표|\[별지)"
 ARTICLE = r"(?Umd)^(제\s*\d+\s*조(?:의\s*\d+)?)\s*(\([^)]{1,60}\))?"
@@ -41,20 +41,18 @@ def packed_paragraphs(text: Column, most: int = C.MAX_CHARS) -> Column:
 def clauses(text: Column, most: int = C.MAX_CHARS) -> Column:
     """array of (clause, text): cut before the second and later clause marks, or else packed."""
     marks = f"[{C.CLAUSE_MARKS}]"
-    parts = F.split(F.regexp_replace(text, f"({marks})", _CUT + "$1"), _CUT, -1)
-    # The first piece keeps the heading and the first mark.
-    lead = F.concat(F.element_at(parts, 1), F.try_element_at(parts, F.lit(2)))
-    cut = F.concat(F.array(lead), F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(0))))
-    numbered = F.transform(
-        cut,
-        lambda p, i: F.struct(
-            F.when(strip(p).rlike("^" + marks), F.concat(F.lit("제"), F.instr(F.lit(C.CLAUSE_MARKS), F.substring(strip(p), 1, 1)).cast("string"), F.lit("항"))).when(i == 0, "제1항").otherwise("").alias("clause"),
-            strip(p).alias("text"),
-        ),
-    )
-    numbered = F.filter(numbered, lambda p: p["text"] != "")
+
+    def numbered(parts):
+        # The first piece keeps the heading and the first mark.
+        lead = F.concat(F.element_at(parts, 1), F.element_at(parts, 2))
+        cut = F.transform(F.concat(F.array(lead), F.slice(parts, 3, F.size(parts) - 2)), strip)
+        number = lambda p: F.concat(F.lit("제"), F.instr(F.lit(C.CLAUSE_MARKS), F.substring(p, 1, 1)).cast("string"), F.lit("항"))
+        each = F.transform(cut, lambda p, i: F.struct(F.when(p.rlike("^" + marks), number(p)).when(i == 0, "제1항").otherwise("").alias("clause"), p.alias("text")))
+        return F.filter(each, lambda p: p["text"] != "")
+
     plain = F.transform(packed_paragraphs(text, most), lambda p: F.struct(F.lit("").alias("clause"), p.alias("text")))
-    return F.when(F.size(parts) >= 3, numbered).otherwise(plain)
+    parts = F.split(F.regexp_replace(text, f"({marks})", _CUT + "$1"), _CUT, -1)
+    return let(parts, lambda p: F.when(F.size(p) >= 3, numbered(p)).otherwise(plain))
 
 
 def _fitted(text: Column, most: int) -> Column:
@@ -74,24 +72,29 @@ def chunk(regulations: DataFrame, id_col: str = "id", body_col: str = "body", mo
     empty = F.lit("")
     cut = regulations.select(id_col, *carry, F.split(F.regexp_replace(F.col(body_col), APPENDIX, _CUT + "$0"), _CUT, -1).alias("parts"))
     cut = cut.select(id_col, *carry, F.split(F.regexp_replace(F.element_at("parts", 1), ARTICLE, _CUT + "$0"), _CUT, -1).alias("articles"), F.expr("slice(parts, 2, greatest(size(parts) - 1, 0))").alias("extras"))
-    head = strip(F.element_at("articles", 1))
+    cut = cut.withColumn("head", strip(F.element_at("articles", 1)))
+    head = F.col("head")
     preamble = F.when(F.length(head) > C.PREAMBLE_OVER, as_chunks(F.array(F.struct(empty.alias("clause"), head.alias("text"))), F.lit("머리말"), empty, empty)).otherwise(F.array())
-    headings = F.transform("articles", lambda a: F.try_element_at(F.regexp_extract_all(a, F.lit(CHAPTER), F.lit(1)), F.lit(-1)))
-    nearest = lambda i: F.coalesce(F.try_element_at(F.filter(F.slice(headings, 1, i), lambda h: h.isNotNull()), F.lit(-1)), empty)
+    cut = cut.withColumn("headings", F.transform("articles", lambda a: F.try_element_at(F.regexp_extract_all(a, F.lit(CHAPTER), F.lit(1)), F.lit(-1))))
+    nearest = lambda i: F.coalesce(F.try_element_at(F.filter(F.slice("headings", F.lit(1), i), lambda h: h.isNotNull()), F.lit(-1)), empty)
 
     def article(a, i):
-        label = F.regexp_replace(F.regexp_extract(a, ARTICLE, 1), r"(?U)\s+", "")
-        title = F.regexp_replace(F.regexp_extract(a, ARTICLE, 2), r"^[() ]+|[() ]+\z", "")
-        return as_chunks(_fitted(strip(a), most), label, title, strip(F.regexp_replace(nearest(i + 1), r"(?U)\s+", " ")))
-
-    main = F.flatten(F.transform(F.expr("slice(articles, 2, size(articles) - 1)"), article))
+        # Labels are read from the beginning of the text, not from all of it for every piece.
+        first = F.substring(a, 1, 200)
+        label = F.regexp_replace(F.regexp_extract(first, ARTICLE, 1), r"(?U)\s+", "")
+        title = F.btrim(F.regexp_extract(first, ARTICLE, 2), F.lit("() "))
+        meta = F.struct(label.alias("l"), title.alias("t"), strip(F.regexp_replace(nearest(i + 1), r"(?U)\s+", " ")).alias("c"))
+        return let(meta, lambda m: as_chunks(_fitted(a, most), m["l"], m["t"], m["c"]))
+
+    bare = F.transform(F.expr("slice(articles, 2, size(articles) - 1)"), strip)
+    main = F.flatten(F.transform(bare, article))
     whole = F.when(head != "", as_chunks(clauses(head, most), F.lit("전문"), empty, empty, False)).otherwise(F.array())
 
     def extra(s):
-        label = F.regexp_replace(F.regexp_replace(F.regexp_extract(s, APPENDIX, 1), r"(?U)\s+", ""), r"^[\[〔]+|[\[〔]+$", "")
-        return as_chunks(_fitted(strip(s), most), label, empty, empty, False)
+        label = F.btrim(F.regexp_replace(F.regexp_extract(F.substring(s, 1, 50), APPENDIX, 1), r"(?U)\s+", ""), F.lit("[〔"))
+        return let(label, lambda x: as_chunks(_fitted(s, most), x, empty, empty, False))
 
-    chunks = F.concat(F.when(F.size("articles") > 1, F.concat(preamble, main)).otherwise(whole), F.flatten(F.transform("extras", extra)))
+    chunks = F.concat(F.when(F.size("articles") > 1, F.concat(preamble, main)).otherwise(whole), F.flatten(F.transform(F.transform("extras", strip), extra)))
     out = cut.select(F.col(id_col).alias("reg_id"), *carry, F.posexplode(chunks).alias("i", "c"))
     out = out.select(
         F.concat(F.col("reg_id").cast("string"), F.lit("#"), F.col("i").cast("string")).alias("chunk_id"), "reg_id", *carry,

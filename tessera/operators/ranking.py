@@ -42,21 +42,24 @@ def since(found: DataFrame, since_col: str = "since", date: str = "enforce_date"
     return found.where((day == "") | (F.coalesce(F.col(date), F.lit("")) >= day))
 
 
-def minmax(found: DataFrame, column: str, out: str) -> DataFrame:
-    """Scaled to 0..1 within the query; all equal: 1 if positive, else 0.  The extremes are an
-    aggregate that is joined back, so no query's rows meet in one task."""
-    ends = found.groupBy("qid").agg(F.min(column).alias("__lo"), F.max(column).alias("__hi"))
-    span = F.col("__hi") - F.col("__lo")
-    scaled = F.when(span < C.MINMAX_EPSILON, F.when(F.col("__hi") > 0, 1.0).otherwise(0.0)).otherwise((F.col(column) - F.col("__lo")) / span)
-    return found.join(ends, "qid").withColumn(out, scaled).drop("__lo", "__hi")
+def minmax(found: DataFrame, *columns: str) -> DataFrame:
+    """Each column scaled to 0..1 within the query; all equal: 1 if positive, else 0.  The extremes
+    are one aggregate that is joined back, so no query's rows meet in one task."""
+    ends = found.groupBy("qid").agg(*[f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])
+    found = found.join(ends, "qid")
+    for c in columns:
+        lo, hi = F.col(f"__lo_{c}"), F.col(f"__hi_{c}")
+        scaled = F.when(hi - lo < C.MINMAX_EPSILON, F.when(hi > 0, 1.0).otherwise(0.0)).otherwise((F.col(c) - lo) / (hi - lo))
+        found = found.withColumn(f"{c}_scaled", scaled).drop(f"__lo_{c}", f"__hi_{c}")
+    return found
 
 
 def fused(found: DataFrame, query: str = "text") -> DataFrame:
     """``score``: the weighed sum of both scaled scores; questions lean on meaning."""
-    found = minmax(minmax(found, "vector", "__v"), "keyword", "__k")
+    found = minmax(found, "vector", "keyword")
     asks = is_question(query)
     w = lambda i: F.when(asks, C.QUESTION_WEIGHTS[i]).otherwise(C.WEIGHTS[i])
-    return found.withColumn("score", w(0) * F.col("__v") + w(1) * F.col("__k")).drop("__v", "__k")
+    return found.withColumn("score", w(0) * F.col("vector_scaled") + w(1) * F.col("keyword_scaled")).drop("vector_scaled", "keyword_scaled")
 
 
 def penalised(found: DataFrame, query: str = "text", name: str = "name", article: str = "article") -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions.text import snippet
 from ..operators import keyword, ranking, vector
+from ..storage import keep
 
 OPTIONS = {"top_k": ("int", 10), "sources": ("array<string>", None), "categories": ("array<string>", None), "include_repealed": ("boolean", False), "since": ("string", ""), "sort": ("string", "relevance")}
 REGULATION_FIELDS = ["enforce_date", "revision_date", "revision_type", "rule_no"]
@@ -84,7 +85,8 @@ def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, regulation
     meta = meta.withColumns({c: F.lit(None).cast("string") for c in fields if c not in meta.columns})
     found = found.join(meta, "chunk_id").join(F.broadcast(queries.drop("vector")) if queries.count() <= keyword.MOST_TERMS else queries.drop("vector"), "qid")
     found = found.where(_allowed("source", "category"))
-    found = ranking.since(ranking.in_force(found))
+    # Read several times from here on, so both searches run once.
+    found = keep(ranking.since(ranking.in_force(found)), "candidates")
     found = ranking.merged(ranking.penalised(ranking.fused(found)), institution)
     found = found.withColumn("free", F.col("sources").isNull() | (F.size("sources") == 0))
     found = _reranked(found, chunks, reranker) if reranker else ranking.ranked(found)

@@ -194,8 +194,8 @@ def hybrid_filtered(spark, sf_dir):
 @query(f"""WITH {_bm25(_PLAIN)} SELECT qid, doc_id, round(CASE WHEN max(keyword) OVER w - min(keyword) OVER w < 1e-9 THEN CASE WHEN max(keyword) OVER w > 0 THEN 1e0 ELSE 0e0 END
  ELSE (keyword - min(keyword) OVER w) / (max(keyword) OVER w - min(keyword) OVER w) END, 4) AS scaled FROM ({_top(50)}) WINDOW w AS (PARTITION BY qid)""")
 def minmax_fusion(spark, sf_dir):
-    found = ranking.minmax(_keyword_top(spark, sf_dir, 50), "keyword", "scaled")
-    return found.select("qid", "doc_id", F.round("scaled", 4).alias("scaled"))
+    found = ranking.minmax(_keyword_top(spark, sf_dir, 50), "keyword")
+    return found.select("qid", "doc_id", F.round("keyword_scaled", 4).alias("scaled"))
 
 
 @query("""WITH scored AS (SELECT 1 AS qid, doc_id, source, md5(text) AS name, lang AS article, n_chars::DOUBLE AS score FROM documents)

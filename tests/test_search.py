@@ -66,7 +66,7 @@ def test_nearest_vectors(spark, monkeypatch, block):
 
 def test_minmax(spark):
     df = spark.createDataFrame([(1, 0.4), (1, 0.4), (2, 0.0), (2, 0.0), (3, 1.0), (3, 2.0), (3, 5.0)], "qid int, v double")
-    got = sorted((r.qid, r.x) for r in ranking.minmax(df, "v", "x").collect())
+    got = sorted((r.qid, r.v_scaled) for r in ranking.minmax(df, "v").collect())
     assert got == [(1, 1.0), (1, 1.0), (2, 0.0), (2, 0.0), (3, 0.0), (3, 0.25), (3, 1.0)]
 
 
