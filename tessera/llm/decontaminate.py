@@ -25,7 +25,7 @@ WIDTH = 13
 #: Bytes of benchmark text in a block, but for a single longer item.
 BLOCK_BYTES = 4 << 20
 #: Bytes of training text in a shard.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 
 def _keys(ids: np.ndarray, at: np.ndarray, run: np.ndarray, width: int) -> np.ndarray:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at a time.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -111,7 +111,7 @@ def _hash_piece(buf, cuts, table, values, prefix):
     before[1:], after[:-1] = word[:-1], word[1:]
     before[cuts], after[cuts - 1] = False, False
     starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
-    up, down = _powers(1 << max(20, (len(buf) - 1).bit_length()))
+    up, down = _powers(1 << max(18, (len(buf) - 1).bit_length()))
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(values[buf] * up[: len(buf)], out=total[1:], dtype=np.uint64)
     upto = np.minimum(starts + prefix, ends) if prefix else starts

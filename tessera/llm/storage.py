@@ -1,35 +1,5 @@
-"""Tables that cut lineage: written to the folder that all executors share, and read again."""
+"""Tables that cut lineage, as for the rest of the library."""
 
-import tempfile
-import uuid
+from ..storage import keep, shared_folder
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir.  Only where that is unset: a temporary folder if
-    driver and executors are one process, else a folder in the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
-        found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-    else:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def keep(df: DataFrame, what: str, codec: str = "snappy") -> DataFrame:
-    """``df`` as a stored table: later reads do not depend on executors that made it."""
-    path = f"{shared_folder(df.sparkSession)}/tessera-{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes a table of keep() that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["keep", "shared_folder"]

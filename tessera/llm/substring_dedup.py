@@ -56,7 +56,7 @@ def runs(words: kernel.Words, ends: np.ndarray, min_words: int, min_pieces: int)
     whole = upto < stop[row] if len(row) else np.zeros(0, bool)
     i = np.flatnonzero(whole)
     with np.errstate(over="ignore"):
-        up, down = kernel._powers(1 << max(20, len(words.hash).bit_length()))
+        up, down = kernel._powers(1 << max(18, len(words.hash).bit_length()))
         total = np.append(np.uint64(0), np.cumsum(words.hash * up[: len(words.hash)], dtype=np.uint64))
         h = kernel.mix((total[last[upto[i]]] - total[first[i]]) * down[first[i]]) & np.uint64((1 << 63) - 1)
     return (row[i], i - begin[row[i]], upto[i] - i + 1, h), (row, first, last, begin)
