@@ -37,7 +37,7 @@ def pieces(raw: np.ndarray, words: kernel.Words, base: int) -> np.ndarray:
         pair[:-1] = kernel.windows(words.hash, 2) if n > 1 else pair[:-1]
     least = np.ones(n, bool)
     for d in range(1, RADIUS + 1):
-        least[d:] &= pair[d:] < pair[:-d]
+        least[d:] &= pair[d:] <= pair[:-d]  # ties cut, so that a word or words said again and again are cut alike
         least[:-d] &= pair[:-d] <= pair[d:]
     ends |= least
     ends[words.at[1:][words.at[1:] > words.at[:-1]] - 1] = True

@@ -65,3 +65,9 @@ def test_very_long_text(spark, n):
     text = " ".join(f"x{i}" for i in range(n))
     got = found(spark, [(1, text), (2, "a b c " + text)])
     assert [(r.doc_id, r.first_id) for r in got] == [(2, 1)]
+
+
+def test_a_word_said_again_and_again(spark):
+    docs, _, _ = corpus(4)
+    rows = [(100, docs[1][1] + " " + "and " * 70), (101, docs[2][1] + " " + "and " * 64 + docs[3][1]), (102, docs[5][1] + " " + "buy it now " * 30), (103, "buy it now " * 25 + docs[6][1])]
+    assert {(r.doc_id, r.first_id) for r in found(spark, rows) if r.doc_id != r.first_id} == {(101, 100), (103, 102)}
