@@ -43,6 +43,7 @@ GRADUATE = (r"대학원", r"대학원|석사|박사|학위\s*논문|논문\s*제
 REPEALED, IN_FORCE = "폐지", "현행"
 MINMAX_EPSILON = 1e-9
 RERANK_POOL, RERANK_GATE = 10, 0.05
+MOST_RESULTS = 50
 SOURCE_LEAST, SOURCE_FROM_K = 3, 8
 SNIPPET_WIDTH = 90
 CACHE_SIZE = 300

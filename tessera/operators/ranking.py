@@ -31,9 +31,9 @@ def candidates(vector: DataFrame, keyword: DataFrame, vector_floor: float = C.VE
     return both.where((F.col("vector") >= vector_floor) | (F.col("keyword") > keyword_floor))
 
 
-def in_force(found: DataFrame, include_repealed: str = "include_repealed", query: str = "text", status: str = "status") -> DataFrame:
+def in_force(found: DataFrame, include_repealed: str = "include_repealed", asked: str = "asks_repealed", status: str = "status") -> DataFrame:
     """Without repealed regulations, unless they are asked for; no status counts as in force."""
-    return found.where(F.col(include_repealed) | F.col(query).contains(C.REPEALED) | (F.coalesce(F.col(status), F.lit(C.IN_FORCE)) != C.REPEALED))
+    return found.where(F.col(include_repealed) | F.col(asked) | (F.coalesce(F.col(status), F.lit(C.IN_FORCE)) != C.REPEALED))
 
 
 def since(found: DataFrame, since_col: str = "since", date: str = "enforce_date") -> DataFrame:
@@ -54,31 +54,54 @@ def minmax(found: DataFrame, *columns: str) -> DataFrame:
     return found
 
 
-def fused(found: DataFrame, query: str = "text") -> DataFrame:
+#: What a penalty is called, its pattern and the query pattern that lifts it, its factor, and whose text it reads.
+PENALTIES = {"attached": (*C.ATTACHED_SCHOOL, "name"), "non_article": (*C.NON_ARTICLE, "article"), "graduate": (*C.GRADUATE, "name")}
+
+
+def query_facts(queries: DataFrame, query: str = "text") -> DataFrame:
+    """What ranking asks of a query's text, once for each query: ``asks``, ``asks_repealed``, and
+    which penalties it does not lift."""
+    lifted = {f"may_{k}": ~F.col(query).rlike("(?U)" + asked) for k, (_, asked, _, _) in PENALTIES.items()}
+    return queries.withColumns({"asks": is_question(query), "asks_repealed": F.col(query).contains(C.REPEALED), **lifted})
+
+
+def chunk_facts(chunks: DataFrame, institution: str = "") -> DataFrame:
+    """What ranking asks of a chunk's labels, once for each chunk: ``merge_name``, and which
+    penalties its labels call for."""
+    hits = {f"is_{k}": F.coalesce(F.col(column), F.lit("")).rlike("(?U)" + pattern) for k, (pattern, _, _, column) in PENALTIES.items()}
+    return chunks.withColumns({"merge_name": norm_name("name", institution), **hits})
+
+
+def fused(found: DataFrame) -> DataFrame:
     """``score``: the weighed sum of both scaled scores; questions lean on meaning."""
     found = minmax(found, "vector", "keyword")
-    asks = is_question(query)
-    w = lambda i: F.when(asks, C.QUESTION_WEIGHTS[i]).otherwise(C.WEIGHTS[i])
+    w = lambda i: F.when(F.col("asks"), C.QUESTION_WEIGHTS[i]).otherwise(C.WEIGHTS[i])
     return found.withColumn("score", w(0) * F.col("vector_scaled") + w(1) * F.col("keyword_scaled")).drop("vector_scaled", "keyword_scaled")
 
 
-def penalised(found: DataFrame, query: str = "text", name: str = "name", article: str = "article") -> DataFrame:
+def penalised(found: DataFrame) -> DataFrame:
     """Scores lowered, factor by factor, for kinds of text that the query does not ask for."""
     factor = F.lit(1.0)
-    for (pattern, asked, by), column in ((C.ATTACHED_SCHOOL, name), (C.NON_ARTICLE, article), (C.GRADUATE, name)):
-        hit = ~F.col(query).rlike("(?U)" + asked) & F.coalesce(F.col(column), F.lit("")).rlike("(?U)" + pattern)
-        factor = factor * F.when(hit, by).otherwise(1.0)
+    for k, (_, _, by, _) in PENALTIES.items():
+        factor = factor * F.when(F.col(f"may_{k}") & F.col(f"is_{k}"), by).otherwise(1.0)
     return found.withColumn("score", F.col("score") * factor)
 
 
-def merged(found: DataFrame, institution: str = "", keys: tuple[str, ...] = ("name", "article", "clause")) -> DataFrame:
-    """One row of equal (regulation, article, clause): the best; ``also_sources`` has the others'
+def merged(found: DataFrame) -> DataFrame:
+    """One row of equal (merge_name, article, clause): the best; ``also_sources`` has the others'
     sources, but for its own."""
-    name, article, clause = keys
-    found = found.withColumns({"__n": norm_name(name, institution), "__a": F.col(article), "__c": F.coalesce(F.col(clause), F.lit(""))})
-    same = Window.partitionBy("qid", "__n", "__a", "__c")
+    same = Window.partitionBy("qid", "merge_name", "article", F.coalesce("clause", F.lit("")))
     ranked = found.withColumns({"__at": F.row_number().over(same.orderBy(*best_first("chunk_id"))), "__all": F.collect_set("source").over(same)})
-    return ranked.where("__at = 1").withColumn("also_sources", F.array_sort(F.array_except("__all", F.array("source")))).drop("__n", "__a", "__c", "__at", "__all")
+    return ranked.where("__at = 1").withColumn("also_sources", F.array_sort(F.array_except("__all", F.array("source")))).drop("__at", "__all")
+
+
+def pooled(found: DataFrame, most: int = C.MOST_RESULTS, least: int = C.SOURCE_LEAST) -> DataFrame:
+    """All that a query's results can come from: its best, and the best of each of its sources.
+    Both are limits that Spark applies before it shuffles, so no task sorts a query's rows."""
+    best = lambda *keys: F.row_number().over(Window.partitionBy("qid", *keys).orderBy(*best_first("chunk_id")))
+    first = found.withColumn("__at", best()).where(F.col("__at") <= most)
+    each = found.withColumn("__at", best("source")).where(F.col("__at") <= least)
+    return first.union(each).drop("__at").dropDuplicates(["qid", "chunk_id"])
 
 
 def reordered(found: DataFrame, top_k: str = "top_k", second: str = "second_score") -> DataFrame:

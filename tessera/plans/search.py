@@ -30,7 +30,8 @@ def with_options(queries: DataFrame) -> DataFrame:
 
 
 def checked(queries: DataFrame) -> DataFrame:
-    """Queries with a bad date or order fail when they are read."""
+    """Queries with a bad date, order or number of results fail when they are read."""
+    queries = queries.withColumn("top_k", F.when(F.col("top_k").between(1, C.MOST_RESULTS), F.col("top_k")).otherwise(F.raise_error(F.lit(f"top_k must be 1 to {C.MOST_RESULTS}")).cast("int")))
     bad = (F.col("since") != "") & ~F.col("since").rlike(r"^\d{4}-\d{2}-\d{2}$") | ~F.col("sort").isin("relevance", "date")
     return queries.withColumn("sort", F.when(bad, F.raise_error(F.lit("since must be YYYY-MM-DD, sort relevance or date"))).otherwise(F.col("sort")))
 
@@ -83,20 +84,26 @@ def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, regulation
         have = [c for c in fields if c in regulations.columns]
         meta = meta.join(regulations.select(F.col("id").alias("reg_id"), *have), "reg_id", "left")
     meta = meta.withColumns({c: F.lit(None).cast("string") for c in fields if c not in meta.columns})
-    found = found.join(meta, "chunk_id").join(F.broadcast(queries.drop("vector")) if queries.count() <= keyword.MOST_TERMS else queries.drop("vector"), "qid")
-    found = found.where(_allowed("source", "category"))
-    # Read several times from here on, so both searches run once.
-    found = keep(ranking.since(ranking.in_force(found)), "candidates")
-    found = ranking.merged(ranking.penalised(ranking.fused(found)), institution)
-    found = found.withColumn("free", F.col("sources").isNull() | (F.size("sources") == 0))
+    meta = ranking.chunk_facts(meta, institution).drop("name")
+    facts = ranking.query_facts(queries).drop("vector", "text")
+    few = queries.count() <= keyword.MOST_TERMS
+    small = lambda df: F.broadcast(df) if few else df
+    found = found.join(meta, "chunk_id").join(small(facts), "qid").where(_allowed("source", "category"))
+    # Read several times from here on, so both searches run once; options come back with the pool.
+    found = ranking.since(ranking.in_force(found))
+    found = keep(found.select("qid", "chunk_id", "vector", "keyword", "source", "article", "clause", "merge_name", "asks", *(x + k for k in ranking.PENALTIES for x in ("may_", "is_"))), "candidates")
+    found = keep(ranking.merged(ranking.penalised(ranking.fused(found))).select("qid", "chunk_id", "source", "score", "also_sources"), "scored")
+    found = ranking.pooled(found).join(small(queries.select("qid", "text", "top_k", "sources", "sort")), "qid")
+    found = found.withColumn("free", F.col("sources").isNull() | (F.size("sources") == 0)).drop("sources")
     found = _reranked(found, chunks, reranker) if reranker else ranking.ranked(found)
-    found = ranking.by_date(ranking.with_sources(found))
+    found = ranking.with_sources(found)
+    found = ranking.by_date(found.join(meta.drop("source", "merge_name", *(f"is_{k}" for k in ranking.PENALTIES)), "chunk_id"))
 
-    rest = chunks.select("chunk_id", F.col("text").alias("__text"), *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("article_title", "chapter", "department", "contact", "source_url", "law_url") if c in chunks.columns))
+    rest = chunks.select("chunk_id", "name", F.col("text").alias("__text"), *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("article_title", "chapter", "department", "contact", "source_url", "law_url") if c in chunks.columns))
     found = found.join(rest, "chunk_id")
     location = F.concat_ws(" ", "article", F.when(F.coalesce("clause", F.lit("")) != "", F.col("clause")))
     return found.select(
-        "qid", "rank", "chunk_id", "reg_id", "source", "category", "name", "article", F.coalesce("clause", F.lit("")).alias("clause"), location.alias("location"), *[c for c in rest.columns if c not in ("chunk_id", "__text")],
+        "qid", "rank", "chunk_id", "reg_id", "source", "category", "name", "article", F.coalesce("clause", F.lit("")).alias("clause"), location.alias("location"), *[c for c in rest.columns if c not in ("chunk_id", "name", "__text")],
         snippet("__text", "text").alias("snippet"), *(F.coalesce(c, F.lit("")).alias(c) for c in REGULATION_FIELDS), F.coalesce("status", F.lit(C.IN_FORCE)).alias("status"), "also_sources", F.round("score", 4).alias("score"),
     )
 

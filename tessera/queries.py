@@ -202,7 +202,7 @@ def minmax_fusion(spark, sf_dir):
 SELECT doc_id AS chunk_id, source, array_to_string(list_sort(list_distinct(list_filter(s, lambda x: x <> source))), ',') AS also_sources
 FROM (SELECT *, row_number() OVER (PARTITION BY name, article ORDER BY score DESC, doc_id) AS place, list(source) OVER (PARTITION BY name, article) AS s FROM scored) WHERE place = 1""")
 def dedupe_merge(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.lit(1).alias("qid"), F.col("doc_id").alias("chunk_id"), "source", F.md5("text").alias("name"), F.col("lang").alias("article"), F.lit("").alias("clause"), F.col("n_chars").cast("double").alias("score"))
+    d = table(spark, sf_dir, "documents").select(F.lit(1).alias("qid"), F.col("doc_id").alias("chunk_id"), "source", F.md5("text").alias("merge_name"), F.col("lang").alias("article"), F.lit("").alias("clause"), F.col("n_chars").cast("double").alias("score"))
     return ranking.merged(d).select("chunk_id", "source", F.array_join("also_sources", ",").alias("also_sources"))
 
 

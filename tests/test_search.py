@@ -82,6 +82,7 @@ def test_floor_repeal_and_date(spark):
     assert {(r.chunk_id, r.vector, r.keyword) for r in ranking.candidates(v, k).collect()} == {("b", 0.1, 2.0), ("c", 0.5, 0.0), ("d", 0.0, 1.0)}
     rows = [("휴학", False, "폐지", ""), ("폐지 규정", False, "폐지", ""), ("휴학", True, "폐지", ""), ("휴학", False, None, "2025-01-01"), ("휴학", False, "현행", "2020-01-01")]
     df = spark.createDataFrame(rows, "text string, include_repealed boolean, status string, enforce_date string")
+    df = ranking.query_facts(df)
     assert ranking.in_force(df).count() == 4
     assert ranking.since(df.withColumn("since", F.lit("2024-01-01"))).count() == 1 and ranking.since(df.withColumn("since", F.lit(""))).count() == 5
 
@@ -89,13 +90,13 @@ def test_floor_repeal_and_date(spark):
 def test_penalties_stack(spark):
     rows = [("휴학", "대학원 규정", "부칙", 0.68), ("대학원 휴학", "대학원 규정", "부칙", 0.8), ("시행일은?", "대학원 규정", "부칙", 0.85), ("휴학", "사대부설 고등학교 학칙", "제1조", 0.85), ("고교", "부설중학교", "제1조", 1.0), ("휴학", "학칙", "제1조 부칙", 1.0)]
     df = spark.createDataFrame([(*r, 1.0) for r in rows], "text string, name string, article string, want double, score double")
-    assert all(r.score == pytest.approx(r.want) for r in ranking.penalised(df).collect())
+    assert all(r.score == pytest.approx(r.want) for r in ranking.penalised(ranking.chunk_facts(ranking.query_facts(df))).collect())
 
 
 def test_duplicates_merge(spark):
     rows = [(1, "a", "가·나 규정", "제1조", None, "대학", 0.9), (1, "b", "가나규정", "제1조", "", "산학", 0.8), (1, "c", "가나 규정", "제1조", "", "산학", 0.7), (1, "d", "가나규정", "제2조", "", "대학", 0.6), (1, "e", "가나규정", "제2조", "", "대학", 0.5)]
     df = spark.createDataFrame(rows, "qid int, chunk_id string, name string, article string, clause string, source string, score double")
-    assert {(r.chunk_id, tuple(r.also_sources)) for r in ranking.merged(df).collect()} == {("a", ("산학",)), ("d", ())}
+    assert {(r.chunk_id, tuple(r.also_sources)) for r in ranking.merged(ranking.chunk_facts(df)).collect()} == {("a", ("산학",)), ("d", ())}
 
 
 def test_second_model_orders_only_what_is_close(spark):
@@ -164,6 +165,8 @@ def test_filters_options_and_reranking(spark, corpus):
     assert "r3#0" in {r.chunk_id for r in repealed}
     recent = search.search(make([(1, "휴학", [1.0, 0.0], "2024-01-01", "date")], "since string, sort string"), *corpus).collect()
     assert {r.reg_id for r in recent} == {"r1"}
+    with pytest.raises(Exception, match="top_k must be"):
+        search.search(make([(1, "휴학", [1.0, 0.0], 51)], "top_k int"), *corpus).collect()
     with pytest.raises(Exception, match="since must be"):
         search.search(make([(1, "휴학", [1.0, 0.0], "2024")], "since string"), *corpus).collect()
     second = search.search(make([(1, "휴학", [1.0, 0.0], 5)], "top_k int"), *corpus, reranker=lambda q, t: [float(len(x)) for x in t]).collect()
