@@ -1,71 +1,93 @@
 """Cross-entropy difference of two n-gram language models.
 
 A target model (labelled good documents) and a background model (all documents) are
-bigram models over one vocabulary: words hashed to CLASSES classes, pairs hashed to
-PAIRS counters, as in randomised language models.  Both counts cover every document,
-their size does not depend on the corpus, and so they can be sent to the workers.
+bigram models over one vocabulary: every word and every pair of words of the corpus, as
+64-bit hashes, has counts of its own.  The counts grow with the corpus and stay on the
+workers: texts are gathered to chunks, each chunk sends its distinct words and pairs with
+their counts to buckets by hash, a bucket sums them over all chunks and answers each chunk.
 A document's score is the mean over its words of the target's loss less the background's.
 """
 
+import zlib
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import attach
 from . import kernel
 
-#: Vocabulary classes and pair counters; powers of two.
-CLASSES, PAIRS = 1 << 16, 1 << 20
+#: Words that the smoothing of the word model reckons with.
+CLASSES = 1 << 16
 #: So many target ids at most are broadcast.
 FEW_IDS = 1_000_000
 #: Weight of the word model in the pair model, and of each class in the word model.
 ALPHA, BETA = 4.0, 0.5
+#: Words of a chunk; a chunk ends with the batch slice that reaches them.
+CHUNK_WORDS = 1 << 20
+#: Buckets are 2 ** bits: so many bits at least, and more so that each stands for at most so many bytes of text.
+LEAST_BITS, BUCKET_BYTES = 9, 1 << 26
 
+_FIRST, _MUL = np.uint64(0x5851F42D4C957F2D), np.uint64(0xD6E8FEB86659FD93)
 
-def _ids(words: kernel.Words) -> tuple[np.ndarray, np.ndarray]:
-    """(class, pair counter) of each word; a text's first word follows a mark of its own."""
-    classes = (words.hash >> np.uint64(11)) & np.uint64(CLASSES - 1)
-    before = np.empty_like(classes)
-    before[1:] = classes[:-1]
-    before[words.at[:-1][words.at[:-1] < len(classes)]] = CLASSES
+
+class Models(NamedTuple):
+    """What the models are counted from, and the words of (target, background) and bytes in all."""
+
+    docs: DataFrame
+    marked: DataFrame
+    columns: tuple[str, str]
+    totals: tuple[int, int]
+    size: int
+
+
+def _pairs(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of each word and the one before; a text's first word follows a mark of its own."""
+    before = np.empty_like(words)
+    before[1:] = words[:-1]
+    before[at[:-1][at[:-1] < len(words)]] = _FIRST
     with np.errstate(over="ignore"):
-        pairs = kernel.mix(before * np.uint64(CLASSES + 1) + classes + np.uint64(0x5851F42D4C957F2D)) & np.uint64(PAIRS - 1)
-    return classes.astype(np.int64), pairs.astype(np.int64)
+        return kernel.mix(kernel.mix(before * _MUL + _FIRST) ^ words)
+
 
+def _ids(words: kernel.Words) -> tuple[np.ndarray, np.ndarray]:
+    """(word, pair) hashes of each word."""
+    return words.hash, _pairs(words.hash, words.at)
 
-def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the (target, background) models, each over all of its documents: classes in the
-    first CLASSES slots, pairs in the others.
 
-    One pass counts for both.  Few target ids go to the texts; many meet them in a shuffle.
-    Null and empty texts add nothing."""
+def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Models:
+    """The (target, background) models, each over all of its documents.  Their words are counted
+    here; the counts of each word and pair are made where texts are scored, by the same shuffle.
+
+    Few target ids go to the texts; many meet them in a shuffle.  Null and empty texts add nothing."""
     attach(docs.sparkSession)
     ids = target_ids.select(F.col(target_ids.columns[0]).alias("__id")).where("__id is not null").distinct().withColumn("__in", F.lit(True))
     ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(ids, "__id", "left").select("__text", F.coalesce("__in", F.lit(False)))
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(ids, "__id", "left").select("__id", "__text", F.coalesce("__in", F.lit(False)).alias("__in"))
 
     def run(batches):
-        totals = [np.zeros(CLASSES + PAIRS, np.int64) for _ in range(2)]
+        target = ground = size = 0
+        table = kernel.alnum_words()
         for batch in batches:
             raw, at, _ = kernel.string_buffers(batch.column(0))
             chosen = np.asarray(batch.column(1))
             for a, b in kernel.slices(at):
-                words = kernel.Words(raw, at[a : b + 1], kernel.alnum_words())
-                classes, pairs = _ids(words)
-                inside = np.repeat(chosen[a:b], np.diff(words.at))
-                for total, rows in ((totals[0], inside), (totals[1], slice(None))):
-                    total += np.bincount(np.concatenate([classes[rows], pairs[rows] + CLASSES]), minlength=len(total))
-        slots = np.flatnonzero(totals[1])
-        for i in range(0, len(slots), 1 << 16):
-            part = slots[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(totals[0][part]), pa.array(totals[1][part])], ["slot", "target", "ground"])
-
-    found = texts.mapInArrow(run, "slot int, target bigint, ground bigint").groupBy("slot").agg(F.sum("target").alias("target"), F.sum("ground").alias("ground")).toArrow()
-    out = np.zeros((2, CLASSES + PAIRS), np.int64)
-    for row, name in enumerate(("target", "ground")):
-        out[row, found.column("slot").to_numpy()] = found.column(name).to_numpy()
-    return out[0], out[1]
+                word = table[raw[at[a] : at[b]]]
+                first = word.copy()
+                first[1:] &= ~word[:-1]
+                cuts = at[a:b] - at[a]
+                cuts = cuts[cuts < len(word)]
+                first[cuts] = word[cuts]
+                n = np.diff(np.append(0, np.cumsum(first))[at[a : b + 1] - at[a]])
+                target, ground, size = target + int(n[chosen[a:b]].sum()), ground + int(n.sum()), size + len(word)
+        yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (target, ground, size)], ["target", "ground", "size"])
+
+    total = texts.select("__text", "__in").mapInArrow(run, "target bigint, ground bigint, size bigint").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("target", "ground", "size"))).first()
+    return Models(docs, texts, (id_col, text_col), (total[0], total[1]), total[2])
 
 
 def _own(keys: np.ndarray, row: np.ndarray, size: int) -> np.ndarray:
@@ -75,18 +97,63 @@ def _own(keys: np.ndarray, row: np.ndarray, size: int) -> np.ndarray:
     return times[code]
 
 
-def _loss(counts: np.ndarray, classes: np.ndarray, pairs: np.ndarray, before: np.ndarray, less=0) -> np.ndarray:
-    """-log p of each word; ``less`` are counts of (class, pair, class before, all) to leave out."""
-    own_class, own_pair, own_before, own_all = less if isinstance(less, tuple) else (0, 0, 0, 0)
-    words = np.maximum(counts[:CLASSES].sum() - own_all, 0)
-    single = (np.maximum(counts[classes] - own_class, 0) + BETA) / (words + BETA * CLASSES)
-    context = np.where(before < CLASSES, counts[np.minimum(before, CLASSES - 1)], words)
-    context = np.maximum(context - own_before, 0)
-    pair = np.minimum(np.maximum(counts[CLASSES + pairs] - own_pair, 0), context)
-    return -np.log((pair + ALPHA * single) / (context + ALPHA))
+def _loss(word: np.ndarray, pair: np.ndarray, before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """-log p of each word by counts of it, of its pair, of the word before and of all words."""
+    single = (word + BETA) / (words + BETA * CLASSES)
+    return -np.log((np.minimum(pair, before) + ALPHA * single) / (before + ALPHA))
+
+
+def _pack(counts: np.ndarray) -> bytes:
+    """A byte a count; those of 255 and more follow in full."""
+    return zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.int64).tobytes(), 1)
+
+
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    data = zlib.decompress(data)
+    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(data[n:], np.int64)
+    return out
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit values byte by byte, so that high bytes, mostly zero, take no room."""
+    return zlib.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T), 1)
+
+
+def _values(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
 
+def _steps(keys: np.ndarray) -> bytes:
+    """Ascending keys as steps, which are smaller."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
 
-def scores(docs: DataFrame, models: tuple[np.ndarray, np.ndarray], target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def _keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_values(data), dtype=np.uint64)
+
+
+_PARTS = ["bucket", "chunk", "keys", "target", "ground", "codes", "sizes", "ids"]
+
+
+def _gathered(batches, most: int):
+    """(ids, word hashes, words of each row, flags of each row) of chunks of rows."""
+    held, n = [], 0
+    for batch in batches:
+        raw, at, _ = kernel.string_buffers(batch.column(1))
+        flags = np.stack([np.asarray(batch.column(i)) for i in (2, 3, 4)]) if batch.num_rows else np.zeros((3, 0), bool)
+        for a, b in kernel.slices(at):
+            words = kernel.Words(raw, at[a : b + 1], kernel.alnum_words())
+            held.append((batch.column(0).slice(a, b - a), words.hash, np.diff(words.at), flags[:, a:b]))
+            n += len(words.hash)
+            if n >= most:
+                yield held
+                held, n = [], 0
+    if held:
+        yield held
+
+
+def scores(docs: DataFrame, models: Models, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, target_loss, background_loss, score) for each row: mean losses a word in nats
     and their difference, lower for texts more like the target.
 
@@ -94,30 +161,113 @@ def scores(docs: DataFrame, models: tuple[np.ndarray, np.ndarray], target_ids: D
     kernel.alnum_words(); without any, all is 0.  Repeated rows are scored each; an
     empty table gives an empty result."""
     attach(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(models)
+    kind = docs.schema[id_col].dataType.simpleString()
+    yes, no = F.lit(True), F.lit(False)
+    if docs is models.docs and (id_col, text_col) == models.columns:
+        rows = models.marked.select(F.col("__id"), "__text", "__in", yes.alias("counted"), yes.alias("scored"))
+    else:
+        counted = models.marked.select(F.lit(None).cast(kind).alias("__id"), "__text", "__in", yes.alias("counted"), no.alias("scored"))
+        rows = counted.union(docs.select(id_col, text_col, no, no, yes))
+    bits = max(LEAST_BITS, (models.size // BUCKET_BYTES).bit_length())
+    edges = np.array([i << (64 - bits) for i in range(1 << bits)], np.uint64)
+    totals, chunk_words = models.totals, CHUNK_WORDS
 
-    def run(batches):
-        target, background = sent.value
-        for batch in batches:
-            raw, at, _ = kernel.string_buffers(batch.column(1))
-            for a, b in kernel.slices(at):
-                words = kernel.Words(raw, at[a : b + 1], kernel.alnum_words())
-                classes, pairs = _ids(words)
-                n = np.diff(words.at)
-                row = np.repeat(np.arange(b - a), n)
-                before = np.append(CLASSES, classes[:-1])[: len(classes)]
-                before[words.at[:-1][words.at[:-1] < len(classes)]] = CLASSES
-                own_class = _own(classes, row, CLASSES)
-                # What the row itself adds to the count of the word before; a first word's context is all words.
-                own_before = np.where(before < CLASSES, np.append(0, own_class[:-1])[: len(classes)], 0)
-                less = (own_class, _own(pairs, row, PAIRS), own_before, n[row])
-                mean = lambda v, row=row, n=n: np.bincount(row, v, len(n)) / np.maximum(n, 1)
-                inside, outside = mean(_loss(target, classes, pairs, before, less)), mean(_loss(target, classes, pairs, before))
-                ground = mean(_loss(background, classes, pairs, before, less))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(inside), pa.array(outside), pa.array(ground)], ["id", "n", "inside", "outside", "ground"])
+    def send(batches):
+        part = TaskContext.get().partitionId()
+        for seq, held in enumerate(_gathered(batches, chunk_words)):
+            ids, hashes, n, flags = (([h[i] for h in held]) for i in range(4))
+            ids, hashes, n, flags = pa.concat_arrays(ids), np.concatenate(hashes), np.concatenate(n), np.concatenate(flags, 1)
+            pairs = _pairs(hashes, np.append(0, np.cumsum(n)))
+            keys = np.unique(np.concatenate([hashes, pairs]))
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n bigint, inside double, outside double, ground double")
+            def count(chosen, n=n, hashes=hashes, pairs=pairs, keys=keys):
+                out = np.zeros(len(keys), np.int64)
+                if chosen.any():
+                    words = slice(None) if chosen.all() else np.repeat(chosen, n)
+                    found, times = np.unique(np.concatenate([hashes[words], pairs[words]]), return_counts=True)
+                    out[np.searchsorted(keys, found)] = times
+                return out
+
+            target, ground = count(flags[0] & flags[1]), count(flags[1])
+            # Named by what it holds, so that a chunk of a task that ran again never meets answers to another.
+            seed = (int(keys.sum(dtype=np.uint64)) + (part << 32) + seq) & ((1 << 64) - 1)
+            with np.errstate(over="ignore"):
+                chunk = int(kernel.mix(np.array([seed], np.uint64))[0] >> np.uint64(1)) if flags[2].any() else None
+            cut = np.append(np.searchsorted(keys, edges), len(keys))
+            full = np.flatnonzero(np.diff(cut)).tolist()
+            many = [(cut[i], cut[i + 1]) for i in full]
+            nothing = pa.nulls(len(full), pa.binary())
+            yield pa.RecordBatch.from_arrays([
+                pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int64()), pa.array([_steps(keys[a:b]) for a, b in many], pa.binary()),
+                pa.array([_pack(target[a:b]) for a, b in many], pa.binary()), pa.array([_pack(ground[a:b]) for a, b in many], pa.binary()), nothing, nothing, pa.nulls(len(full), pa.list_(ids.type)),
+            ], _PARTS)
+            if chunk is not None:
+                words, codes, times = np.unique(hashes, return_inverse=True, return_counts=True)
+                rank = np.argsort(-times)  # frequent words first: small codes
+                place = np.empty_like(rank)
+                place[rank] = np.arange(len(rank))
+                nothing = pa.nulls(1, pa.binary())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([chunk % len(edges)], pa.int32()), pa.array([chunk], pa.int64()), pa.array([words[rank].tobytes()], pa.binary()), nothing, nothing,
+                    pa.array([_planes(place[codes])], pa.binary()), pa.array([n.astype(np.int64).tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                ], _PARTS)
+
+    def answer(table):
+        body = pc.is_valid(table["codes"])
+        asked = table.filter(pc.invert(body))
+        keys = [_keys(k) for k in asked["keys"].to_pylist()]
+        at = np.append(0, np.cumsum([len(k) for k in keys], dtype=np.int64))
+        _, code = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]), return_inverse=True)
+        said = []
+        for name in ("target", "ground"):
+            counts = np.concatenate([np.zeros(0, np.int64), *(_unpack(d, len(k)) for d, k in zip(asked[name].to_pylist(), keys, strict=True))])
+            total = np.bincount(code, counts).astype(np.int64)[code] if len(code) else counts
+            said.append(pa.array([_pack(total[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()))
+        sizes = pa.array([np.int64(len(k)).tobytes() for k in keys], pa.binary())
+        nothing = pa.nulls(len(keys), pa.binary())
+        told = pa.table([asked["bucket"], asked["chunk"], nothing, *said, nothing, sizes, asked["ids"]], names=_PARTS)
+        return pa.concat_tables([told.filter(pc.is_valid(told["chunk"])), table.select(_PARTS).filter(body)])
+
+    def judge(table):
+        body = pc.is_valid(table["codes"])
+        own, told = table.filter(body), table.filter(pc.invert(body)).sort_by("bucket")
+        if own.num_rows != 1:
+            raise RuntimeError(f"{own.num_rows} texts of one chunk: the input changed while it was read")
+        words, codes = np.frombuffer(own["keys"][0].as_py(), np.uint64), _values(own["codes"][0].as_py()).astype(np.int64)
+        n = np.frombuffer(own["sizes"][0].as_py(), np.int64)
+        at = np.append(0, np.cumsum(n))
+        hashes = words[codes]
+        pairs, pair_codes = np.unique(_pairs(hashes, at), return_inverse=True)
+        keys = np.unique(np.concatenate([words, pairs]))
+        many = [int(np.frombuffer(s, np.int64)[0]) for s in told["sizes"].to_pylist()]
+        if sum(many) != len(keys):
+            raise RuntimeError(f"{sum(many)} answers to {len(keys)} words and pairs of a chunk: the input changed while it was read")
+        word_at, pair_at = np.searchsorted(keys, words)[codes], np.searchsorted(keys, pairs)[pair_codes]
+        row = np.repeat(np.arange(len(n)), n)
+        first = at[:-1][n > 0]
+        own_word, own_pair = _own(codes, row, len(words)), _own(pair_codes, row, len(pairs))
+
+        def before(v, start):
+            """Of the word before; a first word's context is all words."""
+            out = np.append(0, v[:-1])[: len(v)]
+            out[first] = start
+            return out
+
+        def mean(counts, all_words, less):
+            word, pair = counts[word_at], counts[pair_at]
+            context = before(word, all_words)
+            every = np.full(len(row), all_words)
+            if less:  # what the row itself adds
+                context = np.maximum(context - before(own_word, n[row][first]), 0)
+                word, pair, every = np.maximum(word - own_word, 0), np.maximum(pair - own_pair, 0), np.maximum(every - n[row], 0)
+            return pa.array(np.bincount(row, _loss(word, pair, context, every), len(n)) / np.maximum(n, 1))
+
+        target, ground = (np.concatenate([np.zeros(0, np.int64), *(_unpack(d, k) for d, k in zip(told[name].to_pylist(), many, strict=True))]) for name in ("target", "ground"))
+        return pa.table([own["ids"].combine_chunks().flatten(), pa.array(n), mean(target, totals[0], True), mean(target, totals[0], False), mean(ground, totals[1], True)], names=["id", "n", "inside", "outside", "ground"])
+
+    parts = f"bucket int, chunk bigint, keys binary, target binary, ground binary, codes binary, sizes binary, ids array<{kind}>"
+    found = rows.mapInArrow(send, parts).groupBy("bucket").applyInArrow(answer, parts)
+    found = found.groupBy("chunk").applyInArrow(judge, f"id {kind}, n bigint, inside double, outside double, ground double")
     member = target_ids.select(F.col(target_ids.columns[0]).alias("id")).distinct().withColumn("member", F.lit(True))
     found = found.join(member, "id", "left").withColumn("t", F.when(F.col("member"), F.col("inside")).otherwise(F.col("outside")))
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_words"), F.col("t").alias("target_loss"), F.col("ground").alias("background_loss"), (F.col("t") - F.col("ground")).alias("score"))

@@ -68,3 +68,41 @@ def test_no_target_and_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long")
     assert lm_score.scores(docs, lm_score.fit(docs, none), none).count() == 3
     assert lm_score.scores(docs.limit(0), lm_score.fit(docs.limit(0), none), none).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [1 << 19, 700])
+def test_every_word_and_pair_has_counts_of_its_own(spark, monkeypatch, chunk):
+    """By n-grams of strings, over more pairs than fixed tables could tell apart."""
+    monkeypatch.setattr(lm_score, "CHUNK_WORDS", chunk)
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.3)) % 60_000}" for _ in range(300))) for i in range(400)]
+    members = set(range(0, 400, 5))
+    grams = lambda text: [*((w,) for w in text.split()), *zip([None, *text.split()], text.split())]
+    models = []
+    for chosen in (members, range(400)):
+        counts = {}
+        for i, text in rows:
+            for g in grams(text) if i in chosen else ():
+                counts[g] = counts.get(g, 0) + 1
+        models.append((counts, sum(v for g, v in counts.items() if len(g) == 1), chosen))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    target = spark.createDataFrame([(m,) for m in members], "doc_id long")
+    again = docs.select("doc_id", "text")  # scored by models of another frame
+    for scored in (docs, again):
+        got = {r.doc_id: r for r in lm_score.scores(scored, lm_score.fit(docs, target), target).collect()}
+        assert len(got) == len(rows)
+        for i, text in rows[::7]:
+            want = []
+            for counts, total, chosen in models:
+                own = {}
+                for g in grams(text) if i in chosen else ():
+                    own[g] = own.get(g, 0) + 1
+                left = lambda g, counts=counts, own=own: counts.get(g, 0) - own.get(g, 0)
+                words = total - (300 if i in chosen else 0)
+                loss = 0.0
+                for a, b in zip([None, *text.split()], text.split()):
+                    context = words if a is None else left((a,))
+                    single = (left((b,)) + lm_score.BETA) / (words + lm_score.BETA * lm_score.CLASSES)
+                    loss -= math.log((min(left((a, b)), context) + lm_score.ALPHA * single) / (context + lm_score.ALPHA))
+                want.append(loss / 300)
+            assert got[i].target_loss == pytest.approx(want[0], abs=1e-9) and got[i].background_loss == pytest.approx(want[1], abs=1e-9)
