@@ -25,7 +25,8 @@ _STOPS[[ord(c) for c in ".!?;"]] = True
 
 
 def pieces(raw: np.ndarray, words: kernel.Words, base: int) -> np.ndarray:
-    """For each word whether a piece ends with it.  ``base`` is where the words' bytes begin."""
+    """For each word whether a piece ends with it, whatever other rows hold.  ``base`` is where the
+    words' bytes begin."""
     n = len(words.hash)
     if not n:
         return np.zeros(0, bool)
@@ -35,12 +36,16 @@ def pieces(raw: np.ndarray, words: kernel.Words, base: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         pair = words.hash.copy()
         pair[:-1] = kernel.windows(words.hash, 2) if n > 1 else pair[:-1]
+    final = words.at[1:][words.at[1:] > words.at[:-1]] - 1
+    pair[final] = words.hash[final]  # no word follows in the row
+    row = np.repeat(np.arange(len(words.at) - 1), np.diff(words.at))
     least = np.ones(n, bool)
     for d in range(1, RADIUS + 1):
-        least[d:] &= pair[d:] <= pair[:-d]  # ties cut, so that a word or words said again and again are cut alike
-        least[:-d] &= pair[:-d] <= pair[d:]
+        other = row[d:] != row[:-d]
+        least[d:] &= (pair[d:] <= pair[:-d]) | other  # ties cut, so that a word or words said again and again are cut alike
+        least[:-d] &= (pair[:-d] <= pair[d:]) | other
     ends |= least
-    ends[words.at[1:][words.at[1:] > words.at[:-1]] - 1] = True
+    ends[final] = True
     return ends
 
 
@@ -86,7 +91,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if len(row):
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.int64())], ["id", "first", "n", "h"])
 
-    found = docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(run, f"id {kind}, first int, n int, h bigint")
+    found = keep(docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(run, f"id {kind}, first int, n int, h bigint"), "runs")
     heads = found.groupBy("h").agg(F.min(F.struct("id", "first")).alias("head"), F.count("*").alias("m")).where("m > 1")
     heads = keep(heads.select("h", F.col("head.id").alias("first_id"), F.col("head.first").alias("first_at")), "repeated-runs")
     later = found.join(heads, "h").where("id <> first_id or first <> first_at").select("id", "first", "n", "first_id")

@@ -1,8 +1,9 @@
 import random
 
+import pyarrow as pa
 import pytest
 
-from tessera.llm import substring_dedup
+from tessera.llm import kernel, substring_dedup
 
 
 def corpus(seed=1):
@@ -71,3 +72,25 @@ def test_a_word_said_again_and_again(spark):
     docs, _, _ = corpus(4)
     rows = [(100, docs[1][1] + " " + "and " * 70), (101, docs[2][1] + " " + "and " * 64 + docs[3][1]), (102, docs[5][1] + " " + "buy it now " * 30), (103, "buy it now " * 25 + docs[6][1])]
     assert {(r.doc_id, r.first_id) for r in found(spark, rows) if r.doc_id != r.first_id} == {(101, 100), (103, 102)}
+
+
+def test_neighbours_and_layout_do_not_matter(spark):
+    docs, _, _ = corpus(5)
+    texts = [t for _, t in docs]
+
+    def cut(rows):
+        raw, at, _ = kernel.string_buffers(pa.array(rows))
+        words = kernel.Words(raw, at, kernel.space_words())
+        ends = substring_dedup.pieces(raw, words, 0)
+        return [ends[a:b].tolist() for a, b in zip(words.at[:-1], words.at[1:])]
+
+    alone = [cut([t])[0] for t in texts]
+    assert cut(texts) == alone and cut(texts[::-1]) == alone[::-1]
+
+    def results(rows, parts):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        spans = substring_dedup.repeated_spans(df)
+        return sorted(map(tuple, spans.collect())), sorted(map(tuple, substring_dedup.without_repeats(df, spans).collect()))
+
+    first = results(docs, 1)
+    assert first[0] and results(docs[::-1], 1) == first and results(random.Random(1).sample(docs, len(docs)), 7) == first
