@@ -1,7 +1,8 @@
 """Secret scans: candidates by form, and a random forest that drops the false ones.
 
-Candidates are long runs of token characters that hold digits, and shorter ones that
-are assigned to a name.  The forest sees a candidate's length, transitions between
+Candidates are runs of token characters of any length: long ones that hold digits, shorter
+ones with a digit that are assigned to a name, and, with or without digits, those that
+begin as an issuer's keys do or follow a word that names secrets.  The forest sees a candidate's length, transitions between
 characters, how much of it words cover, signs of a path, and the words around it; it
 learns from labelled findings, by default from made-up ones (labelled_findings).
 """
@@ -27,11 +28,15 @@ HARMLESS_WORDS = "commit sha sha1 sha256 md5 checksum hash uuid guid id revision
 DICTIONARY = "the and for with from that this user name data file page index image test example sample value type list item order product config model view main base default service client server request response error result number string array object table column query report license version release update delete create search filter value total count start end first last new old public static final class method return import export document text content body header footer title link style script color width height background section article category archive download upload account profile setting message comment photo video audio".split()
 #: How some issuers begin their keys.
 ISSUED = re.compile(r"^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|sk-|AIza|eyJ|npm_|pypi-|SG\.)")
+_ISSUED = re.compile(ISSUED.pattern[1:].encode())
 #: Bytes of text before and after a candidate that are looked at.
 AROUND = 48
-LONG, SHORT, MOST = 16, 8, 512
+LONG, SHORT = 16, 8
+#: Of a longer value, features but for its length are those of so many first characters.
+LOOKED_AT = 4096
 
 _WORD = re.compile(r"[A-Za-z_][A-Za-z_0-9]*")
+_NAMED = re.compile(rb"(?i)(?:%s)[a-z_0-9]*[\s\"'=:]+$" % "|".join(SECRET_WORDS).encode())
 
 
 def _token_bytes() -> np.ndarray:
@@ -67,6 +72,7 @@ def _flow(value: str) -> float:
 
 def features(value: str, before: str, after: str) -> list[float]:
     """A candidate's features, of its characters and of what stands around it."""
+    length, value = len(value), value[:LOOKED_AT]
     n = len(value)
     kinds = [_kind(c) for c in value]
     turns = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(n - 1, 1)
@@ -76,7 +82,7 @@ def features(value: str, before: str, after: str) -> list[float]:
     tail = before.rstrip(" \t\"'")
     hexish = all(c in string.hexdigits for c in value)
     return [
-        n, turns, entropy, entropy / max(math.log2(n), 1), len(set(value)) / n,
+        length, turns, entropy, entropy / max(math.log2(n), 1), len(set(value)) / n,
         kinds.count(2) / n, kinds.count(1) / n, kinds.count(0) / n, kinds.count(3) / n,
         _covered(value), _flow(value), float(hexish), float(value.isdigit()), float(n in (32, 40, 64)),
         float(value.count("/") > 0), float(value.count(".")), float(value.count("-")), float(bool(re.search(r"(://|www\.|/)\S*$", before))), float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", value))),
@@ -91,21 +97,24 @@ def candidates(data: bytes):
     words = kernel.Words(buf, np.array([0, len(buf)]), _TOKEN)
     digits = np.append(0, np.cumsum(_DIGIT[buf]))
     held, size = digits[words.end] - digits[words.start], words.end - words.start
-    for i in np.flatnonzero((size >= SHORT) & (size <= MOST) & (held > 0)).tolist():
+    for i in np.flatnonzero(size >= SHORT).tolist():
         s, e = int(words.start[i]), int(words.end[i])
         while e > s and data[e - 1 : e] in (b".", b"/"):
             e -= 1
         long = e - s >= LONG and held[i] >= 2
-        if long or (e - s >= SHORT and re.search(rb"[=:]\s*[\"']?$", data[max(0, s - 4) : s])):
+        if long or e - s >= SHORT and (_ISSUED.match(data, s) or _NAMED.search(data[max(0, s - AROUND) : s]) or held[i] and re.search(rb"[=:]\s*[\"']?$", data[max(0, s - 4) : s])):
             yield s, e
 
 
 def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[str, str, str, int]]:
     """Made-up findings (value, before, after, is_secret): keys as issuers make them in the places
-    where they leak, and what looks like them: digests, ids, numbers, paths, placeholders."""
+    where they leak, and what looks like them: digests, ids, numbers, paths, placeholders, embedded
+    data, and words that follow a word that names secrets."""
     rng = random.Random(seed)
     chars = lambda pool, k: "".join(rng.choice(pool) for _ in range(k))
     hexa, alnum = string.digits + "abcdef", string.ascii_letters + string.digits
+    base64 = alnum + "+/"
+    syllables = lambda k: "".join(rng.choice("bcdfghjklmnprstvw") + rng.choice("aeiou") + rng.choice(["", "", "n", "r", "s", "t"]) for _ in range(k))
     words = lambda k, sep: sep.join(rng.choice(DICTIONARY) for _ in range(k))
     prose = lambda: " ".join(chars(string.ascii_lowercase, rng.randint(2, 9)) for _ in range(rng.randint(0, 4))) + " "
     out = []
@@ -114,18 +123,21 @@ def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[str, str, str,
         if rng.random() < 0.5:
             name = rng.choice(SECRET_WORDS)
             name = rng.choice([name, name.upper(), f"my_{name}", f"{rng.choice(DICTIONARY)}_{name}"])
-            value = rng.choice([lambda: chars(hexa, rng.choice([32, 40, 40, 64])), lambda: chars(hexa.upper(), 40), lambda: chars(alnum, rng.randint(16, 48)), lambda: "AKIA" + chars(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + chars(alnum, 36), lambda: chars(alnum + "+/", 40), lambda: "sk_live_" + chars(alnum, 24)])()
-            before = prose() + rng.choice([f"{name} = ", f"{name}=", f"{name}: ", f"{name} "]) + quote
+            value = rng.choice([lambda: chars(hexa, rng.choice([32, 40, 40, 64])), lambda: chars(hexa.upper(), 40), lambda: chars(alnum, rng.randint(16, 48)), lambda: "AKIA" + chars(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + chars(alnum, 36), lambda: chars(alnum + "+/", 40), lambda: "sk_live_" + chars(alnum, 24), lambda: "eyJ" + ".".join(chars(alnum + "-_", k) for k in (rng.randint(17, 60), rng.randint(40, 1100), rng.choice([43, 86, 342]))), lambda: chars(base64, rng.randint(100, 1600)), lambda: chars(string.ascii_letters, rng.randint(12, 24))])()
+            bare = ISSUED.match(value) and rng.random() < 0.6  # an issuer's key needs no name
+            before = prose() + (rng.choice(["", "see ", f"{rng.choice(DICTIONARY)} ", f"{rng.choice(DICTIONARY)}: "]) if bare else rng.choice([f"{name} = ", f"{name}=", f"{name}: ", f"{name} "])) + quote
             out.append((value, before[-AROUND:], quote + rng.choice([" ", "\n", ""]), 1))
         else:
             harmless = rng.choice(HARMLESS_WORDS)
-            kind = rng.randrange(9)
+            kind = rng.randrange(13)
             value = [
                 lambda: chars(hexa, rng.choice([32, 40, 64])), lambda: "-".join(chars(hexa, k) for k in (8, 4, 4, 4, 12)), lambda: chars(string.digits, rng.randint(12, 24)), lambda: "/".join([words(1, ""), words(1, ""), words(2, "_") + chars(string.digits, 3) + ".html"]),
                 lambda: words(3, "_") + chars(string.digits, 2), lambda: rng.choice(["xxxxxxxx", "your_api_key_", "example_token_", "changeme"]) + chars("0123", rng.randint(4, 12)), lambda: words(2, "-") + "-" + chars(string.digits, 8), lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)) + "." + chars(string.digits, 3), lambda: chars(string.digits, 4) * 4,
+                lambda: chars(base64, rng.randint(100, 1600)), lambda: "/".join(words(rng.randint(1, 3), rng.choice("-_")) for _ in range(rng.randint(4, 60))) + "/" + chars(string.digits, 4), lambda: syllables(rng.randint(4, 6)), lambda: rng.choice([words(2, rng.choice(["", "-", "_", "."])), words(2, "/"), words(3, "_")]),
             ][kind]()
-            name = rng.choice(SECRET_WORDS) if kind == 5 else harmless
-            before = prose() if kind in (2, 3, 7, 8) and rng.random() < 0.7 else prose() + rng.choice([f"{name} ", f"{name}: ", f"{name}=", f"{name} = "]) + quote
+            name = rng.choice(SECRET_WORDS) if kind in (5, 11, 12) else harmless
+            harmless_data = rng.choice(["data:image/png;base64,", "data:font/woff2;base64,", "src ", "content: "])
+            before = prose() + harmless_data if kind == 9 else prose() if kind in (2, 3, 7, 8, 10) and rng.random() < 0.7 else prose() + rng.choice([f"{name} ", f"{name}: ", f"{name}=", f"{name} = "]) + quote
             out.append((value, before[-AROUND:], quote + rng.choice([" ", "\n", ""]), 0))
     return out
 

@@ -1,4 +1,6 @@
 import hashlib
+import random
+import string
 
 import numpy as np
 
@@ -31,3 +33,34 @@ def test_places_digests_and_verdicts(spark):
     assert rows[0][1][one.start : one.start + one.length] == key and one.digest == hashlib.sha256(key.encode()).hexdigest()
     assert len(by[7]) == 2 and by[7][0].start != by[7][1].start
     assert secrets.scan(df.limit(0), MODEL).count() == 0
+
+
+def test_no_secret_is_lost_before_it_is_judged(spark):
+    rng = random.Random(8)
+    made = lambda pool, k: "".join(rng.choice(pool) for _ in range(k))
+    letters, alnum = string.ascii_letters, string.ascii_letters + string.digits
+    cases = {
+        "jwt": lambda: ("see ", "eyJ" + ".".join(made(alnum + "-_", k) for k in (40, rng.randint(500, 1000), 43))),
+        "base64": lambda: ("private_key = ", made(alnum + "+/", 1600)),
+        "aws": lambda: ("key ", "AKIA" + made(string.ascii_uppercase, 16)),
+        "stripe": lambda: ("found ", "sk_live_" + made(letters, 24)),
+        "token": lambda: ("my_token ", made(letters, 16)),
+        "password": lambda: ("password: ", made(letters, 14)),
+    }
+    rows = [(f"{kind} {i}", *make()) for kind, make in cases.items() for i in range(50)]
+    rows += [(f"made {i}", b, v) for i, (v, b, _, y) in enumerate(secrets.labelled_findings(600, seed=91)) if y]
+    df = spark.createDataFrame([(i, b + v + " and more") for i, b, v in rows], "doc_id string, text string")
+    got = {(r.doc_id, r.start): r.is_secret for r in secrets.scan(df, MODEL).collect()}
+    assert all((i, len(b)) in got for i, b, _ in rows)
+    for kind in [*cases, "made"]:
+        told = [got[i, len(b)] for i, b, _ in rows if i.startswith(kind + " ")]
+        assert np.mean(told) > 0.9, kind
+
+
+def test_words_after_a_secret_word_and_data_are_harmless(spark):
+    rng = random.Random(9)
+    data = "".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(900))
+    texts = ["the secret government of private information", "access password: documentation", f"url(data:image/png;base64,{data})"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = secrets.scan(df, MODEL).collect()
+    assert {r.doc_id for r in got} == {0, 1, 2} and not any(r.is_secret for r in got)
