@@ -51,7 +51,7 @@ def op7_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return substring_dedup.deduplicated(table(spark, sf_dir, "documents"))
 
 
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,3 +149,14 @@ def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", t
 
     docs_columns = docs.columns
     return met.mapInArrow(run, docs.schema)
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, spans, n_chars, text_sha256) for each row: the stretches that went, in order, and the size and
+    digest of the text without them.  A null text stays null; rows without an id stay as they are."""
+    spans = keep(repeated_spans(docs, id_col, text_col), "spans")
+    left = without_repeats(docs.select(id_col, text_col), spans, id_col, text_col)
+    told = left.select(F.col(id_col), F.length(text_col).cast("long").alias("n_chars"), F.sha2(text_col, 256).alias("text_sha256"))
+    each = spans.groupBy(F.col(id_col).alias("__id")).agg(F.sort_array(F.collect_list(F.struct("first_piece", "n_pieces", "first_id"))).alias("__spans"))
+    none = F.array().cast(each.schema["__spans"].dataType)
+    return told.join(each, told[id_col] == each["__id"], "left").select(told[id_col], F.coalesce("__spans", none).alias("spans"), "n_chars", "text_sha256")

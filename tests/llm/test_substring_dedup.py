@@ -1,9 +1,10 @@
+import hashlib
 import random
 
 import pyarrow as pa
 import pytest
 
-from tessera.llm import kernel, substring_dedup
+from tessera.llm import kernel, queries, substring_dedup
 
 
 def corpus(seed=1):
@@ -94,3 +95,17 @@ def test_neighbours_and_layout_do_not_matter(spark):
 
     first = results(docs, 1)
     assert first[0] and results(docs[::-1], 1) == first and results(random.Random(1).sample(docs, len(docs)), 7) == first
+
+
+def test_the_query_cuts_the_texts_of_all_documents(spark, tmp_path):
+    docs, _, holders = corpus(6)
+    df = spark.createDataFrame([*docs, (500, None), (None, docs[0][1])], "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op8_substring_dedup(spark, str(tmp_path)).collect()}
+    spans = substring_dedup.repeated_spans(df)
+    left = {r.doc_id: r.text for r in substring_dedup.without_repeats(df, spans).collect()}
+    assert set(got) == {*dict(docs), 500, None} and {i for i, r in got.items() if r.spans} == {i for ids in holders.values() for i in ids[1:]}
+    for i, text in left.items():
+        assert got[i].n_chars == (None if text is None else len(text))
+        assert got[i].text_sha256 == (None if text is None else hashlib.sha256(text.encode()).hexdigest())
+    assert sorted((i, *s) for i, r in got.items() for s in r.spans) == sorted(map(tuple, spans.collect()))
