@@ -103,7 +103,7 @@ class Block:
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, width: int):
     """The benchmark in blocks of about BLOCK_BYTES, one on the driver at a time."""
-    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null")
+    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // BLOCK_BYTES))
     for i in range(n):
@@ -167,7 +167,7 @@ def _judge(words: kernel.Words, blocks) -> tuple[np.ndarray, np.ndarray, list[li
         for r, w in np.unique(np.stack([row, window], 1), axis=0).tolist():
             found[r].update(block.items[block.owner[block.first[w] : block.first[w + 1]]].tolist())
     inside = np.append(0, np.cumsum(np.cumsum(edge)[:-1] > 0))
-    return np.diff(words.at), inside[words.at[1:]] - inside[words.at[:-1]], [sorted(x) for x in found]
+    return np.diff(words.at), inside[words.at[1:]] - inside[words.at[:-1]], [sorted(x - {None}) for x in found]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, one_in: int = 20) -> DataFrame:
@@ -176,8 +176,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_c
     Words are those of kernel.alnum_words() with A-Z lower-cased.  A word inside an
     occurrence of a window of an item is hit; a document is contaminated if it has
     hits and at least one word in ``one_in`` is hit.  A null or wordless text has no
-    words and no hits; null or wordless items have no windows; repeated rows are
-    judged each for itself.  Columns of ``docs`` that are named like a result give way."""
+    words and no hits; items with a null or wordless text have no windows; the hits
+    of an item without an id count, but n_items and items leave it out; repeated rows
+    are judged each for itself.  Columns of ``docs`` that are named like a result give way."""
     blocks = _searched(docs, benchmark, item_col, item_text, text_col, width)
     keep = [c for c in keep if c not in ("n_words", "n_hit", "n_items", "items", "contaminated")]
 

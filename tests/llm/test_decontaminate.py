@@ -77,3 +77,14 @@ def test_longest_matches_and_their_places(spark):
     found = {(r.doc_id, r.item_id, r.doc_word, r.item_word, r.n_words) for r in got}
     assert (1, "1", 0, 0, 14) in found and (8, "1", 27000, 2, 16) in found and (2, "2", 60, 0, 3) in found and (2, "10", 60, 0, 3) in found
     assert (1, "6", 0, 0, 13) not in found and (1, "6", 1, 0, 13) in found
+
+
+@pytest.mark.parametrize("block", [1 << 22, 40])
+def test_items_without_an_id_are_searched(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    items = [*ITEMS, (None, "seven words that no other item has")]
+    docs = [*DOCS, (9, "seven words that no other item has"), (10, "x seven words that no other item has one two three")]
+    got = {r[0]: r for r in report(spark, docs, items)}
+    assert got[9] == (9, 7, 7, [], True) and got[10] == (10, 11, 10, ["10", "2"], True)
+    left = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert not {9, 10} & {r.doc_id for r in left.collect()}
