@@ -3,7 +3,7 @@
 A paragraph is a line that is not empty.  Its vector has two parts: EXACT lanes of 64 bits
 from a cryptographic hash of the line, and LIKE lanes that sum +1 or -1 for every
 three-word run inside the line.  A document's fingerprint is the sum of its
-paragraphs' vectors, modulo 2**64 and 2**16.  So the order of paragraphs does not
+paragraphs' vectors, modulo 2**64 and 2**32.  So the order of paragraphs does not
 matter, inserting or deleting a paragraph adds or subtracts its vector, and the
 squared length of the difference of two fingerprints estimates how many runs the
 documents do not share.
@@ -66,7 +66,7 @@ def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(EXACT lanes, LIKE lanes) of each text; a null text is an empty one."""
     raw, at, _ = kernel.string_buffers(texts)
     n = len(texts)
-    exact, like = np.zeros((n, EXACT), np.uint64), np.zeros((n, LIKE), np.uint16)
+    exact, like = np.zeros((n, EXACT), np.uint64), np.zeros((n, LIKE), np.uint32)
     for a, b in kernel.slices(at):
         words = kernel.Words(raw, at[a : b + 1], kernel.space_words())
         data = raw[at[a] : at[b]]
@@ -75,7 +75,7 @@ def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         h, where = _runs(words, np.searchsorted(newline, words.start) + row)
         cuts = np.searchsorted(where, words.at)
         for r in range(b - a):
-            like[a + r] = _lanes(h[cuts[r] : cuts[r + 1]]).astype(np.uint16)
+            like[a + r] = _lanes(h[cuts[r] : cuts[r + 1]]).astype(np.uint32)
             lines = [x for x in raw[at[a + r] : at[a + r + 1]].tobytes().split(b"\n") if x]
             if lines:
                 digests = b"".join(hashlib.blake2b(x, digest_size=8 * EXACT).digest() for x in lines)
@@ -84,7 +84,11 @@ def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bytes(exact: np.ndarray, like: np.ndarray) -> list[bytes]:
-    return [e.astype("<u8").tobytes() + v.astype("<u2").tobytes() for e, v in zip(exact, like, strict=True)]
+    """LIKE lanes with the sign as lowest bit, their low halves and then their high ones, which are
+    mostly zero and compress well."""
+    like = like << np.uint32(1) ^ np.where(like >> np.uint32(31), np.uint32(0xFFFFFFFF), np.uint32(0))
+    low, high = (like & np.uint32(0xFFFF)).astype("<u2"), (like >> np.uint32(16)).astype("<u2")
+    return [e.astype("<u8").tobytes() + a.tobytes() + b.tobytes() for e, a, b in zip(exact, low, high, strict=True)]
 
 
 def encode(exact: np.ndarray, like: np.ndarray) -> list[str]:
@@ -94,7 +98,9 @@ def encode(exact: np.ndarray, like: np.ndarray) -> list[str]:
 
 def decode(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     data = base64.b64decode(fingerprint)
-    return np.frombuffer(data, "<u8", EXACT), np.frombuffer(data, "<u2", LIKE, 8 * EXACT)
+    low, high = np.frombuffer(data, "<u2", 2 * LIKE, 8 * EXACT).reshape(2, LIKE).astype(np.uint32)
+    like = low | high << np.uint32(16)
+    return np.frombuffer(data, "<u8", EXACT), like >> np.uint32(1) ^ np.where(like & np.uint32(1), np.uint32(0xFFFFFFFF), np.uint32(0))
 
 
 def fingerprint(text: str | None) -> str:
@@ -106,13 +112,13 @@ def insert(into: str, paragraphs: str, times: int = 1) -> str:
     times; a negative number takes them out."""
     (e, v), (x, y) = decode(into), decode(paragraphs)
     with np.errstate(over="ignore"):
-        return encode((e + x * np.uint64(times % (1 << 64)))[None], (v + y * np.uint16(times % (1 << 16)))[None])[0]
+        return encode((e + x * np.uint64(times % (1 << 64)))[None], (v + y * np.uint32(times % (1 << 32)))[None])[0]
 
 
 def likeness(exact_a, like_a, exact_b, like_b) -> np.ndarray:
     """Estimated share of three-word runs that two documents have in common, 0 to 1, by rows;
-    1 if their fingerprints are equal."""
-    square = lambda v: (v.astype(np.int16).astype(float) ** 2).sum(1)
+    1 if their fingerprints are equal.  Right up to 2**31 - 1 runs, and as many apart."""
+    square = lambda v: (v.astype(np.int32).astype(float) ** 2).sum(1)
     with np.errstate(over="ignore"):
         apart, whole = square(like_a - like_b), square(like_a) + square(like_b)
     share = np.clip(1 - apart / np.maximum(whole, 1), 0, 1)

@@ -62,3 +62,13 @@ def test_one_row_repeated_rows_and_none(spark):
     assert report(make([(4, "abcd")])) == brute([(4, "abcd")])
     assert report(make([(4, "abcd")] * 3)) == brute([(4, "abcd")] * 3)
     assert report(make([])) == []
+
+
+@pytest.mark.parametrize("runs", [33_000, 65_536])
+def test_one_run_repeated_many_times(runs):
+    long, longer, other = "a " * (runs + 2), "a " * (runs + 1002), "b " * (runs + 2)
+    exact, like = fp.vectors(pa.array([long, longer, other]))
+    near = lambda i, j: fp.likeness(exact[i : i + 1], like[i : i + 1], exact[j : j + 1], like[j : j + 1])[0]
+    assert (abs(like[0].astype("int32")) == runs).all()
+    assert near(0, 1) > 0.99 and near(0, 2) < 0.3
+    assert all((a == b).all() for a, b in zip(fp.decode(fp.encode(exact, like)[1]), (exact[1], like[1])))
