@@ -9,6 +9,7 @@ segments, at which positions are reset, and where each segment comes from.
 
 import base64
 import functools
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,12 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 #: Tokens in a row, and of a shard, but for a single longer document.
 LENGTH = 2048
 SHARD_TOKENS = 1 << 20
-#: Characters that are tokenised at a time; longer texts are cut before a space.
+#: Characters that are tokenised at a time, but for longer stretches without a space.
 PART_CHARS = 100_000
+#: White space of the pattern's language, and runs of it that its engine may fail on.
+RUN_CHARS = 50_000
+_CUT = re.compile(r"(?<=\S) ")
+_LONG_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % RUN_CHARS)
 
 
 class Capacities:
@@ -90,21 +95,34 @@ def _encoding(data: bytes, pattern: str):
 
 
 def _parts(text: str):
+    """Parts whose ids are those of the text: each ends before a space that follows a character which
+    is no white space, where the pattern splits whatever stands around."""
     at = 0
     while at < len(text):
-        end = at + PART_CHARS
-        if end < len(text):
-            end = max(text.rfind(" ", at + 1, end), text.rfind("\n", at + 1, end))
-            end = at + PART_CHARS if end < 0 else end
+        cut = _CUT.search(text, at + PART_CHARS)
+        end = cut.start() if cut else len(text)
         yield text[at:end]
         at = end
 
 
-def encode(text: str, encoding) -> list[int]:
-    """Ids whose decoding is the text."""
-    if len(text) <= PART_CHARS:
+def _run_ids(part: str, encoding, whole) -> list[int]:
+    """As encoding.encode_ordinary(part), whose regular expression fails on very long runs of white
+    space.  PATTERN makes such a run one piece, but for the character before what follows it."""
+    ids, at = [], 0
+    for run in _LONG_RUN.finditer(part):
+        stop = run.end() - (run.end() < len(part))
+        ids += encoding.encode_ordinary(part[at : run.start()]) + whole.encode_ordinary(part[run.start() : stop])
+        at = stop
+    return ids + encoding.encode_ordinary(part[at:])
+
+
+def encode(text: str, encoding, whole=None) -> list[int]:
+    """The ids of a text, those of a long one part by part.  ``whole`` takes any text as one piece; with
+    PATTERN it is needed for runs of white space of RUN_CHARS and more."""
+    one = (lambda part: _run_ids(part, encoding, whole)) if whole else encoding.encode_ordinary
+    if len(text) < min(PART_CHARS, RUN_CHARS):
         return encoding.encode_ordinary(text)
-    return [i for part in _parts(text) for i in encoding.encode_ordinary(part)]
+    return [i for part in _parts(text) for i in one(part)]
 
 
 def _rows(ids: list[np.ndarray], names: pa.Array, length: int, kind: str, shard: str) -> pa.RecordBatch:
@@ -144,9 +162,12 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     last), cu_seqlens (0 and each segment's end), position_resets (where positions start
     at 0 again), doc_ids and doc_starts (each segment's document and its first token there).
 
-    Ids are of 16 bits if the vocabulary allows, else of 32.  Every token of every text is in
-    just one segment.  Null and empty texts have none; a null id stays null; repeated
-    rows are packed each.  A shard is a run of rows of an input partition."""
+    Ids are of 16 bits if the vocabulary allows, else of 32, and those that the whole text has: a long
+    text is encoded in parts, cut only where the pattern splits.  Every token of every text is
+    in just one segment.  Null and empty texts have none and take no room; a null id stays
+    null; repeated rows are packed each; pieces of equal length keep the order of rows;
+    an empty table gives no rows; other columns, whatever their names, are not read.  A
+    shard is a run of rows of an input partition, so rows depend on the partitions."""
     attach(docs.sparkSession)
     with open(vocabulary, "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -155,12 +176,15 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
     def run(batches):
         encoding, part, shard = _encoding(sent.value, pattern), TaskContext.get().partitionId(), 0
+        whole = _encoding(sent.value, "(?s).+") if pattern == PATTERN else None
         ids, names, size = [], [], 0
         for batch in batches:
             texts = batch.column(1)
             for i in range(batch.num_rows):
                 text = texts[i].as_py()
-                ids.append(np.array(encode(text, encoding) if text else [], kind))
+                if not text:
+                    continue
+                ids.append(np.array(encode(text, encoding, whole), kind))
                 size += len(ids[-1])
                 names.append(batch.column(0).slice(i, 1))
                 if size >= SHARD_TOKENS:

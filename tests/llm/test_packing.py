@@ -60,5 +60,39 @@ def test_shards_and_stored_rows(spark, monkeypatch, tmp_path):
     assert {r.doc_id: r.text for r in packing.unpacked(again, length=128).collect()} == {r.doc_id: r.text for r in df.collect() if r.text}
 
 
+def plain_ids(text, pattern=packing.PATTERN):
+    """Ids by the published library alone, on the whole text."""
+    with open(packing.VOCABULARY, "rb") as f:
+        return packing._encoding(f.read(), pattern).encode_ordinary(text)
+
+
+def test_ids_are_those_of_the_whole_text(spark):
+    rng = random.Random(5)
+    texts = [
+        "international" * 20_000, "".join(rng.choice("中文字符测试") for _ in range(250_000)), "x1'll!é " * 40_000, "a" * 100_001 + " b", " ".join("w" * rng.randint(1, 9) for _ in range(90_000)), "'" * 300_000, "a1" * 200_000,
+        "word \n\n word's  \u3000x" * 20_000, "a" + " " * 60_000 + "b", "a" + "\n" * 70_000 + "b c", " " * 55_000, "x \t" * 90_000 + "y", "a" * 150_000 + "\n" + "b" * 150_000, "\x1c \x1d" * 80_000, "é" + "\x85" * 60_000 + " é",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {i: {} for i in range(len(texts))}
+    for r in packing.packed(df, length=512).collect():
+        ids = np.frombuffer(r.input_ids, "<u2")
+        for k, (d, start) in enumerate(zip(r.doc_ids, r.doc_starts)):
+            found[d][start] = ids[r.cu_seqlens[k] : r.cu_seqlens[k + 1]].tolist()
+    for i, text in enumerate(texts):
+        assert [x for start in sorted(found[i]) for x in found[i][start]] == plain_ids(text), i
+
+
+def test_white_space_that_the_plain_encoder_cannot_take(spark):
+    text = "a" + " " * 3_000_000 + "b" + "\n" * 2_000_000
+    back = packing.unpacked(packing.packed(spark.createDataFrame([(1, text)], "doc_id long, text string"))).collect()
+    assert back[0].text == text
+
+
+def test_rows_without_text_and_repeated_rows(spark):
+    df = spark.createDataFrame([(None, None, 1), (1, "", 2), (2, "one two", 3), (2, "one two", 3), (None, "three", 4)], "doc_id long, text string, row int").coalesce(1)
+    (row,) = packing.packed(df, length=16).collect()
+    assert sorted(row.doc_ids, key=str) == [2, 2, None] and row.n_tokens == 2 * len(plain_ids("one two")) + len(plain_ids("three"))
+
+
 def test_empty_table(spark):
     assert packing.packed(spark.createDataFrame([], "doc_id long, text string")).count() == 0
