@@ -121,15 +121,17 @@ def _hash_piece(buf, cuts, table, values, prefix):
 class Words:
     """Words of consecutive rows: ``hash``, ``start`` and ``end`` (bytes from the first row's
     begin), and ``at``, where ``at[i]:at[i + 1]`` are the words of row i.  ``head`` has
-    the hash of each word's first ``prefix`` bytes, if asked for."""
+    the hash of each word's first ``prefix`` bytes, if asked for.  ``cuts`` are more bytes,
+    ascending and from the first row's begin, at which words are cut."""
 
     __slots__ = ("at", "end", "hash", "head", "start")
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, table: np.ndarray, values: np.ndarray | None = None, prefix: int = 0):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, table: np.ndarray, values: np.ndarray | None = None, prefix: int = 0, cuts: np.ndarray | None = None):
         values = byte_values() if values is None else values
         lo, hi = int(offsets[0]), int(offsets[-1])
         buf = raw[lo:hi]
         edges = np.asarray(offsets, np.int64) - lo
+        bounds = edges if cuts is None else np.union1d(edges, cuts)
         parts = []
         with np.errstate(over="ignore"):
             if len(buf) <= 2 * SLICE_BYTES:
@@ -137,7 +139,7 @@ class Words:
             else:
                 pieces = _pieces(buf, table)
             for a, b in pieces:
-                inner = edges[(edges > a) & (edges < b)] - a
+                inner = bounds[np.searchsorted(bounds, a, "right") : np.searchsorted(bounds, b)] - a
                 s, e, h, head = _hash_piece(buf[a:b], inner, table, values, prefix)
                 parts.append((s + a, e + a, h, head))
         kinds = (np.int64, np.int64, np.uint64, np.uint64)

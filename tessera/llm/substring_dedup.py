@@ -1,42 +1,80 @@
 """Substring deduplication over sliding spans of sentences.
 
-Texts are cut to sentences, and sentences further at words whose hash is the least among
-its neighbours', so that a passage is cut alike wherever it stands.  Every run of
-consecutive pieces that reaches a number of words is hashed; runs are joined over all
-documents; and pieces covered by any run that is not the first of its kind go.
+Every run of several consecutive sentences is hashed, from each sentence on, and runs are
+joined over all documents; what any run covers that is not the first of its kind goes.
+
+Passages also repeat without their sentences' borders: cut in the middle, or without any
+stops.  So sentences are cut further, to pieces, at words whose hash is the least among
+its neighbours', alike wherever a passage stands, and runs of pieces are hashed as well.
+
+Only one row of each run and stretch of texts is sent to the join: in such a stretch, all
+but the first of equal runs are known to be later ones.  So a run that a third of all
+documents share is as many rows as there are stretches, not as there are documents.
 """
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..shipping import attach
 from . import kernel
 from .storage import keep
 
-#: Words that a run of pieces has at least, and pieces.
-MIN_WORDS, MIN_PIECES = 30, 3
+#: Sentences that a run of sentences has at least, and words.
+MIN_SENTENCES, SENTENCE_WORDS = 3, 24
+#: Pieces that a run of pieces has at least, and words.
+MIN_PIECES, MIN_WORDS = 3, 30
 #: Words on either side that a cut inside a sentence is compared with.
 RADIUS = 3
-
-_STOPS = np.zeros(256, bool)
-_STOPS[[ord(c) for c in ".!?;"]] = True
-
-
-def pieces(raw: np.ndarray, words: kernel.Words, base: int) -> np.ndarray:
-    """For each word whether a piece ends with it, whatever other rows hold.  ``base`` is where the
-    words' bytes begin."""
+#: Words of a stretch of texts whose equal runs are one row; it ends with the slice that reaches them.
+STRETCH_WORDS = 1 << 20
+
+_STOPS, _BREAKS, _CLOSERS = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_STOPS[list(b".!?")] = True
+_BREAKS[list(b".!?;")] = True
+_CLOSERS[list(b"\"')]}")] = True
+#: Characters of three bytes that end a sentence.
+WIDE_STOPS = "。！？．｡…।॥۔"
+
+
+def _wide_stop(raw: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether the character that ends with each byte of ``last`` is one of WIDE_STOPS."""
+    code = lambda i: raw[np.maximum(last - i, 0)].astype(np.int64)
+    three = code(2) << 16 | code(1) << 8 | code(0)
+    return np.isin(three, [int.from_bytes(c.encode()[-3:], "big") for c in WIDE_STOPS if len(c.encode()) == 3]) | np.isin(three & 0xFFFF, [int.from_bytes(c.encode(), "big") for c in WIDE_STOPS if len(c.encode()) == 2])
+
+
+def _words(raw: np.ndarray, at: np.ndarray) -> kernel.Words:
+    """Words ``[^\\x20\\x09-\\x0D]+``, but that each character from U+3000 to U+9FFF is one, and that a
+    wide stop ends one: their languages have no spaces."""
+    data = raw[at[0] : at[-1]]
+    lead = np.flatnonzero((data >= 0xE3) & (data <= 0xE9))
+    wide = np.flatnonzero(data == 0xEF)
+    wide = wide[wide + 2 < len(data)]
+    wide = wide[_wide_stop(data, wide + 2)]
+    cuts = np.unique(np.concatenate([lead, lead + 3, wide + 3])) if len(lead) or len(wide) else None
+    return kernel.Words(raw, at, kernel.space_words(), cuts=cuts)
+
+
+def borders(raw: np.ndarray, words: kernel.Words, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each word whether a sentence ends with it, and whether a piece does, whatever other rows
+    hold.  ``base`` is where the words' bytes begin."""
     n = len(words.hash)
     if not n:
-        return np.zeros(0, bool)
-    ends = _STOPS[raw[base + words.end - 1]]
+        return np.zeros(0, bool), np.zeros(0, bool)
+    last = base + words.end - 1
+    final = words.at[1:][words.at[1:] > words.at[:-1]] - 1
     newline = np.append(0, np.cumsum(raw[base : base + words.end[-1]] == 10))
-    ends[:-1] |= newline[words.start[1:]] > newline[words.end[:-1]]
+    before = np.where(words.end - words.start > 1, raw[np.maximum(last - 1, 0)], 0)
+    sentence = _STOPS[raw[last]] | _CLOSERS[raw[last]] & _STOPS[before] | _wide_stop(raw, last) & (words.end - words.start > 1)
+    sentence[:-1] |= newline[words.start[1:]] > newline[words.end[:-1]]
+    sentence[final] = True
     with np.errstate(over="ignore"):
         pair = words.hash.copy()
         pair[:-1] = kernel.windows(words.hash, 2) if n > 1 else pair[:-1]
-    final = words.at[1:][words.at[1:] > words.at[:-1]] - 1
     pair[final] = words.hash[final]  # no word follows in the row
     row = np.repeat(np.arange(len(words.at) - 1), np.diff(words.at))
     least = np.ones(n, bool)
@@ -44,119 +82,153 @@ def pieces(raw: np.ndarray, words: kernel.Words, base: int) -> np.ndarray:
         other = row[d:] != row[:-d]
         least[d:] &= (pair[d:] <= pair[:-d]) | other  # ties cut, so that a word or words said again and again are cut alike
         least[:-d] &= (pair[:-d] <= pair[d:]) | other
-    ends |= least
-    ends[final] = True
-    return ends
+    return sentence, sentence | _BREAKS[raw[last]] | least
 
 
-def runs(words: kernel.Words, ends: np.ndarray, min_words: int, min_pieces: int):
-    """(row, first piece of the row, pieces, hash): from each piece on the shortest run that has
-    enough words and pieces.  Also the pieces' (row, first word, last word + 1)."""
+def _spans(words: kernel.Words, ends: np.ndarray, min_words: int, min_parts: int):
+    """(row, first word, last word + 1) of the shortest run of parts, from each part on, that has
+    enough words and parts; ``ends`` says where parts end."""
     last = np.flatnonzero(ends) + 1
     first = np.append(0, last[:-1]) if len(last) else last
     row = np.searchsorted(words.at, first, "right") - 1 if len(first) else first
-    begin = np.searchsorted(row, np.arange(len(words.at) - 1))
     stop = np.searchsorted(row, np.arange(len(words.at) - 1), "right")
-    upto = np.maximum(np.searchsorted(last, first + min_words), np.arange(len(first)) + min_pieces - 1)
-    whole = upto < stop[row] if len(row) else np.zeros(0, bool)
-    i = np.flatnonzero(whole)
+    upto = np.maximum(np.searchsorted(last, first + min_words), np.arange(len(first)) + min_parts - 1)
+    i = np.flatnonzero(upto < stop[row]) if len(row) else first
+    return row[i], first[i], last[upto[i]]
+
+
+def runs(raw: np.ndarray, at: np.ndarray, sentence_words: int, min_words: int):
+    """(row, first word of the row, words, hash) of all runs of sentences and of pieces."""
+    words = _words(raw, at)
+    sentence, piece = borders(raw, words, int(at[0]))
+    row, first, last = (np.concatenate(x) for x in zip(_spans(words, sentence, sentence_words, MIN_SENTENCES), _spans(words, piece, min_words, MIN_PIECES), strict=True))
+    _, once = np.unique(first * (len(words.hash) + 1) + last, return_index=True)
+    row, first, last = row[once], first[once], last[once]
     with np.errstate(over="ignore"):
         up, down = kernel._powers(1 << max(18, len(words.hash).bit_length()))
         total = np.append(np.uint64(0), np.cumsum(words.hash * up[: len(words.hash)], dtype=np.uint64))
-        h = kernel.mix((total[last[upto[i]]] - total[first[i]]) * down[first[i]]) & np.uint64((1 << 63) - 1)
-    return (row[i], i - begin[row[i]], upto[i] - i + 1, h), (row, first, last, begin)
-
-
-def _sliced(batch, column):
-    raw, at, _ = kernel.string_buffers(batch.column(column))
-    for a, b in kernel.slices(at):
-        words = kernel.Words(raw, at[a : b + 1], kernel.space_words())
-        yield a, b, at[a : b + 1] - at[a], words, pieces(raw, words, int(at[a]))
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_pieces: int = MIN_PIECES) -> DataFrame:
-    """(id, first_piece, n_pieces, first_id): in each row the stretches of pieces that runs cover
-    which are not the first of their kind, and the smallest id whose run comes first.
-
-    The first of equal runs is that of the smallest id, then of the earliest piece.  Texts
-    shorter than a run, null and empty ones have none; rows without an id are left
-    alone; rows that repeat an id count as one document; an empty table gives none."""
+        h = kernel.mix((total[last] - total[first]) * down[first]) & np.uint64((1 << 63) - 1)
+    return row, first - words.at[row], last - first, h, len(words.hash)
+
+
+def _sorted_out(ids: pa.Array, row: np.ndarray, first: np.ndarray, n: np.ndarray, h: np.ndarray):
+    """(row, first word, words, hash) of a stretch's runs that must be joined: of equal ones that of the
+    smallest id and then of the earliest word.  The others are later ones anyhow; those of a
+    row that touch or overlap are one, with -1 for the hash."""
+    coded = ids.dictionary_encode()
+    rank = np.empty(len(coded.dictionary), np.int64)
+    rank[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(rank))
+    rank = rank[coded.indices.to_numpy()][row]
+    order = np.lexsort((first, rank, h))
+    row, first, n, h, rank = row[order], first[order], n[order], h[order], rank[order]
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(h) else order
+    late = (rank != rank[head]) | (first != first[head])  # rows that repeat an id have one place
+    at, width = row[late] * (1 << 40) + first[late], n[late]
+    order = np.argsort(at, kind="stable")
+    at, upto = at[order], np.maximum.accumulate((at + width)[order]) if late.any() else at
+    begin = np.ones(len(at), bool)
+    begin[1:] = at[1:] > upto[:-1]
+    begin = np.flatnonzero(begin)
+    end = upto[np.append(begin[1:], len(at))[: len(begin)] - 1]
+    return tuple(np.concatenate(x) for x in zip((row[new], first[new], n[new], h[new].astype(np.int64)), (at[begin] >> 40, at[begin] & ((1 << 40) - 1), end - at[begin], np.full(len(begin), -1)), strict=True))
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, sentence_words: int = SENTENCE_WORDS) -> DataFrame:
+    """(id, first_word, n_words): in each row the stretches of words that runs cover which are not the
+    first of their kind.
+
+    The first of equal runs is that of the smallest id, then of the earliest word.  Texts
+    shorter than a run, null and empty ones have none; rows without an id are left alone;
+    rows that repeat an id count as one document; an empty table gives none; other columns,
+    whatever their names, are not read.  No text's spans depend on how rows are dealt out."""
     attach(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
+    def told(held):
+        ids = pa.concat_arrays([x[0] for x in held])
+        base = np.cumsum([0, *(len(x[0]) for x in held)])
+        row, first, n, h = _sorted_out(ids, *(np.concatenate([x[i] + base[k] if i == 1 else x[i] for k, x in enumerate(held)]) for i in (1, 2, 3, 4)))
+        for a in range(0, len(h), 1 << 17):
+            part = slice(a, a + (1 << 17))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[part])), pa.array(first[part] << 32 | n[part]), pa.array(h[part])], ["id", "place", "h"])
+
     def run(batches):
+        held, size = [], 0
         for batch in batches:
-            for a, _, _, words, ends in _sliced(batch, 1):
-                (row, first, n, h), _ = runs(words, ends, min_words, min_pieces)
-                if len(row):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.int64())], ["id", "first", "n", "h"])
-
-    found = keep(docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(run, f"id {kind}, first int, n int, h bigint"), "runs")
-    heads = found.groupBy("h").agg(F.min(F.struct("id", "first")).alias("head"), F.count("*").alias("m")).where("m > 1")
-    heads = keep(heads.select("h", F.col("head.id").alias("first_id"), F.col("head.first").alias("first_at")), "repeated-runs")
-    later = found.join(heads, "h").where("id <> first_id or first <> first_at").select("id", "first", "n", "first_id")
+            raw, at, _ = kernel.string_buffers(batch.column(1))
+            for a, b in kernel.slices(at):
+                row, first, n, h, words = runs(raw, at[a : b + 1], sentence_words, min_words)
+                held.append((batch.column(0).slice(a, b - a), row, first, n, h))
+                size += words
+                if size >= STRETCH_WORDS:
+                    yield from told(held)
+                    held, size = [], 0
+        if held:
+            yield from told(held)
+
+    found = docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(run, f"id {kind}, place bigint, h bigint")
+    # What is known to be later needs no partner: a negative key of its own deals it out.
+    found = found.withColumn("h", F.when(F.col("h") < 0, -1 - F.abs(F.xxhash64("id", "place") % (1 << 62))).otherwise(F.col("h")))
+    first, n = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    same = Window.partitionBy("h").orderBy("id", "place")
+    found = found.withColumns({"__id": F.first("id").over(same), "__place": F.first("place").over(same)})
+    later = found.where(F.expr("h < 0 or id <> __id or shiftright(place, 32) <> shiftright(__place, 32)")).select("id", first.alias("first"), (first + n).alias("upto"))
 
     # Runs of a document that touch or overlap are one stretch.
-    per = later.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("first", "n", "first_id"))).alias("runs"))
+    order = Window.partitionBy("id").orderBy("first", "upto")
+    so_far = F.max("upto").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = later.withColumn("__new", F.when(so_far >= F.col("first"), 0).otherwise(1))
+    spans = fresh.withColumn("__at", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("id", "__at").agg(F.min("first").alias("first_word"), F.max("upto").alias("upto"))
+    return spans.select(F.col("id").alias(id_col), "first_word", (F.col("upto") - F.col("first_word")).alias("n_words"))
 
-    def merge(batches):
-        for batch in batches:
-            out = []
-            for id_, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                open_ = None
-                for s in spans:
-                    a, b = s["first"], s["first"] + s["n"]
-                    if open_ and a <= open_[1]:
-                        open_ = [open_[0], max(open_[1], b), min(open_[2], s["first_id"])]
-                    else:
-                        if open_:
-                            out.append((id_, *open_))
-                        open_ = [a, b, s["first_id"]]
-                out.append((id_, *open_))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], batch.column(0).type), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] - o[1] for o in out], pa.int32()), pa.array([o[3] for o in out], batch.column(0).type)], ["id", "first_piece", "n_pieces", "first_id"])
-
-    return per.mapInArrow(merge, f"id {kind}, first_piece int, n_pieces int, first_id {kind}").withColumnRenamed("id", id_col)
-
-
-def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the pieces of ``spans`` cut from their texts; rows keep all columns, and a
-    text of which nothing is left is empty."""
-    attach(docs.sparkSession)
-    cuts = spans.groupBy(F.col(id_col).alias("__id")).agg(F.collect_list(F.struct("first_piece", "n_pieces")).alias("__cuts"))
-    met = docs.join(cuts, docs[id_col] == cuts["__id"], "left").select(*docs.columns, "__cuts")
-    column = docs.columns.index(text_col)
+
+def _cut(rows: DataFrame, text_col: str, cuts: str) -> DataFrame:
+    """``rows`` with the stretches of words ``cuts`` cut from their texts."""
+    names, column, listed = rows.columns, rows.columns.index(text_col), rows.columns.index(cuts)
 
     def run(batches):
         for batch in batches:
-            texts, todo = batch.column(column).to_pylist(), batch.column(len(docs_columns)).to_pylist()
-            for a, b, edges, words, ends in _sliced(batch, column):
-                _, (_, first, last, begin) = runs(words, ends, 1, 1)
-                for r in range(b - a):
-                    if not todo[a + r]:
-                        continue
-                    data = np.frombuffer(texts[a + r].encode(), np.uint8)
-                    left = np.ones(len(data), bool)
-                    for cut in todo[a + r]:
-                        p = begin[r] + cut["first_piece"]
-                        q = p + cut["n_pieces"] - 1
-                        s = int(words.start[first[p]] - edges[r])
-                        e = int(words.start[last[q]] - edges[r]) if last[q] < words.at[r + 1] else len(data)
-                        left[s:e] = False
-                    texts[a + r] = data[left].tobytes().decode()
-            out = list(batch.columns[: len(docs_columns)])
+            raw, at, null = kernel.string_buffers(batch.column(column))
+            todo = batch.column(listed)
+            hit = np.flatnonzero((np.asarray(pc.fill_null(pc.list_value_length(todo), 0)) > 0) & ~null)
+            if not len(hit):
+                yield batch
+                continue
+            texts = batch.column(column).to_pylist()
+            for r in hit.tolist():
+                words, data = _words(raw, at[r : r + 2]), raw[at[r] : at[r + 1]]
+                left = np.ones(len(data), bool)
+                for cut in todo[r].as_py():
+                    upto = cut["first_word"] + cut["n_words"]
+                    left[words.start[cut["first_word"]] : words.start[upto] if upto < len(words.start) else len(data)] = False
+                texts[r] = data[left].tobytes().decode()
+            out = list(batch.columns)
             out[column] = pa.array(texts, pa.string()).cast(out[column].type)
-            yield pa.RecordBatch.from_arrays(out, docs_columns)
+            yield pa.RecordBatch.from_arrays(out, names)
+
+    return rows.mapInArrow(run, rows.schema)
 
-    docs_columns = docs.columns
-    return met.mapInArrow(run, docs.schema)
+
+def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", cuts: str | None = None) -> DataFrame:
+    """``docs`` with the words of ``spans`` cut from their texts; rows keep all columns, and a
+    text of which nothing is left is empty.  Null texts, and texts without spans, stay as they
+    are.  With ``cuts``, a column of this name has each row's spans, null without any."""
+    attach(docs.sparkSession)
+    names = docs.columns
+    fresh = lambda name: next(x for x in (name + "_" * i for i in range(len(names) + 1)) if x.lower() not in {c.lower() for c in names})
+    key, listed = fresh("__id"), cuts or fresh("__cuts")
+    each = spans.groupBy(F.col(id_col).alias(key)).agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias(listed))
+    met = docs.join(each, docs[id_col] == each[key], "left").select(*(docs[c] for c in names), listed)
+    left = _cut(met, text_col, listed)
+    return left if cuts else left.drop(listed)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans, n_chars, text_sha256) for each row: the stretches that went, in order, and the size and
     digest of the text without them.  A null text stays null; rows without an id stay as they are."""
     spans = keep(repeated_spans(docs, id_col, text_col), "spans")
-    left = without_repeats(docs.select(id_col, text_col), spans, id_col, text_col)
-    told = left.select(F.col(id_col), F.length(text_col).cast("long").alias("n_chars"), F.sha2(text_col, 256).alias("text_sha256"))
-    each = spans.groupBy(F.col(id_col).alias("__id")).agg(F.sort_array(F.collect_list(F.struct("first_piece", "n_pieces", "first_id"))).alias("__spans"))
-    none = F.array().cast(each.schema["__spans"].dataType)
-    return told.join(each, told[id_col] == each["__id"], "left").select(told[id_col], F.coalesce("__spans", none).alias("spans"), "n_chars", "text_sha256")
+    left = without_repeats(docs.select(id_col, text_col), spans, id_col, text_col, cuts="spans")
+    none = F.array().cast(left.schema["spans"].dataType)
+    return left.select(F.col(id_col), F.coalesce("spans", none).alias("spans"), F.length(text_col).cast("long").alias("n_chars"), F.sha2(text_col, 256).alias("text_sha256"))
