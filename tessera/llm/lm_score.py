@@ -1,9 +1,10 @@
 """Cross-entropy difference of two n-gram language models.
 
 A target model (labelled good documents) and a background model (all documents) are
-bigram models over one vocabulary: every word and every pair of words of the corpus, as
-64-bit hashes, has counts of its own.  The counts grow with the corpus and stay on the
-workers: texts are gathered to chunks, each chunk sends its distinct words and pairs with
+bigram models over one vocabulary, that of the corpus: every word and every pair of
+words, as 64-bit hashes, has counts of its own, and a text's first word is paired with
+its beginning.  So both are distributions over the vocabulary and the end of a text.
+The counts grow with the corpus and stay on the workers: texts are gathered to chunks, each chunk sends its distinct words and pairs with
 their counts to buckets by hash, a bucket sums them over all chunks and answers each chunk.
 A document's score is the mean over its words of the target's loss less the background's.
 """
@@ -21,11 +22,12 @@ from pyspark.sql import functions as F
 from ..shipping import attach
 from . import kernel
 
-#: Words that the smoothing of the word model reckons with.
-CLASSES = 1 << 16
+#: Least hashes of words that the size of the vocabulary is reckoned from: exact for fewer words, else
+#: with a standard error of one in their square root.
+LEAST_HASHES = 1 << 14
 #: So many target ids at most are broadcast.
 FEW_IDS = 1_000_000
-#: Weight of the word model in the pair model, and of each class in the word model.
+#: Weight of the word model in the pair model, and of each word of the vocabulary in the word model.
 ALPHA, BETA = 4.0, 0.5
 #: Words of a chunk; a chunk ends with the batch slice that reaches them.
 CHUNK_WORDS = 1 << 20
@@ -36,12 +38,15 @@ _FIRST, _MUL = np.uint64(0x5851F42D4C957F2D), np.uint64(0xD6E8FEB86659FD93)
 
 
 class Models(NamedTuple):
-    """What the models are counted from, and the words of (target, background) and bytes in all."""
+    """What the models are counted from; the words, and the texts with words, of (target, background);
+    the words of the vocabulary and the bytes of all texts."""
 
     docs: DataFrame
     marked: DataFrame
     columns: tuple[str, str]
     totals: tuple[int, int]
+    texts: tuple[int, int]
+    vocabulary: float
     size: int
 
 
@@ -63,31 +68,35 @@ def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col
     """The (target, background) models, each over all of its documents.  Their words are counted
     here; the counts of each word and pair are made where texts are scored, by the same shuffle.
 
-    Few target ids go to the texts; many meet them in a shuffle.  Null and empty texts add nothing."""
+    Few target ids go to the texts; many meet them in a shuffle.  Null and empty texts add nothing;
+    repeated rows count each; ids that no document has are no matter."""
     attach(docs.sparkSession)
     ids = target_ids.select(F.col(target_ids.columns[0]).alias("__id")).where("__id is not null").distinct().withColumn("__in", F.lit(True))
     ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(ids, "__id", "left").select("__id", "__text", F.coalesce("__in", F.lit(False)).alias("__in"))
+    sums, most = ["words_in", "words", "texts_in", "texts", "size"], LEAST_HASHES
 
     def run(batches):
-        target = ground = size = 0
-        table = kernel.alnum_words()
+        total, least = np.zeros(len(sums), np.int64), np.zeros(0, np.uint64)
         for batch in batches:
             raw, at, _ = kernel.string_buffers(batch.column(0))
             chosen = np.asarray(batch.column(1))
             for a, b in kernel.slices(at):
-                word = table[raw[at[a] : at[b]]]
-                first = word.copy()
-                first[1:] &= ~word[:-1]
-                cuts = at[a:b] - at[a]
-                cuts = cuts[cuts < len(word)]
-                first[cuts] = word[cuts]
-                n = np.diff(np.append(0, np.cumsum(first))[at[a : b + 1] - at[a]])
-                target, ground, size = target + int(n[chosen[a:b]].sum()), ground + int(n.sum()), size + len(word)
-        yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (target, ground, size)], ["target", "ground", "size"])
-
-    total = texts.select("__text", "__in").mapInArrow(run, "target bigint, ground bigint, size bigint").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("target", "ground", "size"))).first()
-    return Models(docs, texts, (id_col, text_col), (total[0], total[1]), total[2])
+                found = kernel.Words(raw, at[a : b + 1], kernel.alnum_words())
+                n, own = np.diff(found.at), chosen[a:b]
+                total += [n[own].sum(), n.sum(), (n[own] > 0).sum(), (n > 0).sum(), at[b] - at[a]]
+                new = found.hash[found.hash < least[-1]] if len(least) == most else found.hash
+                least = np.unique(np.concatenate([least, new]))[:most]
+        none = [pa.array(np.zeros(len(least), np.int64))] * len(sums)
+        yield pa.RecordBatch.from_arrays([pa.array((least >> np.uint64(1)).astype(np.int64)), *none], ["h", *sums])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), *(pa.array([v], pa.int64()) for v in total.tolist())], ["h", *sums])
+
+    counted = texts.select("__text", "__in").mapInArrow(run, "h bigint, " + ", ".join(f"{c} bigint" for c in sums))
+    rows = counted.groupBy("h").agg(*(F.sum(c).alias(c) for c in sums)).orderBy(F.col("h").asc_nulls_first()).limit(most + 1).collect()
+    least = [r["h"] for r in rows if r["h"] is not None]
+    vocabulary = float(len(least)) if len(least) < most else (most - 1) * 2.0**63 / least[-1]
+    t = rows[0] if rows and rows[0]["h"] is None else dict.fromkeys(sums, 0)
+    return Models(docs, texts, (id_col, text_col), (t["words_in"], t["words"]), (t["texts_in"], t["texts"]), vocabulary, t["size"])
 
 
 def _own(keys: np.ndarray, row: np.ndarray, size: int) -> np.ndarray:
@@ -97,10 +106,10 @@ def _own(keys: np.ndarray, row: np.ndarray, size: int) -> np.ndarray:
     return times[code]
 
 
-def _loss(word: np.ndarray, pair: np.ndarray, before: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """-log p of each word by counts of it, of its pair, of the word before and of all words."""
-    single = (word + BETA) / (words + BETA * CLASSES)
-    return -np.log((np.minimum(pair, before) + ALPHA * single) / (before + ALPHA))
+def _loss(word: np.ndarray, pair: np.ndarray, before: np.ndarray, words: np.ndarray, vocabulary: float) -> np.ndarray:
+    """-log p of each word by counts of it, of its pair, of what is before and of all words."""
+    single = (word + BETA) / (words + BETA * max(vocabulary, 1))
+    return -np.log((pair + ALPHA * single) / (before + ALPHA))
 
 
 def _pack(counts: np.ndarray) -> bytes:
@@ -158,8 +167,10 @@ def scores(docs: DataFrame, models: Models, target_ids: DataFrame, id_col: str =
     and their difference, lower for texts more like the target.
 
     A document is scored by models that leave its own counts out.  Words are those of
-    kernel.alnum_words(); without any, all is 0.  Repeated rows are scored each; an
-    empty table gives an empty result."""
+    kernel.alnum_words(); without any, all is 0: so it is for null and empty texts.  A text
+    may be of any length.  Repeated rows are scored each, by models that have the others;
+    rows without an id are scored by models that have no id to leave out; an empty table
+    gives an empty result; other columns, whatever their names, are not read."""
     attach(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     yes, no = F.lit(True), F.lit(False)
@@ -170,7 +181,7 @@ def scores(docs: DataFrame, models: Models, target_ids: DataFrame, id_col: str =
         rows = counted.union(docs.select(id_col, text_col, no, no, yes))
     bits = max(LEAST_BITS, (models.size // BUCKET_BYTES).bit_length())
     edges = np.array([i << (64 - bits) for i in range(1 << bits)], np.uint64)
-    totals, chunk_words = models.totals, CHUNK_WORDS
+    totals, starts, vocabulary, chunk_words = models.totals, models.texts, models.vocabulary, CHUNK_WORDS
 
     def send(batches):
         part = TaskContext.get().partitionId()
@@ -248,22 +259,22 @@ def scores(docs: DataFrame, models: Models, target_ids: DataFrame, id_col: str =
         own_word, own_pair = _own(codes, row, len(words)), _own(pair_codes, row, len(pairs))
 
         def before(v, start):
-            """Of the word before; a first word's context is all words."""
+            """Of the word before, or of the beginning of the text."""
             out = np.append(0, v[:-1])[: len(v)]
             out[first] = start
             return out
 
-        def mean(counts, all_words, less):
+        def mean(counts, all_words, all_texts, less):
             word, pair = counts[word_at], counts[pair_at]
-            context = before(word, all_words)
+            context = before(word, all_texts)
             every = np.full(len(row), all_words)
             if less:  # what the row itself adds
-                context = np.maximum(context - before(own_word, n[row][first]), 0)
+                context = np.maximum(context - before(own_word, 1), 0)
                 word, pair, every = np.maximum(word - own_word, 0), np.maximum(pair - own_pair, 0), np.maximum(every - n[row], 0)
-            return pa.array(np.bincount(row, _loss(word, pair, context, every), len(n)) / np.maximum(n, 1))
+            return pa.array(np.bincount(row, _loss(word, pair, context, every, vocabulary), len(n)) / np.maximum(n, 1))
 
         target, ground = (np.concatenate([np.zeros(0, np.int64), *(_unpack(d, k) for d, k in zip(told[name].to_pylist(), many, strict=True))]) for name in ("target", "ground"))
-        return pa.table([own["ids"].combine_chunks().flatten(), pa.array(n), mean(target, totals[0], True), mean(target, totals[0], False), mean(ground, totals[1], True)], names=["id", "n", "inside", "outside", "ground"])
+        return pa.table([own["ids"].combine_chunks().flatten(), pa.array(n), mean(target, totals[0], starts[0], True), mean(target, totals[0], starts[0], False), mean(ground, totals[1], starts[1], True)], names=["id", "n", "inside", "outside", "ground"])
 
     parts = f"bucket int, chunk bigint, keys binary, target binary, ground binary, codes binary, sizes binary, ids array<{kind}>"
     found = rows.mapInArrow(send, parts).groupBy("bucket").applyInArrow(answer, parts)

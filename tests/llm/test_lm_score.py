@@ -16,20 +16,21 @@ def ids_of(text):
 
 def brute(rows, members):
     """(id, words, target loss, background loss), each without the text's own counts."""
-    out = []
+    out, size = [], len({c for _, t in rows for c in ids_of(t)[0]})
     for k, (i, text) in enumerate(rows):
         losses = []
         for model in ("target", "ground"):
             words, pairs = {}, {}
+            texts = sum(bool(ids_of(t)[0]) for j, (d, t) in enumerate(rows) if j != k and (model == "ground" or d in members))
             for j, (d, t) in enumerate(rows):
                 if j != k and (model == "ground" or d in members):
                     for c, p in zip(*ids_of(t)):
                         words[c], pairs[p] = words.get(c, 0) + 1, pairs.get(p, 0) + 1
             total, loss, before = sum(words.values()), [], None
             for c, p in zip(*ids_of(text)):
-                single = (words.get(c, 0) + lm_score.BETA) / (total + lm_score.BETA * lm_score.CLASSES)
-                context = total if before is None else words.get(before, 0)
-                loss.append(-math.log((min(pairs.get(p, 0), context) + lm_score.ALPHA * single) / (context + lm_score.ALPHA)))
+                single = (words.get(c, 0) + lm_score.BETA) / (total + lm_score.BETA * size)
+                context = texts if before is None else words.get(before, 0)
+                loss.append(-math.log((pairs.get(p, 0) + lm_score.ALPHA * single) / (context + lm_score.ALPHA)))
                 before = c
             losses.append(sum(loss) / len(loss) if loss else 0.0)
         out.append((i, len(ids_of(text)[0]), *losses))
@@ -85,9 +86,11 @@ def test_every_word_and_pair_has_counts_of_its_own(spark, monkeypatch, chunk):
             for g in grams(text) if i in chosen else ():
                 counts[g] = counts.get(g, 0) + 1
         models.append((counts, sum(v for g, v in counts.items() if len(g) == 1), chosen))
+    size = len({w for _, t in rows for w in t.split()})
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     target = spark.createDataFrame([(m,) for m in members], "doc_id long")
     again = docs.select("doc_id", "text")  # scored by models of another frame
+    assert lm_score.fit(docs, target).vocabulary == size
     for scored in (docs, again):
         got = {r.doc_id: r for r in lm_score.scores(scored, lm_score.fit(docs, target), target).collect()}
         assert len(got) == len(rows)
@@ -101,8 +104,40 @@ def test_every_word_and_pair_has_counts_of_its_own(spark, monkeypatch, chunk):
                 words = total - (300 if i in chosen else 0)
                 loss = 0.0
                 for a, b in zip([None, *text.split()], text.split()):
-                    context = words if a is None else left((a,))
-                    single = (left((b,)) + lm_score.BETA) / (words + lm_score.BETA * lm_score.CLASSES)
-                    loss -= math.log((min(left((a, b)), context) + lm_score.ALPHA * single) / (context + lm_score.ALPHA))
+                    context = len(chosen) - (i in chosen) if a is None else left((a,))
+                    single = (left((b,)) + lm_score.BETA) / (words + lm_score.BETA * size)
+                    loss -= math.log((left((a, b)) + lm_score.ALPHA * single) / (context + lm_score.ALPHA))
                 want.append(loss / 300)
             assert got[i].target_loss == pytest.approx(want[0], abs=1e-9) and got[i].background_loss == pytest.approx(want[1], abs=1e-9)
+
+
+def test_probabilities_of_all_words_sum_to_one(spark):
+    """After each context: over the vocabulary, and the end of a text."""
+    rows = [(1, "a b a c"), (2, "a b"), (3, "c c b"), (4, ""), (5, "d a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long")
+    models = lm_score.fit(docs, none)
+    assert models.vocabulary == 4 and models.texts == (0, 4) and models.totals == (0, 12)
+    counts = lambda *w: np.array([sum(t.split().count(x) for _, t in rows) for x in w])
+    words = "a b c d".split()
+    for before, context, ends in (("a", 4, 0), ("b", 4, 3), (None, 4, 0)):
+        pair = np.array([sum(list(zip([None, *t.split()], t.split())).count((before, w)) for _, t in rows) for w in words])
+        p = np.exp(-lm_score._loss(counts(*words), pair, np.full(4, context), np.full(4, 12), models.vocabulary))
+        assert p.sum() + ends / (context + lm_score.ALPHA) == pytest.approx(1)
+
+
+def test_vocabulary_beyond_the_least_hashes(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "LEAST_HASHES", 1000)
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i * 50, i * 50 + 100))) for i in range(400)], "doc_id long, text string").repartition(5)
+    assert lm_score.fit(docs, docs.select("doc_id")).vocabulary == pytest.approx(20_050, rel=0.12)
+
+
+def test_long_texts_repeated_rows_and_rows_without_id(spark):
+    long = " ".join(f"w{i % 700}" for i in range(120_000))
+    rows = [(1, long), (1, long), (None, "w1 w2 w3"), (None, "w1 w2 w3"), (2, "w5 w6")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, bucket string")
+    target = spark.createDataFrame([(2,), (None,)], "doc_id long")
+    got = sorted(((r.doc_id, r.n_words, round(r.score, 9)) for r in lm_score.scores(docs, lm_score.fit(docs, target), target).collect()), key=str)
+    assert [g[:2] for g in got] == [(1, 120_000), (1, 120_000), (2, 2), (None, 3), (None, 3)]
+    assert got[0] == got[1] and got[3] == got[4]
+    assert [(i, n) for i, n, *_ in brute(rows[2:], {2})] == [(None, 3), (None, 3), (2, 2)]
