@@ -7,6 +7,7 @@ second person, and rates of capitals, punctuation and symbols inside words.
 """
 
 import functools
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,9 @@ from ..shipping import attach
 from . import kernel
 from .boosting import Boosted, isotonic
 
-#: Labelled texts that the model is fitted on at most; a seeded choice of the labelled rows.
+#: Labelled texts that the model is fitted on at most, and their bytes; a seeded choice of the labelled rows.
 MOST_LABELLED = 8_000
+MOST_BYTES = 64 << 20
 #: Words, and beginnings of words, that the lexicon holds at most.
 LEXICON = 4096
 #: Bytes of a word's beginning.
@@ -160,20 +162,40 @@ def score(texts: pa.Array, model: dict) -> np.ndarray:
     return np.clip(0.999 * np.interp(raw, *model["knots"]) + 0.001 * raw, 0, 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MOST_LABELLED) -> dict:
-    """Fits the model on a seeded choice of at most ``most`` labelled rows whose
-    crc32(id as text) is not divisible by 5.  Null ids and labels are left out."""
-    attach(docs.sparkSession)
+def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int, most_bytes: int) -> pa.Table:
+    """(__id, __hash, __y, __text): labelled texts in a seeded order, as many as the bounds allow.  Rows
+    that repeat an id are one if their texts are equal, and else compete for a place each."""
     key = F.crc32(F.col(id_col).cast("string"))
     rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).where(key % 5 != 0)
-    chosen = rows.select(F.col(id_col).alias("__id"), (F.col(label_col) > 0).cast("int").alias("__y")).orderBy(F.xxhash64(F.lit(7), "__id"), "__id", "__y").limit(most)
-    sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
-    sample = sample.select("__text", "__y", F.pmod(F.xxhash64(F.lit(8), "__id"), F.lit(4)).alias("__fold"), "__id").limit(2 * most).toArrow().sort_by([("__id", "ascending"), ("__y", "ascending")])
-    return train(sample.column("__text").cast(pa.large_string()).combine_chunks(), sample.column("__y").to_pylist(), sample.column("__fold").to_pylist())
+    order = [F.xxhash64(F.lit(7), "__id"), "__id", "__y"]
+    chosen = rows.select(F.col(id_col).alias("__id"), (F.col(label_col) > 0).cast("int").alias("__y")).distinct().orderBy(*order).limit(most)
+    texts = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col)).alias("__hash"), F.col(text_col).alias("__text"))
+    sized = texts.join(F.broadcast(chosen), "__id").select("__id", "__hash", "__y", F.coalesce(F.octet_length("__text"), F.lit(0)).alias("size"))
+    table = sized.distinct().orderBy(*order, "__hash").limit(most).toArrow()
+    table = table.filter(pa.array(np.cumsum(table["size"].to_numpy()) <= most_bytes)).drop(["size"])
+    keys = docs.sparkSession.createDataFrame(table.to_pandas(), f"__id {docs.schema[id_col].dataType.simpleString()}, __hash bigint, __y int")
+    found = texts.join(F.broadcast(keys), ["__id", "__hash"]).groupBy("__id", "__hash", "__y").agg(F.first("__text").alias("__text"))
+    return found.select("__id", "__hash", "__y", "__text").toArrow().sort_by([(c, "ascending") for c in ("__id", "__hash", "__y")])
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MOST_LABELLED, most_bytes: int = MOST_BYTES) -> dict:
+    """Fits the model on a seeded choice of at most ``most`` labelled texts, of ``most_bytes`` in all,
+    whose crc32(id as text) is not divisible by 5; the same rows give the same model.
+
+    Null ids and labels are left out; null texts count as empty; rows that repeat a label are
+    one; without labels, or with one kind only, scores are all the same; an empty table
+    gives a model that finds nothing toxic."""
+    attach(docs.sparkSession)
+    sample = _sample(docs, labels, id_col, text_col, label_col, most, most_bytes)
+    fold = [zlib.crc32(f"fold {i}".encode()) % 4 for i in sample["__id"].to_pylist()]
+    return train(sample["__text"].cast(pa.large_string()).combine_chunks(), sample["__y"].to_pylist(), fold)
 
 
 def toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, score, predicted) for each row.  Null and empty texts are scored like any."""
+    """(id, held_out, score, predicted) for each row.  Null and empty texts are scored like any, and
+    texts of any length whole; equal texts score alike; repeated rows are scored each; a row
+    without an id is not held out; an empty table gives an empty result; other columns,
+    whatever their names, are not read."""
     attach(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -188,7 +210,8 @@ def toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
 
 def without_toxic(docs: DataFrame, model: dict, text_col: str = "text", most: float = 0.5) -> DataFrame:
-    """The rows whose score is under ``most``, with all their columns."""
+    """The rows whose score is under ``most``, with all their columns, whatever their names; repeated
+    rows, and rows without an id, are judged each.  An empty table stays empty."""
     attach(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     column = docs.columns.index(text_col)

@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -82,3 +83,53 @@ def test_symbols_for_letters_count_as_hidden():
     none = np.zeros(0, np.uint64)
     x = toxicity.features(pa.array(["an 1d10t here", "an idiot here"]), {"strong": np.sort(words.hash), "mild": none, "begins": none})
     assert x[0, 5] > 0 and x[0, 0] == 0 and x[1, 0] > 0 and x[1, 5] == 0
+
+
+def test_the_sample_is_bounded_and_the_same_in_any_layout(spark):
+    rows = [r for r in made_up(400) if zlib.crc32(str(r[0]).encode()) % 5]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] * 2, "doc_id long, toxic int")
+    texts = [(i, t) for i, t, _ in rows] * 3 + [(rows[0][0], "another text of an id that repeats"), (rows[1][0], None)]
+    random.Random(4).shuffle(texts)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    take = lambda df, most, size: toxicity._sample(df, labels, "doc_id", "text", "toxic", most, size).to_pylist()
+    all_rows = take(docs, 1000, 1 << 20)
+    assert len(all_rows) == len(rows) + 2 and {(r["__id"], r["__text"]) for r in all_rows} == set(texts)
+    few = take(docs, 50, 1 << 20)
+    assert len(few) <= 52 and take(docs.repartition(7), 50, 1 << 20) == few
+    small = take(docs, 1000, 2000)
+    assert 0 < sum(len(r["__text"] or "") for r in small) <= 2000 and take(docs.coalesce(1), 1000, 2000) == small
+    assert toxicity.fit(docs, labels)["knots"][1].tolist() == toxicity.fit(docs.repartition(5), labels)["knots"][1].tolist()
+
+
+def test_long_repeated_and_clashing(spark):
+    rows = made_up(900)
+    model = toxicity.train([t for _, t, _ in rows], [y for *_, y in rows], [i % 4 for i in range(900)])
+    clean = " ".join("abc de fgh"[: 3 + i % 7] for i in range(200_000))
+    toxic = " ".join("you qroz vlimt zorkan" if i % 9 == 0 else "abc" for i in range(100_000))
+    docs = spark.createDataFrame([(1, clean, 1, 2), (1, clean, 1, 2), (None, toxic, 3, 4), (2, toxic, 5, 6)], "doc_id long, text string, held_out int, id int")
+    got = sorted(((r.doc_id, r.predicted) for r in toxicity.toxicity(docs, model).collect()), key=str)
+    assert got == [(1, 0), (1, 0), (2, 1), (None, 1)]
+    left = toxicity.without_toxic(docs, model)
+    assert left.schema == docs.schema and [r.doc_id for r in left.collect()] == [1, 1]
+
+
+def brute_features(text, lexicon):
+    """Lexicon counts and rates of one text, word by word."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    strong, person = [w in lexicon for w in words], [w in toxicity.SECOND_PERSON for w in words]
+    close = [s and any(person[max(0, i - toxicity.NEAR) : i + toxicity.NEAR + 1]) for i, s in enumerate(strong)]
+    data = text.encode()
+    letters = [chr(b).isascii() and chr(b).isalpha() or b >= 0x80 for b in data]
+    n = max(len(words), 1)
+    return [sum(strong) / n, sum(person) / n, sum(close) / n, sum(65 <= b <= 90 for b in data) / max(sum(letters), 1), data.count(b"!") / max(len(data), 1), np.log1p(len(words))]
+
+
+def test_features_as_counted_word_by_word():
+    rng = random.Random(8)
+    lexicon = ["qroz", "vlimt", "zörk"]
+    texts = [" ".join(rng.choice(["You", "qroz", "VLIMT!", "zörk,", "abc", "you", "dich", "é!", "12", "--"]) for _ in range(rng.randint(0, 60))) for _ in range(80)]
+    raw, at, _ = toxicity.kernel.string_buffers(pa.array(lexicon))
+    none = np.zeros(0, np.uint64)
+    x = toxicity.features(pa.array(texts), {"strong": np.sort(toxicity.kernel.Words(raw, at, toxicity.kernel.alnum_words()).hash), "mild": none, "begins": none})
+    assert np.allclose(x[:, [0, 6, 7, 9, 11, 14]], [brute_features(t, lexicon) for t in texts])
