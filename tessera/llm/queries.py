@@ -31,7 +31,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
-    return found.select("doc_id", "n_words", "n_hit", "n_items", decontaminate.items_digest("items").alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", decontaminate.items_digest("items").alias("items_sha256"), "contaminated", "longest")
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,15 +80,18 @@ QUERIES = {
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-_OP3 = f"""WITH items AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({_LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
-windows AS (SELECT DISTINCT item, least(len(w), 13) AS n, unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1), lambda i: array_to_string(w[i:i + least(len(w), 13) - 1], ' '))) AS win FROM items WHERE len(w) > 0),
+_OP3 = f"""WITH items AS (SELECT row_number() OVER () AS k, item_id::VARCHAR AS item, regexp_extract_all({_LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+suffixes AS (SELECT k, item, w, least(len(w), 13) AS n, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS place FROM items WHERE len(w) > 0),
+windows AS (SELECT k, item, n, place, array_to_string(w[place:place + n - 1], ' ') AS win FROM suffixes),
 docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce({_LOWER.format("text")}, ''), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 places AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n),
-hits AS (SELECT p.r, p.i, p.n, item FROM (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM places) p JOIN windows USING (n, win)),
-covered AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM hits) GROUP BY r),
-named AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hits GROUP BY r)
+hits AS (SELECT p.r, p.i, p.n, k, item, place FROM (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM places) p JOIN windows USING (n, win)),
+covered AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + n)) AS k FROM hits) GROUP BY r),
+named AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hits GROUP BY r),
+followed AS (SELECT r, n, k, i - place AS d, i - row_number() OVER (PARTITION BY r, k, i - place ORDER BY i) AS run FROM hits),
+longest AS (SELECT r, max(m) AS longest FROM (SELECT r, n + count(*) - 1 AS m FROM followed GROUP BY r, n, k, d, run) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
- coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM docs LEFT JOIN covered USING (r) LEFT JOIN named USING (r)"""
+ coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(longest, 0)::BIGINT AS longest FROM docs LEFT JOIN covered USING (r) LEFT JOIN named USING (r) LEFT JOIN longest USING (r)"""
 
 
 def _rule_sql(host: str, path: str, what: str) -> str:

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pyarrow.parquet as pq
@@ -72,6 +73,51 @@ def test_clean_rows_keep_all_their_columns(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted(d for d, _, _, _, bad in brute(DOCS, ITEMS) if not bad)
 
 
+def plain_matches(docs, items, width=13):
+    """Every maximal match, by comparing word by word from all pairs of places."""
+    out = []
+    for d, text in docs:
+        for i, other in items:
+            a, b = words(text), words(other)
+            n = min(width, len(b))
+            for p in range(len(a)):
+                for q in range(len(b)):
+                    if n and a[p] == b[q] and (not p or not q or a[p - 1] != b[q - 1]):
+                        k = 0
+                        while p + k < len(a) and q + k < len(b) and a[p + k] == b[q + k]:
+                            k += 1
+                        if k >= n:
+                            out.append((d, None if i is None else str(i), p, q, k))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("block,gathered,at_once", [(1 << 22, 16, 1 << 18), (40, 2, 1), (90, 1, 7)])
+def test_matches_as_by_comparing_words(spark, monkeypatch, block, gathered, at_once):
+    for name, value in (("BLOCK_BYTES", block), ("GATHERED", gathered), ("AT_ONCE", at_once), ("SHARD_BYTES", 200)):
+        monkeypatch.setattr(decontaminate, name, value)
+    rng = random.Random(3)
+    text = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    items = [(i, text(rng.randint(0, 30))) for i in range(25)] + [(None, text(20)), (3, text(15)), (4, None)]
+    parts = [t for _, t in items if t]
+    docs = [(i, " z ".join(rng.choice(parts) if rng.random() < 0.5 else text(rng.randint(0, 40)) for _ in range(3))) for i in range(40)] + [(50, None), (51, "")]
+    df, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.matches(df, b).collect()
+    want = plain_matches(docs, items)
+    assert sorted(((r.doc_id, r.item_id, r.doc_word, r.item_word, r.n_words) for r in got), key=str) == want
+    top = {d: max(((n, -p) for x, _, p, _, n in want if x == d), default=(0, None)) for d, _ in docs}
+    rows = decontaminate.contamination(df, b, ["doc_id"]).collect()
+    assert {r.doc_id: (r.longest, r.longest_at) for r in rows} == {d: (n, None if p is None else -p) for d, (n, p) in top.items()}
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.items, r.contaminated) for r in rows) == sorted((d, n, h, [x for x in found if x != "None"], bad) for d, n, h, found, bad in brute(docs, items))
+
+
+def test_long_text_and_repeated_items(spark):
+    words_ = [f"w{i}" for i in range(200_000)]
+    items = [(7, " ".join(words_[150_000:150_040]))] * 2 + [(8, " ".join(words_[:20])), (9, " ".join(words_[:20]))]
+    docs = spark.createDataFrame([(1, " ".join(words_))] * 2, "doc_id long, text string")
+    rows = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string"), ["doc_id"]).collect()
+    assert [(r.n_words, r.n_hit, r["items"], r.contaminated, r.longest, r.longest_at) for r in rows] == [(200_000, 60, ["7", "8", "9"], False, 40, 150_000)] * 2
+
+
 def test_longest_matches_and_their_places(spark):
     got = decontaminate.matches(spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")).collect()
     found = {(r.doc_id, r.item_id, r.doc_word, r.item_word, r.n_words) for r in got}
