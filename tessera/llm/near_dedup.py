@@ -22,14 +22,14 @@ from pyspark.sql.window import Window
 from ..shipping import attach
 from . import kernel
 from .components import connected_components
-from .storage import keep
+from .storage import Scratch, keep
 
 #: Standard deviations below the mean at which an overlap of sketches still counts.
 SAFETY = 4.75
 #: Lists with more members than this, not all of one component, are settled by full sets.
 LONG_LIST = 64
-#: So many ids at most are broadcast.
-FEW_IDS = 1_000_000
+#: Ids of so many bytes at most are broadcast, reckoned with so many bytes a row besides.
+FEW_BYTES, ROW_BYTES = 8 << 20, 16
 
 
 def sketch_texts(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -> DataFrame:
@@ -75,7 +75,7 @@ def expected_overlap(k: int, percent: int) -> int:
     return max(1, math.floor(k * p - SAFETY * math.sqrt(k * p * (1 - p))))
 
 
-def _listed(sets: DataFrame, k: int | None, percent: int) -> DataFrame:
+def _listed(sets: DataFrame, k: int | None, percent: int, scratch: Scratch) -> DataFrame:
     """(h, band, rep, n, pos, whole, alone): inverted lists of ``sets`` (rep, n, values).
 
     A set's values are ranked from the rarest on; ``pos`` counts from 1, and values that no
@@ -84,7 +84,7 @@ def _listed(sets: DataFrame, k: int | None, percent: int) -> DataFrame:
     (k None: all), and need no allowance for sampling.  Pairs whose sizes allow a
     link meet in a band."""
     entries = sets.select("rep", "n", F.explode("values").alias("h"))
-    shared = keep(entries.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "shared")
+    shared = scratch.keep(entries.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "shared")
     per = entries.join(shared, "h").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("m", "h"))).alias("hs"))
     n = F.col("n")
     whole, held, last = F.lit(True), n, n - F.ceil(n * percent / 100) + 1
@@ -98,55 +98,64 @@ def _listed(sets: DataFrame, k: int | None, percent: int) -> DataFrame:
     return ranked.select(F.col("x.h").alias("h"), F.explode(F.array("at", F.col("at") - 1)).alias("band"), "rep", "n", (F.col("alone") + F.col("i") + 1).alias("pos"), "whole", "alone")
 
 
-def _open(lists: DataFrame, comp: DataFrame) -> DataFrame:
+def _open(lists: DataFrame, comp: DataFrame, scratch: Scratch) -> DataFrame:
     """What is left of the lists: those with members of different components, with the
     component ``c`` of each entry and the list's length ``m``."""
-    marked = keep(lists.join(comp.toDF("rep", "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep")), "marked")
+    marked = scratch.keep(lists.join(comp.toDF("rep", "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep")), "marked")
     ends = marked.groupBy("h", "band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"))
-    return keep(marked.join(keep(ends.where("lo <> hi").select("h", "band", "m"), "open"), ["h", "band"]), "left")
+    return scratch.keep(marked.join(scratch.keep(ends.where("lo <> hi").select("h", "band", "m"), "open"), ["h", "band"]), "left")
 
 
 def _across(left: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of a list that lie in different components and may be linked.  Of two
-    whole sets both ranks must allow the overlap that their sizes call for."""
-    side = lambda x: left.select("h", "band", *(F.col(c).alias(c + x) for c in ("rep", "n", "pos", "whole", "c")))
-    need = F.ceil((F.col("n1") + F.col("n2")) * percent / (100 + percent))
-    ranks = (F.col("pos1") <= F.col("n1") - need + 1) & (F.col("pos2") <= F.col("n2") - need + 1)
-    met = side("1").join(side("2"), ["h", "band"]).where("c1 <> c2 and (n1 < n2 or n1 = n2 and rep1 < rep2)").where(F.col("n1") * 100 >= percent * F.col("n2"))
+    whole sets both ranks must allow the overlap that their sizes call for; and the smaller
+    one must have enough values besides those that it is alone with.  So a crowd that is
+    alike in less than a link calls for, as pages of one template are, makes no pairs."""
+    side = lambda x: left.select("h", "band", *(F.col(c).alias(c + x) for c in ("rep", "n", "pos", "whole", "alone", "c")))
+    need = lambda m, n: F.ceil((F.col(m) + F.col(n)) * percent / (100 + percent))
+    smaller = side("1").where(~F.col("whole1") | (need("n1", "n1") <= F.col("n1") - F.col("alone1")))
+    ranks = (F.col("pos1") <= F.col("n1") - need("n1", "n2") + 1) & (F.col("pos2") <= F.col("n2") - need("n1", "n2") + 1)
+    met = smaller.join(side("2"), ["h", "band"]).where("c1 <> c2 and (n1 < n2 or n1 = n2 and rep1 < rep2)").where(F.col("n1") * 100 >= percent * F.col("n2"))
     return met.where(~(F.col("whole1") & F.col("whole2")) | ranks).select(F.col("rep1").alias("a"), F.col("rep2").alias("b")).distinct()
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """A stored one-column table, to be broadcast if its bytes are few; else it meets rows in a shuffle."""
+    (key,) = ids.columns
+    wide = F.octet_length(key) if dict(ids.dtypes)[key] in ("string", "binary") else F.lit(8)
+    size = ids.agg(F.sum(wide + ROW_BYTES)).first()[0] or 0
+    return F.broadcast(ids) if size <= FEW_BYTES else ids
+
+
 def _only(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose ``key`` is in the stored one-column table ``ids``.  Few ids go to
-    the rows; many meet them in a shuffle."""
-    ids = ids.toDF(key)
-    return df.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, key, "left_semi")
+    """The rows of ``df`` whose ``key`` is in the stored one-column table ``ids``."""
+    return df.join(_sent(ids.toDF(key)), key, "left_semi")
 
 
-def _members(pairs: DataFrame) -> DataFrame:
-    return keep(pairs.select("a").union(pairs.select("b")).distinct(), "members")
+def _members(pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    return scratch.keep(pairs.select("a").union(pairs.select("b")).distinct(), "members")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, k: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) that are linked.  The sketch of the union filters, full sets decide."""
-    sk = keep(_only(classes.select("rep", "n", "sketch"), "rep", _members(pairs)), "pair-sketches")
+    sk = scratch.keep(_only(classes.select("rep", "n", "sketch"), "rep", _members(pairs, scratch)), "pair-sketches")
     met = pairs.join(sk.toDF("a", "na", "sa"), "a").join(sk.toDF("b", "nb", "sb"), "b")
     common = F.array_intersect("sa", "sb")
     hits = F.size(F.array_intersect(common, F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)))
     whole = (F.col("na") <= k) & (F.col("nb") <= k)
     exact = F.size(common) * 100 >= percent * (F.col("na") + F.col("nb") - F.size(common))
-    met = keep(met.where(F.when(whole, exact).otherwise(hits >= expected_overlap(k, percent))).select("a", "b", whole.alias("whole")), "likely")
+    met = scratch.keep(met.where(F.when(whole, exact).otherwise(hits >= expected_overlap(k, percent))).select("a", "b", whole.alias("whole")), "likely")
     rest = met.where("not whole").select("a", "b")
-    sets = keep(full_sets(_only(docs.select(id_col, text_col), id_col, _members(rest)), id_col, text_col, width), "sets")
+    sets = scratch.keep(full_sets(_only(docs.select(id_col, text_col), id_col, _members(rest, scratch)), id_col, text_col, width), "sets")
     common = F.size(F.array_intersect("xa", "xb"))
     sure = rest.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").where(common * 100 >= percent * (F.size("xa") + F.size("xb") - common)).select("a", "b")
-    return keep(met.where("whole").select("a", "b").union(sure).distinct(), "links")
+    return scratch.keep(met.where("whole").select("a", "b").union(sure).distinct(), "links")
 
 
-def _same_id(own: DataFrame, classes: DataFrame) -> DataFrame:
+def _same_id(own: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): classes that rows of one id belong to, linked by the first of them."""
-    many = keep(own.where("id is not null").groupBy("id").agg(F.count_distinct("sig").alias("m")).where("m > 1").select("id"), "repeated-ids")
-    reps = keep(_only(own.select("id", "sig"), "id", many).join(classes.select("sig", "rep"), "sig").select("id", "rep").distinct(), "reps-of-ids")
+    many = scratch.keep(own.where("id is not null").groupBy("id").agg(F.count_distinct("sig").alias("m")).where("m > 1").select("id"), "repeated-ids")
+    reps = scratch.keep(_only(own.select("id", "sig"), "id", many).join(classes.select("sig", "rep"), "sig").select("id", "rep").distinct(), "reps-of-ids")
     return reps.join(reps.groupBy("id").agg(F.min("rep").alias("a")), "id").where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
 
 
@@ -158,53 +167,58 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are linked whose sets have 100 * intersection >= percent * union.
     component_id is the smallest id that links lead to, itself included.
 
-    Texts without words and null texts have an empty set and no links.  Rows without an
-    id get a null component and are kept.  Repeated rows of one id are one document.
-    An empty table gives an empty result."""
+    Texts without words and null texts have an empty set and no links; a text may be of any
+    length.  Rows without an id get a null component and are kept.  Repeated rows of one id
+    are one document, whose texts tie together what each is linked with.  An empty table
+    gives an empty result; other columns, whatever their names, are not read."""
     attach(docs.sparkSession)
+    scratch = Scratch()
     own = keep(sketch_texts(docs, id_col, text_col, width, k), "sketches")
-    classes = keep(own.where("n > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.min_by("sketch", "id").alias("sketch")), "classes")
-    lists = keep(_listed(classes.select("rep", "n", F.col("sketch").alias("values")), k, percent), "lists")
-    check = lambda pairs: _verified(pairs, classes, docs, id_col, text_col, width, k, percent)
+    classes = scratch.keep(own.where("n > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.min_by("sketch", "id").alias("sketch")), "classes")
+    lists = scratch.keep(_listed(classes.select("rep", "n", F.col("sketch").alias("values")), k, percent, scratch), "lists")
+    check = lambda pairs: _verified(pairs, classes, docs, id_col, text_col, width, k, percent, scratch)
     forest = lambda comp: comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
 
     # Each list against the member with the fewest values of its own.
-    pivots = keep(lists.groupBy("h", "band").agg(F.min(F.struct("alone", "n", "rep")).alias("p")).select("h", "band", F.col("p.n").alias("np"), F.col("p.rep").alias("p")), "pivots")
+    pivots = scratch.keep(lists.groupBy("h", "band").agg(F.min(F.struct("alone", "n", "rep")).alias("p")).select("h", "band", F.col("p.n").alias("np"), F.col("p.rep").alias("p")), "pivots")
     star = lists.join(pivots, ["h", "band"]).where("rep <> p").where(F.least("n", "np") * 100 >= percent * F.greatest("n", "np"))
-    tried = keep(star.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct(), "tried")
+    tried = scratch.keep(star.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct(), "tried")
     links = check(tried)
-    links = links.union(_same_id(own, classes))
-    comp = keep(connected_components(links), "components")
+    comp = scratch.keep(connected_components(links.union(_same_id(own, classes, scratch)), scratch=scratch), "components")
 
     # Members of different components: in short lists by the same ranks, in long ones by those of their full sets.
-    left = _open(lists, comp)
+    left = _open(lists, comp, scratch)
     more = _across(left.where(F.col("m") <= LONG_LIST), percent)
-    crowd = keep(left.where(F.col("m") > LONG_LIST).select("rep", "n").distinct(), "crowd")
+    crowd = scratch.keep(left.where(F.col("m") > LONG_LIST).select("rep").distinct(), "crowd")
     if not crowd.isEmpty():
-        sets = full_sets(_only(docs.select(id_col, text_col), id_col, crowd.select("rep").distinct()), id_col, text_col, width)
-        exact = _listed(keep(sets.select(F.col("id").alias("rep"), F.size("items").cast("bigint").alias("n"), F.col("items").alias("values")), "crowd-sets"), None, percent)
-        more = more.union(_across(_open(keep(exact, "crowd-lists"), comp), percent)).distinct()
-    more = keep(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tried, ["a", "b"], "left_anti"), "more")
+        sets = full_sets(_only(docs.select(id_col, text_col), id_col, crowd), id_col, text_col, width)
+        sets = scratch.keep(sets.select(F.col("id").alias("rep"), F.size("items").cast("bigint").alias("n"), F.col("items").alias("values")), "crowd-sets")
+        exact = _open(scratch.keep(_listed(sets, None, percent, scratch), "crowd-lists"), comp, scratch)
+        more = more.union(_across(exact, percent)).distinct()
+    more = scratch.keep(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tried, ["a", "b"], "left_anti"), "more")
     links = check(more)
     if not links.isEmpty():
-        comp = keep(connected_components(forest(comp).union(links)), "components")
+        comp = scratch.keep(connected_components(forest(comp).union(links), scratch=scratch), "components")
     found = classes.select("sig", "rep").join(comp.toDF("rep", "c"), "rep", "left").select("sig", F.coalesce("c", "rep").alias("c"))
-    found = keep(found, "found")
+    found = keep(found, "found", files=4 * docs.sparkSession.sparkContext.defaultParallelism)
+    scratch.clear()
     out = own.join(found, "sig", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, k: int = 64) -> DataFrame:
     """One row of each group of near duplicates, with all columns of ``docs``: that of the smallest
-    id, and of rows that repeat this id the one whose text has the least hash."""
+    id, and of rows that repeat this id the one whose text has the least hash.  Rows without
+    an id stay.  Columns may have any names."""
+    scratch = Scratch()
     found = near_duplicates(docs, id_col, text_col, width, percent, k)
-    found = keep(found.select(F.col(id_col).alias("id"), "kept").groupBy("id").agg(F.max("kept").alias("kept"), F.count("*").alias("m")), "kept")
-    gone = found.where("not kept").select("id")
-    gone = gone.toDF(id_col)
-    left = docs.join(F.broadcast(gone) if gone.count() <= FEW_IDS else gone, id_col, "left_anti").select(docs.columns)
-    many = keep(found.where("kept and m > 1 and id is not null").select("id"), "many")
+    found = scratch.keep(found.select(F.col(id_col).alias("id"), "kept").where("id is not null").groupBy("id").agg(F.max("kept").alias("kept"), F.count("*").alias("m")), "kept")
+    gone = scratch.keep(found.where("not kept").select(F.col("id").alias(id_col)), "gone")
+    left = docs.join(_sent(gone), id_col, "left_anti").select(docs.columns)
+    many = scratch.keep(found.where("kept and m > 1").select(F.col("id").alias(id_col)), "many")
     if many.isEmpty():
         return left
+    at = next(x for x in ("__at" + "_" * i for i in range(len(docs.columns) + 1)) if x not in {c.lower() for c in docs.columns})
     order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col)
-    one = _only(left, id_col, many).withColumn("__at", F.row_number().over(order)).where("__at = 1").select(docs.columns)
-    return left.join(many.toDF(id_col), id_col, "left_anti").select(docs.columns).union(one)
+    one = _only(left, id_col, many).withColumn(at, F.row_number().over(order)).where(F.col(at) == 1).select(docs.columns)
+    return left.join(_sent(many), id_col, "left_anti").select(docs.columns).union(one)

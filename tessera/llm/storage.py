@@ -1,5 +1,25 @@
-"""Tables that cut lineage, as for the rest of the library."""
+"""Tables that cut lineage, as for the rest of the library, and scratch tables."""
 
-from ..storage import keep, shared_folder
+from pyspark.sql import DataFrame
 
-__all__ = ["keep", "shared_folder"]
+from ..storage import delete, keep, shared_folder
+
+__all__ = ["Scratch", "delete", "keep", "shared_folder"]
+
+
+class Scratch:
+    """Stored tables of one computation.  They have few files, since most are small next to the texts;
+    those that nothing needs any more are deleted."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def keep(self, df: DataFrame, what: str) -> DataFrame:
+        self.tables.append(keep(df, what, files=4 * df.sparkSession.sparkContext.defaultParallelism))
+        return self.tables[-1]
+
+    def clear(self, *but: DataFrame) -> None:
+        """Deletes all of its tables ``but`` these."""
+        kept = [t for t in self.tables if any(t is b for b in but)]
+        delete(*(t for t in self.tables if not any(t is b for b in but)))
+        self.tables = kept

@@ -6,6 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import storage
 from tessera.llm import near_dedup
 
 
@@ -88,7 +89,7 @@ def test_same_as_brute_force(spark, width, percent, k):
 
 def test_long_lists_take_the_exact_way(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "LONG_LIST", 3)
-    monkeypatch.setattr(near_dedup, "FEW_IDS", 0)
+    monkeypatch.setattr(near_dedup, "FEW_BYTES", -1)
     rows = made_up(99, groups=4, size=30, noise=80)
     got = run(spark, rows, 3, 85)
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows, 3, 85))
@@ -123,3 +124,57 @@ def test_real_documents(spark):
     rows = [(r["doc_id"], r["text"]) for r in t]
     got = run(spark, rows, 3, 85)
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows, 3, 85))
+
+
+def pages(share, n=150, size=400, seed=3):
+    """Pages of one template that makes up a share of each."""
+    rng = random.Random(seed)
+    template = [f"t{i}" for i in range(int(size * share))]
+    return [(i, " ".join(template + [f"u{i}x{j}" for j in range(size - len(template))])) for i in range(n)] + [(n + i, " ".join(template[:-40] + [f"v{rng.random()}" for _ in range(size - len(template) + 40)])) for i in range(n)]
+
+
+@pytest.mark.parametrize("share", [0.86, 0.96])
+def test_pages_of_one_template_make_few_pairs(spark, monkeypatch, share):
+    """Alike in less than a link calls for: no pairs, though all share most values; and more: links."""
+    seen = []
+    across = near_dedup._across
+    monkeypatch.setattr(near_dedup, "_across", lambda *a: seen.append(across(*a)) or seen[-1])
+    counted = []
+    check = near_dedup._verified
+    monkeypatch.setattr(near_dedup, "_verified", lambda pairs, *a: counted.append(pairs.count()) or check(pairs, *a))
+    rows = pages(share)
+    got = run(spark, rows, 3, 85)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows, 3, 85))
+    assert max(counted) <= 8 * len(rows)
+
+
+def test_recall_of_texts_larger_than_the_sketch(spark):
+    """Pairs just at the threshold and a little above it, of sets eight times the sketch's size."""
+    rng = random.Random(12)
+    rows, linked = [], []
+    for i in range(300):
+        base = [f"g{i}w{j}" for j in range(500)]
+        other = list(base)
+        for j in rng.sample(range(0, 500, 3), rng.randint(10, 16)):
+            other[j] = f"g{i}c{j}"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+        a, b = shingles(rows[-2][1], 3), shingles(rows[-1][1], 3)
+        linked.append(100 * len(a & b) >= 85 * len(a | b))
+    found = {r.doc_id: r.component_id for r in run(spark, rows, 3, 85)}
+    got = [found[2 * i + 1] == 2 * i for i in range(300)]
+    recall = sum(g for g, t in zip(got, linked) if t) / sum(linked)
+    print(f"recall {recall:.4f} of {sum(linked)} links at and above the threshold")
+    assert 50 < sum(linked) < 300 and recall >= 0.99 and not any(g for g, t in zip(got, linked) if not t)
+
+
+def test_scratch_tables_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "shared_folder", lambda spark: f"file://{tmp_path}")
+    got = run(spark, made_up(5), 3, 85)
+    assert got and sorted(p.name.split("-")[1] for p in tmp_path.iterdir()) == ["found", "sketches"]
+
+
+def test_clashing_columns_and_repeated_ids(spark):
+    rows = [(1, "a b c d e f g", 1, 2), (1, "a b c d e f g", 1, 2), (2, "a b c d e f g", 3, 4), (None, None, 5, 6), (None, None, 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __at int, id int")
+    got = near_dedup.without_near_duplicates(df)
+    assert got.schema == df.schema and sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[3], rows[4]], key=str)
