@@ -1,58 +1,110 @@
-"""BM25 over postings: only the terms that queries ask for are exploded and shuffled."""
+"""BM25 over an index that is built in one pass and may be stored.
 
-from pyspark.sql import DataFrame
+The index has a row for each document, with its terms and how often each occurs: terms are
+counted inside the row, so nothing is shuffled.  Scoring joins the rows with the few
+terms that are asked for, and sums a document's parts where its row is.
+"""
+
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.text import tokens
+from ..functions.text import let, tokens
+from ..spread import spread
+from ..storage import keep
 
-#: Distinct query terms that are broadcast at most; more are joined by a shuffle.
+#: Rows of (question, term) that are broadcast at most; more are joined by a shuffle.
 MOST_TERMS = 200_000
 
 
+class Index(NamedTuple):
+    """forward: (doc_id, dl, terms of (term, tf)); frequencies: (term, df); stats: one row (n, total)."""
+
+    forward: DataFrame
+    frequencies: DataFrame
+    stats: DataFrame
+
+
 def tokenised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("ts"))
 
 
+def counted(ts: Column) -> Column:
+    """array of (term, tf): the runs of the sorted tokens."""
+
+    def runs(s):
+        starts = F.filter(F.when(F.size(s) > 0, F.sequence(F.lit(1), F.size(s))).otherwise(F.array().cast("array<int>")), lambda i: (i == 1) | (F.try_element_at(s, i) != F.try_element_at(s, F.greatest(i - 1, F.lit(1)))))
+        run = lambda b: F.transform(b, lambda at, j: F.struct(F.element_at(s, at).alias("term"), (F.coalesce(F.try_element_at(b, j + 2), F.size(s) + 1) - at).alias("tf")))
+        return let(starts, run)
+
+    return let(F.sort_array(ts), runs)
+
+
+def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """The index of ``docs``: its rows are stored once, and all else is read from them.  A null text
+    has no terms but counts as a document."""
+    rows = tokenised(spread(docs.select(id_col, text_col)), id_col, text_col)
+    none = F.array().cast("array<string>")
+    return _index(keep(rows.select("doc_id", let(F.coalesce("ts", none), lambda ts: F.struct(F.size(ts).alias("dl"), counted(ts).alias("terms"))).alias("r")).select("doc_id", "r.dl", "r.terms"), "keyword-index"))
+
+
+def _index(forward: DataFrame) -> Index:
+    frequencies = forward.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return Index(forward, frequencies, forward.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")))
+
+
+def write_index(index: Index, path: str) -> None:
+    """Stores an index; what is read from it later is neither tokenised nor counted again."""
+    index.forward.write.mode("overwrite").parquet(f"{path}/forward")
+    stored = _index(index.forward.sparkSession.read.parquet(f"{path}/forward"))
+    stored.frequencies.write.mode("overwrite").parquet(f"{path}/frequencies")
+    stored.stats.write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{part}") for part in ("forward", "frequencies", "stats")))
+
+
 def corpus_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(n_docs, total_tokens, avgdl): one row."""
-    n = tokenised(docs, id_col, text_col).agg(F.count("*").alias("n_docs"), F.sum(F.size("ts")).alias("total_tokens"))
+    n = tokenised(spread(docs.select(id_col, text_col)), id_col, text_col).agg(F.count("*").alias("n_docs"), F.sum(F.size("ts")).alias("total_tokens"))
     return n.select("n_docs", "total_tokens", (F.col("total_tokens") / F.greatest(F.col("n_docs"), F.lit(1))).alias("avgdl"))
 
 
 def document_frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(term, df)."""
-    each = tokenised(docs, id_col, text_col).select(F.explode(F.array_distinct("ts")).alias("term"))
+    each = tokenised(spread(docs.select(id_col, text_col)), id_col, text_col).select(F.explode(F.array_distinct("ts")).alias("term"))
     return each.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def expanded(query: str) -> str:
+def expanded_column(query) -> Column:
     """A query with the official words for what it says, for keyword search only."""
-    more = [s for word, synonyms in C.SYNONYMS.items() if word in query for s in synonyms if s not in query]
-    return " ".join([query, *more])
-
-
-def expanded_column(query):
-    """expanded() for a column of queries."""
     q = F.col(query) if isinstance(query, str) else query
     parts = [F.when(q.contains(word) & ~q.contains(s), F.lit(s)) for word, synonyms in C.SYNONYMS.items() for s in synonyms]
     return F.concat_ws(" ", q, *parts)
 
 
-def scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", k1: float = C.K1, b: float = C.B) -> DataFrame:
+def scores(docs: DataFrame | Index, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", k1: float = C.K1, b: float = C.B) -> DataFrame:
     """(qid, doc_id, keyword): BM25 of every document that has a query's term.
 
-    ``queries`` is (qid, text); a term that a query repeats counts as often.  N, the mean
-    length and document frequencies are those of all of ``docs``."""
+    ``docs`` is an index, or texts that become one.  ``queries`` is (qid, text); a term that a
+    query repeats counts as often.  N, the mean length and document frequencies are those
+    of all documents."""
+    index = docs if isinstance(docs, Index) else build(docs, id_col, text_col)
     asked = queries.select("qid", F.explode(tokens("text")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    terms = asked.select("term").distinct()
-    small = lambda df: F.broadcast(df) if asked.count() <= MOST_TERMS else df
-    docs = tokenised(docs, id_col, text_col).select("doc_id", F.size("ts").alias("dl"), "ts")
-    found = docs.select("doc_id", "dl", F.explode("ts").alias("term")).join(small(terms), "term")
-    postings = found.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    stats = docs.agg(F.count("*").alias("n"), F.sum("dl").alias("total"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    n_asked = asked.count()
+    few = (lambda df: F.broadcast(df)) if n_asked <= MOST_TERMS else (lambda df: df)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("qid", "term", (F.col("qtf") * idf).alias("w"), (F.col("total") / F.col("n")).alias("avgdl"))
-    part = F.col("w") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return postings.join(small(weighed), "term").groupBy("qid", "doc_id").agg(F.sum(part).alias("keyword"))
+    known = index.frequencies.join(few(asked), "term").join(F.broadcast(index.stats), F.lit(True))
+    known = known.select("term", "qid", (F.col("qtf") * idf).alias("w"), (F.col("total") / F.col("n")).alias("avgdl"))
+    postings = index.forward.select("doc_id", "dl", F.explode("terms").alias("t")).select("doc_id", "dl", "t.term", "t.tf")
+    s = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    if n_asked <= MOST_TERMS:
+        # One entry for each term, so that a posting meets it once and its questions follow.
+        asks = known.groupBy("term", "avgdl").agg(F.collect_list(F.struct("qid", "w")).alias("asks"))
+        each = postings.join(F.broadcast(asks), "term").select("doc_id", s.alias("s"), F.explode("asks").alias("a")).select("doc_id", "s", "a.qid", "a.w")
+    else:
+        each = postings.join(known, "term").select("doc_id", s.alias("s"), "qid", "w")
+    return each.groupBy("qid", "doc_id").agg(F.sum(F.col("w") * F.col("s")).alias("keyword"))

@@ -1,13 +1,11 @@
 """Ranking steps of the hybrid search, each over many queries at once (by qid)."""
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import constants as C
 from ..functions.text import norm_name, strip
-from ..shipping import attach
 
 #: Decimals at which scores are compared, so that the order of sums does not decide ties.
 TIE = 9
@@ -125,40 +123,22 @@ def with_sources(found: DataFrame, top_k: str = "top_k", source: str = "source",
     If top_k is 8 or more and the query filters no source, sources with under three rows
     get their next best ones at the end, in source order; each puts out the last row of
     a source that has more than three, and if there is none, is added all the same.
+    What can be put out are a source's fourth and later rows, the last of all sources'
+    first, whichever source it makes room for; so it is known without taking turns.
     Only each source's first three and the first top_k of a query take part."""
-    attach(found.sparkSession)
-    per = Window.partitionBy("qid", source).orderBy("rank")
-    pool = found.withColumn("__in_source", F.row_number().over(per)).where((F.col("rank") <= F.col(top_k)) | (F.col("__in_source") <= least))
-    rows = pool.groupBy("qid").agg(F.first(top_k).alias("k"), F.first("free").alias("free"), F.sort_array(F.collect_list(F.struct("rank", F.col(source).alias("source"), "chunk_id"))).alias("rows"))
-
-    def fold(batches):
-        for table in batches:
-            for i, (k, free, ranked_rows) in enumerate(zip(table["k"], table["free"], table["rows"], strict=True)):
-                ranked_rows = list(ranked_rows)
-                chosen = [r for r in ranked_rows if r["rank"] <= k]
-                if free and k >= from_k:
-                    _fill(chosen, ranked_rows, least)
-                yield pd.DataFrame([(table["qid"].iloc[i], r["chunk_id"], at) for at, r in enumerate(chosen, 1)], columns=["qid", "chunk_id", "rank"])
-
-    picked = rows.mapInPandas(fold, f"qid {found.schema['qid'].dataType.simpleString()}, chunk_id {found.schema['chunk_id'].dataType.simpleString()}, rank int")
-    return found.drop("rank").join(picked, ["qid", "chunk_id"])
-
-
-def _fill(chosen: list, rows: list, least: int) -> None:
-    """Gives every source of ``rows`` its least number of places in ``chosen``."""
-    count: dict = {}
-    for r in chosen:
-        count[r["source"]] = count.get(r["source"], 0) + 1
-    there = {r["chunk_id"] for r in chosen}
-    for source in sorted({r["source"] for r in rows}):
-        missing = [r for r in rows if r["source"] == source and r["chunk_id"] not in there][: max(0, least - count.get(source, 0))]
-        for new in missing:
-            crowded = [at for at, r in enumerate(chosen) if r["source"] != source and count[r["source"]] > least]
-            if crowded:
-                count[chosen.pop(crowded[-1])["source"]] -= 1
-            chosen.append(new)
-            there.add(new["chunk_id"])
-            count[source] = count.get(source, 0) + 1
+    of_source = Window.partitionBy("qid", source)
+    pool = found.withColumn("__nth", F.row_number().over(of_source.orderBy("rank")))
+    first = F.col("rank") <= F.col(top_k)
+    pool = pool.where(first | (F.col("__nth") <= least))
+    open_ = F.col("free") & (F.col(top_k) >= from_k)
+    pool = pool.withColumn("__late", ~first & open_ & (F.count_if(first).over(of_source) < least))
+    pool = pool.where(first | F.col("__late")).withColumn("__spare", ~F.col("__late") & (F.col("__nth") > least))
+    of_query = Window.partitionBy("qid")
+    out_first = F.row_number().over(of_query.orderBy(F.col("__spare").desc(), F.col("rank").desc()))
+    pool = pool.withColumns({"__room": F.count_if("__late").over(of_query), "__out": out_first})
+    pool = pool.where(~(F.col("__spare") & (F.col("__out") <= F.col("__room"))))
+    order = of_query.orderBy("__late", F.when(F.col("__late"), F.col(source)), "rank")
+    return pool.withColumn("rank", F.row_number().over(order)).drop("__nth", "__late", "__spare", "__room", "__out")
 
 
 def by_date(found: DataFrame) -> DataFrame:

@@ -1,5 +1,5 @@
-"""Exact nearest neighbours by cosine: a block of query vectors meets every batch of vectors as
-one matrix product, and each partition keeps only its best for every query."""
+"""Exact nearest neighbours by cosine: blocks of query vectors meet every batch of vectors as
+matrix products, and each partition keeps only its best for every query."""
 
 import numpy as np
 import pyarrow as pa
@@ -8,51 +8,76 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..shipping import attach
+from ..spread import spread
 
-#: Query vectors that are sent to the workers at a time.
-BLOCK = 2048
+#: Query vectors of a block, blocks that one pass over the vectors meets, and vectors of a product.
+BLOCK, BLOCKS, ROWS = 2048, 32, 1024
+
+
+class Best:
+    """The k best so far of each query of a block."""
+
+    def __init__(self, qids: pa.Array, asked: np.ndarray, k: int):
+        self.qids, self.asked, self.k = qids, asked, k
+        self.value, self.ids = np.full((len(asked), 0), 0.0), None
+
+    def meet(self, ids: np.ndarray, data: np.ndarray) -> None:
+        value = np.concatenate([self.value, self.asked @ data.T], 1)
+        ids = np.broadcast_to(ids, (len(self.asked), len(ids)))
+        ids = ids if self.ids is None else np.concatenate([self.ids, ids], 1)
+        if value.shape[1] > self.k:
+            low = -np.round(value, 9)
+            place = np.argpartition(low, self.k - 1, axis=1)[:, : self.k]
+            last = np.take_along_axis(low, place, 1).max(1)
+            for q in np.flatnonzero((low <= last[:, None]).sum(1) > self.k).tolist():  # equals at the end: smaller ids
+                place[q] = np.lexsort((ids[q], low[q]))[: self.k]
+            value, ids = np.take_along_axis(value, place, 1), np.take_along_axis(ids, place, 1)
+        self.value, self.ids = value, np.array(ids)
+
+    def rows(self, names: list[str], kind: pa.DataType):
+        if self.ids is not None and self.ids.shape[1]:
+            times = self.ids.shape[1]
+            qids = self.qids.take(pa.array(np.repeat(np.arange(len(self.asked)), times)))
+            yield pa.RecordBatch.from_arrays([qids, pa.array(self.ids.ravel().tolist(), kind), pa.array(self.value.ravel())], names)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", least: float | None = None) -> DataFrame:
     """(qid, id, vector): the ``k`` vectors of each query with the largest inner product, smaller
-    ids first among equals.  ``queries`` is (qid, vector); null vectors match nothing."""
-    attach(vectors.sparkSession)
-    kind = vectors.schema[id_col].dataType.simpleString()
+    ids first among equals.  ``queries`` is (qid, vector); null vectors match nothing.  Up to
+    65,536 queries share one pass over the vectors."""
+    spark = vectors.sparkSession
+    attach(spark)
+    kind, names = vectors.schema[id_col].dataType.simpleString(), ["qid", "id", "vector"]
     rows = queries.where("vector is not null").select("qid", "vector")
-    n = rows.count()
-    parts = []
-    for i in range(max(1, -(-n // BLOCK))):
-        block = rows if n <= BLOCK else rows.where(F.pmod(F.xxhash64("qid"), F.lit(-(-n // BLOCK))) == i)
-        table = block.toPandas()
-        matrix = np.array(table["vector"].tolist(), float).reshape(len(table), -1) if len(table) else np.zeros((0, 0))
-        sent = vectors.sparkSession.sparkContext.broadcast((table["qid"].to_numpy(), matrix))
-
-        def run(batches, sent=sent):
-            qids, asked = sent.value
-            best: list = [None] * len(qids)
+    n = -(-rows.count() // BLOCK)
+    vectors = spread(vectors.where(F.col(vector_col).isNotNull()).select(id_col, vector_col))
+
+    def sent(i):
+        block = rows if n <= 1 else rows.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i)
+        table = block.toArrow().combine_chunks()
+        matrix = np.array(table["vector"].to_pylist(), float).reshape(table.num_rows, -1) if table.num_rows else np.zeros((0, 0))
+        return spark.sparkContext.broadcast((pa.array(table["qid"].to_pylist(), table["qid"].type), matrix))
+
+    def searched(blocks):
+        def run(batches):
+            best = [Best(*b.value, k) for b in blocks if len(b.value[1])]
             for batch in batches:
-                column = batch.column(1)
-                good = np.flatnonzero(~np.asarray(column.is_null()))
-                if not len(good) or not len(qids):
-                    continue
-                column = column.take(pa.array(good))
-                data = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(good), -1)
-                sims = data @ asked.T
-                ids = batch.column(0).take(pa.array(good)).to_numpy(zero_copy_only=False)
-                for q in range(len(qids)):
-                    s, x = sims[:, q], ids
-                    if best[q] is not None:
-                        s, x = np.concatenate([best[q][0], s]), np.concatenate([best[q][1], x])
-                    order = np.lexsort((x, -np.round(s, 9)))[:k]
-                    best[q] = s[order], x[order]
-            for q, found in enumerate(best):
-                if found is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([qids[q]] * len(found[0])), pa.array(found[1]), pa.array(found[0])], ["qid", "id", "vector"])
-
-        parts.append(vectors.select(id_col, vector_col).mapInArrow(run, f"qid {queries.schema['qid'].dataType.simpleString()}, id {kind}, vector double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+                for a in range(0, batch.num_rows if best else 0, ROWS):
+                    part = batch.slice(a, ROWS)
+                    data = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1)
+                    ids = part.column(0).to_numpy(zero_copy_only=False)
+                    for b in best:
+                        b.meet(ids, data)
+                kept = batch.column(0).type
+            for b in best:
+                yield from b.rows(names, kept if b.ids is not None else None)
+
+        return vectors.mapInArrow(run, f"qid {queries.schema['qid'].dataType.simpleString()}, id {kind}, vector double")
+
+    out = None
+    for i in range(0, max(n, 1), BLOCKS):
+        part = searched([sent(j) for j in range(i, min(i + BLOCKS, max(n, 1)))])
+        out = part if out is None else out.union(part)
     order = Window.partitionBy("qid").orderBy(F.round("vector", 9).desc(), "id")
     out = out.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k).drop("at")
     return out if least is None else out.where(F.col("vector") >= least)

@@ -36,6 +36,16 @@ def checked(queries: DataFrame) -> DataFrame:
     return queries.withColumn("sort", F.when(bad, F.raise_error(F.lit("since must be YYYY-MM-DD, sort relevance or date"))).otherwise(F.col("sort")))
 
 
+def last_year(today: Column | None = None) -> Column:
+    """The day a year before, as the option ``since`` takes it."""
+    return F.date_format(F.add_months(F.current_date() if today is None else today, -12), "yyyy-MM-dd")
+
+
+def searched_text() -> Column:
+    """What keyword search reads of a chunk."""
+    return F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("name", "article", "article_title", "text")])
+
+
 def _allowed(source: str, category: str) -> Column:
     one = lambda wanted, have: F.col(wanted).isNull() | (F.size(wanted) == 0) | F.array_contains(wanted, F.col(have))
     return one("sources", source) & one("categories", category)
@@ -65,18 +75,19 @@ def _array(values) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>") if values is not None else F.lit(None).cast("array<string>")
 
 
-def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, regulations: DataFrame | None = None, institution: str = "", reranker: Callable[[pd.Series, pd.Series], pd.Series] | None = None, pool: int = C.VECTOR_POOL, vector_floor: float = C.VECTOR_FLOOR) -> DataFrame:
+def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, regulations: DataFrame | None = None, institution: str = "", reranker: Callable[[pd.Series, pd.Series], pd.Series] | None = None, pool: int = C.VECTOR_POOL, vector_floor: float = C.VECTOR_FLOOR, index: keyword.Index | None = None) -> DataFrame:
     """(qid, rank, and the fields of a result) for every query.
 
-    ``reranker`` scores pairs of (query, text) batch by batch; without one the order is that
-    of the scores.  Chunks without a vector, or vectors without a chunk, are no error."""
+    ``index`` is a stored keyword index of the chunks; without one it is built.  ``reranker`` scores
+    pairs of (query, text) batch by batch; without one, and where it fails, the order is
+    that of the scores.  Chunks without a vector, or vectors without a chunk, are no error."""
     filtered = "sources" in queries.columns or "categories" in queries.columns
     queries = checked(with_options(queries))
     meta = chunks.select("chunk_id", "reg_id", "source", "category", "name", "article", "clause")
     near = _nearest(vectors, queries, meta, pool, filtered)
-    corpus = chunks.select("chunk_id", F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("name", "article", "article_title", "text")]).alias("text"))
+    index = index or keyword.build(chunks.select("chunk_id", searched_text().alias("text")), "chunk_id", "text")
     asked = queries.select("qid", keyword.expanded_column("text").alias("text"))
-    words = keyword.scores(corpus, asked, "chunk_id", "text").withColumnRenamed("doc_id", "chunk_id")
+    words = keyword.scores(index, asked).withColumnRenamed("doc_id", "chunk_id")
     found = ranking.candidates(near, words, vector_floor)
 
     fields = ["status", *REGULATION_FIELDS]
@@ -109,22 +120,48 @@ def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, regulation
 
 
 def _reranked(found: DataFrame, chunks: DataFrame, reranker) -> DataFrame:
-    """A second model's order of the best of each query; only these rows meet the model."""
+    """A second model's order of the best of each query; only these rows meet the model.  A query
+    whose scores are not all there keeps its order."""
     found = ranking.ranked(found)
     best = found.where(F.col("rank") <= F.greatest(F.lit(C.RERANK_POOL), F.col("top_k"))).select("qid", "chunk_id", F.col("text").alias("q")).join(chunks.select("chunk_id", F.col("text").alias("t")), "chunk_id")
     model = _model(reranker)
     scored = best.select("qid", "chunk_id", model("q", "t").alias("second_score"))
-    return ranking.reordered(found.drop("rank").join(scored, ["qid", "chunk_id"], "left"))
+    whole = scored.groupBy("qid").agg(F.bool_and(F.col("second_score").isNotNull()).alias("__whole"))
+    found = found.drop("rank").join(scored, ["qid", "chunk_id"], "left").join(whole, "qid", "left")
+    found = found.withColumn("second_score", F.when(F.col("__whole"), F.col("second_score"))).drop("__whole")
+    return ranking.reordered(found)
 
 
 def _model(reranker):
+    """Scores by ``reranker``, null from the first failure of a task on: those rows keep their order."""
+    failed = []
+
     @F.pandas_udf("double")
     def score(q: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series(reranker(q, t), index=q.index, dtype=float)
+        if not failed:
+            try:
+                return pd.Series(reranker(q, t), index=q.index, dtype=float)
+            except Exception as e:  # a model that does not load or run must not stop the search
+                failed.append(e)
+        return pd.Series([None] * len(q), index=q.index, dtype=float)
 
     return score
 
 
+def chunk_by_id(chunks: DataFrame, chunk_id: str) -> DataFrame:
+    """The chunk of an id, or no row."""
+    return chunks.where(F.col("chunk_id") == chunk_id)
+
+
+def regulation_text(regulations: DataFrame, bodies: DataFrame, reg_id: str) -> DataFrame:
+    """A regulation with its ``full_text``; no row if there is no such regulation, or its file is gone.
+    Stored paths may have backslashes, and be relative to where ``bodies`` are."""
+    path = F.replace("text_file", F.lit("\\"), F.lit("/"))
+    one = regulations.where(F.col("id") == reg_id).withColumn("__path", path)
+    files = bodies.select(F.col("text_file").alias("__file"), F.col("body").alias("full_text"))
+    return one.join(files, F.col("__file").endswith(F.concat(F.lit("/"), F.col("__path"))) | (F.col("__file") == F.col("__path"))).drop("__path", "__file")
+
+
 class ResultCache:
     """The latest small results by all their parameters, for interactive use."""
 
