@@ -77,6 +77,8 @@ CATEGORY_ORDER = {"학칙": 0, "규정": 1, "지침": 2}
 FEEDBACK_LIMITS = {"question": 500, "answer_preview": 300, "chunk_ids": 10, "comment": 500}
 MORE_NAMES = " 외"
 UNKNOWN_DEPARTMENT = "담당부서 미확인"
+ATTACHED_FIRST = r"부설(고등|중)학교"
+CONTACT_HEAD = ["출처", "담당부서", "현재 연락처", "해당 규정 수", "규정명(예시)", "검수결과(O/X)", "수정할 연락처"]
 
 # --- ingestion
 RULE_NOUNS = "정관|규정|지침|예규|세칙|요령|규칙|법|시행령"
@@ -87,11 +89,11 @@ JUNK_PATTERNS = [
     r'조문목록( 없음)?"\s*src="[^"]*"\s*/>',
     r'체크박스"\s*value="[^"]*"\s*/>',
     r"'\);return false;\"\s*href=\"#AJAX\">",
-    r'\w*"\s*src="[^"]*"\s*/>',
-    r'\w*"\s*value="[^"]*"\s*/>',
+    r'\w*+"\s*src="[^"]*"\s*/>',
+    r'\w*+"\s*value="[^"]*"\s*/>',
 ]
 BLOCK_TAGS = r"<(br|/p|/div|/li|/tr|/h\d)[^>]*>"
 TAG = r"""<[!/]?[a-zA-Z][^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*/?>"""
 CLICK_RESIDUE = r"'\);return false;\"[^>\n]*>"
-ATTRIBUTE_RESIDUE = r'[\w가-힣 ]*"\s+(?:src|value|alt|title)="[^"]*"\s*/?>?'
+ATTRIBUTE_RESIDUE = r'[\w가-힣 ]*+"\s+(?:src|value|alt|title)="[^"]*"\s*/?>?'
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f﻿]"

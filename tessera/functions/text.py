@@ -48,23 +48,35 @@ def _unescape(s: pd.Series) -> pd.Series:
 
 
 def unescape_html(text) -> Column:
-    """Character references resolved; texts without any do not leave the JVM's result."""
-    return _unescape(_col(text))
+    """Character references resolved; texts without any do not go to Python."""
+    t = _col(text)
+    return F.coalesce(_unescape(F.when(t.contains("&"), t)), t)
 
 
 def _without_tags(text) -> Column:
-    t = F.regexp_replace(_col(text), r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
-    t = F.regexp_replace(t, r"(?s)<!--.*?-->", " ")
-    t = F.regexp_replace(t, "(?i)" + C.BLOCK_TAGS, "\n")
-    t = F.regexp_replace(t, "(?s)" + C.TAG, " ")
-    return F.regexp_replace(t, r"<[^>]+>", " ")
+    """What stands after the last closing bracket has no tags, and is not searched for any."""
+    t = _col(text)
+    tail = F.when(t.contains(">"), F.substring_index(t, ">", -1)).otherwise(t)
+    head = F.substring(t, F.lit(1), F.length(t) - F.length(tail))
+    head = F.regexp_replace(head, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
+    head = F.regexp_replace(head, r"(?s)<!--.*?-->", " ")
+    head = F.regexp_replace(head, "(?i)" + C.BLOCK_TAGS, "\n")
+    head = F.regexp_replace(head, "(?s)" + C.TAG, " ")
+    return F.concat(F.regexp_replace(head, r"<[^>]+>", " "), tail)
 
 
 def html_to_text(text) -> Column:
     """What a reader sees of a page: no scripts, comments and tags, references resolved."""
     t = unescape_html(_without_tags(text))
     t = F.regexp_replace(t, C.CLICK_RESIDUE, " ")
-    return clean_text(F.regexp_replace(t, "(?U)" + C.ATTRIBUTE_RESIDUE, " "))
+    return clean_text(_without_attributes(t))
+
+
+def _without_attributes(t: Column) -> Column:
+    """Only texts with an attribute after a quote are searched for its rest, which begins where a run of
+    word characters does, or the match before ended: each run is read once."""
+    there = t.rlike(r'(?U)"\s+(?:src|value|alt|title)="')
+    return F.when(there, F.regexp_replace(t, r"(?U)(?:\G|(?<![\w가-힣 ]))" + C.ATTRIBUTE_RESIDUE, " ")).otherwise(t)
 
 
 def safe_file_name(name, longest: int = 80) -> Column:
@@ -77,10 +89,18 @@ def without_residue(text) -> Column:
     """Without pieces of markup that earlier cleaning left behind."""
     t = _col(text)
     for pattern in C.JUNK_PATTERNS:
-        t = F.regexp_replace(t, "(?U)" + pattern, " ")
+        # A pattern that opens with word characters begins where they do: each run is read once.
+        anchored = r"(?:\G|(?<!\w))" if pattern.startswith(r"\w*") else ""
+        t = F.regexp_replace(t, "(?U)" + anchored + pattern, " ")
     return F.regexp_replace(F.regexp_replace(t, r"[ \t]{2,}", " "), r"\n{3,}", "\n\n")
 
 
+def residue_count(texts, column: str = "text"):
+    """(n, n_changed) of a table of texts whose residue goes."""
+    new = without_residue(column)
+    return texts.agg(F.count("*").alias("n"), F.count_if(~new.eqNullSafe(F.col(column))).alias("n_changed"))
+
+
 def norm_name(name, institution: str = "") -> Column:
     """A regulation's name as a key: no blanks, dots, hyphens and brackets, and without the name
     of the institution that issues it."""

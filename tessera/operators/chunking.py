@@ -79,10 +79,9 @@ def chunk(regulations: DataFrame, id_col: str = "id", body_col: str = "body", mo
     nearest = lambda i: F.coalesce(F.try_element_at(F.filter(F.slice("headings", F.lit(1), i), lambda h: h.isNotNull()), F.lit(-1)), empty)
 
     def article(a, i):
-        # Labels are read from the beginning of the text, not from all of it for every piece.
-        first = F.substring(a, 1, 200)
-        label = F.regexp_replace(F.regexp_extract(first, ARTICLE, 1), r"(?U)\s+", "")
-        title = F.btrim(F.regexp_extract(first, ARTICLE, 2), F.lit("() "))
+        # A piece begins with its label, so the search ends there.
+        label = F.regexp_replace(F.regexp_extract(a, ARTICLE, 1), r"(?U)\s+", "")
+        title = F.btrim(F.regexp_extract(a, ARTICLE, 2), F.lit("() "))
         meta = F.struct(label.alias("l"), title.alias("t"), strip(F.regexp_replace(nearest(i + 1), r"(?U)\s+", " ")).alias("c"))
         return let(meta, lambda m: as_chunks(_fitted(a, most), m["l"], m["t"], m["c"]))
 
@@ -91,7 +90,7 @@ def chunk(regulations: DataFrame, id_col: str = "id", body_col: str = "body", mo
     whole = F.when(head != "", as_chunks(clauses(head, most), F.lit("전문"), empty, empty, False)).otherwise(F.array())
 
     def extra(s):
-        label = F.btrim(F.regexp_replace(F.regexp_extract(F.substring(s, 1, 50), APPENDIX, 1), r"(?U)\s+", ""), F.lit("[〔"))
+        label = F.btrim(F.regexp_replace(F.regexp_extract(s, APPENDIX, 1), r"(?U)\s+", ""), F.lit("[〔"))
         return let(label, lambda x: as_chunks(_fitted(s, most), x, empty, empty, False))
 
     chunks = F.concat(F.when(F.size("articles") > 1, F.concat(preamble, main)).otherwise(whole), F.flatten(F.transform(F.transform("extras", strip), extra)))

@@ -99,3 +99,10 @@ def test_body_after_the_header(spark):
 
     df = spark.createDataFrame([("규정명: x\n" + "=" * 40 + "\n본문 \n",), (" 머리 없음 ",)], "t string")
     assert [r.b for r in df.select(chunking.body_of(F.col("t")).alias("b")).collect()] == ["본문", "머리 없음"]
+
+
+def test_labels_of_any_length(spark):
+    """Labels, titles and appendix marks with more blanks than any prefix would hold."""
+    body = "제" + " " * 300 + "7" + " " * 300 + "조(목적) 이 규정은 예시 본문이다. 충분히 길다.\n부" + " " * 200 + "칙 이 규정은 공포한 날부터 시행한다."
+    rows = chunking.chunk(spark.createDataFrame([("r", body)], "id string, body string"), carry=[]).collect()
+    assert [(r.article, r.article_title) for r in rows] == [("제7조", "목적"), ("부칙", "")]

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +35,27 @@ def test_html_to_text(spark, html, want):
     assert value(spark, html, T.html_to_text) == want
 
 
+def test_long_lines_take_linear_time(spark):
+    """A page on one line, with and without quotes, brackets and attributes that end nowhere."""
+    n = 100_000
+    lines = ["word " * (n // 5), "가나 \" " * (n // 5), '<a href="x">word</a> ' * (n // 20), "a < b " * (n // 6), "<a <b " * (n // 6), 'x" src="a ' * (n // 10), "&amp; " * (n // 6)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, t string")
+    began = time.monotonic()
+    got = {r.i: r.x for r in df.select("i", T.html_to_text("t").alias("x")).collect()}
+    assert time.monotonic() - began < 5 * len(lines)
+    assert got[0] == ("word " * (n // 5)).strip() and got[2] == " ".join(["word"] * (n // 20)) and got[6] == ("& " * (n // 6)).strip()
+
+
+def test_residue_of_attributes(spark):
+    assert value(spark, 'a 그림 b" src="/x.gif" />본문 c" alt="d" e" title="f"끝 "따옴" 표', T.html_to_text) == '끝 "따옴" 표'
+    assert value(spark, 'p q" value="1" r" src="2" s', T.html_to_text) == "s"
+
+
+def test_residue_count(spark):
+    df = spark.createDataFrame([('x체크박스" value="1" />',), ("깨끗",), (None,)], "text string")
+    assert tuple(T.residue_count(df).first()) == (3, 1)
+
+
 def test_names(spark):
     assert value(spark, '학칙: "개정/안"?', T.safe_file_name) == "학칙_ _개정_안"
     assert value(spark, "가" * 100, T.safe_file_name) == "가" * 80
