@@ -106,3 +106,16 @@ def answer_verdicts(rows: DataFrame) -> DataFrame:
 def answer_report(rows: DataFrame) -> DataFrame:
     """(n, n_success, n_guarded, n_invented): one row."""
     return rows.agg(F.count("*").alias("n"), F.count_if("success").alias("n_success"), F.count_if("guarded").alias("n_guarded"), F.count_if("invented").alias("n_invented"))
+
+
+def academic_report(results: DataFrame, cases: DataFrame) -> DataFrame:
+    """(n, n_hit, rate, n_attached_first): cases whose first results say an expected word in name, article
+    title or location, and cases whose first result is a rule of an attached school."""
+    rate = hit_rate(hits(results, cases, ["name", "article_title", "location"]))
+    first = results.where(F.col("rank") == 1).join(cases.select("qid"), "qid", "left_semi")
+    return rate.join(F.broadcast(first.agg(F.count_if(F.col("name").rlike(C.ATTACHED_FIRST)).alias("n_attached_first"))), F.lit(True))
+
+
+def contacts_by_source(groups: DataFrame, source: str) -> DataFrame:
+    """(source, n): how many contacts each source has."""
+    return groups.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n"))

@@ -1,11 +1,15 @@
-"""The batch pipeline: collected regulations to dated ones, chunks, and an index, as tables."""
+"""The batch pipeline: collected regulations to dated ones, chunks, an index, vectors and an evaluation."""
+
+import time
+from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import chunking, keyword
-from ..sources import tables
+from ..operators import chunking, embedding, keyword
+from .search import searched_text
 
 
 def dated(regulations: DataFrame, law_text: str = "law_text", body: str = "body") -> DataFrame:
@@ -20,18 +24,76 @@ def dated(regulations: DataFrame, law_text: str = "law_text", body: str = "body"
     return rows.withColumn("status", text.status("name", "revision_type")).drop("__d")
 
 
-def refresh(spark: SparkSession, regulations: DataFrame, out: str, name: str | None = None) -> dict[str, str]:
-    """Chunks and postings of ``regulations`` (with ``body``) as tables under ``out``.  With ``name``,
-    only regulations whose name has it are chunked again and the others' chunks stay."""
-    todo = regulations.where(F.col("name").contains(name)) if name else regulations
-    chunks = chunking.chunk(todo)
-    if name:
-        # The old table is read while the new one is written, so that goes to a place of its own.
-        chunks = chunking.refreshed(spark.read.parquet(f"{out}/chunks"), chunks)
-        chunks.write.mode("overwrite").parquet(f"{out}/chunks.new")
-        chunks = spark.read.parquet(f"{out}/chunks.new")
-    tables.write_chunks(chunks, f"{out}/chunks")
-    chunks = spark.read.parquet(f"{out}/chunks")
-    terms = keyword.tokenised(chunks, "chunk_id", "text").select("doc_id", F.explode("ts").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    tables.write_postings(terms, f"{out}/postings")
-    return {t: f"{out}/{t}" for t in ("chunks", "postings")}
+class Step(NamedTuple):
+    """What a step of a refresh did; ``ok`` is None where it was left out."""
+
+    name: str
+    ok: bool | None
+    seconds: float
+    error: str = ""
+
+
+def summary(spark: SparkSession, steps: list[Step]) -> DataFrame:
+    """(name, ok, seconds, error) of a refresh's steps and of all together."""
+    total = Step("total", not any(s.ok is False for s in steps), sum(s.seconds for s in steps))
+    return spark.createDataFrame([*steps, total], "name string, ok boolean, seconds double, error string")
+
+
+def _replace(spark: SparkSession, table: DataFrame, path: str, partition: str | None = None) -> DataFrame:
+    """Writes ``table``, which may be read from ``path`` itself, over what is there."""
+    table.write.mode("overwrite").parquet(f"{path}.new")
+    fresh = spark.read.parquet(f"{path}.new")
+    writer = fresh.write.mode("overwrite")
+    (writer.partitionBy(partition) if partition else writer).parquet(path)
+    return spark.read.parquet(path)
+
+
+def refresh(spark: SparkSession, regulations: DataFrame, out: str, name: str | None = None, load: Callable | None = None, evaluate: Callable[[dict[str, str]], DataFrame] | None = None, enrich: bool = False, skip: tuple[str, ...] = ()) -> list[Step]:
+    """Chunks, keyword index, vectors and an evaluation of ``regulations`` (with ``body``) as tables under
+    ``out``: chunks, index, vectors, evaluation.  A step that fails is told and the next ones run.
+
+    With ``name``, only regulations whose name has it are chunked and embedded again and the others'
+    rows stay; the index, whose frequencies are of all chunks, is always whole.  ``load`` makes the
+    encoder, without which there are no vectors; ``evaluate`` gets the tables' paths and returns a
+    report; ``enrich`` dates the regulations first; ``skip`` names steps to leave out."""
+    paths = {t: f"{out}/{t}" for t in ("chunks", "index", "vectors", "evaluation")}
+    held = {"regulations": regulations}
+    steps = []
+
+    def todo():
+        rows = held["regulations"]
+        return rows.where(F.col("name").contains(name)) if name else rows
+
+    def run_enrich():
+        held["regulations"] = dated(regulations)
+
+    def run_chunks():
+        chunks = chunking.chunk(todo())
+        if name:
+            chunks = chunking.refreshed(spark.read.parquet(paths["chunks"]), chunks)
+        _replace(spark, chunks, paths["chunks"], "source")
+
+    def run_index():
+        keyword.write_index(keyword.build(spark.read.parquet(paths["chunks"]).select("chunk_id", searched_text().alias("text")), "chunk_id"), paths["index"])
+
+    def run_vectors():
+        chunks = spark.read.parquet(paths["chunks"])
+        if name:
+            chunks = chunks.join(todo().select(F.col("id").alias("reg_id")).distinct(), "reg_id", "left_semi")
+        _replace(spark, embedding.rebuilt(spark.read.parquet(paths["vectors"]) if name else None, chunks, load), paths["vectors"])
+
+    def run_evaluation():
+        evaluate(paths).write.mode("overwrite").json(paths["evaluation"])
+
+    wanted = [("enrich", run_enrich, enrich), ("chunks", run_chunks, True), ("index", run_index, True), ("vectors", run_vectors, load is not None), ("evaluation", run_evaluation, evaluate is not None)]
+    for step, run, there in wanted:
+        if not there or step in skip:
+            steps.append(Step(step, None, 0.0))
+            continue
+        began = time.monotonic()
+        try:
+            run()
+            steps.append(Step(step, True, time.monotonic() - began))
+        except Exception as e:  # told, not raised: the steps after it may still do their work
+            steps.append(Step(step, False, time.monotonic() - began, str(e).split("\n")[0]))
+    return steps

@@ -13,6 +13,8 @@ from .functions import text as T
 from .operators import analytics, answers, chunking, keyword, ranking, vector
 from .plans import search as hybrid
 from .sources import boards
+from .spread import spread
+from .storage import keep, shared_folder
 from .streaming import logs
 
 
@@ -100,9 +102,9 @@ def document_frequencies(spark, sf_dir):
     return keyword.document_frequencies(table(spark, sf_dir, "documents"))
 
 
-@query(f"SELECT doc_id, len(ts)::INT AS n_tokens, array_to_string(list_slice(ts, 1, 8), ' ') AS first_tokens FROM (SELECT doc_id, {_tokens('text')} AS ts FROM documents)")
+@query(f"SELECT doc_id, len(ts)::INT AS n_tokens, sha256(array_to_string(ts, ' ')) AS tokens_sha256 FROM (SELECT doc_id, {_tokens('text')} AS ts FROM documents)")
 def tokenise(spark, sf_dir):
-    return keyword.tokenised(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", F.size("ts").alias("n_tokens"), F.array_join(F.slice("ts", 1, 8), " ").alias("first_tokens"))
+    return keyword.tokenised(spread(table(spark, sf_dir, "documents")), "doc_id", "text").select("doc_id", F.size("ts").alias("n_tokens"), F.sha2(F.array_join("ts", " "), 256).alias("tokens_sha256"))
 
 
 _NEAREST = """
@@ -192,10 +194,11 @@ def hybrid_filtered(spark, sf_dir):
 
 
 @query(f"""WITH {_bm25(_PLAIN)} SELECT qid, doc_id, round(CASE WHEN max(keyword) OVER w - min(keyword) OVER w < 1e-9 THEN CASE WHEN max(keyword) OVER w > 0 THEN 1e0 ELSE 0e0 END
- ELSE (keyword - min(keyword) OVER w) / (max(keyword) OVER w - min(keyword) OVER w) END, 4) AS scaled FROM ({_top(50)}) WINDOW w AS (PARTITION BY qid)""")
+ ELSE (keyword - min(keyword) OVER w) / (max(keyword) OVER w - min(keyword) OVER w) END, 4) AS scaled FROM kw WINDOW w AS (PARTITION BY qid)""")
 def minmax_fusion(spark, sf_dir):
-    found = ranking.minmax(_keyword_top(spark, sf_dir, 50), "keyword")
-    return found.select("qid", "doc_id", F.round("keyword_scaled", 4).alias("scaled"))
+    """Every candidate of every question, scaled between the question's extremes."""
+    found = keyword.scores(table(spark, sf_dir, "documents"), _questions(spark, sf_dir))
+    return ranking.minmax(keep(found, "candidates"), "keyword").select("qid", "doc_id", F.round("keyword_scaled", 4).alias("scaled"))
 
 
 @query("""WITH scored AS (SELECT 1 AS qid, doc_id, source, md5(text) AS name, lang AS article, n_chars::DOUBLE AS score FROM documents)
@@ -206,14 +209,17 @@ def dedupe_merge(spark, sf_dir):
     return ranking.merged(d).select("chunk_id", "source", F.array_join("also_sources", ",").alias("also_sources"))
 
 
-@query(f"""WITH {_bm25(_PLAIN)}, r AS (SELECT t.*, lang FROM ({_top(100)}) t JOIN documents USING (doc_id)), top AS (SELECT *, CASE WHEN lang = 'en' THEN 'en' ELSE 'other' END AS source FROM r),
-counted AS (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY rank) AS rs, count(*) FILTER (WHERE rank <= 10) OVER (PARTITION BY qid, source) AS n_in, count(*) OVER (PARTITION BY qid, source) AS n_all FROM top),
-gains AS (SELECT *, CASE WHEN n_in < 3 THEN least(3, n_all) - n_in ELSE 0 END AS gain FROM counted), moved AS (SELECT *, max(gain) OVER (PARTITION BY qid) AS x FROM gains)
-SELECT qid, doc_id AS chunk_id, source, row_number() OVER (PARTITION BY qid ORDER BY rank > 10, rank)::INT AS rank FROM moved WHERE CASE WHEN gain > 0 THEN rs <= n_in + gain ELSE rank <= 10 AND rs <= n_in - x END""")
+@query(f"""WITH {_bm25(_PLAIN)}, top AS (SELECT qid, doc_id, lang AS source, row_number() OVER (PARTITION BY qid ORDER BY round(keyword, 9) DESC, doc_id) AS rank FROM kw JOIN documents USING (doc_id)),
+counted AS (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY rank) AS nth, count(*) FILTER (WHERE rank <= 10) OVER (PARTITION BY qid, source) AS n_in FROM top),
+marked AS (SELECT *, rank > 10 AND n_in < 3 AND nth <= 3 AS late, rank <= 10 AND nth > 3 AS spare FROM counted WHERE rank <= 10 OR n_in < 3 AND nth <= 3),
+room AS (SELECT *, count(*) FILTER (WHERE late) OVER (PARTITION BY qid) AS n_late, row_number() OVER (PARTITION BY qid, spare ORDER BY rank DESC) AS from_end FROM marked)
+SELECT qid, doc_id AS chunk_id, source, row_number() OVER (PARTITION BY qid ORDER BY late, CASE WHEN late THEN source END, rank)::INT AS rank FROM room WHERE NOT (spare AND from_end <= n_late)""")
 def source_quota(spark, sf_dir):
-    langs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang") == "en", "en").otherwise("other").alias("source"))
-    top = _keyword_top(spark, sf_dir, 100).join(langs, "doc_id").withColumnRenamed("doc_id", "chunk_id").withColumns({"top_k": F.lit(10), "free": F.lit(True)})
-    return ranking.with_sources(top).select("qid", "chunk_id", "source", "rank")
+    """Ten results of all candidates, with every language given its due."""
+    langs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("source"))
+    found = keyword.scores(table(spark, sf_dir, "documents"), _questions(spark, sf_dir)).withColumnsRenamed({"doc_id": "chunk_id", "keyword": "score"})
+    pool = ranking.pooled(keep(found.join(F.broadcast(langs) if langs.count() <= keyword.MOST_TERMS else langs, "chunk_id"), "candidates"))
+    return ranking.with_sources(ranking.ranked(pool).withColumns({"top_k": F.lit(10), "free": F.lit(True)})).select("qid", "chunk_id", "source", "rank")
 
 
 @query(f"""WITH {_bm25(_PLAIN)}, r AS (SELECT t.qid, t.doc_id, t.rank, source FROM ({_top(10)}) t JOIN documents USING (doc_id)), g AS (SELECT *, min(rank) OVER (PARTITION BY qid, source) AS f, count(*) OVER (PARTITION BY qid, source) AS group_size FROM r)
@@ -260,20 +266,20 @@ def _html_sql(x: str) -> str:
 
 @query(f"SELECT page_id, sha256(t) AS text_sha256, length(t)::INT AS n FROM (SELECT page_id, {_html_sql('html')} AS t FROM pages)")
 def html_to_text(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", T.html_to_text("html").alias("t"))
+    pages = spread(table(spark, sf_dir, "pages")).select("page_id", T.html_to_text("html").alias("t"))
     return pages.select("page_id", F.sha2("t", 256).alias("text_sha256"), F.length("t").alias("n"))
 
 
 @query(f"SELECT doc_id, sha256(t) AS text_sha256, length(t)::INT AS n FROM (SELECT doc_id, {_clean_sql('text')} AS t FROM documents)")
 def clean_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.clean_text("text").alias("t")).select("doc_id", F.sha2("t", 256).alias("text_sha256"), F.length("t").alias("n"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", T.clean_text("text").alias("t")).select("doc_id", F.sha2("t", 256).alias("text_sha256"), F.length("t").alias("n"))
 
 
 @query(f"""SELECT doc_id AS reg_id, doc_id || '#' || (i - 1) AS chunk_id, '전문' AS article, sha256({_strip('p')}) AS text_sha256 FROM
 (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, {_packed(_strip('text'))} AS ps FROM documents)) WHERE length({_strip('p')}) >= 15""")
 def paragraph_pack(spark, sf_dir):
     """Texts without articles, packed paragraph by paragraph."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return chunking.chunk(d, "doc_id", "text", carry=[]).select("reg_id", "chunk_id", "article", F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -288,7 +294,7 @@ numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k, i) - 1
 SELECT doc_id || '#' || n AS chunk_id, article, title AS article_title, chapter, '' AS clause, sha256({_strip('p')}) AS text_sha256 FROM numbered WHERE length({_strip('p')}) >= 15""")
 def chunk_regulations(spark, sf_dir):
     """Regulations with chapters, articles and an appendix around every document's text."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     c = F.lit
     body = F.concat(c("제1장 "), "source", c("\n제 1 조(목적) "), "text", c("\n제2장 "), "lang", c("\n제2조의 3 ( 정의 ) "), "text", c("\n부 칙\n"), "text")
     # The label is cleaned, not the text; so give it clean where texts are compared.
@@ -300,12 +306,12 @@ def chunk_regulations(spark, sf_dir):
 s AS (SELECT doc_id, {_strip("replace(substr(text, CASE WHEN a > 0 THEN greatest(1, a - 45) WHEN b > 0 THEN greatest(1, b - 45) WHEN c > 0 THEN greatest(1, c - 45) ELSE 1 END, 180), chr(10), ' ')")} AS t FROM p)
 SELECT doc_id, CASE WHEN length(t) >= 180 THEN substr(t, 1, 180) || '…' ELSE t END AS snippet FROM s""")
 def snippet(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.snippet("text", F.lit("tion la, retion")).alias("snippet"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", T.snippet("text", F.lit("tion la, retion")).alias("snippet"))
 
 
 @query("SELECT doc_id, sha256(regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(tion\\.|the|la)', '<mark>\\1</mark>', 'gi')) AS marked_sha256 FROM documents")
 def highlight(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.highlight("text", F.lit("la tion. the")), 256).alias("marked_sha256"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.sha2(T.highlight("text", F.lit("la tion. the")), 256).alias("marked_sha256"))
 
 
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, '[' || replace(o_orderpriority, ' ', '') || ']' AS revision_type, strftime(o_orderdate, '%Y-%m-%d') AS enforce_date, 'No ' || o_orderkey AS rule_no FROM orders""")
@@ -447,13 +453,18 @@ def log_window_counts(spark, sf_dir):
     return logs.windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query()
+@query("""WITH last AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events)
+SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events, last WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= mark GROUP BY ALL""")
 def streaming_log_counts(spark, sf_dir):
-    """The same as a stream that runs until it has read what is there; windows that the watermark
-    has not closed yet are not in it."""
+    """The same as a stream that runs until it has read what is there: the windows that the watermark,
+    ten minutes before the latest event, has closed."""
     import uuid
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream = logs.read_stream(spark, sf_dir, table(spark, sf_dir, "events").schema, pattern="events.parquet")
     logs.run_once(logs.windowed_counts(stream, "ts", "event_type"), base + "/out", base + "/state")
-    return spark.read.schema("window_start timestamp, event_type string, n bigint").parquet(base + "/out")
+    return spark.read.schema("window_start timestamp, event_type string, n bigint").parquet(base + "/out").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+# Cases that are made of the tables' columns, for the rest of the operators.
+from . import cases  # noqa: E402, F401

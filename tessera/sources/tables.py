@@ -41,14 +41,6 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").partitionBy("source").parquet(path)
 
 
-def write_postings(postings: DataFrame, path: str, name: str | None = None, buckets: int = 64) -> None:
-    """Postings sorted by term; as a named table, bucketed by it, so that queries join without a shuffle."""
-    if name:
-        postings.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").option("path", path).saveAsTable(name)
-    else:
-        postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(path)
-
-
 def append_log(entries: DataFrame, path: str) -> None:
     """Appends answers to the log, untruncated."""
     entries.write.mode("append").json(path)
@@ -61,10 +53,30 @@ def feedback_entries(entries: DataFrame) -> DataFrame:
     return entries.where(F.col("vote").isin("up", "down")).select("timestamp", cut("question").alias("question"), "vote", cut("answer_preview").alias("answer_preview"), F.slice("chunk_ids", 1, n["chunk_ids"]).alias("chunk_ids"), cut("comment").alias("comment"))
 
 
+def contact_sheet(groups: DataFrame, source: str, department: str, contact: str, count: str, names: str) -> DataFrame:
+    """The contacts in order of source and department, with empty columns for corrections."""
+    columns = [F.col(c).alias(h) for c, h in zip((source, department, contact, count, names), C.CONTACT_HEAD, strict=False)]
+    return groups.select(*columns, *(F.lit("").alias(h) for h in C.CONTACT_HEAD[5:])).orderBy(*C.CONTACT_HEAD[:3])
+
+
+def _in_one(rows: DataFrame) -> DataFrame:
+    """Few rows, in their order, as one partition."""
+    return rows.withColumn("__at", F.monotonically_increasing_id()).repartition(1).sortWithinPartitions("__at").drop("__at")
+
+
 def write_contacts(groups: DataFrame, path: str) -> None:
-    """The contact sheet as CSV that spreadsheets read as UTF-8: the first header has a mark."""
+    """The contact sheet as CSV that spreadsheets read as UTF-8: the first header has a mark.  A sheet is
+    for people to read, so it is one file."""
     first = groups.columns[0]
-    groups.withColumnRenamed(first, "﻿" + first).write.mode("overwrite").option("header", True).csv(path)
+    _in_one(groups).withColumnRenamed(first, "\ufeff" + first).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_markdown(rows: DataFrame, title: str, note: str, path: str) -> None:
+    """A Markdown file: title, note, and the rows, in their order, as a table with its head."""
+    head = [f"# {title}", "", note, "", "| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
+    lines = rows.sparkSession.createDataFrame([(line, i - len(head)) for i, line in enumerate(head)], "line string, __at bigint")
+    every = lines.union(markdown_table(rows).withColumn("__at", F.monotonically_increasing_id()))
+    every.repartition(1).sortWithinPartitions("__at").drop("__at").write.mode("overwrite").text(path)
 
 
 def markdown_table(rows: DataFrame) -> DataFrame:
@@ -72,6 +84,18 @@ def markdown_table(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]), F.lit(" |")).alias("line"))
 
 
+def with_default_contact(rows: DataFrame, contacts: dict[str, str], default: str) -> DataFrame:
+    """``contact`` by department; a missing department is the default one, and an unknown one has its contact."""
+    known = F.create_map(*[F.lit(x) for kv in contacts.items() for x in kv])
+    name = F.when(F.coalesce("department", F.lit("")) == "", default).otherwise(F.col("department"))
+    return rows.withColumns({"department": name, "contact": F.coalesce(F.try_element_at(known, name), F.lit(contacts[default]))})
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """An evaluation's report as JSON lines."""
+    report.write.mode("overwrite").json(path)
+
+
 def merge_sources(university: DataFrame, foundation: DataFrame) -> DataFrame:
     """Regulations of both collections; columns that one lacks are null."""
     return university.unionByName(foundation, allowMissingColumns=True)

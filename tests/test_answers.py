@@ -62,11 +62,11 @@ def test_follow_up_rewriting(spark, query, before, want):
     assert spark.createDataFrame([(query, before)], "q string, p string").select(answers.rewritten_follow_up("q", "p").alias("x")).first().x == want
 
 
-def test_rewritings_of_models():
-    ok = answers.accepted_rewrite
-    assert ok("휴학하려면 어떻게 해?", '"휴학 신청 절차"') == "휴학 신청 절차"
-    assert ok("휴학하려면", "N/A") == ok("휴학하려면", "") == ok("휴학하려면", "휴학" * 41) == ok("휴학하려면", "전과 절차") == "휴학하려면"
-    assert ok("그럼?", "휴학 기간", "휴학은?") == "휴학 기간"
+def test_rewritings_of_models(spark):
+    rows = [("휴학하려면 어떻게 해?", '"휴학 신청 절차"', "", "휴학 신청 절차"), ("휴학하려면", "N/A", "", None), ("휴학하려면", "n/a 없음", "", None), ("휴학하려면", "", "", None), ("휴학하려면", None, "", None), ("휴학하려면", "휴학" * 41, "", None), ("휴학하려면", "전과 절차", "", None), ("그럼?", "휴학 기간", "휴학은?", "휴학 기간"), ("?", "아무 말", "", "아무 말")]
+    df = spark.createDataFrame(rows, "q string, r string, p string, want string")
+    got = df.select("q", "want", answers.accepted_rewrite("q", "r", F.col("p")).alias("x")).collect()
+    assert [r.x for r in got] == [r.want or r.q for r in got]
 
 
 def test_history(spark):
@@ -95,7 +95,39 @@ def test_answers_end_to_end(found):
     assert got[1].status == "answered" and "- 학사관리 규정 제31조" in got[1].answer and got[1].foreign_numbers == []
     assert got[2].answer == C.NOT_FOUND and got[2].status == got[3].status == "refused" and not got[3].used_llm
     failed = plan.answer(prompted, lambda p: pd.Series([None] * len(p), dtype=object), []).where("qid = 1").first()
-    assert failed.status == "fallback_no_llm" and not failed.used_llm
+    assert (failed.status, failed.reason) == ("fallback_no_llm", "failed") and not failed.used_llm and failed.answer.startswith("[생성 불가: no answer]\n\n- ")
+
+
+class Stub:
+    """A backend without a model."""
+
+    def __init__(self, there=True):
+        self.there = there
+
+    def is_available(self):
+        return self.there
+
+    def generate(self, system, prompt):
+        if "장학" in prompt:
+            raise RuntimeError("out of memory")
+        return "20일 전에 낸다."
+
+    def generate_stream(self, system, prompt):
+        yield "20일 "
+        yield self.generate(system, prompt)
+
+
+def test_backends(spark):
+    rows = [(1, "휴학?", True, "20일", "- 가 제1조"), (2, "장학?", True, "", "- 나 제2조"), (3, "날씨", False, "", "")]
+    prompted = spark.createDataFrame([(*r, ["가"], r[1]) for r in rows], "qid int, text string, found boolean, context string, sources string, related_regulations array<string>, prompt string")
+    got = {r.qid: r for r in plan.answer(prompted, Stub(), []).collect()}
+    assert {q: (r.status, r.reason, r.used_llm, r.error) for q, r in got.items()} == {1: ("answered", "", True, ""), 2: ("fallback_no_llm", "failed", False, "out of memory"), 3: ("refused", "", False, "")}
+    assert got[2].answer == "[생성 불가: out of memory]\n\n- 나 제2조"
+    none = {r.qid: r for r in plan.answer(prompted, Stub(False), []).collect()}
+    assert {q: r.reason for q, r in none.items()} == {1: "unavailable", 2: "unavailable", 3: ""} and plan.UNAVAILABLE in none[1].answer
+    stream = lambda q, b: "".join(plan.answer_stream(prompted.where(F.col("qid") == q).first().asDict(), b))
+    assert stream(1, Stub()) == "20일 20일 전에 낸다." and stream(3, Stub()) == C.NOT_FOUND
+    assert stream(2, Stub()).endswith("[생성 불가: out of memory]\n\n- 나 제2조") and stream(1, Stub(False)).startswith("[생성 불가: " + plan.UNAVAILABLE)
 
 
 def test_popular(spark):

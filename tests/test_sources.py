@@ -113,11 +113,19 @@ def test_logs_and_feedback(spark, tmp_path):
 
 
 def test_sinks(spark, tmp_path):
-    rows = spark.createDataFrame([("대학", "과", 3)], "`출처` string, `담당부서` string, `해당규정수` int")
-    tables.write_contacts(rows, str(tmp_path / "csv"))
-    text = "".join(p.read_text(encoding="utf-8") for p in (tmp_path / "csv").glob("*.csv"))
-    assert text.startswith("﻿출처,담당부서,해당규정수") and "대학,과,3" in text
-    assert tables.markdown_table(rows).first().line == "| 대학 | 과 | 3 |"
+    groups = spark.createDataFrame([("산학", "나", "2", 1, "a"), ("대학", "과", "1", 3, "b, c")], "source string, department string, contact string, n int, names string")
+    sheet = tables.contact_sheet(groups, "source", "department", "contact", "n", "names")
+    tables.write_contacts(sheet, str(tmp_path / "csv"))
+    (text,) = [p.read_text(encoding="utf-8") for p in (tmp_path / "csv").glob("*.csv")]
+    assert text.startswith("\ufeff출처,담당부서,") and text.splitlines()[1].startswith("대학,과,1,3,") and text.splitlines()[2].startswith("산학,나")
+    tables.write_markdown(sheet, "목록", "확인 바랍니다.", str(tmp_path / "md"))
+    (text,) = [p.read_text(encoding="utf-8") for p in (tmp_path / "md").glob("*.txt")]
+    assert text.splitlines()[:3] == ["# 목록", "", "확인 바랍니다."] and text.splitlines()[5] == "|---|---|---|---|---|---|---|"
+    assert [line[:6] for line in text.splitlines()[6:]] == ["| 대학 |", "| 산학 |"]
+    known = tables.with_default_contact(spark.createDataFrame([("가",), ("다",), (None,), ("",)], "department string"), {"가": "1", "나": "2"}, "나")
+    assert [tuple(r) for r in known.select("department", "contact").collect()] == [("가", "1"), ("다", "2"), ("나", "2"), ("나", "2")]
+    tables.write_report(spark.range(2), str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).count() == 2
     merged = tables.merge_sources(spark.createDataFrame([("a",)], "id string"), spark.createDataFrame([("b", 1)], "id string, rulebook_page int"))
     assert {tuple(r) for r in merged.collect()} == {("a", None), ("b", 1)}
     path = tmp_path / "r.json"
@@ -130,12 +138,23 @@ def test_refresh(spark, tmp_path):
     df = spark.createDataFrame(regs, "id string, source string, category string, name string, department string, contact string, source_url string, law_url string, body string, law_text string, date string, rule_no string")
     dated = {r.id: (r.enforce_date, r.revision_type, r.rule_no, r.status) for r in refresh.dated(df).collect()}
     assert dated == {"r1": ("2024-01-02", "제정", "가 제1호", "현행"), "r2": ("2025-07-01", "개정", "", "현행")}
-    paths = refresh.refresh(spark, df, str(tmp_path))
-    assert spark.read.parquet(paths["chunks"]).count() == 2 and spark.read.parquet(paths["postings"]).count() > 5
+    chunks = lambda: {r.reg_id: r["count"] for r in spark.read.parquet(str(tmp_path / "chunks")).groupBy("reg_id").count().collect()}
+    stub = lambda: lambda texts: [[len(t), 1.0] for t in texts]
+    steps = refresh.refresh(spark, df, str(tmp_path), load=stub, evaluate=lambda paths: spark.range(3), enrich=True)
+    assert [(s.name, s.ok) for s in steps] == [(n, True) for n in ("enrich", "chunks", "index", "vectors", "evaluation")]
+    assert chunks() == {"r1": 1, "r2": 1} and spark.read.parquet(str(tmp_path / "vectors")).count() == 2
     new = df.withColumn("body", F.concat("body", F.lit("\n제2조(추가) 새로 생긴 조문의 본문이다.")))
-    refresh.refresh(spark, new, str(tmp_path), name="나")
-    got = spark.read.parquet(paths["chunks"]).groupBy("reg_id").count().collect()
-    assert {r.reg_id: r["count"] for r in got} == {"r1": 1, "r2": 2}
+    steps = refresh.refresh(spark, new, str(tmp_path), name="나", load=stub, skip=("index",))
+    assert [s.ok for s in steps] == [None, True, None, True, None] and chunks() == {"r1": 1, "r2": 2}
+    assert spark.read.parquet(str(tmp_path / "vectors")).groupBy("reg_id").count().collect()
+    assert {r.reg_id: r["count"] for r in spark.read.parquet(str(tmp_path / "vectors")).groupBy("reg_id").count().collect()} == {"r1": 1, "r2": 2}
+
+    def broken(paths):
+        raise OSError("no report")
+
+    steps = refresh.refresh(spark, df, str(tmp_path), evaluate=broken)
+    told = refresh.summary(spark, steps).collect()
+    assert [(r["name"], r.ok) for r in told] == [("enrich", None), ("chunks", True), ("index", True), ("vectors", None), ("evaluation", False), ("total", False)] and told[4].error == "no report"
 
 
 def test_streaming_counts(spark, tmp_path):
