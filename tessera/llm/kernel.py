@@ -2,8 +2,8 @@
 
 Everything works on UTF-8 bytes.  A separator table says which bytes end a word;
 bytes of 0x80 and more always belong to words, so multi-byte characters stay
-whole.  Work is done in slices of bounded size, hence memory does not depend on
-how many rows an Arrow batch has; one very long text is cut at separators.
+whole.  Bytes are hashed block by block, so that memory depends neither on how many rows
+an Arrow batch has, nor on how long a text or a word is; only a text's words add up.
 """
 
 import functools
@@ -11,10 +11,11 @@ import functools
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are hashed at a time.
+#: Bytes of text in a slice, but for a single longer text, and bytes that are hashed at a time.
 SLICE_BYTES = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LOW63 = np.uint64((1 << 63) - 1)
 
@@ -45,19 +46,35 @@ def byte_values() -> np.ndarray:
     return values
 
 
-@functools.cache
+@functools.lru_cache(maxsize=2)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
     with np.errstate(over="ignore"):
         out = []
-        for base in (_BASE, inverse):
+        for base in (_BASE, _INVERSE):
             p = np.full(size + 1, base, np.uint64)
             p[0] = 1
             out.append(np.cumprod(p, dtype=np.uint64))
     return out[0], out[1]
 
 
+def _power(base: np.uint64, exponent: int) -> np.uint64:
+    return np.uint64(pow(int(base), exponent, 1 << 64))
+
+
+def span_hashes(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of the values from ``first`` to before ``last``, the same wherever they stand."""
+    with np.errstate(over="ignore"):
+        total, down = np.zeros(len(values) + 1, np.uint64), np.empty(len(values) + 1, np.uint64)
+        down[len(values)] = _power(_INVERSE, len(values))
+        for a in range(0, len(values), SLICE_BYTES):
+            part = values[a : a + SLICE_BYTES]
+            up, inverse = _powers(SLICE_BYTES)
+            total[a + 1 : a + 1 + len(part)] = total[a] + np.cumsum(part * up[: len(part)], dtype=np.uint64) * _power(_BASE, a)
+            down[a : a + len(part)] = inverse[: len(part)] * _power(_INVERSE, a)
+        return mix((total[last] - total[first]) * down[first])
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     h = (h ^ (h >> np.uint64(30))) * _MIX1
@@ -89,33 +106,34 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES):
         first = last
 
 
-def _pieces(buf: np.ndarray, table: np.ndarray):
-    """Byte ranges of bounded size that end at separators."""
-    at, n = 0, len(buf)
-    while at < n:
-        end = min(at + SLICE_BYTES, n)
-        while end < n:
-            gaps = np.flatnonzero(~table[buf[at:end]])
-            if len(gaps):
-                end = at + int(gaps[-1]) + 1
-                break
-            end = min(end + SLICE_BYTES, n)
-        yield at, end
-        at = end
-
-
-def _hash_piece(buf, cuts, table, values, prefix):
-    word = table[buf]
-    before, after = np.empty_like(word), np.empty_like(word)
-    before[0], after[-1] = False, False
-    before[1:], after[:-1] = word[:-1], word[1:]
-    before[cuts], after[cuts - 1] = False, False
-    starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
-    up, down = _powers(1 << max(18, (len(buf) - 1).bit_length()))
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(values[buf] * up[: len(buf)], out=total[1:], dtype=np.uint64)
-    upto = np.minimum(starts + prefix, ends) if prefix else starts
-    return starts, ends, mix((total[ends] - total[starts]) * down[starts]), mix((total[upto] - total[starts]) * down[starts]) if prefix else starts[:0]
+def _hash_block(buf, a, b, bounds, table, values, prefix, before, carry):
+    """The words that begin or end in the bytes ``a`` to ``b`` of ``buf``: (starts, total before each, its
+    hash's factor, heads, ends, total before each), whether the block ends inside a word, and the
+    total up to its end.  ``before`` and ``carry`` are those of the block before."""
+    more = min(b + prefix, len(buf))
+    data = buf[a:more]
+    inside = table[data]
+    n = b - a
+    up, down = _powers(SLICE_BYTES + 64)
+    total = np.empty(len(data) + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(values[data] * up[: len(data)], out=total[1:], dtype=np.uint64)
+    total = total * _power(_BASE, a) + carry
+    word = inside[:n]
+    left = np.empty(n, bool)
+    left[0], left[1:] = before, word[:-1]
+    cut = bounds[np.searchsorted(bounds, a) : np.searchsorted(bounds, b)] - a
+    joined = left.copy()
+    joined[cut] = False
+    starts, ends = np.flatnonzero(word & ~joined), np.flatnonzero(left & ~(word & joined))
+    heads = starts[:0]
+    if prefix:
+        stop = np.append(np.flatnonzero(~inside), len(data))
+        upto = np.minimum(starts + prefix, stop[np.searchsorted(stop, starts)])
+        marks = np.append(bounds[np.searchsorted(bounds, a, "right") :][: len(data) + 1] - a, len(data))
+        upto = np.minimum(upto, marks[np.minimum(np.searchsorted(marks, starts, "right"), len(marks) - 1)])
+        heads = total[upto]
+    return starts + a, total[starts], down[starts] * _power(_INVERSE, a), heads, ends + a, total[ends], bool(word[-1]), total[n]
 
 
 class Words:
@@ -132,18 +150,18 @@ class Words:
         buf = raw[lo:hi]
         edges = np.asarray(offsets, np.int64) - lo
         bounds = edges if cuts is None else np.union1d(edges, cuts)
-        parts = []
+        parts, before, carry = [], False, np.uint64(0)
         with np.errstate(over="ignore"):
-            if len(buf) <= 2 * SLICE_BYTES:
-                pieces = [(0, len(buf))] if len(buf) else []
-            else:
-                pieces = _pieces(buf, table)
-            for a, b in pieces:
-                inner = bounds[np.searchsorted(bounds, a, "right") : np.searchsorted(bounds, b)] - a
-                s, e, h, head = _hash_piece(buf[a:b], inner, table, values, prefix)
-                parts.append((s + a, e + a, h, head))
-        kinds = (np.int64, np.int64, np.uint64, np.uint64)
-        self.start, self.end, self.hash, self.head = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, kinds[i]) for i in range(4))
+            for a in range(0, len(buf), SLICE_BYTES):
+                *found, before, carry = _hash_block(buf, a, min(a + SLICE_BYTES, len(buf)), bounds, table, values, prefix, before, carry)
+                parts.append(found)
+            if before:
+                none = np.zeros(0, np.uint64)
+                parts.append([none.astype(np.int64), none, none, none, np.array([len(buf)]), np.array([carry], np.uint64)])
+            kinds = (np.int64, np.uint64, np.uint64, np.uint64, np.int64, np.uint64)
+            self.start, begin, down, heads, self.end, total = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, kinds[i]) for i in range(6))
+            self.hash = mix((total - begin) * down)
+            self.head = mix((heads - begin) * down) if prefix else begin[:0]
         self.at = np.searchsorted(self.start, edges, "left")
 
 

@@ -32,8 +32,6 @@ _ISSUED = re.compile(ISSUED.pattern[1:].encode())
 #: Bytes of text before and after a candidate that are looked at.
 AROUND = 48
 LONG, SHORT = 16, 8
-#: Of a longer value, features but for its length are those of so many first characters.
-LOOKED_AT = 4096
 
 _WORD = re.compile(r"[A-Za-z_][A-Za-z_0-9]*")
 _NAMED = re.compile(rb"(?i)(?:%s)[a-z_0-9]*[\s\"'=:]+$" % "|".join(SECRET_WORDS).encode())
@@ -48,46 +46,47 @@ def _token_bytes() -> np.ndarray:
 _TOKEN, _DIGIT = _token_bytes(), np.array([48 <= i <= 57 for i in range(256)])
 
 
-def _kind(c: str) -> int:
-    return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+_KIND = np.full(256, 3)
+_KIND[[ord(c) for c in string.ascii_lowercase]], _KIND[[ord(c) for c in string.ascii_uppercase]], _KIND[[ord(c) for c in string.digits]] = 0, 1, 2
+_VOWEL = np.zeros(256, bool)
+_VOWEL[[ord(c) for c in "aeiouAEIOU"]] = True
+_LONGEST_FIRST = sorted((w for w in DICTIONARY if len(w) >= 4), key=len, reverse=True)
 
 
-def _covered(value: str) -> float:
+def _covered(value: str, letters: int) -> float:
     """Share of the letters that dictionary words cover, longest first."""
-    low, total = value.lower(), sum(c.isalpha() for c in value)
-    hit = 0
-    for w in sorted(DICTIONARY, key=len, reverse=True):
-        if len(w) >= 4 and w in low:
+    low, hit = value.lower(), 0
+    for w in _LONGEST_FIRST:
+        if w in low:
             hit += len(w) * low.count(w)
             low = low.replace(w, " ")
-    return hit / max(total, 1)
-
-
-def _flow(value: str) -> float:
-    """Share of letter pairs of a consonant and a vowel, which language has and random text lacks."""
-    letters = re.findall("[a-z]{2,}", value.lower())
-    pairs = [(a in "aeiou") != (b in "aeiou") for w in letters for a, b in zip(w, w[1:], strict=False)]
-    return sum(pairs) / max(len(pairs), 1)
+    return hit / max(letters, 1)
 
 
 def features(value: str, before: str, after: str) -> list[float]:
-    """A candidate's features, of its characters and of what stands around it."""
-    length, value = len(value), value[:LOOKED_AT]
-    n = len(value)
-    kinds = [_kind(c) for c in value]
-    turns = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(n - 1, 1)
-    counts = [value.count(c) / n for c in set(value)]
-    entropy = -sum(p * math.log2(p) for p in counts)
+    """A candidate's features, of all its characters and of what stands around it."""
+    data = np.frombuffer(value.encode(), np.uint8)
+    n = len(data)
+    kinds = _KIND[data]
+    lower, upper, digits, others = (int(x) for x in np.bincount(kinds, minlength=4))
+    turns = int((kinds[1:] != kinds[:-1]).sum()) / max(n - 1, 1)
+    counts = np.bincount(data)
+    share = counts[counts > 0] / n
+    entropy = float(-(share * np.log2(share)).sum())
+    letter, vowel = kinds < 2, _VOWEL[data]
+    pair = letter[1:] & letter[:-1]  # a consonant and a vowel by turns, as language has them
+    flow = int((pair & (vowel[1:] != vowel[:-1])).sum()) / max(int(pair.sum()), 1)
+    runs = np.diff(np.flatnonzero(np.concatenate([[True], data[1:] != data[:-1], [True]])))
     words = [w.lower() for w in _WORD.findall(before)[-3:]]
     tail = before.rstrip(" \t\"'")
     hexish = all(c in string.hexdigits for c in value)
     return [
-        length, turns, entropy, entropy / max(math.log2(n), 1), len(set(value)) / n,
-        kinds.count(2) / n, kinds.count(1) / n, kinds.count(0) / n, kinds.count(3) / n,
-        _covered(value), _flow(value), float(hexish), float(value.isdigit()), float(n in (32, 40, 64)),
-        float(value.count("/") > 0), float(value.count(".")), float(value.count("-")), float(bool(re.search(r"(://|www\.|/)\S*$", before))), float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", value))),
+        n, turns, entropy, entropy / max(math.log2(n), 1), len(share) / n,
+        digits / n, upper / n, lower / n, others / n,
+        _covered(value, lower + upper), flow, float(hexish), float(digits == n), float(n in (32, 40, 64)),
+        float("/" in value), float(value.count(".")), float(value.count("-")), float(bool(re.search(r"(://|www\.|/)\S*$", before))), float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", value))),
         float(any(s in w for w in words for s in SECRET_WORDS)), float(any(w in HARMLESS_WORDS for w in words)), float(tail.endswith(("=", ":"))), float(before.endswith(('"', "'"))), float(after.startswith(('"', "'"))), float(bool(ISSUED.match(value))),
-        max((len(m) for m in re.findall(r"(.)\1*", value) if m), default=0) / n, float(bool(re.search(r"(.)\1{4}|x{4}|example|sample|dummy|your|test|changeme", value.lower()))),
+        int(runs.max()) / n, float(bool(re.search(r"(.)\1{4}|x{4}|example|sample|dummy|your|test|changeme", value.lower()))),
     ]
 
 
@@ -151,8 +150,10 @@ def scan(docs: DataFrame, forest: list, id_col: str = "doc_id", text_col: str =
     """(id, start, length, kind, digest, score, is_secret): every candidate with its place in code
     points, the SHA-256 of its text (never the text), and the forest's judgement.
 
-    Null and empty texts have no candidates; a candidate that is repeated is found at each
-    place; repeated rows are scanned each; an empty table gives an empty result."""
+    Null and empty texts have no candidates; texts and candidates may be of any length; a candidate
+    that is repeated is found at each place; repeated rows are scanned each, also those
+    without an id; an empty table gives an empty result; other columns, whatever their
+    names, are not read."""
     attach(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(forest)
 
@@ -161,13 +162,16 @@ def scan(docs: DataFrame, forest: list, id_col: str = "doc_id", text_col: str =
             ids, rows, x = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 data = text.encode() if text else b""
-                for s, e in candidates(data):
+                found = list(candidates(data))
+                # Places in code points, without decoding the text up to each.
+                at = np.append(0, np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)) if found else None
+                for s, e in found:
                     value = data[s:e].decode()
                     before, after = data[max(0, s - AROUND) : s].decode(errors="ignore"), data[e : e + AROUND].decode(errors="ignore")
                     issued = ISSUED.match(value)
                     kind = issued[1] if issued else "hex" if all(c in string.hexdigits for c in value) else "token"
                     ids.append(i)
-                    rows.append((len(data[:s].decode()), e - s, kind, hashlib.sha256(data[s:e]).hexdigest()))
+                    rows.append((int(at[s]), e - s, kind, hashlib.sha256(data[s:e]).hexdigest()))
                     x.append(features(value, before, after))
             score = np.round(predict(sent.value, np.array(x, float)), 9) if x else np.zeros(0)
             columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]

@@ -104,10 +104,7 @@ def runs(raw: np.ndarray, at: np.ndarray, sentence_words: int, min_words: int):
     row, first, last = (np.concatenate(x) for x in zip(_spans(words, sentence, sentence_words, MIN_SENTENCES), _spans(words, piece, min_words, MIN_PIECES), strict=True))
     _, once = np.unique(first * (len(words.hash) + 1) + last, return_index=True)
     row, first, last = row[once], first[once], last[once]
-    with np.errstate(over="ignore"):
-        up, down = kernel._powers(1 << max(18, len(words.hash).bit_length()))
-        total = np.append(np.uint64(0), np.cumsum(words.hash * up[: len(words.hash)], dtype=np.uint64))
-        h = kernel.mix((total[last] - total[first]) * down[first]) & np.uint64((1 << 63) - 1)
+    h = kernel.span_hashes(words.hash, first, last) & np.uint64((1 << 63) - 1)
     return row, first - words.at[row], last - first, h, len(words.hash)
 
 

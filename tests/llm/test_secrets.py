@@ -4,6 +4,8 @@ import string
 
 import numpy as np
 
+import pytest
+
 from tessera.llm import secrets
 from tessera.llm.forest import predict
 
@@ -64,3 +66,33 @@ def test_words_after_a_secret_word_and_data_are_harmless(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = secrets.scan(df, MODEL).collect()
     assert {r.doc_id for r in got} == {0, 1, 2} and not any(r.is_secret for r in got)
+
+
+def plain_features(value):
+    """Some of a value's features, character by character."""
+    kind = lambda c: 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+    kinds = [kind(c) for c in value]
+    turns = sum(a != b for a, b in zip(kinds, kinds[1:])) / max(len(value) - 1, 1)
+    run = best = 1
+    for a, b in zip(value, value[1:]):
+        run = run + 1 if a == b else 1
+        best = max(best, run)
+    letters = [(a in "aeiouAEIOU") != (b in "aeiouAEIOU") for a, b in zip(value, value[1:]) if a.isalpha() and b.isalpha()]
+    return [len(value), turns, kinds.count(2) / len(value), kinds.count(1) / len(value), sum(letters) / max(len(letters), 1), best / len(value)]
+
+
+def test_features_are_of_the_whole_value():
+    rng = random.Random(1)
+    for n in (1, 2, 9, 40, 700, 30_000):
+        value = "".join(rng.choice("abcXYZ019+/_-.aaaa") for _ in range(n))
+        x = secrets.features(value, "", "")
+        assert [x[i] for i in (0, 1, 5, 6, 10, 25)] == pytest.approx(plain_features(value))
+
+
+def test_places_repeats_nulls_and_clashes(spark):
+    key = "ghp_" + "aZ3k9Q" * 6
+    text = "é中 token = " + key + " und token = " + key + "\n" + "x" * 200_000
+    df = spark.createDataFrame([(1, text, 1, 2), (1, text, 1, 2), (None, text, 3, 4), (2, None, 5, 6), (3, "", 7, 8)], "doc_id long, text string, start int, id int")
+    got = secrets.scan(df, secrets.train(secrets.labelled_findings(300))).where("kind = 'ghp_'").collect()
+    assert sorted(((r.doc_id, r.start, r.length) for r in got), key=str) == sorted([(i, text.find(key, a), len(key)) for i in (1, 1, None) for a in (0, 20)], key=str)
+    assert secrets.scan(df.limit(0), secrets.train(secrets.labelled_findings(300))).count() == 0
