@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..shipping import attach
 from . import kernel
@@ -184,10 +183,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     done = keep(rows.mapInArrow(run, f"id {kind}, {_REPORT}, kind int, part int, text string"), "fingerprints", "zstd")
 
-    # Two rows for each range: the last document of one is followed by the first of the next.
-    ends = done.where("kind > 0").select("id", "kind", "part", "text")
-    order = Window.orderBy("part", "kind")
-    ends = ends.select("id", "kind", "text", F.coalesce(F.lead("text").over(order), F.first("text").over(order)).alias("next")).where("kind = 2")
+    # The last document of a range is followed by the first of the next one.  Only the numbers of the
+    # ranges that have rows are on the driver; texts meet in a join.
+    parts = sorted(r["part"] for r in done.where("kind = 1").select("part").collect())
+    following = docs.sparkSession.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, __next int")
+    lasts = done.where("kind = 2").select("id", "text", "part").join(F.broadcast(following), "part")
+    ends = lasts.join(done.where("kind = 1").select(F.col("part").alias("__next"), F.col("text").alias("next")), "__next")
 
     def finish(batches):
         for batch in batches:

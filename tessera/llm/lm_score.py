@@ -21,12 +21,11 @@ from pyspark.sql import functions as F
 
 from ..shipping import attach
 from . import kernel
+from .storage import few
 
 #: Least hashes of words that the size of the vocabulary is reckoned from: exact for fewer words, else
 #: with a standard error of one in their square root.
 LEAST_HASHES = 1 << 14
-#: So many target ids at most are broadcast.
-FEW_IDS = 1_000_000
 #: Weight of the word model in the pair model, and of each word of the vocabulary in the word model.
 ALPHA, BETA = 4.0, 0.5
 #: Words of a chunk; a chunk ends with the batch slice that reaches them.
@@ -72,8 +71,7 @@ def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col
     repeated rows count each; ids that no document has are no matter."""
     attach(docs.sparkSession)
     ids = target_ids.select(F.col(target_ids.columns[0]).alias("__id")).where("__id is not null").distinct().withColumn("__in", F.lit(True))
-    ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(ids, "__id", "left").select("__id", "__text", F.coalesce("__in", F.lit(False)).alias("__in"))
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(few(ids, "__id"), "__id", "left").select("__id", "__text", F.coalesce("__in", F.lit(False)).alias("__in"))
     sums, most = ["words_in", "words", "texts_in", "texts", "size"], LEAST_HASHES
 
     def run(batches):

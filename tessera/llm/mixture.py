@@ -82,17 +82,14 @@ def sainte_lague(votes: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarray:
     return out
 
 
-def _placed(docs: DataFrame, id_col: str, source_col: str, text_col: str, carry: list[str], plan: DataFrame, seed: int) -> DataFrame:
-    """Documents with their source's plan and shard."""
-    sized = docs.select(*carry, F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), *(F.col(c).alias(c) for c in ("__size",) if c in docs.columns))
-    if "__size" not in docs.columns:
-        sized = docs.select(*carry, F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("__size"))
+def _placed(sized: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """Rows (__id, __source, __size, ...) with their source's plan and shard."""
     met = sized.join(plan, sized["__source"].eqNullSafe(plan["__name"]))
     return met.withColumn("__shard", F.pmod(F.xxhash64(F.lit(seed), "__id", "__size"), F.col("__shards")))
 
 
 def _mixed(docs: DataFrame, id_col: str, source_col: str, text_col: str, carry: list[str], seed: int) -> DataFrame:
-    """``carry`` and __id, __size, __source_size, __target, __times (of the whole text) and the
+    """``carry``, whose names must not begin with two underscores, and __id, __size, __source_size, __target, __times (of the whole text) and the
     word ranges [__a, __b) and [__c, __d) that are taken once more."""
     spark = docs.sparkSession
     narrow = keep(docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("__size")), "sizes")
@@ -106,7 +103,7 @@ def _mixed(docs: DataFrame, id_col: str, source_col: str, text_col: str, carry:
     plan = spark.createDataFrame(plan_rows, f"__name {kind}, __index int, __source_size bigint, __target double, __shards bigint")
     plan = F.broadcast(plan) if len(plan_rows) <= MOST_SHARDS else plan
 
-    placed = _placed(narrow, "__id", "__source", text_col, [], plan, seed)
+    placed = _placed(narrow, plan, seed)
     shards = placed.groupBy("__index", "__shard").agg(F.sum("__size").alias("size")).orderBy("__index", "__shard").collect()
     index, size = np.array([r["__index"] for r in shards], np.int64), np.array([r["size"] for r in shards], np.int64)
     blocks = np.where(size > 0, np.maximum(1, np.rint(size / BLOCK)), 0).astype(np.int64)
@@ -126,7 +123,8 @@ def _mixed(docs: DataFrame, id_col: str, source_col: str, text_col: str, carry:
     table = spark.createDataFrame(shard_rows, "__index int, __shard bigint, __times bigint, __f bigint, __l bigint, __f2 bigint, __l2 bigint")
     table = F.broadcast(table) if len(shard_rows) <= 2 * MOST_SHARDS else table
 
-    placed = _placed(docs if carry else narrow, id_col if carry else "__id", source_col if carry else "__source", text_col, carry, plan, seed)
+    whole = docs.select(*carry, F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("__size")) if carry else narrow
+    placed = _placed(whole, plan, seed)
     tie = [F.xxhash64(text_col)] if text_col in carry else []
     order = Window.partitionBy("__index", "__shard").orderBy(F.xxhash64(F.lit(seed + 1), "__id"), "__id", "__size", *tie)
     placed = placed.withColumn("__end", F.sum("__size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -149,12 +147,18 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 11) -> DataFrame:
-    """The mix itself with the columns of ``docs``: a row for each time that a document is
-    taken; where only some of its words are, the text is that excerpt."""
+    """The mix itself with the columns of ``docs``, whatever their names: a row for each time that a
+    document is taken; where only some of its words are, the text is that excerpt.  Texts that
+    are null or have no words are not taken; repeated rows are rows of their own, and rows
+    without an id or a source take part; texts may be of any length; ties are settled by
+    hashes and then by the rows; an empty table stays empty."""
     attach(docs.sparkSession)
-    names, column = docs.columns, docs.columns.index(text_col)
-    m = _mixed(docs, id_col, source_col, text_col, names, seed).select(*names, "__size", "__times", "__a", "__b", "__c", "__d")
-    kind = docs.schema[text_col].dataType
+    given, column = docs.schema, docs.columns.index(text_col)
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # whatever the columns are called
+    names = list(at.values())
+    docs = docs.toDF(*names)
+    m = _mixed(docs, at[id_col], at[source_col], at[text_col], names, seed).select(*names, "__size", "__times", "__a", "__b", "__c", "__d")
+    kind = given[text_col].dataType
 
     def run(batches):
         for whole_batch in batches:
@@ -182,4 +186,4 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
             yield pa.RecordBatch.from_arrays(out, names)
 
     assert kind.simpleString() == "string", "the text column must be a string"
-    return m.mapInArrow(run, docs.schema)
+    return m.mapInArrow(run, docs.schema).toDF(*given.names)

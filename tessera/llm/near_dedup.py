@@ -22,14 +22,12 @@ from pyspark.sql.window import Window
 from ..shipping import attach
 from . import kernel
 from .components import connected_components
-from .storage import Scratch, keep
+from .storage import Scratch, few, keep
 
 #: Standard deviations below the mean at which an overlap of sketches still counts.
 SAFETY = 4.75
 #: Lists with more members than this, not all of one component, are settled by full sets.
 LONG_LIST = 64
-#: Ids of so many bytes at most are broadcast, reckoned with so many bytes a row besides.
-FEW_BYTES, ROW_BYTES = 8 << 20, 16
 
 
 def sketch_texts(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -> DataFrame:
@@ -119,17 +117,9 @@ def _across(left: DataFrame, percent: int) -> DataFrame:
     return met.where(~(F.col("whole1") & F.col("whole2")) | ranks).select(F.col("rep1").alias("a"), F.col("rep2").alias("b")).distinct()
 
 
-def _sent(ids: DataFrame) -> DataFrame:
-    """A stored one-column table, to be broadcast if its bytes are few; else it meets rows in a shuffle."""
-    (key,) = ids.columns
-    wide = F.octet_length(key) if dict(ids.dtypes)[key] in ("string", "binary") else F.lit(8)
-    size = ids.agg(F.sum(wide + ROW_BYTES)).first()[0] or 0
-    return F.broadcast(ids) if size <= FEW_BYTES else ids
-
-
 def _only(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """The rows of ``df`` whose ``key`` is in the stored one-column table ``ids``."""
-    return df.join(_sent(ids.toDF(key)), key, "left_semi")
+    return df.join(few(ids.toDF(key)), key, "left_semi")
 
 
 def _members(pairs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -214,11 +204,11 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     found = near_duplicates(docs, id_col, text_col, width, percent, k)
     found = scratch.keep(found.select(F.col(id_col).alias("id"), "kept").where("id is not null").groupBy("id").agg(F.max("kept").alias("kept"), F.count("*").alias("m")), "kept")
     gone = scratch.keep(found.where("not kept").select(F.col("id").alias(id_col)), "gone")
-    left = docs.join(_sent(gone), id_col, "left_anti").select(docs.columns)
+    left = docs.join(few(gone), id_col, "left_anti").select(docs.columns)
     many = scratch.keep(found.where("kept and m > 1").select(F.col("id").alias(id_col)), "many")
     if many.isEmpty():
         return left
     at = next(x for x in ("__at" + "_" * i for i in range(len(docs.columns) + 1)) if x not in {c.lower() for c in docs.columns})
     order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col)
     one = _only(left, id_col, many).withColumn(at, F.row_number().over(order)).where(F.col(at) == 1).select(docs.columns)
-    return left.join(_sent(many), id_col, "left_anti").select(docs.columns).union(one)
+    return left.join(few(many), id_col, "left_anti").select(docs.columns).union(one)

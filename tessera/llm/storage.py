@@ -1,10 +1,23 @@
 """Tables that cut lineage, as for the rest of the library, and scratch tables."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..storage import delete, keep, shared_folder
 
-__all__ = ["Scratch", "delete", "keep", "shared_folder"]
+__all__ = ["Scratch", "delete", "few", "keep", "shared_folder"]
+
+#: Ids of so many bytes at most are broadcast, reckoned with so many bytes a row besides.
+FEW_BYTES, ROW_BYTES = 8 << 20, 16
+
+
+def few(ids: DataFrame, key: str | None = None) -> DataFrame:
+    """A table of ids, to be broadcast if the bytes of its column ``key`` are few; else it meets rows in a
+    shuffle.  The table is read for that."""
+    key = key or ids.columns[0]
+    wide = F.coalesce(F.octet_length(key), F.lit(0)) if dict(ids.dtypes)[key] in ("string", "binary") else F.lit(8)
+    size = ids.agg(F.sum(wide + ROW_BYTES)).first()[0] or 0
+    return F.broadcast(ids) if size <= FEW_BYTES else ids
 
 
 class Scratch:

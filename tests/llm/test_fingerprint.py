@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -72,3 +73,33 @@ def test_one_run_repeated_many_times(runs):
     assert (abs(like[0].astype("int32")) == runs).all()
     assert near(0, 1) > 0.99 and near(0, 2) < 0.3
     assert all((a == b).all() for a, b in zip(fp.decode(fp.encode(exact, like)[1]), (exact[1], like[1])))
+
+
+def shared_share(a, b):
+    """The share of three-word runs, counted with repeats, that two texts of long lines have in common."""
+    runs = [Counter(tuple(w[i : i + 3]) for line in t.split("\n") for w in [line.split()] for i in range(len(w) - 2)) for t in (a, b)]
+    return 2 * sum((runs[0] & runs[1]).values()) / max(1, sum(runs[0].values()) + sum(runs[1].values()))
+
+
+def test_likeness_against_counted_runs(spark):
+    rng = random.Random(4)
+    lines = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(12)) for _ in range(400)]
+    rows = [(i, "\n".join(lines[i * 5 + j] for j in range(rng.randint(5, 40)))) for i in range(60)]
+    texts = dict(rows)
+    got = fp.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    wrong = []
+    for r in got:
+        text, following = texts[r.doc_id], texts[(r.doc_id + 1) % 60]
+        edited = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
+        wrong += [r.near_next - shared_share(text, following), r.near_edited - shared_share(text, edited)]
+    assert len(wrong) == 120 and max(map(abs, wrong)) < 0.35 and sum(map(abs, wrong)) / 120 < 0.09
+
+
+def test_ranges_meet_in_order(spark):
+    rows = [(i, f"text {i}") for i in range(0, 300, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert sorted(report(df)) == sorted(brute(rows))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -1,5 +1,6 @@
 import heapq
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -95,3 +96,60 @@ def test_empty_table_and_no_words(spark):
     assert mixture.mixture(empty).count() == 0 and mixture.mixed_documents(empty).count() == 0
     blank = spark.createDataFrame([(1, None, None), (2, " ", "a")], "doc_id long, text string, source string")
     assert sorted((r.doc_id, r.size, r.target, r.taken) for r in mixture.mixture(blank).collect()) == [(1, 0, 0.0, 0), (2, 0, 0.0, 0)]
+
+
+def plain_mix(rows, seed=11):
+    """taken by (id, size), with documents dealt, seats given and blocks chosen one by one, in plain Python but
+    for the hashes, which ``rows`` (id, source, size, shard hash, order hash) bring along."""
+    names = sorted({r[1] for r in rows}, key=lambda s: (s is None, s or ""))
+    totals = [sum(r[2] for r in rows if r[1] == s) for s in names]
+    targets = mixture.target_sizes(totals, [i % 3 + 1 for i in range(len(names))])
+    shards, n_blocks = {}, []
+    for i, s in enumerate(names):
+        own = [r for r in rows if r[1] == s]
+        many = max(1, -(-len(own) // mixture.SHARD_DOCS))
+        for r in own:
+            shards.setdefault((i, r[3] % many), []).append(r)
+        n_blocks.append(0)
+    size = {k: sum(r[2] for r in v) for k, v in shards.items()}
+    blocks = {k: max(1, round(v / mixture.BLOCK)) if v else 0 for k, v in size.items()}
+    for (i, _), n in blocks.items():
+        n_blocks[i] += n
+    votes = [t * n / s if s else 0.0 for t, n, s in zip(targets, n_blocks, totals)]
+    seats = dealt(votes, round(sum(votes)), [3 * n for n in n_blocks])
+    taken = {}
+    for i, n in enumerate(seats):
+        keys = sorted(k for k in shards if k[0] == i)
+        for k, q in zip(keys, dealt([size[k] for k in keys], n, [3 * blocks[k] for k in keys])):
+            first = zlib.crc32(f"{seed}/{k[0]}/{k[1]}".encode()) % blocks[k] if blocks[k] else 0
+            times = [q // blocks[k] + (((b - first) % blocks[k]) < q % blocks[k]) for b in range(blocks[k])] if blocks[k] else []
+            edge = [b * size[k] // blocks[k] for b in range(blocks[k] + 1)] if blocks[k] else [0]
+            of_word = [times[b] for b in range(blocks[k]) for _ in range(edge[b + 1] - edge[b])]
+            at = 0
+            for r in sorted(shards[k], key=lambda r: (r[4], r[0] is not None, r[0] or 0, r[2])):
+                taken.setdefault((r[0], r[2]), []).append(sum(of_word[at : at + r[2]]))
+                at += r[2]
+    return {k: sorted(v) for k, v in taken.items()}
+
+
+def test_what_is_taken_as_by_dealing_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "SHARD_DOCS", 60)
+    docs = table(spark, seed=8, n=400)
+    count = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))))
+    keyed = docs.select("doc_id", "source", count.cast("bigint").alias("n"))
+    rows = [tuple(r) for r in keyed.select("doc_id", "source", "n", F.xxhash64(F.lit(11), "doc_id", "n"), F.xxhash64(F.lit(12), "doc_id")).collect()]
+    got = {}
+    for r in mixture.mixture(docs).collect():
+        got.setdefault((r.doc_id, r.size), []).append(r.taken)
+    assert {k: sorted(v) for k, v in got.items()} == plain_mix(rows)
+
+
+def test_clashing_columns_and_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(100_000))
+    rows = [(1, long, "a", 1, 2, "x"), (2, "b c d", None, 3, 4, "y"), (None, "e f", "b", 5, 6, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __size int, c0 int, __id string")
+    mixed = mixture.mixed_documents(df)
+    assert mixed.schema == df.schema
+    words = {r.doc_id: r.n for r in mixed.groupBy("doc_id").agg(F.sum(mixture.word_count(F.col("text"))).alias("n")).collect()}
+    taken = {r.doc_id: r.taken for r in mixture.mixture(df).collect()}
+    assert {k: v for k, v in taken.items() if v} == words and {(r["__size"], r.c0, r["__id"]) for r in mixed.collect()} <= {r[3:] for r in rows}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera import storage
 from tessera.llm import near_dedup
+from tessera.llm import storage as near_dedup_storage
 
 
 def shingles(text, width):
@@ -89,7 +90,7 @@ def test_same_as_brute_force(spark, width, percent, k):
 
 def test_long_lists_take_the_exact_way(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "LONG_LIST", 3)
-    monkeypatch.setattr(near_dedup, "FEW_BYTES", -1)
+    monkeypatch.setattr(near_dedup_storage, "FEW_BYTES", -1)
     rows = made_up(99, groups=4, size=30, noise=80)
     got = run(spark, rows, 3, 85)
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows, 3, 85))
