@@ -153,3 +153,26 @@ def test_clashing_columns_and_long_texts(spark):
     words = {r.doc_id: r.n for r in mixed.groupBy("doc_id").agg(F.sum(mixture.word_count(F.col("text"))).alias("n")).collect()}
     taken = {r.doc_id: r.taken for r in mixture.mixture(df).collect()}
     assert {k: v for k, v in taken.items() if v} == words and {(r["__size"], r.c0, r["__id"]) for r in mixed.collect()} <= {r[3:] for r in rows}
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_many_sources_are_mixed_alike(spark, monkeypatch, seed):
+    """Without the driver's tables of sources, by sums alone: the same targets and the same mix."""
+    monkeypatch.setattr(mixture, "SHARD_DOCS", 100)
+    docs = table(spark, seed=seed, n=700).withColumn("source", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("host"), (F.col("doc_id") % 40).cast("string"))).otherwise(F.col("source")))
+    key = lambda: sorted(((r.doc_id, r["size"], r.source_size, round(r.target, 6), r.taken) for r in mixture.mixture(docs).collect()), key=str)
+    few = key()
+    monkeypatch.setattr(mixture, "MOST_SOURCES", 0)
+    assert key() == few
+    blank = spark.createDataFrame([(1, None, None), (2, " ", "a")], "doc_id long, text string, source string")
+    assert sorted((r.doc_id, r["size"], r.target, r.taken) for r in mixture.mixture(blank).collect()) == [(1, 0, 0.0, 0), (2, 0, 0.0, 0)]
+    assert mixture.mixture(docs.limit(0)).count() == 0
+
+
+def test_equal_sources_share_what_is_left_in_order(spark, monkeypatch):
+    rows = [(i, "w " * 96, f"s{i:03d}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    key = lambda: sorted((r.doc_id, r.taken) for r in mixture.mixture(docs).collect())
+    few = key()
+    monkeypatch.setattr(mixture, "MOST_SOURCES", 0)
+    assert key() == few
