@@ -217,7 +217,8 @@ def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", t
     fresh = lambda name: next(x for x in (name + "_" * i for i in range(len(names) + 1)) if x.lower() not in {c.lower() for c in names})
     key, listed = fresh("__id"), cuts or fresh("__cuts")
     each = spans.groupBy(F.col(id_col).alias(key)).agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias(listed))
-    met = docs.join(each, docs[id_col] == each[key], "left").select(*(docs[c] for c in names), listed)
+    # The same plan at every size: texts meet their spans by a shuffle, however few these may be.
+    met = docs.join(each.hint("merge"), docs[id_col] == each[key], "left").select(*(docs[c] for c in names), listed)
     left = _cut(met, text_col, listed)
     return left if cuts else left.drop(listed)
 
