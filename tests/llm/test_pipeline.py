@@ -6,6 +6,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from tessera.llm import mixture, packing, toxicity
 from tessera.llm.storage import keep
@@ -95,3 +96,39 @@ def test_stages_on_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = keep(stage(spark, docs, SF), "empty")
     assert docs.count() == 0
+
+
+def odd_rows(docs):
+    """Rows of every kind, and columns that are named like what the stages make."""
+    rows = [tuple(r) for r in docs.limit(60).collect()]
+    names = docs.columns
+    make = lambda i, text, source="src1", lang="en": tuple({"doc_id": i, "text": text, "lang": lang, "source": source, "n_chars": len(text or "")}[c] for c in names)
+    long = " ".join(f"w{i % 5003}" for i in range(120_000))
+    rows += [make(90_001, None), make(90_002, ""), make(90_003, " \n\t"), make(None, "a row without an id, said once"), make(None, None), make(90_004, long), make(90_005, long), make(90_006, "no source", None), make(90_007, "no language", "src2", None), make(90_008, "x" * 300_000), rows[0], rows[0], make(rows[1][names.index("doc_id")], "another text of an id that is there")]
+    clashes = [c for c in ("score", "predicted", "kept", "component_id", "n_words", "contaminated", "size", "taken", "__size", "__id", "c0", "id", "row", "h") if c not in names]
+    spark = docs.sparkSession
+    schema = docs.schema
+    for c in clashes:
+        schema = schema.add(c, IntegerType())
+    return spark.createDataFrame([(*r, *range(len(clashes))) for r in rows], schema), make
+
+
+def test_stages_take_rows_of_every_kind(spark):
+    docs, _ = odd_rows(spark.read.parquet(f"{SF}/documents.parquet"))
+    sizes, stages = {}, dict(corpus_pipeline.STAGES)
+    here = {}
+    for name in ("toxicity", "near_dedup", "decontamination", "mixing"):
+        before = docs
+        docs = keep(stages[name](spark, before, SF), f"odd-{name}")
+        assert docs.schema == before.schema
+        sizes[name] = docs.count()
+        here[name] = {r.doc_id for r in docs.collect()}
+    first = here["toxicity"]
+    assert {90_001, 90_002, 90_003, 90_004, 90_005, 90_006, 90_007, 90_008, None} <= first
+    assert {90_001, 90_002, 90_003, 90_004, 90_006, 90_008, None} <= here["near_dedup"] and 90_005 not in here["near_dedup"]
+    assert here["decontamination"] <= here["near_dedup"] and {90_001, 90_002, 90_003, 90_004, None} <= here["decontamination"]
+    assert not {90_001, 90_002, 90_003} & here["mixing"]
+    packed = stages["packing"](spark, docs, SF).collect()
+    assert {i for r in packed for i in r.doc_ids} == here["mixing"]
+    again = keep(stages["near_dedup"](spark, keep(stages["toxicity"](spark, odd_rows(spark.read.parquet(f"{SF}/documents.parquet"))[0].repartition(5), SF), "odd"), SF), "odd-again")
+    assert again.count() == sizes["near_dedup"]
