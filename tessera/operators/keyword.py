@@ -1,22 +1,29 @@
 """BM25 over an index that is built in one pass and may be stored.
 
 The index has a row for each document, with its terms and how often each occurs: terms are
-counted inside the row, so nothing is shuffled.  Scoring joins the rows with the few
-terms that are asked for, and sums a document's parts where its row is.
+counted inside the row, so nothing is shuffled.  The weights of the terms that questions
+ask for go to the rows as matrices of a block of questions each, so that a document's
+scores are summed where its row is; very many weights meet the rows in a join instead.
 """
 
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.text import let, tokens
+from ..shipping import attach
 from ..spread import spread
 from ..storage import keep
 
 #: Rows of (question, term) that are broadcast at most; more are joined by a shuffle.
 MOST_TERMS = 200_000
+#: Questions of a matrix of weights, and postings that meet one at a time.
+BLOCK, AT_ONCE = 256, 8192
 
 
 class Index(NamedTuple):
@@ -95,16 +102,67 @@ def scores(docs: DataFrame | Index, queries: DataFrame, id_col: str = "doc_id",
     index = docs if isinstance(docs, Index) else build(docs, id_col, text_col)
     asked = queries.select("qid", F.explode(tokens("text")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
     n_asked = asked.count()
-    few = (lambda df: F.broadcast(df)) if n_asked <= MOST_TERMS else (lambda df: df)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    known = index.frequencies.join(few(asked), "term").join(F.broadcast(index.stats), F.lit(True))
+    known = index.frequencies.join(F.broadcast(asked) if n_asked <= MOST_TERMS else asked, "term").join(F.broadcast(index.stats), F.lit(True))
     known = known.select("term", "qid", (F.col("qtf") * idf).alias("w"), (F.col("total") / F.col("n")).alias("avgdl"))
+    if n_asked <= MOST_TERMS:
+        return _met(index.forward, known.toArrow(), k1, b)
     postings = index.forward.select("doc_id", "dl", F.explode("terms").alias("t")).select("doc_id", "dl", "t.term", "t.tf")
     s = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    if n_asked <= MOST_TERMS:
-        # One entry for each term, so that a posting meets it once and its questions follow.
-        asks = known.groupBy("term", "avgdl").agg(F.collect_list(F.struct("qid", "w")).alias("asks"))
-        each = postings.join(F.broadcast(asks), "term").select("doc_id", s.alias("s"), F.explode("asks").alias("a")).select("doc_id", "s", "a.qid", "a.w")
-    else:
-        each = postings.join(known, "term").select("doc_id", s.alias("s"), "qid", "w")
+    each = postings.join(known, "term").select("doc_id", s.alias("s"), "qid", "w")
     return each.groupBy("qid", "doc_id").agg(F.sum(F.col("w") * F.col("s")).alias("keyword"))
+
+
+def _blocks(known: pa.Table) -> list[tuple[pa.Array, pa.Array, np.ndarray]]:
+    """(terms, questions, weights of each pair) of so many questions at a time."""
+    qids = pc.unique(known["qid"])
+    out = []
+    for a in range(0, len(qids), BLOCK):
+        block = qids.slice(a, BLOCK)
+        rows = known.filter(pc.is_in(known["qid"], value_set=block))
+        terms = pc.unique(rows["term"])
+        weights = np.zeros((len(terms), len(block)))
+        weights[pc.index_in(rows["term"], value_set=terms).to_numpy(), pc.index_in(rows["qid"], value_set=block).to_numpy()] = rows["w"].to_numpy()
+        out.append((terms, block, weights))
+    return out
+
+
+def _met(forward: DataFrame, known: pa.Table, k1: float, b: float) -> DataFrame:
+    """The scores of each row of the index for all questions."""
+    spark = forward.sparkSession
+    attach(spark)
+    mean = known["avgdl"][0].as_py() if known.num_rows else 1.0
+    sent = spark.sparkContext.broadcast(_blocks(known))
+    qid_type = known.schema.field("qid").type
+
+    def run(batches):
+        for batch in batches:
+            ids, dl, lists = batch.columns
+            sizes = pc.list_value_length(lists).to_numpy()
+            flat = lists.flatten()
+            term, tf = flat.field("term"), flat.field("tf").to_numpy().astype(float)
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl.to_numpy()[row] / mean))
+            for terms, questions, weights in sent.value:
+                at = pc.fill_null(pc.index_in(term, value_set=terms), -1).to_numpy()
+                hit = np.flatnonzero(at >= 0)
+                r, t, s = row[hit], at[hit], part[hit]
+                edge = np.flatnonzero(np.append(True, r[1:] != r[:-1])) if len(r) else r
+                a = 0
+                while a < len(edge):  # whole rows, until they have enough postings
+                    z = max(a + 1, int(np.searchsorted(edge, edge[a] + AT_ONCE)))
+                    upto = edge[z] if z < len(edge) else len(r)
+                    own = slice(edge[a], upto)
+                    score = np.add.reduceat(weights[t[own]] * s[own, None], edge[a:z] - edge[a], axis=0)
+                    i, q = np.nonzero(score)
+                    yield pa.RecordBatch.from_arrays([questions.take(pa.array(q)), ids.take(pa.array(r[edge[a:z]][i])), pa.array(score[i, q])], ["qid", "doc_id", "keyword"])
+                    a = z
+
+    kinds = {f.name: f.dataType.simpleString() for f in forward.schema}
+    return forward.select("doc_id", "dl", "terms").mapInArrow(run, f"qid {_spark_type(qid_type)}, doc_id {kinds['doc_id']}, keyword double")
+
+
+def _spark_type(kind: pa.DataType) -> str:
+    from pyspark.sql.pandas.types import from_arrow_type
+
+    return from_arrow_type(kind).simpleString()

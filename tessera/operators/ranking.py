@@ -25,7 +25,10 @@ def is_question(query) -> Column:
 
 def candidates(vector: DataFrame, keyword: DataFrame, vector_floor: float = C.VECTOR_FLOOR, keyword_floor: float = C.KEYWORD_FLOOR) -> DataFrame:
     """(qid, chunk_id, vector, keyword) of what either search finds relevant; missing is 0."""
-    both = vector.join(keyword, ["qid", "chunk_id"], "full").select("qid", "chunk_id", F.coalesce("vector", F.lit(0.0)).alias("vector"), F.coalesce("keyword", F.lit(0.0)).alias("keyword"))
+    zero = F.lit(0.0)
+    rows = vector.select("qid", "chunk_id", "vector", zero.alias("keyword")).unionByName(keyword.select("qid", "chunk_id", zero.alias("vector"), "keyword"))
+    # Each search has a pair once, so the sums are the two values; an aggregate needs no sort, as a join would.
+    both = rows.groupBy("qid", "chunk_id").agg(F.sum("vector").alias("vector"), F.sum("keyword").alias("keyword"))
     return both.where((F.col("vector") >= vector_floor) | (F.col("keyword") > keyword_floor))
 
 
@@ -77,12 +80,29 @@ def fused(found: DataFrame) -> DataFrame:
     return found.withColumn("score", w(0) * F.col("vector_scaled") + w(1) * F.col("keyword_scaled")).drop("vector_scaled", "keyword_scaled")
 
 
+def factor() -> Column:
+    """What a score is multiplied with, for kinds of text that the query does not ask for."""
+    found = F.lit(1.0)
+    for k, (_, _, by, _) in PENALTIES.items():
+        found = found * F.when(F.col(f"may_{k}") & F.col(f"is_{k}"), by).otherwise(1.0)
+    return found
+
+
 def penalised(found: DataFrame) -> DataFrame:
     """Scores lowered, factor by factor, for kinds of text that the query does not ask for."""
-    factor = F.lit(1.0)
-    for k, (_, _, by, _) in PENALTIES.items():
-        factor = factor * F.when(F.col(f"may_{k}") & F.col(f"is_{k}"), by).otherwise(1.0)
-    return found.withColumn("score", F.col("score") * factor)
+    return found.withColumn("score", F.col("score") * factor())
+
+
+#: What equal results share.
+SAME = ["merge_name", "article", "clause"]
+
+
+def with_twins(chunks: DataFrame) -> DataFrame:
+    """``twin``: whether another chunk has the same name, article and clause, so that they may merge."""
+    keys = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in SAME]
+    many = chunks.select(*keys).groupBy(*SAME).agg(F.count("*").alias("__m")).where("__m > 1").withColumn("twin", F.lit(True)).drop("__m")
+    same = [F.coalesce(chunks[c], F.lit("")) == many[c] for c in SAME]
+    return chunks.join(many, same, "left").select(*[chunks[c] for c in chunks.columns], F.coalesce("twin", F.lit(False)).alias("twin"))
 
 
 def merged(found: DataFrame) -> DataFrame:
@@ -93,13 +113,20 @@ def merged(found: DataFrame) -> DataFrame:
     return ranked.where("__at = 1").withColumn("also_sources", F.array_sort(F.array_except("__all", F.array("source")))).drop("__at", "__all")
 
 
+def merged_twins(found: DataFrame, keys: DataFrame) -> DataFrame:
+    """(qid, chunk_id, source, score, also_sources), as merged() leaves them: only rows with a ``twin`` meet,
+    and only they need their ``keys`` (chunk_id and what equal results share)."""
+    out = ["qid", "chunk_id", "source", "score", "also_sources"]
+    alone = found.where("not twin").withColumn("also_sources", F.array().cast("array<string>"))
+    return alone.select(out).union(merged(found.where("twin").join(keys, "chunk_id")).select(out))
+
+
 def pooled(found: DataFrame, most: int = C.MOST_RESULTS, least: int = C.SOURCE_LEAST) -> DataFrame:
-    """All that a query's results can come from: its best, and the best of each of its sources.
-    Both are limits that Spark applies before it shuffles, so no task sorts a query's rows."""
+    """All that a query's results can come from: its best, and the best of each of its sources.  A
+    source's best are a limit that Spark applies before it shuffles, so no task sorts a query's rows."""
     best = lambda *keys: F.row_number().over(Window.partitionBy("qid", *keys).orderBy(*best_first("chunk_id")))
-    first = found.withColumn("__at", best()).where(F.col("__at") <= most)
-    each = found.withColumn("__at", best("source")).where(F.col("__at") <= least)
-    return first.union(each).drop("__at").dropDuplicates(["qid", "chunk_id"])
+    each = found.withColumn("__nth", best("source")).where(F.col("__nth") <= max(most, least))
+    return each.withColumn("__at", best()).where((F.col("__at") <= most) | (F.col("__nth") <= least)).drop("__at", "__nth")
 
 
 def reordered(found: DataFrame, top_k: str = "top_k", second: str = "second_score") -> DataFrame:

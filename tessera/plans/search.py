@@ -95,20 +95,22 @@ def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, regulation
         have = [c for c in fields if c in regulations.columns]
         meta = meta.join(regulations.select(F.col("id").alias("reg_id"), *have), "reg_id", "left")
     meta = meta.withColumns({c: F.lit(None).cast("string") for c in fields if c not in meta.columns})
-    meta = ranking.chunk_facts(meta, institution).drop("name")
+    meta = ranking.with_twins(ranking.chunk_facts(meta, institution).drop("name"))
     facts = ranking.query_facts(queries).drop("vector", "text")
     few = queries.count() <= keyword.MOST_TERMS
     small = lambda df: F.broadcast(df) if few else df
-    found = found.join(meta, "chunk_id").join(small(facts), "qid").where(_allowed("source", "category"))
-    # Read several times from here on, so both searches run once; options come back with the pool.
+    about = meta.select("chunk_id", "source", "category", "status", "enforce_date", "twin", *(f"is_{k}" for k in ranking.PENALTIES))
+    found = found.join(about, "chunk_id").join(small(facts), "qid").where(_allowed("source", "category"))
+    # Read several times from here on, so both searches run once, and rows are narrow; the rest comes back with the pool.
     found = ranking.since(ranking.in_force(found))
-    found = keep(found.select("qid", "chunk_id", "vector", "keyword", "source", "article", "clause", "merge_name", "asks", *(x + k for k in ranking.PENALTIES for x in ("may_", "is_"))), "candidates")
-    found = keep(ranking.merged(ranking.penalised(ranking.fused(found))).select("qid", "chunk_id", "source", "score", "also_sources"), "scored")
+    found = keep(found.select("qid", "chunk_id", "vector", "keyword", "source", "twin", "asks", ranking.factor().alias("factor")), "candidates")
+    scored = ranking.fused(found).withColumn("score", F.col("score") * F.col("factor"))
+    found = ranking.merged_twins(scored.select("qid", "chunk_id", "source", "score", "twin"), meta.select("chunk_id", *ranking.SAME))
     found = ranking.pooled(found).join(small(queries.select("qid", "text", "top_k", "sources", "sort")), "qid")
     found = found.withColumn("free", F.col("sources").isNull() | (F.size("sources") == 0)).drop("sources")
     found = _reranked(found, chunks, reranker) if reranker else ranking.ranked(found)
     found = ranking.with_sources(found)
-    found = ranking.by_date(found.join(meta.drop("source", "merge_name", *(f"is_{k}" for k in ranking.PENALTIES)), "chunk_id"))
+    found = ranking.by_date(found.join(meta.drop("source", "merge_name", "twin", *(f"is_{k}" for k in ranking.PENALTIES)), "chunk_id"))
 
     rest = chunks.select("chunk_id", "name", F.col("text").alias("__text"), *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("article_title", "chapter", "department", "contact", "source_url", "law_url") if c in chunks.columns))
     found = found.join(rest, "chunk_id")
