@@ -28,9 +28,9 @@ WIDTH = 13
 #: Bytes of benchmark text in a block, as nearly as items allow.
 BLOCK_BYTES = 4 << 20
 #: Bytes of training text in a shard.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Shards that several blocks pass over at a time.
-GATHERED = 16
+GATHERED = 32
 #: Windows whose keys are made at a time, and occurrences that are followed at a time.
 AT_ONCE = 1 << 18
 
@@ -155,7 +155,7 @@ def _searched(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: s
             block = Block(table["item"].to_pylist(), table["text"].cast(pa.large_string()).combine_chunks(), width)
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(block), protocol=5)], pa.large_binary())], ["block"])
 
-    return [spark.sparkContext.broadcast(bytes(r["block"])) for r in rows.mapInArrow(made, "block binary").toLocalIterator()]
+    return [spark.sparkContext.broadcast(bytes(r["block"])) for r in rows.mapInArrow(kernel.tidy(made), "block binary").toLocalIterator()]
 
 
 def _unpacked(sent: Broadcast) -> Block:
@@ -210,7 +210,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), *columns], ["id", "item_id", "doc_word", "item_word", "n_words"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, item_id string, doc_word bigint, item_word bigint, n_words bigint").withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col).mapInArrow(kernel.tidy(run), f"id {kind}, item_id string, doc_word bigint, item_word bigint, n_words bigint").withColumnRenamed("id", id_col)
 
 
 def _judged(words: kernel.Words, found):
@@ -258,7 +258,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_c
             yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[1:]), *told], [*(f"k{i}" for i in range(len(keep))), *_REPORT])
 
     schema = ", ".join([*(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), "n_words bigint, n_hit bigint, n_items bigint, items array<string>, contaminated boolean, longest bigint, longest_at bigint"])
-    return docs.select(F.col(text_col).alias("__text"), *keep).mapInArrow(run, schema).toDF(*keep, *_REPORT)
+    return docs.select(F.col(text_col).alias("__text"), *keep).mapInArrow(kernel.tidy(run), schema).toDF(*keep, *_REPORT)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, one_in: int = 20) -> DataFrame:
@@ -272,7 +272,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             n, hit, *_ = _judged(words, found)
             yield batch.slice(a, b - a).filter(pa.array((hit == 0) | (one_in * hit < n)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(kernel.tidy(run), docs.schema)
 
 
 def items_digest(items):

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import attach
 from . import kernel
-from .storage import keep
+from .storage import keep, local
 
 EXACT, LIKE = 4, 256
 
@@ -181,12 +181,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if last is not None:
             yield end(2, last[0], last[1])
 
-    done = keep(rows.mapInArrow(run, f"id {kind}, {_REPORT}, kind int, part int, text string"), "fingerprints", "zstd")
+    done = keep(rows.mapInArrow(kernel.tidy(run), f"id {kind}, {_REPORT}, kind int, part int, text string"), "fingerprints", "zstd")
 
     # The last document of a range is followed by the first of the next one.  Only the numbers of the
     # ranges that have rows are on the driver; texts meet in a join.
     parts = sorted(r["part"] for r in done.where("kind = 1").select("part").collect())
-    following = docs.sparkSession.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, __next int")
+    following = local(docs.sparkSession, list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, __next int")
     lasts = done.where("kind = 2").select("id", "text", "part").join(F.broadcast(following), "part")
     ends = lasts.join(done.where("kind = 1").select(F.col("part").alias("__next"), F.col("text").alias("next")), "__next")
 
@@ -196,6 +196,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 text, following = batch.column(1).slice(i, 1), batch.column(2).slice(i, 1)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *_report(text.to_pylist(), *vectors(text), following.to_pylist(), *vectors(following))], names[:7])
 
-    ends = ends.select("id", "text", "next").mapInArrow(finish, f"id {kind}, {_REPORT}")
+    ends = ends.select("id", "text", "next").mapInArrow(kernel.tidy(finish), f"id {kind}, {_REPORT}")
     found = done.where("kind = 0").select(names[:7]).union(ends)
     return found.withColumns({c: F.translate(F.base64(c), "\r\n", "") for c in ("fingerprint", "edited_fingerprint")}).withColumnRenamed("id", id_col)

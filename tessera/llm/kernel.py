@@ -6,6 +6,7 @@ whole.  Bytes are hashed block by block, so that memory depends neither on how m
 an Arrow batch has, nor on how long a text or a word is; only a text's words add up.
 """
 
+import ctypes
 import functools
 
 import numpy as np
@@ -195,3 +196,19 @@ def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     np.cumsum([len(p) for p in parts], out=at[1:])
     values = np.concatenate(parts) if parts else np.zeros(0)
     return pa.ListArray.from_arrays(pa.array(at), pa.array(values.astype(kind.to_pandas_dtype(), copy=False), kind))
+
+
+def tidy(run):
+    """``run`` for mapInArrow, after which a worker, which waits for its next task, gives back what memory
+    it holds for later use."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return tidied

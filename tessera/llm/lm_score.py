@@ -89,7 +89,7 @@ def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col
         yield pa.RecordBatch.from_arrays([pa.array((least >> np.uint64(1)).astype(np.int64)), *none], ["h", *sums])
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), *(pa.array([v], pa.int64()) for v in total.tolist())], ["h", *sums])
 
-    counted = texts.select("__text", "__in").mapInArrow(run, "h bigint, " + ", ".join(f"{c} bigint" for c in sums))
+    counted = texts.select("__text", "__in").mapInArrow(kernel.tidy(run), "h bigint, " + ", ".join(f"{c} bigint" for c in sums))
     rows = counted.groupBy("h").agg(*(F.sum(c).alias(c) for c in sums)).orderBy(F.col("h").asc_nulls_first()).limit(most + 1).collect()
     least = [r["h"] for r in rows if r["h"] is not None]
     vocabulary = float(len(least)) if len(least) < most else (most - 1) * 2.0**63 / least[-1]
@@ -275,7 +275,7 @@ def scores(docs: DataFrame, models: Models, target_ids: DataFrame, id_col: str =
         return pa.table([own["ids"].combine_chunks().flatten(), pa.array(n), mean(target, totals[0], starts[0], True), mean(target, totals[0], starts[0], False), mean(ground, totals[1], starts[1], True)], names=["id", "n", "inside", "outside", "ground"])
 
     parts = f"bucket int, chunk bigint, keys binary, target binary, ground binary, codes binary, sizes binary, ids array<{kind}>"
-    found = rows.mapInArrow(send, parts).groupBy("bucket").applyInArrow(answer, parts)
+    found = rows.mapInArrow(kernel.tidy(send), parts).groupBy("bucket").applyInArrow(answer, parts)
     found = found.groupBy("chunk").applyInArrow(judge, f"id {kind}, n bigint, inside double, outside double, ground double")
     member = target_ids.select(F.col(target_ids.columns[0]).alias("id")).distinct().withColumn("member", F.lit(True))
     found = found.join(member, "id", "left").withColumn("t", F.when(F.col("member"), F.col("inside")).otherwise(F.col("outside")))

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from ..shipping import attach
 from . import kernel
-from .storage import keep
+from .storage import keep, local
 
 #: Words in a block, as nearly as a shard's size allows.
 BLOCK = 64
@@ -105,7 +105,7 @@ def _few_sources(sources: DataFrame, narrow: DataFrame, per_shard: int, seed: in
     sizes = [r["size"] for r in rows]
     targets = target_sizes(sizes, [i % 3 + 1 for i in range(len(rows))])
     plan_rows = [(r["__source"], i, r["size"], targets[i], max(1, -(-r["n"] // per_shard))) for i, r in enumerate(rows)]
-    plan = F.broadcast(spark.createDataFrame(plan_rows, f"__name {sources.schema['__source'].dataType.simpleString()}, __index bigint, __source_size bigint, __target double, __shards bigint"))
+    plan = F.broadcast(local(spark, plan_rows, f"__name {sources.schema['__source'].dataType.simpleString()}, __index bigint, __source_size bigint, __target double, __shards bigint"))
     shards = _placed(narrow, plan, seed).groupBy("__index", "__shard").agg(F.sum("__size").alias("size")).orderBy("__index", "__shard").collect()
     index, size = np.array([r["__index"] for r in shards], np.int64), np.array([r["size"] for r in shards], np.int64)
     blocks = np.where(size > 0, np.maximum(1, np.rint(size / BLOCK)), 0).astype(np.int64)
@@ -117,7 +117,7 @@ def _few_sources(sources: DataFrame, narrow: DataFrame, per_shard: int, seed: in
         own = slice(edge[i], edge[i + 1])
         quota[own] = sainte_lague(size[own], n, REPEATS * blocks[own])
     told = [(int(i), r["__shard"], int(v), int(n), int(q)) for i, r, v, n, q in zip(index, shards, size, blocks, quota, strict=True)]
-    return plan, F.broadcast(_shard_row(spark.createDataFrame(told, "__index bigint, __shard bigint, size bigint, blocks bigint, quota bigint"), seed))
+    return plan, F.broadcast(_shard_row(local(spark, told, "__index bigint, __shard bigint, size bigint, blocks bigint, quota bigint"), seed))
 
 
 def _numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
@@ -126,7 +126,7 @@ def _numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     rows = keep(rows, "numbered")
     counts = sorted((r["__part"], r["count"]) for r in rows.groupBy("__part").count().collect())
     starts = np.append(0, np.cumsum([n for _, n in counts]))
-    before = df.sparkSession.createDataFrame([(p, int(b)) for (p, _), b in zip(counts, starts, strict=False)], "__part int, __before bigint")
+    before = local(df.sparkSession, [(p, int(b)) for (p, _), b in zip(counts, starts, strict=False)], "__part int, __before bigint")
     return rows.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__in")).drop("__part", "__in", "__before")
 
 
@@ -259,4 +259,4 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
             yield pa.RecordBatch.from_arrays(out, names)
 
     assert kind.simpleString() == "string", "the text column must be a string"
-    return m.mapInArrow(run, docs.schema).toDF(*given.names)
+    return m.mapInArrow(kernel.tidy(run), docs.schema).toDF(*given.names)

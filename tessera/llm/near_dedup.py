@@ -49,7 +49,7 @@ def sketch_texts(docs: DataFrame, id_col: str, text_col: str, width: int, k: int
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n bigint, sig binary, sketch array<bigint>")
+    return docs.select(id_col, text_col).mapInArrow(kernel.tidy(run), f"id {kind}, n bigint, sig binary, sketch array<bigint>")
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -63,7 +63,7 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), kernel.list_array(sets, pa.int64())], ["id", "items"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, items array<bigint>")
+    return docs.select(id_col, text_col).mapInArrow(kernel.tidy(run), f"id {kind}, items array<bigint>")
 
 
 def expected_overlap(k: int, percent: int) -> int:
@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not links.isEmpty():
         comp = scratch.keep(connected_components(forest(comp).union(links), scratch=scratch), "components")
     found = classes.select("sig", "rep").join(comp.toDF("rep", "c"), "rep", "left").select("sig", F.coalesce("c", "rep").alias("c"))
-    found = keep(found, "found", files=4 * docs.sparkSession.sparkContext.defaultParallelism)
+    found = keep(found, "found")
     scratch.clear()
     out = own.join(found, "sig", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))

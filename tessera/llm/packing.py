@@ -111,14 +111,14 @@ def _run_ids(part: str, encoding, whole) -> list[int]:
     ids, at = [], 0
     for run in _LONG_RUN.finditer(part):
         stop = run.end() - (run.end() < len(part))
-        ids += encoding.encode_ordinary(part[at : run.start()]) + whole.encode_ordinary(part[run.start() : stop])
+        ids += encoding.encode_ordinary(part[at : run.start()]) + whole().encode_ordinary(part[run.start() : stop])
         at = stop
     return ids + encoding.encode_ordinary(part[at:])
 
 
 def encode(text: str, encoding, whole=None) -> list[int]:
-    """The ids of a text, those of a long one part by part.  ``whole`` takes any text as one piece; with
-    PATTERN it is needed for runs of white space of RUN_CHARS and more."""
+    """The ids of a text, those of a long one part by part.  ``whole`` makes an encoding that
+    takes any text as one piece; with PATTERN it is needed for runs of white space of RUN_CHARS and more."""
     one = (lambda part: _run_ids(part, encoding, whole)) if whole else encoding.encode_ordinary
     if len(text) < min(PART_CHARS, RUN_CHARS):
         return encoding.encode_ordinary(text)
@@ -176,7 +176,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
     def run(batches):
         encoding, part, shard = _encoding(sent.value, pattern), TaskContext.get().partitionId(), 0
-        whole = _encoding(sent.value, "(?s).+") if pattern == PATTERN else None
+        whole = (lambda: _encoding(sent.value, "(?s).+")) if pattern == PATTERN else None
         ids, names, size = [], [], 0
         for batch in batches:
             texts = batch.column(1)
@@ -194,7 +194,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
             yield _rows(ids, pa.concat_arrays(names), length, kind, f"{part:06d}-{shard:05d}")
 
     schema = f"shard string, row int, n_tokens int, input_ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<{ids_type}>, doc_starts array<int>"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(kernel.tidy(run), schema)
 
 
 def positions(cu_seqlens: list[int], length: int = LENGTH) -> np.ndarray:
@@ -227,4 +227,4 @@ def unpacked(rows: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTE
             texts = [encoding.decode(np.frombuffer(b"".join(p["p"] for p in ps), f"<u{w}").tolist()) for ps, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return whole.mapInArrow(run, f"doc_id {rows.schema['doc_ids'].dataType.elementType.simpleString()}, text string")
+    return whole.mapInArrow(kernel.tidy(run), f"doc_id {rows.schema['doc_ids'].dataType.elementType.simpleString()}, text string")

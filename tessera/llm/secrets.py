@@ -179,4 +179,4 @@ def scan(docs: DataFrame, forest: list, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.array(score), pa.array(score >= least)], ["id", "start", "length", "kind", "digest", "score", "is_secret"])
 
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, start bigint, length bigint, kind string, digest string, score double, is_secret boolean"
-    return docs.select(id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col).mapInArrow(kernel.tidy(run), schema).withColumnRenamed("id", id_col)

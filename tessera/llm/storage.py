@@ -1,11 +1,14 @@
 """Tables that cut lineage, as for the rest of the library, and scratch tables."""
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..storage import delete, keep, shared_folder
 
-__all__ = ["Scratch", "delete", "few", "keep", "shared_folder"]
+__all__ = ["Scratch", "delete", "few", "keep", "local", "shared_folder"]
 
 #: Ids of so many bytes at most are broadcast, reckoned with so many bytes a row besides.
 FEW_BYTES, ROW_BYTES = 8 << 20, 16
@@ -20,15 +23,22 @@ def few(ids: DataFrame, key: str | None = None) -> DataFrame:
     return F.broadcast(ids) if size <= FEW_BYTES else ids
 
 
+def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of the driver's rows, sent as Arrow data: from a list, Spark would start Python workers
+    of another kind on every executor, which then stay."""
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, kinds, strict=True)], kinds.names), StructType.fromDDL(schema))
+
+
 class Scratch:
-    """Stored tables of one computation.  They have few files, since most are small next to the texts;
-    those that nothing needs any more are deleted."""
+    """Stored tables of one computation; those that nothing needs any more are deleted."""
 
     def __init__(self):
         self.tables: list[DataFrame] = []
 
     def keep(self, df: DataFrame, what: str) -> DataFrame:
-        self.tables.append(keep(df, what, files=4 * df.sparkSession.sparkContext.defaultParallelism))
+        self.tables.append(keep(df, what))
         return self.tables[-1]
 
     def clear(self, *but: DataFrame) -> None:

@@ -165,7 +165,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if held:
             yield from told(held)
 
-    found = docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(run, f"id {kind}, place bigint, h bigint")
+    found = docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(kernel.tidy(run), f"id {kind}, place bigint, h bigint")
     # What is known to be later needs no partner: a negative key of its own deals it out.
     found = found.withColumn("h", F.when(F.col("h") < 0, -1 - F.abs(F.xxhash64("id", "place") % (1 << 62))).otherwise(F.col("h")))
     first, n = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
@@ -205,7 +205,7 @@ def _cut(rows: DataFrame, text_col: str, cuts: str) -> DataFrame:
             out[column] = pa.array(texts, pa.string()).cast(out[column].type)
             yield pa.RecordBatch.from_arrays(out, names)
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(kernel.tidy(run), rows.schema)
 
 
 def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", cuts: str | None = None) -> DataFrame:

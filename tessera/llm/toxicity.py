@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..shipping import attach
 from . import kernel
 from .boosting import Boosted, isotonic
+from .storage import local
 
 #: Labelled texts that the model is fitted on at most, and their bytes; a seeded choice of the labelled rows.
 MOST_LABELLED = 8_000
@@ -173,7 +174,7 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     sized = texts.join(F.broadcast(chosen), "__id").select("__id", "__hash", "__y", F.coalesce(F.octet_length("__text"), F.lit(0)).alias("size"))
     table = sized.distinct().orderBy(*order, "__hash").limit(most).toArrow()
     table = table.filter(pa.array(np.cumsum(table["size"].to_numpy()) <= most_bytes)).drop(["size"])
-    keys = docs.sparkSession.createDataFrame(table.to_pandas(), f"__id {docs.schema[id_col].dataType.simpleString()}, __hash bigint, __y int")
+    keys = local(docs.sparkSession, [tuple(r.values()) for r in table.to_pylist()], f"__id {docs.schema[id_col].dataType.simpleString()}, __hash bigint, __y int")
     found = texts.join(F.broadcast(keys), ["__id", "__hash"]).groupBy("__id", "__hash", "__y").agg(F.first("__text").alias("__text"))
     return found.select("__id", "__hash", "__y", "__text").toArrow().sort_by([(c, "ascending") for c in ("__id", "__hash", "__y")])
 
@@ -206,7 +207,7 @@ def toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
     kind = docs.schema[id_col].dataType.simpleString()
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
-    return docs.select(F.col(id_col), held, F.col(text_col)).mapInArrow(run, f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col), held, F.col(text_col)).mapInArrow(kernel.tidy(run), f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def without_toxic(docs: DataFrame, model: dict, text_col: str = "text", most: float = 0.5) -> DataFrame:
@@ -223,4 +224,4 @@ def without_toxic(docs: DataFrame, model: dict, text_col: str = "text", most: fl
                 part = batch.slice(a, b - a)
                 yield part.filter(pa.array(score(part.column(column), sent.value) < most))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(kernel.tidy(run), docs.schema)

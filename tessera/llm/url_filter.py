@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import keep
+from .storage import keep, local
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Up to so many rules are one expression; more are a join.
@@ -62,7 +62,7 @@ def with_rule(df: DataFrame, rules: list[Rule], host: str, path: str) -> DataFra
             fits = ((F.col(host) == r.host) | F.col(host).endswith("." + r.host)) & F.col(path).startswith(r.path)
             found = F.when(fits, F.struct(F.lit(r.text).alias("t"), F.lit(r.verdict).alias("v"))).otherwise(found)
         return df.withColumn("__rule", found).select(*df.columns, F.col("__rule.t").alias("rule"), F.col("__rule.v").alias("rule_verdict"))
-    table = df.sparkSession.createDataFrame([(r.host, r.path, i, r.text, r.verdict) for i, r in enumerate(ranked)], "__host string, __path string, __rank int, __t string, __v string")
+    table = local(df.sparkSession, [(r.host, r.path, i, r.text, r.verdict) for i, r in enumerate(ranked)], "__host string, __path string, __rank int, __t string, __v string")
     table = F.broadcast(table) if len(ranked) <= MOST_BROADCAST else table
     labels = F.split(F.col(host), "\\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
