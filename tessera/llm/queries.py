@@ -1,8 +1,9 @@
 """One query opN_<name> for each operator of this package, and DuckDB SQL where it can say the same."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, lm_score, mixture, near_dedup, packing, secrets, substring_dedup, toxicity, url_filter
+from . import decontaminate, fill_in_middle, fingerprint, hard_negatives, lm_score, mixture, near_dedup, near_equal_packing, packing, secrets, substring_dedup, toxicity, url_filter
 
 #: The rules of the url query.
 URL_RULES = [
@@ -62,6 +63,26 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_in_middle.with_restored(fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    whole = F.when(finite, F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), whole.alias("vector"))
+    return hard_negatives.mine(rows, lambda i: i % 100 == 0)
+
+
+def op13_near_equal_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = near_equal_packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -75,6 +96,9 @@ QUERIES = {
         op8_substring_dedup,
         op9_fingerprint,
         op10_minhash_near_dedup,
+        op11_fill_in_middle,
+        op12_hard_negatives,
+        op13_near_equal_packing,
     )
 }
 
@@ -121,4 +145,19 @@ links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM each a JOIN each b ON a.x = b
 reach AS (SELECT doc_id AS x, doc_id AS y FROM docs UNION SELECT x, b FROM reach JOIN links ON y = a)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, c AS component_id, doc_id = c AS kept FROM sets JOIN (SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY x) USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op3_benchmark_decontamination": _OP3, "op4_url_filter": _OP4, "op10_minhash_near_dedup": _OP10}
+_H = "('0x' || substr(h, {}, 8))::UBIGINT"
+_OP11 = f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+cut AS (SELECT *, regexp_extract_all(t, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS u FROM docs),
+drawn AS (SELECT *, {_H.format(1)} % (len(u) + 1) AS a, {_H.format(9)} % (len(u) + 1) AS b, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {_H.format(17)} % 100 >= 50 THEN 'plain' WHEN {_H.format(25)} % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM cut),
+parts AS (SELECT *, array_to_string(u[1:least(a, b)::BIGINT], '') AS p, array_to_string(u[least(a, b)::BIGINT + 1:greatest(a, b)::BIGINT], '') AS m, array_to_string(u[greatest(a, b)::BIGINT + 1:], '') AS s FROM drawn)
+SELECT doc_id, len(u)::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM parts"""
+
+_OP12 = """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, other_id AS negative_id, positive_score, score AS negative_score FROM positives JOIN scored USING (anchor_id)
+ WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) QUALIFY row_number() OVER w <= 5"""
+
+ORACLES: dict[str, str] = {"op3_benchmark_decontamination": _OP3, "op4_url_filter": _OP4, "op10_minhash_near_dedup": _OP10, "op11_fill_in_middle": _OP11, "op12_hard_negatives": _OP12}
