@@ -7,6 +7,7 @@ second person, and rates of capitals, punctuation and symbols inside words.
 """
 
 import functools
+import warnings
 import zlib
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from ..shipping import attach
 from . import kernel
 from .boosting import Boosted, isotonic
-from .storage import local
+from .storage import few, local
 
 #: Labelled texts that the model is fitted on at most, and their bytes; a seeded choice of the labelled rows.
 MOST_LABELLED = 8_000
@@ -164,16 +165,22 @@ def score(texts: pa.Array, model: dict) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int, most_bytes: int) -> pa.Table:
-    """(__id, __hash, __y, __text): labelled texts in a seeded order, as many as the bounds allow.  Rows
-    that repeat an id are one if their texts are equal, and else compete for a place each."""
+    """(__id, __hash, __y, __text): labelled texts in a seeded order, as many as the bounds allow, but for
+    those that are too long for what is left.  Labels without a document take no place.  Rows that repeat an id are one if their texts are equal, and else compete for a place each."""
     key = F.crc32(F.col(id_col).cast("string"))
     rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).where(key % 5 != 0)
+    rows = rows.select(F.col(id_col).alias("__id"), (F.col(label_col) > 0).cast("int").alias("__y")).distinct()
     order = [F.xxhash64(F.lit(7), "__id"), "__id", "__y"]
-    chosen = rows.select(F.col(id_col).alias("__id"), (F.col(label_col) > 0).cast("int").alias("__y")).distinct().orderBy(*order).limit(most)
     texts = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col)).alias("__hash"), F.col(text_col).alias("__text"))
-    sized = texts.join(F.broadcast(chosen), "__id").select("__id", "__hash", "__y", F.coalesce(F.octet_length("__text"), F.lit(0)).alias("size"))
-    table = sized.distinct().orderBy(*order, "__hash").limit(most).toArrow()
-    table = table.filter(pa.array(np.cumsum(table["size"].to_numpy()) <= most_bytes)).drop(["size"])
+    sized = texts.select("__id", "__hash", F.coalesce(F.octet_length("__text"), F.lit(0)).alias("size")).join(few(rows, "__id"), "__id")
+    table = sized.select("__id", "__hash", "__y", "size").distinct().orderBy(*order, "__hash").limit(most).toArrow()
+    fits, size = [], 0
+    for one in table["size"].to_pylist():  # a text that does not fit is left out, and those after it are not
+        fits.append(size + one <= most_bytes)
+        size += one if fits[-1] else 0
+    if table.num_rows and not any(fits):
+        warnings.warn(f"no labelled text is of {most_bytes} bytes or less: nothing is learned", stacklevel=3)
+    table = table.filter(pa.array(fits, pa.bool_())).drop(["size"])
     keys = local(docs.sparkSession, [tuple(r.values()) for r in table.to_pylist()], f"__id {docs.schema[id_col].dataType.simpleString()}, __hash bigint, __y int")
     found = texts.join(F.broadcast(keys), ["__id", "__hash"]).groupBy("__id", "__hash", "__y").agg(F.first("__text").alias("__text"))
     return found.select("__id", "__hash", "__y", "__text").toArrow().sort_by([(c, "ascending") for c in ("__id", "__hash", "__y")])

@@ -1,5 +1,6 @@
 import random
 import re
+import warnings
 import zlib
 
 import numpy as np
@@ -133,3 +134,40 @@ def test_features_as_counted_word_by_word():
     none = np.zeros(0, np.uint64)
     x = toxicity.features(pa.array(texts), {"strong": np.sort(toxicity.kernel.Words(raw, at, toxicity.kernel.alnum_words()).hash), "mild": none, "begins": none})
     assert np.allclose(x[:, [0, 6, 7, 9, 11, 14]], [brute_features(t, lexicon) for t in texts])
+
+
+def test_long_texts_and_labels_of_other_documents_leave_a_sample(spark):
+    rows = [r for r in made_up(400) if zlib.crc32(str(r[0]).encode()) % 5]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    take = lambda d, l, most, size: toxicity._sample(d, l, "doc_id", "text", "toxic", most, size).to_pylist()
+    size = sum(len(t) for _, t, _ in rows)
+    long = docs.select("doc_id", F.when(F.xxhash64(F.lit(7), "doc_id") == docs.select(F.min(F.xxhash64(F.lit(7), "doc_id"))).first()[0], F.repeat(F.lit("qroz "), 100_000)).otherwise(F.col("text")).alias("text"))
+    assert len(take(long, labels, 1000, size)) == len(rows) - 1  # the first one does not fit, all others do
+    others = labels.union(spark.range(10_000, 18_000).select("id", F.lit(1)))
+    assert len(take(docs, others, 200, 1 << 20)) == 200
+    model = toxicity.fit(long, labels, most_bytes=size)
+    assert "trees" in model
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        assert toxicity.fit(docs, labels, most_bytes=1) == {"constant": 0.0}
+    assert any("nothing is learned" in str(w.message) for w in said)
+
+
+def test_scores_are_sums_over_trees_and_steps_of_the_calibration():
+    rows = made_up(600)
+    model = toxicity.train([t for _, t, _ in rows], [y for *_, y in rows], [i % 4 for i in range(600)])
+    texts = [t for _, t, _ in rows[:80]] + ["", None]
+    x = toxicity.features(pa.array(texts), model["lexicon"])
+    plain = Boosted.__new__(Boosted)
+    vars(plain).update(model["trees"])
+    low, high = model["knots"]
+    for i, got in enumerate(toxicity.score(pa.array(texts), model)):
+        raw = float(plain.predict(x[i : i + 1])[0])
+        k = int(np.searchsorted(low, raw))
+        if 0 < k < len(low):
+            step = high[k - 1] + (high[k] - high[k - 1]) * (raw - low[k - 1]) / (low[k] - low[k - 1]) if low[k] > low[k - 1] else high[k]
+        else:
+            step = high[0] if k == 0 else high[-1]
+        assert abs(got - min(max(0.999 * step + 0.001 * raw, 0), 1)) < 1e-9
+    assert all(a <= b for a, b in zip(high, high[1:]))
