@@ -116,13 +116,13 @@ def _run_ids(part: str, encoding, whole) -> list[int]:
     return ids + encoding.encode_ordinary(part[at:])
 
 
-def encode(text: str, encoding, whole=None) -> list[int]:
-    """The ids of a text, those of a long one part by part.  ``whole`` makes an encoding that
+def encode(text: str, encoding, whole=None, kind: str = "<u4") -> np.ndarray:
+    """The ids of a text, those of a long one part by part, so that it needs no list of all.  ``whole`` makes an encoding that
     takes any text as one piece; with PATTERN it is needed for runs of white space of RUN_CHARS and more."""
     one = (lambda part: _run_ids(part, encoding, whole)) if whole else encoding.encode_ordinary
     if len(text) < min(PART_CHARS, RUN_CHARS):
-        return encoding.encode_ordinary(text)
-    return [i for part in _parts(text) for i in one(part)]
+        return np.array(encoding.encode_ordinary(text), kind)
+    return np.concatenate([np.array(one(part), kind) for part in _parts(text)])
 
 
 def _rows(ids: list[np.ndarray], names: pa.Array, length: int, kind: str, shard: str) -> pa.RecordBatch:
@@ -184,7 +184,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
                 text = texts[i].as_py()
                 if not text:
                     continue
-                ids.append(np.array(encode(text, encoding, whole), kind))
+                ids.append(encode(text, encoding, whole, kind))
                 size += len(ids[-1])
                 names.append(batch.column(0).slice(i, 1))
                 if size >= SHARD_TOKENS:

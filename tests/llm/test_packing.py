@@ -96,3 +96,19 @@ def test_rows_without_text_and_repeated_rows(spark):
 
 def test_empty_table(spark):
     assert packing.packed(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_very_long_text_needs_little_besides_its_ids():
+    import tracemalloc
+
+    with open(packing.VOCABULARY, "rb") as f:
+        data = f.read()
+    encoding = packing._encoding(data, packing.PATTERN)
+    text = "some words of a book. " * 500_000  # 11 MB
+    encoding.encode_ordinary("warm up")
+    tracemalloc.start()
+    ids = packing.encode(text, encoding, None, "<u2")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids.dtype == np.uint16 and len(ids) > 2_500_000 and peak < 3 * ids.nbytes + (8 << 20)
+    assert ids[:1000].tolist() == encoding.encode_ordinary(text[:20_000])[:1000]
