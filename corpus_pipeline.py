@@ -6,7 +6,7 @@ The subpackage llm has the operators; this module is their order.
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, mixture, near_dedup, packing, toxicity
-from tessera.llm.storage import keep
+from tessera.llm.storage import delete, keep
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,8 +69,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each to what the one before has written."""
+    """The stages applied to documents, each to what the one before has written; a stage's table is deleted
+    when the next one is there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), name)
+        done = keep(stage(spark, docs, sf_dir), name)
+        delete(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
