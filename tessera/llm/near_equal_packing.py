@@ -29,7 +29,7 @@ LENGTH, END = 2048, 1
 SHARD_TOKENS = 1 << 20
 #: Bytes that are tokenised at a time, but for longer stretches without a space; words that are held with
 #: their ids, and the longest of these.
-PART_BYTES, MOST_WORDS, LONG_WORD = 1 << 20, 1 << 18, 64
+PART_BYTES, MOST_WORDS, LONG_WORD = 1 << 20, 1 << 19, 64
 #: What a tokenizer's file says of texts that are split at white space, and the pieces of its words.
 RULES = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -43,8 +43,10 @@ RULES = {
 }
 #: Words of ASCII and of Latin letters, each of which has one lower-case form, and no marks to be joined; and
 #: what the pattern above makes of them.
-_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
-_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017e]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017e]+")
+_PLAIN = re.compile("[\n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
+_PIECES = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017e]+|[0-9]|[^\na-z0-9\u00df-\u00f6\u00f8-\u017e]+")
+#: What no ids hold: it stands between the ids of words.
+_BREAK = b"\xff" * 4
 #: Pieces of neighbours are dealt as one until they have so many tokens; none is cut finer.
 LUMP = 32
 _CUT = re.compile(rb"[ \t-\r]")
@@ -153,13 +155,13 @@ def windows(pieces: list[tuple[int, int, int]], length: int = LENGTH) -> list[li
     Windows are meant to be short of the capacity by a 256th, which differencing needs to meet it; what
     is left of a multiple of that are sequences of powers of two, which need no padding.  Whenever a
     window exceeds the capacity, their number rises, by as many as would hold the excess if all were as
-    full; when that would leave more than a 64th empty, pieces are cut in halves instead, as long
-    as they are of more than LUMP tokens."""
+    full; when that would leave more than a 64th empty, pieces, at first of a quarter of the
+    capacity at most, are cut in halves instead, as long as they are of more than LUMP tokens."""
     total = sum(p[2] for p in pieces)
     full = max(1, length - length // 256)
     least = total // full
     pieces, out = _tail(pieces, total - least * full)
-    ways, grain = least, length
+    ways, grain = least, max(1, length // 4)
     while pieces:
         lumps = _lumps(_cut(pieces, grain))
         sizes = np.array([sum(p[2] for p in lump) for lump in lumps], np.int64)
@@ -173,18 +175,14 @@ def windows(pieces: list[tuple[int, int, int]], length: int = LENGTH) -> list[li
     return out
 
 
-class Latest(dict):
-    """The latest entries: when there are enough, they become the old ones."""
+class Latest:
+    """The latest entries, ``most`` of them at a time, and as many old ones."""
 
-    def __init__(self):
-        self.old: dict = {}
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
 
-    def put(self, key, value: bytes) -> None:
-        if len(key) <= LONG_WORD:
-            if len(self) >= MOST_WORDS:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
+    def turn(self) -> None:
+        self.old, self.new = self.new, {}
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -206,35 +204,53 @@ class Encoder:
         rules = json.loads(data)
         self.tokenizer = Tokenizer.from_buffer(data)
         self.by_words = {k: rules[k] for k in RULES} == RULES and not any(_CUT.search(t["content"].encode()) for t in rules["added_tokens"])
-        self.byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.words, self.pieces = Latest(), Latest()
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.mapped = {c: "".join(p for p, _ in byte_level.pre_tokenize_str(chr(c))) for c in range(0xC0, 0x180)}
+        self.words, self.pieces = Latest(MOST_WORDS), Latest(MOST_WORDS // 2)
 
     def _encoded(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if not _PLAIN.fullmatch(text) or "<|" in text:
-            return self._encoded(text)
-        text = text.lower()
-        if text.isascii() and text.isalpha():
-            return self.pieces.get(text) or self._piece(text)
-        return b"".join([self.pieces.get(p) or self._piece(p) for p in _PIECES.findall(text)])
-
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.old.get(piece)
-        if found is None:
-            mapped = piece if piece.isascii() else "".join(p for p, _ in self.byte_level.pre_tokenize_str(piece))
-            found = _packed([t.id for t in self.tokenizer.model.tokenize(mapped)])
-        self.pieces.put(piece, found)
+    def _pieces(self, text: str) -> list[bytes]:
+        """The ids of each line of plain words."""
+        flat = _PIECES.findall(text.lower())
+        missing = set(flat).difference(self.pieces.new)
+        if missing:
+            if len(self.pieces.new) + len(missing) > self.pieces.most:
+                self.pieces.turn()
+                missing.update(flat)
+            self.pieces.new.update({p: self.pieces.old.get(p) or self._piece(p) for p in missing})
+        found = b"".join(map(self.pieces.new.__getitem__, flat)).split(_BREAK)
+        for p in missing:
+            if len(p) > LONG_WORD:
+                del self.pieces.new[p]
         return found
 
-    def _look(self, word: bytes) -> bytes:
-        found = self.words.old.get(word)
-        if found is None:
-            found = self._word(word)
-        self.words.put(word, found)
-        return found
+    def _piece(self, piece: str) -> bytes:
+        if piece == "\n":
+            return _BREAK
+        mapped = piece if piece.isascii() else piece.translate(self.mapped)
+        return _packed([t.id for t in self.tokenizer.model.tokenize(mapped)])
+
+    def _learn(self, missing: set[bytes], words: list[bytes]) -> None:
+        """Puts the ``missing`` ones of ``words`` among the latest."""
+        if len(self.words.new) + len(missing) > self.words.most:
+            self.words.turn()
+            missing.update(words)
+        old = self.words.old
+        known = {w: old[w] for w in missing if w in old}
+        new = [w for w in missing if w not in known]
+        text = b"\n".join(new).decode("utf-8", "replace")
+        if new and _PLAIN.fullmatch(text) and "<|" not in text:
+            known.update(zip(new, self._pieces(text), strict=True))
+        else:
+            texts = [w.decode("utf-8", "replace") for w in new]
+            plain = [bool(_PLAIN.fullmatch(t)) and "<|" not in t for t in texts]
+            known |= {w: self._encoded(t) for w, t, p in zip(new, texts, plain, strict=True) if not p}
+            if any(plain):
+                kept = [w for w, p in zip(new, plain, strict=True) if p]
+                known.update(zip(kept, self._pieces("\n".join(t for t, p in zip(texts, plain, strict=True) if p)), strict=True))
+        self.words.new.update(known)
 
     def ids(self, text: bytes, end: int = END) -> np.ndarray:
         """The ids of a text, and ``end``."""
@@ -246,10 +262,13 @@ class Encoder:
             cut = _CUT.search(text, at + PART_BYTES)
             stop = cut.start() if cut else len(text)
             words = text[at:stop].split()
-            found = list(map(self.words.get, words))
-            if None in found:
-                found = [self._look(w) if f is None else f for f, w in zip(found, words, strict=True)]
-            out.append(b"".join(found))
+            missing = set(words).difference(self.words.new)
+            if missing:
+                self._learn(missing, words)
+            out.append(b"".join(map(self.words.new.__getitem__, words)))
+            for w in missing:
+                if len(w) > LONG_WORD:
+                    del self.words.new[w]
             at = stop
         return np.frombuffer(b"".join([*out, last]), "<u4")
 
