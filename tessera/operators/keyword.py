@@ -22,8 +22,10 @@ from ..storage import keep
 
 #: Rows of (question, term) that are broadcast at most; more are joined by a shuffle.
 MOST_TERMS = 200_000
-#: Questions of a matrix of weights, and postings that meet one at a time.
+#: Questions of a matrix of weights at most, and postings that meet one at a time.
 BLOCK, AT_ONCE = 256, 8192
+#: Bytes of all matrices, which are broadcast.
+MATRIX_BYTES = 64 << 20
 
 
 class Index(NamedTuple):
@@ -93,6 +95,16 @@ def expanded_column(query) -> Column:
     return F.concat_ws(" ", q, *parts)
 
 
+def weights(frequencies: DataFrame, stats: DataFrame, queries: DataFrame) -> tuple[DataFrame, int]:
+    """(term, qid, w, avgdl) of the terms that queries ask for and documents have, and how many pairs of a
+    query and a term there are."""
+    asked = queries.select("qid", F.explode(tokens("text")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    n_asked = asked.count()
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    known = frequencies.join(F.broadcast(asked) if n_asked <= MOST_TERMS else asked, "term").join(F.broadcast(stats), F.lit(True))
+    return known.select("term", "qid", (F.col("qtf") * idf).alias("w"), (F.col("total") / F.col("n")).alias("avgdl")), n_asked
+
+
 def scores(docs: DataFrame | Index, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", k1: float = C.K1, b: float = C.B) -> DataFrame:
     """(qid, doc_id, keyword): BM25 of every document that has a query's term.
 
@@ -100,11 +112,7 @@ def scores(docs: DataFrame | Index, queries: DataFrame, id_col: str = "doc_id",
     query repeats counts as often.  N, the mean length and document frequencies are those
     of all documents."""
     index = docs if isinstance(docs, Index) else build(docs, id_col, text_col)
-    asked = queries.select("qid", F.explode(tokens("text")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    n_asked = asked.count()
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    known = index.frequencies.join(F.broadcast(asked) if n_asked <= MOST_TERMS else asked, "term").join(F.broadcast(index.stats), F.lit(True))
-    known = known.select("term", "qid", (F.col("qtf") * idf).alias("w"), (F.col("total") / F.col("n")).alias("avgdl"))
+    known, n_asked = weights(index.frequencies, index.stats, queries)
     if n_asked <= MOST_TERMS:
         return _met(index.forward, known.toArrow(), k1, b)
     postings = index.forward.select("doc_id", "dl", F.explode("terms").alias("t")).select("doc_id", "dl", "t.term", "t.tf")
@@ -114,12 +122,19 @@ def scores(docs: DataFrame | Index, queries: DataFrame, id_col: str = "doc_id",
 
 
 def _blocks(known: pa.Table) -> list[tuple[pa.Array, pa.Array, np.ndarray]]:
-    """(terms, questions, weights of each pair) of so many questions at a time."""
-    qids = pc.unique(known["qid"])
+    """(terms, questions, weights of each pair) of so many questions at a time that all matrices have
+    MATRIX_BYTES at most: questions that share few words share a matrix with few others."""
+    qids, at = pc.unique(known["qid"]), BLOCK
+    place = pc.index_in(known["qid"], value_set=qids).to_numpy()
+    term = known["term"].combine_chunks().dictionary_encode()
+    code = (term.combine_chunks() if isinstance(term, pa.ChunkedArray) else term).indices.to_numpy().astype(np.int64)
+    size = lambda n: 8 * n * len(np.unique(place // n * (len(term) + 1) + code))
+    while at > 1 and size(at) > MATRIX_BYTES:
+        at //= 2
     out = []
-    for a in range(0, len(qids), BLOCK):
-        block = qids.slice(a, BLOCK)
-        rows = known.filter(pc.is_in(known["qid"], value_set=block))
+    for a in range(0, len(qids), at):
+        block = qids.slice(a, at)
+        rows = known.filter(pa.array(place // at == a // at))
         terms = pc.unique(rows["term"])
         weights = np.zeros((len(terms), len(block)))
         weights[pc.index_in(rows["term"], value_set=terms).to_numpy(), pc.index_in(rows["qid"], value_set=block).to_numpy()] = rows["w"].to_numpy()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.text import snippet
-from ..operators import keyword, ranking, vector
+from ..operators import keyword, postings, ranking, vector
 from ..storage import keep
 
 OPTIONS = {"top_k": ("int", 10), "sources": ("array<string>", None), "categories": ("array<string>", None), "include_repealed": ("boolean", False), "since": ("string", ""), "sort": ("string", "relevance")}
@@ -75,10 +75,10 @@ def _array(values) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>") if values is not None else F.lit(None).cast("array<string>")
 
 
-def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, regulations: DataFrame | None = None, institution: str = "", reranker: Callable[[pd.Series, pd.Series], pd.Series] | None = None, pool: int = C.VECTOR_POOL, vector_floor: float = C.VECTOR_FLOOR, index: keyword.Index | None = None) -> DataFrame:
+def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, regulations: DataFrame | None = None, institution: str = "", reranker: Callable[[pd.Series, pd.Series], pd.Series] | None = None, pool: int = C.VECTOR_POOL, vector_floor: float = C.VECTOR_FLOOR, index: keyword.Index | postings.Postings | None = None) -> DataFrame:
     """(qid, rank, and the fields of a result) for every query.
 
-    ``index`` is a stored keyword index of the chunks; without one it is built.  ``reranker`` scores
+    ``index`` is a stored keyword index of the chunks, or its inverted lists; without one it is built.  ``reranker`` scores
     pairs of (query, text) batch by batch; without one, and where it fails, the order is
     that of the scores.  Chunks without a vector, or vectors without a chunk, are no error."""
     filtered = "sources" in queries.columns or "categories" in queries.columns
@@ -87,7 +87,7 @@ def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, regulation
     near = _nearest(vectors, queries, meta, pool, filtered)
     index = index or keyword.build(chunks.select("chunk_id", searched_text().alias("text")), "chunk_id", "text")
     asked = queries.select("qid", keyword.expanded_column("text").alias("text"))
-    words = keyword.scores(index, asked).withColumnRenamed("doc_id", "chunk_id")
+    words = (postings if isinstance(index, postings.Postings) else keyword).scores(index, asked).withColumnRenamed("doc_id", "chunk_id")
     found = ranking.candidates(near, words, vector_floor)
 
     fields = ["status", *REGULATION_FIELDS]

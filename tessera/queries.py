@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import text as T
-from .operators import analytics, answers, chunking, keyword, ranking, vector
+from .operators import analytics, answers, chunking, keyword, postings, ranking, vector
 from .plans import search as hybrid
 from .sources import boards
 from .spread import spread
@@ -92,6 +92,13 @@ def bm25_topk(spark, sf_dir):
     return _keyword_top(spark, sf_dir, 10).select("qid", "doc_id", "rank", F.round("keyword", 4).alias("score"))
 
 
+@query(ORACLES["bm25_topk"])
+def bm25_inverted(spark, sf_dir):
+    """The same by inverted lists, built and stored first, of which only the k best leave a shard."""
+    lists = postings.build(keyword.build(table(spark, sf_dir, "documents")))
+    return postings.topk(lists, _questions(spark, sf_dir), 10).select("qid", "doc_id", "rank", F.round("keyword", 4).alias("score"))
+
+
 @query(f"SELECT count(*) AS n_docs, sum(len(ts))::BIGINT AS total_tokens, round(sum(len(ts)) / count(*), 6) AS avgdl FROM (SELECT {_tokens('text')} AS ts FROM documents)")
 def bm25_corpus_stats(spark, sf_dir):
     return keyword.corpus_stats(table(spark, sf_dir, "documents")).withColumn("avgdl", F.round("avgdl", 6))
@@ -181,6 +188,15 @@ def hybrid_search(spark, sf_dir):
     return _shown(hybrid.search(asked, _chunks(spark, sf_dir), _vectors(spark, sf_dir), _regulations(spark, sf_dir), vector_floor=0.2))
 
 
+@query(ORACLES["hybrid_search"])
+def hybrid_inverted(spark, sf_dir):
+    """The flagship by stored inverted lists: keyword search reads the lists of the questions' terms only."""
+    asked = _questions(spark, sf_dir).join(_question_vectors(spark, sf_dir), "qid", "left")
+    chunks = _chunks(spark, sf_dir)
+    lists = postings.build(keyword.build(chunks.select("chunk_id", hybrid.searched_text().alias("text")), "chunk_id"))
+    return _shown(hybrid.search(asked, chunks, _vectors(spark, sf_dir), _regulations(spark, sf_dir), vector_floor=0.2, index=lists))
+
+
 def _vectors(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
 
