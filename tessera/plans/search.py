@@ -51,28 +51,14 @@ def _allowed(source: str, category: str) -> Column:
     return one("sources", source) & one("categories", category)
 
 
-def _nearest(vectors: DataFrame, queries: DataFrame, meta: DataFrame, pool: int, per_query_filters: bool) -> DataFrame:
-    """Filters of source and category hold before the nearest are taken, so queries that share
-    their filters search together."""
-    asked = queries.select("qid", "vector")
-    if not per_query_filters:
-        found = vector.nearest(vectors, asked, pool, "chunk_id", "embedding")
-        return found.select("qid", F.col("id").alias("chunk_id"), "vector")
-    out = None
-    filters = queries.select("sources", "categories").distinct().collect()
-    for f in filters:
-        same = queries.where(F.col("sources").eqNullSafe(_array(f["sources"])) & F.col("categories").eqNullSafe(_array(f["categories"]))).select("qid", "vector")
-        allowed = meta
-        for column, values in (("source", f["sources"]), ("category", f["categories"])):
-            allowed = allowed.where(F.col(column).isin(*values)) if values else allowed
-        part = vectors if not (f["sources"] or f["categories"]) else vectors.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
-        found = vector.nearest(part, same, pool, "chunk_id", "embedding").select("qid", F.col("id").alias("chunk_id"), "vector")
-        out = found if out is None else out.union(found)
-    return out
-
-
-def _array(values) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>") if values is not None else F.lit(None).cast("array<string>")
+def _nearest(vectors: DataFrame, queries: DataFrame, meta: DataFrame, pool: int, filtered: bool) -> DataFrame:
+    """Filters of source and category hold before the nearest are taken, all of them in the same pass.
+    Vectors that are stored with ``source`` and ``category`` need no join for that."""
+    attributes = {"sources": "source", "categories": "category"} if filtered else None
+    if filtered and not {"source", "category"} <= set(vectors.columns):
+        vectors = vectors.select("chunk_id", "embedding").join(meta.select("chunk_id", "source", "category"), "chunk_id", "left")
+    found = vector.nearest(vectors, queries.select("qid", "vector", *(attributes or ())), pool, "chunk_id", "embedding", attributes=attributes)
+    return found.select("qid", F.col("id").alias("chunk_id"), "vector")
 
 
 def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, regulations: DataFrame | None = None, institution: str = "", reranker: Callable[[pd.Series, pd.Series], pd.Series] | None = None, pool: int = C.VECTOR_POOL, vector_floor: float = C.VECTOR_FLOOR, index: keyword.Index | postings.Postings | None = None) -> DataFrame:

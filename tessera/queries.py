@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import text as T
-from .operators import analytics, answers, chunking, keyword, postings, ranking, vector
+from .operators import analytics, answers, cells, chunking, keyword, postings, ranking, vector
 from .plans import search as hybrid
 from .sources import boards
 from .spread import spread
@@ -132,6 +132,14 @@ def cosine_topk(spark, sf_dir):
     return found.select("qid", F.col("id").alias("vec_id"), F.round("vector", 4).alias("similarity"))
 
 
+@query(ORACLES["cosine_topk"])
+def cosine_all_cells(spark, sf_dir):
+    """The same by the index of cells, of which all are probed and scored exactly."""
+    index = cells.build(table(spark, sf_dir, "embeddings"), 16, rounds=3)
+    found = cells.nearest(index, _question_vectors(spark, sf_dir), 20, probes=16, rescore=None)
+    return found.select("qid", F.col("id").alias("vec_id"), F.round("vector", 4).alias("similarity"))
+
+
 # ---------------------------------------------------------------- hybrid search
 _CHUNKS = """
 chunks AS (SELECT doc_id, text, lang AS category, CASE WHEN substr(source, 4)::INT % 2 = 0 THEN '대학' ELSE '산학협력단' END AS source,
