@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from .functions import text as T
 from .operators import analytics, answers, cells, chunking, keyword, postings, ranking, vector
 from .plans import search as hybrid
-from .sources import boards
+from .sources import boards, fetch
 from .spread import spread
 from .storage import keep, shared_folder
 from .streaming import logs
@@ -490,5 +490,15 @@ def streaming_log_counts(spark, sf_dir):
     return spark.read.schema("window_start timestamp, event_type string, n bigint").parquet(base + "/out").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+@query("SELECT page_id AS page, sha256(html) AS html_sha256, CASE WHEN html IS NULL THEN 3 ELSE 1 END AS tries, html IS NULL AS failed FROM pages")
+def fetched_pages(spark, sf_dir):
+    """Numbered pages by a data source, whose transport serves them from the table of pages."""
+    pages = table(spark, sf_dir, "pages")
+    first, last = pages.agg(F.min("page_id"), F.max("page_id")).first()
+    spark.dataSource.register(fetch.page_source(fetch.TableTransport(f"{sf_dir}/pages.parquet", "page_id", "html"), back_off=0, delay=0))
+    found = spark.read.format("fetched_pages").options(url="pages", first=first, last=last, each=64).load()
+    return found.select("page", F.sha2("html", 256).alias("html_sha256"), "tries", F.col("error").isNotNull().alias("failed"))
+
+
 # Cases that are made of the tables' columns, for the rest of the operators.
 from . import cases  # noqa: E402, F401

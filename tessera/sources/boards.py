@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions.text import clean_text, html_to_text, safe_file_name, strip
 
+#: Fixed value: a post's link in a board's list.
+POST_LINK = r'<a[^>]*data-id="(\d+)"[^>]*class="nttInfoBtn"[^>]*>'
+
 
 def board_rows(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """(ntt_sn, department, rule_no, name, date) of each listed post; carries the pages' columns.
@@ -76,7 +79,7 @@ def rejects(bodies: DataFrame) -> DataFrame:
 
 def latest_post(html) -> Column:
     """struct(ntt_sn, title) of a board's first post."""
-    pattern = r'(?s)<a[^>]*data-id="(\d+)"[^>]*class="nttInfoBtn"[^>]*>(.*?)</a>'
+    pattern = f"(?s){POST_LINK}(.*?)</a>"
     title = F.regexp_replace(F.regexp_extract(F.col(html), pattern, 2), r"<[^>]+>", "")
     return F.struct(F.regexp_extract(F.col(html), pattern, 1).alias("ntt_sn"), strip(F.regexp_replace(title, r"(?U)\s+", " ")).alias("title"))
 
