@@ -23,7 +23,7 @@ from .plans import collect, refresh
 from .plans import search as hybrid
 from .queries import _PLAIN, _bm25, _clean_sql, _packed, _questions, _strip, _top, query, table
 from .shipping import attach
-from .sources import boards, rulebook, tables
+from .sources import boards, grids, rulebook, tables
 from .storage import shared_folder
 
 lit = F.lit
@@ -116,6 +116,40 @@ def zipped_paragraphs(spark, sf_dir):
     return rulebook.paragraphs(table(spark, sf_dir, "region").select("r_name").mapInArrow(zipped, "path string, content binary"))
 
 
+def _rulebook_tables(spark, sf_dir) -> DataFrame:
+    """A zipped file for each customer's nation and segment, with a table of its customers and the pages of each."""
+    attach(spark)
+    c = table(spark, sf_dir, "customer").where("c_name is not null").groupBy("c_nationkey", "c_mktsegment").agg(F.sort_array(F.collect_list(F.struct("c_custkey", "c_name"))).alias("rows"))
+
+    def zipped(batches):
+        for batch in batches:
+            packed = []
+            for rows in batch.column(1).to_pylist():
+                cell = lambda t, more="": f"<hp:tc><hp:p><hp:t>{t}</hp:t></hp:p>{more}</hp:tc>"
+                lines = [f"<hp:tr>{cell('head', '<hp:cellSpan colSpan=\"2\" rowSpan=\"1\"/>')}</hp:tr>", *(f"<hp:tr>{cell(f'{i + 1}. {r["c_name"]}')}{cell(r['c_custkey'])}</hp:tr>" for i, r in enumerate(rows))]
+                f = io.BytesIO()
+                with zipfile.ZipFile(f, "w") as z:
+                    z.writestr("Contents/section0.xml", f"<hp:p><hp:tbl>{''.join(lines)}</hp:tbl></hp:p>")
+                packed.append(f.getvalue())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["path", "content"])
+
+    return c.select(F.concat_ws("-", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("path"), "rows").mapInArrow(zipped, "path string, content binary")
+
+
+@query("""WITH c AS (SELECT c_nationkey || '-' || c_mktsegment AS path, c_custkey, c_name, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS i FROM customer)
+SELECT path, 0 AS "row", 0 AS col, 2 AS col_span, 'head' AS text FROM c WHERE i = 1 UNION ALL SELECT path, i::INT, 0, 1, i || '. ' || c_name FROM c UNION ALL SELECT path, i::INT, 1, 1, c_custkey::VARCHAR FROM c""")
+def table_cells(spark, sf_dir):
+    """Cells of the tables of zipped files, by a table function."""
+    return grids.table_cells(_rulebook_tables(spark, sf_dir)).select("path", "row", "col", "col_span", "text")
+
+
+@query("SELECT c_name AS name, c_custkey::INT AS page_start FROM customer WHERE c_custkey % 3 = 0")
+def grid_start_pages(spark, sf_dir):
+    """Start pages of named entries, from the tables of zipped files."""
+    names = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_name").alias("name"))
+    return grids.start_pages(grids.table_cells(_rulebook_tables(spark, sf_dir)), names)
+
+
 def _paragraphs(spark, sf_dir) -> DataFrame:
     """A rulebook for each region: a table of contents with pages and offices, and each nation's rule."""
     n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
