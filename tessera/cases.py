@@ -335,6 +335,22 @@ def cited_names(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(answers.mentioned(text, names), ",").alias("names"))
 
 
+_PART_TEXT = "p_name || ' of ' || p_brand || ', ' || split_part(p_name, ' ', 2) || split_part(p_name, ' ', 1) || ' (' || p_type || ')'"
+
+
+@query(f"""WITH words AS (SELECT p_name AS n FROM part UNION SELECT p_brand FROM part UNION SELECT p_type FROM part UNION SELECT split_part(p_name, ' ', 1) FROM part UNION SELECT split_part(p_name, ' ', 2) FROM part UNION SELECT split_part(p_name, ' ', 2) || split_part(p_name, ' ', 1) FROM part WHERE p_size % 2 = 0),
+names AS (SELECT list({{'left': n, 'hit': []::VARCHAR[]}} ORDER BY length(n) DESC, n) AS ns FROM words WHERE n <> '')
+SELECT p_partkey, array_to_string(r.hit, '|') AS names FROM (SELECT p_partkey, list_reduce(list_prepend({{'left': {_PART_TEXT}, 'hit': []::VARCHAR[]}}, ns),
+  lambda s, x: CASE WHEN contains(s.left, x.left) THEN {{'left': replace(s.left, x.left, repeat(' ', length(x.left)::INT)), 'hit': list_append(s.hit, x.left)}} ELSE s END) AS r FROM part, names)""")
+def cited_part_names(spark, sf_dir):
+    """All names of a table that texts mention, by an automaton: longest first, and none inside another."""
+    p = table(spark, sf_dir, "part")
+    word = lambda i: F.split_part("p_name", lit(" "), lit(i))
+    names = p.select(F.explode(F.array("p_name", "p_brand", "p_type", word(1), word(2), F.when(F.col("p_size") % 2 == 0, F.concat(word(2), word(1))))).alias("name"))
+    found = answers.with_mentioned(p.select("p_partkey", F.expr(_PART_TEXT).alias("text")), names, "text")
+    return found.select("p_partkey", F.array_join("mentioned", "|").alias("names"))
+
+
 @query("""WITH r AS (SELECT p_partkey, p_name AS q, CASE p_size % 5 WHEN 0 THEN 'n/a ' || p_name WHEN 1 THEN split_part(p_name, ' ', 1) || ' x' WHEN 2 THEN p_name || repeat('z', 81) WHEN 3 THEN 'unrelated text' ELSE '' END AS new FROM part)
 SELECT p_partkey, CASE WHEN length(new) BETWEEN 1 AND 80 AND NOT starts_with(upper(new), 'N/A') AND len(list_filter(string_split(q, ' '), lambda w: length(w) >= 2 AND contains(new, substr(w, 1, 2)))) > 0 THEN new ELSE q END AS search FROM r""")
 def accepted_rewrites(spark, sf_dir):
