@@ -15,7 +15,7 @@ from .plans import search as hybrid
 from .sources import boards, fetch
 from .spread import spread
 from .storage import keep, shared_folder
-from .streaming import logs
+from .streaming import logs, progress
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -500,5 +500,16 @@ def fetched_pages(spark, sf_dir):
     return found.select("page", F.sha2("html", 256).alias("html_sha256"), "tries", F.col("error").isNotNull().alias("failed"))
 
 
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
+def streamed_last_records(spark, sf_dir):
+    """The last event of each user, by a stream with state that writes a folder for each batch."""
+    import uuid
+
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    stream = logs.read_stream(spark, sf_dir, table(spark, sf_dir, "events").schema, pattern="events.parquet").select("user_id", "event_id", "event_type")
+    progress.write(progress.last_records(stream, "user_id", "event_id"), base + "/out", base + "/state").awaitTermination()
+    return progress.current(spark, base + "/out", "user_id", "event_id").join(spark.read.parquet(base + "/out").groupBy("user_id").agg(F.max("event_id").alias("event_id")), "user_id").select("user_id", "event_id", "event_type")
+
+
 # Cases that are made of the tables' columns, for the rest of the operators.
 from . import cases  # noqa: E402, F401
