@@ -39,12 +39,36 @@ def summary(spark: SparkSession, steps: list[Step]) -> DataFrame:
     return spark.createDataFrame([*steps, total], "name string, ok boolean, seconds double, error string")
 
 
+def recovered(spark: SparkSession, path: str) -> None:
+    """Ends a replacement of the table at ``path`` that was broken off: the new rows are there if they had been
+    written whole and the old ones had been moved away, else the old ones."""
+    fs, at, new, old = _places(spark, path)
+    if not fs.exists(at) and fs.exists(old):
+        fs.rename(new if fs.exists(_place(spark, f"{path}.new/_SUCCESS")) else old, at)
+    for rest in (new, old) if fs.exists(at) else ():
+        fs.delete(rest, True)
+
+
+def _place(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _places(spark: SparkSession, path: str):
+    at = _place(spark, path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at, _place(spark, f"{path}.new"), _place(spark, f"{path}.old")
+
+
 def _replace(spark: SparkSession, table: DataFrame, path: str, partition: str | None = None) -> DataFrame:
-    """Writes ``table``, which may be read from ``path`` itself, over what is there."""
-    table.write.mode("overwrite").parquet(f"{path}.new")
-    fresh = spark.read.parquet(f"{path}.new")
-    writer = fresh.write.mode("overwrite")
-    (writer.partitionBy(partition) if partition else writer).parquet(path)
+    """Puts ``table``, which may be read from ``path`` itself, in the place of what is there: it is written once,
+    aside, and then moved, so that rows old or new are whole at any time (see recovered())."""
+    fs, at, new, old = _places(spark, path)
+    writer = table.write.mode("overwrite")
+    (writer.partitionBy(partition) if partition else writer).parquet(f"{path}.new")
+    if fs.exists(at):
+        fs.delete(old, True)
+        fs.rename(at, old)
+    fs.rename(new, at)
+    fs.delete(old, True)
     return spark.read.parquet(path)
 
 
@@ -57,6 +81,8 @@ def refresh(spark: SparkSession, regulations: DataFrame, out: str, name: str | N
     encoder, without which there are no vectors; ``evaluate`` gets the tables' paths and returns a
     report; ``enrich`` dates the regulations first; ``skip`` names steps to leave out."""
     paths = {t: f"{out}/{t}" for t in ("chunks", "index", "vectors", "evaluation")}
+    for t in ("chunks", "vectors"):
+        recovered(spark, paths[t])
     held = {"regulations": regulations}
     steps = []
 
