@@ -21,11 +21,10 @@ from pyspark.sql import functions as F
 
 from ..shipping import attach
 from . import kernel
-from .storage import few
+from .storage import is_few, keep
 
-#: Least hashes of words that the size of the vocabulary is reckoned from: exact for fewer words, else
-#: with a standard error of one in their square root.
-LEAST_HASHES = 1 << 14
+#: Distinct words that a task holds before it sends them on to be counted.
+HELD_WORDS = 1 << 20
 #: Weight of the word model in the pair model, and of each word of the vocabulary in the word model.
 ALPHA, BETA = 4.0, 0.5
 #: Words of a chunk; a chunk ends with the batch slice that reaches them.
@@ -45,7 +44,7 @@ class Models(NamedTuple):
     columns: tuple[str, str]
     totals: tuple[int, int]
     texts: tuple[int, int]
-    vocabulary: float
+    vocabulary: int
     size: int
 
 
@@ -67,15 +66,21 @@ def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col
     """The (target, background) models, each over all of its documents.  Their words are counted
     here; the counts of each word and pair are made where texts are scored, by the same shuffle.
 
-    Few target ids go to the texts; many meet them in a shuffle.  Null and empty texts add nothing;
-    repeated rows count each; ids that no document has are no matter."""
+    Few target ids go to the texts; many meet them in a shuffle, whose result is stored, so that a lost
+    task that runs again reads its texts in the same order.  Each task sends its distinct words to a
+    shuffle that counts them.  Null and empty texts add nothing; repeated rows count each; ids that no
+    document has are no matter."""
     attach(docs.sparkSession)
     ids = target_ids.select(F.col(target_ids.columns[0]).alias("__id")).where("__id is not null").distinct().withColumn("__in", F.lit(True))
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(few(ids, "__id"), "__id", "left").select("__id", "__text", F.coalesce("__in", F.lit(False)).alias("__in"))
-    sums, most = ["words_in", "words", "texts_in", "texts", "size"], LEAST_HASHES
+    small = is_few(ids, "__id")
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(ids) if small else ids, "__id", "left")
+    texts = texts.select("__id", "__text", F.coalesce("__in", F.lit(False)).alias("__in"))
+    texts = texts if small else keep(texts, "marked-texts")
+    sums, most = ["words_in", "words", "texts_in", "texts", "size"], HELD_WORDS
 
     def run(batches):
-        total, least = np.zeros(len(sums), np.int64), np.zeros(0, np.uint64)
+        total, held = np.zeros(len(sums), np.int64), np.zeros(0, np.uint64)
+        words = lambda h: pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *[pa.nulls(len(h), pa.int64())] * len(sums)], ["h", *sums])
         for batch in batches:
             raw, at, _ = kernel.string_buffers(batch.column(0))
             chosen = np.asarray(batch.column(1))
@@ -83,18 +88,16 @@ def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col
                 found = kernel.Words(raw, at[a : b + 1], kernel.alnum_words())
                 n, own = np.diff(found.at), chosen[a:b]
                 total += [n[own].sum(), n.sum(), (n[own] > 0).sum(), (n > 0).sum(), at[b] - at[a]]
-                new = found.hash[found.hash < least[-1]] if len(least) == most else found.hash
-                least = np.unique(np.concatenate([least, new]))[:most]
-        none = [pa.array(np.zeros(len(least), np.int64))] * len(sums)
-        yield pa.RecordBatch.from_arrays([pa.array((least >> np.uint64(1)).astype(np.int64)), *none], ["h", *sums])
+                held = np.union1d(held, found.hash)
+                if len(held) >= most:
+                    yield words(held)
+                    held = held[:0]
+        yield words(held)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), *(pa.array([v], pa.int64()) for v in total.tolist())], ["h", *sums])
 
     counted = texts.select("__text", "__in").mapInArrow(kernel.tidy(run), "h bigint, " + ", ".join(f"{c} bigint" for c in sums))
-    rows = counted.groupBy("h").agg(*(F.sum(c).alias(c) for c in sums)).orderBy(F.col("h").asc_nulls_first()).limit(most + 1).collect()
-    least = [r["h"] for r in rows if r["h"] is not None]
-    vocabulary = float(len(least)) if len(least) < most else (most - 1) * 2.0**63 / least[-1]
-    t = rows[0] if rows and rows[0]["h"] is None else dict.fromkeys(sums, 0)
-    return Models(docs, texts, (id_col, text_col), (t["words_in"], t["words"]), (t["texts_in"], t["texts"]), vocabulary, t["size"])
+    t = counted.agg(F.count_distinct("h").alias("vocabulary"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums)).first()
+    return Models(docs, texts, (id_col, text_col), (t["words_in"], t["words"]), (t["texts_in"], t["texts"]), t["vocabulary"], t["size"])
 
 
 def _own(keys: np.ndarray, row: np.ndarray, size: int) -> np.ndarray:

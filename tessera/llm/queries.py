@@ -22,7 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     target = table(spark, sf_dir, "labels").where("quality = 1 and doc_id is not null").select("doc_id")
-    return lm_score.scores(docs, lm_score.fit(docs, target), target)
+    scored = lm_score.scores(docs, lm_score.fit(docs, target), target)
+    return scored.withColumns({c: F.round(c, 9) for c in ("target_loss", "background_loss", "score")})
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +105,27 @@ QUERIES = {
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _loss_sql(count: str, words: str, texts: str, own: str) -> str:
+    """-log p of a word by the counts ``count``, where ``own`` is 1 if the text's own counts are left out."""
+    left = lambda c, mine: f"(coalesce({c}, 0) - {own} * {mine})"
+    single = f"({left(f'w.{count}', 'ow.k')} + {lm_score.BETA}e0) / ({words} - {own} * t.n + {lm_score.BETA}e0 * v)"
+    context = f"CASE WHEN t.i = 1 THEN {texts} - {own} ELSE {left(f'b.{count}', 'ob.k')} END"
+    return f"-ln(({left(f'p.{count}', 'op.k')} + {lm_score.ALPHA}e0 * {single}) / ({context} + {lm_score.ALPHA}e0))"
+
+
+_OP1 = f"""WITH target AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL),
+docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id IN (SELECT doc_id FROM target), false)::INT AS inside, regexp_extract_all(coalesce({_LOWER.format("text")}, ''), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+t AS (SELECT r, inside, len(ws) AS n, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i, unnest(list_prepend('', ws[:-2])) AS b FROM docs WHERE len(ws) > 0),
+cw AS (SELECT w, count(*) AS c, sum(inside) AS ci FROM t GROUP BY w), cp AS (SELECT b, w, count(*) AS c, sum(inside) AS ci FROM t GROUP BY b, w),
+ow AS (SELECT r, w, count(*) AS k FROM t GROUP BY r, w), op AS (SELECT r, b, w, count(*) AS k FROM t GROUP BY r, b, w),
+s AS (SELECT count(*) FILTER (WHERE len(ws) > 0) AS texts, count(*) FILTER (WHERE len(ws) > 0 AND inside = 1) AS texts_in, coalesce(sum(len(ws)), 0) AS words, coalesce(sum(len(ws)) FILTER (WHERE inside = 1), 0) AS words_in, greatest((SELECT count(*) FROM cw), 1) AS v FROM docs),
+losses AS (SELECT t.r, avg({_loss_sql("ci", "words_in", "texts_in", "t.inside")}) AS target, avg({_loss_sql("c", "words", "texts", "1")}) AS ground
+ FROM t CROSS JOIN s JOIN cw w ON w.w = t.w JOIN cp p ON p.b = t.b AND p.w = t.w JOIN ow ON ow.r = t.r AND ow.w = t.w JOIN op ON op.r = t.r AND op.b = t.b AND op.w = t.w
+ LEFT JOIN cw b ON b.w = t.b LEFT JOIN ow ob ON ob.r = t.r AND ob.w = t.b GROUP BY t.r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, round(coalesce(target, 0), 9) AS target_loss, round(coalesce(ground, 0), 9) AS background_loss, round(coalesce(target - ground, 0), 9) AS score FROM docs LEFT JOIN losses USING (r)"""
+
 _OP3 = f"""WITH items AS (SELECT row_number() OVER () AS k, item_id::VARCHAR AS item, regexp_extract_all({_LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
 suffixes AS (SELECT k, item, w, least(len(w), 13) AS n, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS place FROM items WHERE len(w) > 0),
 windows AS (SELECT k, item, n, place, array_to_string(w[place:place + n - 1], ' ') AS win FROM suffixes),
@@ -160,4 +182,4 @@ positives AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score
 SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, other_id AS negative_id, positive_score, score AS negative_score FROM positives JOIN scored USING (anchor_id)
  WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) QUALIFY row_number() OVER w <= 5"""
 
-ORACLES: dict[str, str] = {"op3_benchmark_decontamination": _OP3, "op4_url_filter": _OP4, "op10_minhash_near_dedup": _OP10, "op11_fill_in_middle": _OP11, "op12_hard_negatives": _OP12}
+ORACLES: dict[str, str] = {"op1_lm_scoring": _OP1, "op3_benchmark_decontamination": _OP3, "op4_url_filter": _OP4, "op10_minhash_near_dedup": _OP10, "op11_fill_in_middle": _OP11, "op12_hard_negatives": _OP12}

@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from ..storage import delete, keep, shared_folder
 
-__all__ = ["Scratch", "delete", "few", "keep", "local", "shared_folder"]
+__all__ = ["Scratch", "delete", "few", "is_few", "keep", "local", "shared_folder"]
 
 #: Ids of so many bytes at most are broadcast, reckoned with so many bytes a row besides.
 FEW_BYTES, ROW_BYTES = 8 << 20, 16
@@ -17,10 +17,15 @@ FEW_BYTES, ROW_BYTES = 8 << 20, 16
 def few(ids: DataFrame, key: str | None = None) -> DataFrame:
     """A table of ids, to be broadcast if the bytes of its column ``key`` are few; else it meets rows in a
     shuffle.  The table is read for that."""
+    return F.broadcast(ids) if is_few(ids, key) else ids
+
+
+def is_few(ids: DataFrame, key: str | None = None) -> bool:
+    """If the bytes of a table's ids are few; the table is read for that."""
     key = key or ids.columns[0]
     wide = F.coalesce(F.octet_length(key), F.lit(0)) if dict(ids.dtypes)[key] in ("string", "binary") else F.lit(8)
     size = ids.agg(F.sum(wide + ROW_BYTES)).first()[0] or 0
-    return F.broadcast(ids) if size <= FEW_BYTES else ids
+    return size <= FEW_BYTES
 
 
 def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessera.llm import kernel, lm_score
+from tessera.llm import kernel, lm_score, storage
 
 
 def ids_of(text):
@@ -126,10 +126,22 @@ def test_probabilities_of_all_words_sum_to_one(spark):
         assert p.sum() + ends / (context + lm_score.ALPHA) == pytest.approx(1)
 
 
-def test_vocabulary_beyond_the_least_hashes(spark, monkeypatch):
-    monkeypatch.setattr(lm_score, "LEAST_HASHES", 1000)
+@pytest.mark.parametrize("held", [1 << 20, 1000])
+def test_vocabulary_is_counted_exactly(spark, monkeypatch, held):
+    monkeypatch.setattr(lm_score, "HELD_WORDS", held)
     docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i * 50, i * 50 + 100))) for i in range(400)], "doc_id long, text string").repartition(5)
-    assert lm_score.fit(docs, docs.select("doc_id")).vocabulary == pytest.approx(20_050, rel=0.12)
+    assert lm_score.fit(docs, docs.select("doc_id")).vocabulary == 20_050
+
+
+def test_many_target_ids_meet_texts_in_a_shuffle_that_is_stored(spark, monkeypatch):
+    docs = spark.createDataFrame([*made_up(60), (None, "red one"), (None, "red one"), (7, "red blue")], "doc_id long, text string").repartition(3)
+    target = spark.createDataFrame([(i,) for i in range(0, 60, 4)], "doc_id long")
+    rows = lambda: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in lm_score.scores(docs.fillna({"doc_id": -1}), lm_score.fit(docs.fillna({"doc_id": -1}), target), target).collect())
+    want = rows()
+    monkeypatch.setattr(storage, "FEW_BYTES", 0)
+    models = lm_score.fit(docs, target)
+    assert "parquet" in models.marked._jdf.queryExecution().toString().lower()
+    assert rows() == want
 
 
 def test_long_texts_repeated_rows_and_rows_without_id(spark):
