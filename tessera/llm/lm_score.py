@@ -23,7 +23,7 @@ from ..shipping import attach
 from . import kernel
 from .storage import is_few, keep
 
-#: Distinct words that a task holds before it sends them on to be counted.
+#: Words that a task holds, and distinct ones that it keeps of them, before it sends them on to be counted.
 HELD_WORDS = 1 << 20
 #: Weight of the word model in the pair model, and of each word of the vocabulary in the word model.
 ALPHA, BETA = 4.0, 0.5
@@ -79,7 +79,7 @@ def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col
     sums, most = ["words_in", "words", "texts_in", "texts", "size"], HELD_WORDS
 
     def run(batches):
-        total, held = np.zeros(len(sums), np.int64), np.zeros(0, np.uint64)
+        total, held, new, n_new = np.zeros(len(sums), np.int64), np.zeros(0, np.uint64), [], 0
         words = lambda h: pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *[pa.nulls(len(h), pa.int64())] * len(sums)], ["h", *sums])
         for batch in batches:
             raw, at, _ = kernel.string_buffers(batch.column(0))
@@ -88,11 +88,14 @@ def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col
                 found = kernel.Words(raw, at[a : b + 1], kernel.alnum_words())
                 n, own = np.diff(found.at), chosen[a:b]
                 total += [n[own].sum(), n.sum(), (n[own] > 0).sum(), (n > 0).sum(), at[b] - at[a]]
-                held = np.union1d(held, found.hash)
-                if len(held) >= most:
-                    yield words(held)
-                    held = held[:0]
-        yield words(held)
+                new.append(found.hash)
+                n_new += len(found.hash)
+                if n_new >= most:  # sorted once for so many words, not for each slice
+                    held, new, n_new = np.union1d(held, np.concatenate(new)), [], 0
+                    if len(held) >= most:
+                        yield words(held)
+                        held = held[:0]
+        yield words(np.union1d(held, np.concatenate([held, *new])))
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), *(pa.array([v], pa.int64()) for v in total.tolist())], ["h", *sums])
 
     counted = texts.select("__text", "__in").mapInArrow(kernel.tidy(run), "h bigint, " + ", ".join(f"{c} bigint" for c in sums))
