@@ -23,7 +23,7 @@ from .plans import collect, refresh
 from .plans import search as hybrid
 from .queries import _PLAIN, _bm25, _clean_sql, _packed, _questions, _strip, _top, query, table
 from .shipping import attach
-from .sources import boards, grids, rulebook, tables
+from .sources import boards, files, grids, rulebook, tables
 from .storage import shared_folder
 
 lit = F.lit
@@ -177,6 +177,26 @@ def rulebook_split(spark, sf_dir):
     return rulebook.split(paras, rulebook.contents(paras)).select("path", "name", "body")
 
 
+#: Steps and moduli by which a part's key becomes syllables, so that no two parts share a name.
+_SYLLABLES = [(7 + 10 * i, 10_007 + 90 * i) for i in range(11)]
+_NAME_SQL = "chr(44032) || " + " || ".join(f"chr((44032 + p_partkey * {a} % {m})::INT)" for a, m in _SYLLABLES)
+
+
+@query(f"""SELECT p_brand AS path, CASE p_partkey % 4 WHEN 0 THEN n || ' 규정' WHEN 1 THEN '산학협력단 ' || n || ' 규정 [고시]' WHEN 2 THEN n || '의 운영 규정' ELSE n || ' 지침' END AS name, CASE WHEN p_partkey % 4 < 3 THEN 100000 + 2 * i ELSE -1 END AS start
+FROM (SELECT *, {_NAME_SQL} AS n, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part)""")
+def rulebook_titles(spark, sf_dir):
+    """Where entries start, by the same title, the same but for words that come and go, or the most like one."""
+    key, i = F.col("p_partkey"), F.col("i")
+    rows = table(spark, sf_dir, "part").withColumn("i", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")))
+    syllables = [F.decode(F.unhex(F.hex(44032 + key * a % m)), "UTF-16BE") for a, m in _SYLLABLES]
+    rows = rows.select(F.col("p_brand").alias("path"), "i", (key % 4).alias("kind"), F.concat(lit("가"), *syllables).alias("n"))
+    named = lambda *ways: functools.reduce(lambda c, w: c.when(F.col("kind") == w[0], F.concat(*w[1])), ways, F).alias
+    name = named((0, ["n", lit(" 규정")]), (1, [lit("산학협력단 "), "n", lit(" 규정 [고시]")]), (2, ["n", lit("의 운영 규정")]), (3, ["n", lit(" 지침")]))("name")
+    title = named((0, ["n", lit(" 규정")]), (1, ["n", lit(" 규정")]), (2, ["n", lit(" 운영 규정")]))("text")
+    text = rows.where("kind < 3").select("path", (100_000 + i * 2).alias("pos"), title).union(rows.select("path", (100_001 + i * 2).alias("pos"), lit("제1조 목적")))
+    return rulebook.titles(text, rows.select("path", i.alias("pos"), name)).select("path", "name", F.coalesce("start", lit(-1)).cast("bigint").alias("start"))
+
+
 @query("SELECT count(*) AS n, count(*) FILTER (WHERE p_size % 2 = 0) AS n_changed, count(DISTINCT CASE WHEN p_size % 2 = 0 THEN p_brand || ' ' || p_type || ' ' ELSE p_brand || p_type END) AS n_texts FROM part")
 def residue(spark, sf_dir):
     """Texts with and without residue of markup."""
@@ -422,6 +442,21 @@ def contact_sheet(spark, sf_dir):
     return numbered.join(analytics.contacts_by_source(groups, "n_name").withColumnRenamed("n", "combos"), "source").select("at", "source", "department", "contact", "n", "combos")
 
 
+@query("""WITH g AS (SELECT c_nationkey AS a, c_mktsegment AS b, count(*) AS n, min(c_name) || ', "' || max(c_name) || '"' AS names FROM customer GROUP BY ALL),
+j AS (SELECT string_agg('{"nation": ' || a || ', "segment": "' || b || '", "n": ' || n || '}', ',' || chr(10) ORDER BY a, b) AS t FROM g)
+SELECT 'csv' AS kind, 'EFBBBF' AS mark, sha256(chr(65279) || 'nation,segment,n,names' || chr(13) || chr(10) || string_agg(a || ',' || b || ',' || n || ',"' || replace(names, '"', '""') || '"' || chr(13) || chr(10), '' ORDER BY a, b)) AS content_sha256 FROM g
+UNION ALL SELECT 'json', '5B0A7B', sha256('[' || chr(10) || t || chr(10) || ']' || chr(10)) FROM j""")
+def written_files(spark, sf_dir):
+    """A sheet and a report, each written as one file and read again byte by byte."""
+    g = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
+    g = g.agg(F.count("*").alias("n"), F.concat(F.min("c_name"), lit(', "'), F.max("c_name"), lit('"')).alias("names")).orderBy("nation", "segment")
+    out = _scratch(spark, "files")
+    files.write_file(g, f"{out}/sheet.csv", "csv")
+    files.write_file(g.drop("names"), f"{out}/report.json", "json")
+    found = spark.read.format("binaryFile").load(out)
+    return found.select(F.regexp_extract("path", r"\.(\w+)$", 1).alias("kind"), F.hex(F.substring("content", 1, 3)).alias("mark"), F.sha2("content", 256).alias("content_sha256"))
+
+
 @query("SELECT event_type AS question, count(*) AS n, round(sum(value), 2) AS took FROM events WHERE event_id % 10 <> 0 GROUP BY event_type")
 def logged_questions(spark, sf_dir):
     """Daily JSON logs, written and read again without lines that are no JSON."""

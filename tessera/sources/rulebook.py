@@ -81,12 +81,43 @@ def _likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 
 
+def _numbered(text) -> F.Column:
+    """A text's characters, each with how often it came before: a set that overlaps as the characters do."""
+    chars = F.sort_array(F.regexp_extract_all(text, F.lit(r"(?s)."), F.lit(0)))
+    # Inside an array of its own, so that it is made once and not for each character.
+    return F.transform(F.array(chars), lambda cs: F.transform(cs, lambda c, i: F.concat(c, (i - F.array_position(cs, c)).cast("string"))))[0]
+
+
+def title_candidates(entries: DataFrame, shaped: DataFrame) -> DataFrame:
+    """(path, pos, p, loose, other): pairs of an entry (path, pos, m, loose) and a paragraph (path, p, n, other)
+    whose characters allow a ratio of matching blocks of 0.9 or more, of lengths 15 apart at most.
+
+    Blocks match no more characters than both have.  For the ratio both must share 9 of 20 of all characters, so
+    9 of 11 of each; hence one of the rarest L - ceil(9 L / 11) + 1 of its L is among as many
+    of the other's, and pairs are an equi-join by file and such a character."""
+    spans = entries.groupBy("path").agg((F.min("m") - 15).alias("least"), (F.max("m") + 15).alias("most"))
+    shaped = shaped.join(spans, "path").where("n between least and most").drop("least", "most")
+    sides = [df.withColumn("t", F.explode(_numbered(F.col(text)))) for df, text in ((entries, "loose"), (shaped, "other"))]
+    times = sides[0].select("t").union(sides[1].select("t")).groupBy("t").agg(F.count("*").alias("times"))
+
+    def rarest(side, keys):
+        rows = side.join(times, "t").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("times", "t"))).alias("ts"))
+        size = F.size("ts")
+        return rows.select(*keys, size.alias("size_" + keys[1]), F.explode(F.slice("ts", F.lit(1), size - F.floor((size * 9 + 10) / 11).cast("int") + 1)).alias("x")).withColumn("x", F.col("x.t"))
+
+    pairs = rarest(sides[0], ["path", "pos", "m", "loose"]).join(rarest(sides[1], ["path", "p", "n", "other"]), ["path", "x"])
+    both = F.col("size_pos") + F.col("size_p")
+    pairs = pairs.where((F.abs(F.col("n") - F.col("m")) <= 15) & (both * 9 <= F.least("size_pos", "size_p") * 20))
+    pairs = pairs.select("path", "pos", "p", "loose", "other", both.alias("both")).distinct()
+    shared = F.size(F.array_intersect(_numbered(F.col("loose")), _numbered(F.col("other"))))
+    return pairs.where(F.col("both") * 9 <= shared * 20).drop("both")
+
+
 def titles(paras: DataFrame, toc: DataFrame) -> DataFrame:
     """``toc`` with ``start``: the first paragraph that is an entry's title, or null.
 
     The same normalised title comes before the same loose one, and that before the most like
-    of at least 0.9.  Exact and loose titles are equi-joins; only entries without any are
-    compared with paragraphs that look like titles of about their length."""
+    of at least 0.9.  All three are equi-joins: only pairs that title_candidates() leaves are compared."""
     body = paras.join(contents_end(paras, toc), "path").where("pos > toc_end and text <> ''").select("path", F.col("pos").alias("p"), F.col("text").alias("t"))
     body = body.select("*", norm_title("t").alias("exact"), loose_title("t").alias("loose"), F.length("t").alias("n"))
     entries = toc.select("*", norm_title("name").alias("exact"), loose_title("name").alias("loose"), F.length("name").alias("m"))
@@ -94,20 +125,30 @@ def titles(paras: DataFrame, toc: DataFrame) -> DataFrame:
     found = entries.join(by_title("exact", 30), ["path", "pos"], "left").join(by_title("loose", 40), ["path", "pos"], "left")
     found = found.withColumn("start", F.coalesce("exact_at", "loose_at"))
     shaped = body.where(~F.col("t").startswith("제") & F.col("t").rlike(rf"(?U)({C.RULE_NOUNS})\s*$")).select("path", "p", "n", F.col("loose").alias("other"))
-    near = found.where("start is null").select("path", "pos", "m", "loose").join(shaped, "path").where("abs(n - m) <= 15").withColumn("r", _likeness("other", "loose"))
+    near = title_candidates(found.where("start is null").select("path", "pos", "m", "loose"), shaped).withColumn("r", _likeness("other", "loose"))
     best = near.groupBy("path", "pos").agg(F.max(F.struct("r", (-F.col("p")).alias("q"))).alias("b")).where(F.col("b.r") >= C.TITLE_RATIO)
     found = found.join(best.select("path", "pos", (-F.col("b.q")).alias("like_at")), ["path", "pos"], "left")
     return found.withColumn("start", F.coalesce("start", "like_at")).select(*toc.columns, "start")
 
 
+#: Paragraphs of a stretch, by which paragraphs meet the entries that reach into it.
+STRETCH = 1024
+
+
 def split(paras: DataFrame, toc: DataFrame) -> DataFrame:
-    """``toc`` with ``body``: paragraphs from an entry's title to the next title; entries whose
-    title is not found have no row (see missing())."""
+    """``toc`` with ``body``: paragraphs from an entry's title to the next title, none for all but the last of
+    entries of one title; entries whose title is not found have no row (see missing()).
+
+    Entries and paragraphs meet by file and stretch, so no file is one task's work."""
     starts = titles(paras, toc).where("start is not null")
     ends = starts.withColumn("__end", F.lead("start", 1).over(Window.partitionBy("path").orderBy("start", "pos")))
-    met = ends.join(paras.where("text <> ''").select("path", F.col("pos").alias("p"), "text"), "path").where((F.col("p") >= F.col("start")) & (F.col("__end").isNull() | (F.col("p") < F.col("__end"))))
-    lines = F.transform(F.sort_array(F.collect_list(F.struct("p", "text"))), lambda x: x["text"])
-    return met.groupBy(*toc.columns).agg(clean_text(F.array_join(lines, "\n")).alias("body"))
+    ends = ends.join(paras.groupBy("path").agg(F.max("pos").alias("__last")), "path").withColumn("__end", F.coalesce("__end", F.col("__last") + 1))
+    stretch = lambda c: F.floor(c / STRETCH)
+    ends = ends.withColumn("__s", F.explode(F.sequence(stretch(F.col("start")), stretch(F.greatest(F.col("start"), F.col("__end") - 1)))))
+    lines = paras.where("text <> ''").select(F.col("path").alias("__path"), F.col("pos").alias("p"), F.col("text").alias("__text"), stretch(F.col("pos")).alias("__at"))
+    met = ends.join(lines, (F.col("path") == F.col("__path")) & (F.col("__s") == F.col("__at")) & (F.col("p") >= F.col("start")) & (F.col("p") < F.col("__end")), "left")
+    texts = F.transform(F.sort_array(F.collect_list(F.when(F.col("p").isNotNull(), F.struct("p", "__text")))), lambda x: x["__text"])
+    return met.groupBy(*toc.columns).agg(clean_text(F.array_join(texts, "\n")).alias("body"))
 
 
 def missing(paras: DataFrame, toc: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..operators.chunking import body_of
+from .files import write_file
 
 _S = "{} string"
 REGULATION = ", ".join(map(_S.format, "id source category name department contact rule_no date source_url law_url text_file".split())) + ", rulebook_page int, rulebook_page_end int, enforce_date string, revision_date string, revision_type string, status string"
@@ -59,16 +60,9 @@ def contact_sheet(groups: DataFrame, source: str, department: str, contact: str,
     return groups.select(*columns, *(F.lit("").alias(h) for h in C.CONTACT_HEAD[5:])).orderBy(*C.CONTACT_HEAD[:3])
 
 
-def _in_one(rows: DataFrame) -> DataFrame:
-    """Few rows, in their order, as one partition."""
-    return rows.withColumn("__at", F.monotonically_increasing_id()).repartition(1).sortWithinPartitions("__at").drop("__at")
-
-
 def write_contacts(groups: DataFrame, path: str) -> None:
-    """The contact sheet as CSV that spreadsheets read as UTF-8: the first header has a mark.  A sheet is
-    for people to read, so it is one file."""
-    first = groups.columns[0]
-    _in_one(groups).withColumnRenamed(first, "\ufeff" + first).write.mode("overwrite").option("header", True).csv(path)
+    """The contact sheet, in its order, as one CSV file that spreadsheets read as UTF-8."""
+    write_file(groups, path, "csv")
 
 
 def write_markdown(rows: DataFrame, title: str, note: str, path: str) -> None:
@@ -92,7 +86,7 @@ def with_default_contact(rows: DataFrame, contacts: dict[str, str], default: str
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """An evaluation's report as JSON lines."""
+    """An evaluation's report as JSON lines, for Spark to read; write_file() makes a JSON array of it."""
     report.write.mode("overwrite").json(path)
 
 

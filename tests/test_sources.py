@@ -1,12 +1,14 @@
+import difflib
 import io
 import json
+import random
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.plans import refresh
-from tessera.sources import boards, rulebook, tables
+from tessera.sources import boards, files, rulebook, tables
 from tessera.streaming import logs
 
 
@@ -115,8 +117,8 @@ def test_logs_and_feedback(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     groups = spark.createDataFrame([("산학", "나", "2", 1, "a"), ("대학", "과", "1", 3, "b, c")], "source string, department string, contact string, n int, names string")
     sheet = tables.contact_sheet(groups, "source", "department", "contact", "n", "names")
-    tables.write_contacts(sheet, str(tmp_path / "csv"))
-    (text,) = [p.read_text(encoding="utf-8") for p in (tmp_path / "csv").glob("*.csv")]
+    tables.write_contacts(sheet, str(tmp_path / "csv" / "sheet.csv"))
+    (text,) = [p.read_text(encoding="utf-8") for p in (tmp_path / "csv").iterdir()]
     assert text.startswith("\ufeff출처,담당부서,") and text.splitlines()[1].startswith("대학,과,1,3,") and text.splitlines()[2].startswith("산학,나")
     tables.write_markdown(sheet, "목록", "확인 바랍니다.", str(tmp_path / "md"))
     (text,) = [p.read_text(encoding="utf-8") for p in (tmp_path / "md").glob("*.txt")]
@@ -169,3 +171,45 @@ def test_streaming_counts(spark, tmp_path):
     assert got == [(0, 3), (1, 1), (3, 1)]
     batch = logs.windowed_counts(spark.read.parquet(str(tmp_path / "in")), "ts", "kind", "2 hours", slide="1 hour")
     assert batch.agg(F.sum("n")).first()[0] == 14
+
+
+def test_one_file_is_committed_whole_or_not_at_all(spark, tmp_path):
+    path = tmp_path / "out.json"
+    rows = spark.range(0, 50, 1, 5).selectExpr("id", "if(id % 7 = 0, null, concat('가\n', id)) t").orderBy("id")
+    files.write_file(rows, str(path), "json")
+    want = [{"id": i, "t": None if i % 7 == 0 else f"가\n{i}"} for i in range(50)]
+    assert json.loads(path.read_text(encoding="utf-8")) == want
+    broken = rows.withColumn("t", F.when(F.col("id") == 44, F.raise_error(F.lit("stop"))).otherwise(F.col("t")))
+    with pytest.raises(Exception, match="stop"):
+        files.write_file(broken, str(path), "json")
+    assert json.loads(path.read_text(encoding="utf-8")) == want and [p.name for p in tmp_path.iterdir()] == ["out.json"]
+    files.write_file(rows.limit(0), f"file://{path}", "json")
+    assert json.loads(path.read_text(encoding="utf-8")) == []
+    files.write_file(rows.limit(0), str(path), "csv")
+    assert path.read_bytes() == b"\xef\xbb\xbfid,t\r\n"
+
+
+def test_titles_by_candidates_equal_comparing_all(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("가나다라마바사아자차카타파하거너더러") for _ in range(n))
+    names = [word(rng.randint(1, 24)) + "규정" for _ in range(120)]
+
+    def changed(name):
+        at = rng.randrange(len(name) - 2) if len(name) > 3 else 0
+        return rng.choice([name[:at] + word(1) + name[at:], name[:at] + name[at + 1 :], name[:at] + word(1) + name[at + 1 :], word(2) + name, name[::-1][2:] + "규정"])
+
+    others = [changed(n) for n in names for _ in range(2)]
+    a = spark.createDataFrame([("f", i, len(n), n) for i, n in enumerate(names)], "path string, pos int, m int, loose string")
+    b = spark.createDataFrame([("f", i, len(n), n) for i, n in enumerate(others)], "path string, p int, n int, other string")
+    got = {(r.pos, r.p) for r in rulebook.title_candidates(a, b).collect()}
+    alike = {(i, j) for i, x in enumerate(names) for j, y in enumerate(others) if abs(len(x) - len(y)) <= 15 and difflib.SequenceMatcher(None, y, x).ratio() >= 0.9}
+    assert alike and alike <= got and len(got) < len(names) * len(others) / 20
+
+
+def test_entries_of_one_title_and_long_bodies(spark, monkeypatch):
+    monkeypatch.setattr(rulebook, "STRETCH", 3)
+    toc = spark.createDataFrame([("f", 0, "가 규정"), ("f", 1, "가 규정"), ("f", 2, "나 규정"), ("f", 3, "없는 지침")], "path string, pos int, name string")
+    lines = ["가 규정", *(f"줄{i}" for i in range(10)), "나 규정", "", "끝"]
+    paras = spark.createDataFrame([("f", 10 + i, t) for i, t in enumerate(lines)], "path string, pos int, text string")
+    got = {r.pos: r.body for r in rulebook.split(paras, toc).collect()}
+    assert got == {0: "", 1: "\n".join(lines[:11]), 2: "나 규정\n끝"}
