@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from ..functions import constants as C
 from ..functions.text import clean_text, loose_title, norm_title, strip
 from ..shipping import attach
+from ..storage import keep
 
 
 def paragraphs(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
@@ -96,7 +97,7 @@ def title_candidates(entries: DataFrame, shaped: DataFrame) -> DataFrame:
     9 of 11 of each; hence one of the rarest L - ceil(9 L / 11) + 1 of its L is among as many
     of the other's, and pairs are an equi-join by file and such a character."""
     spans = entries.groupBy("path").agg((F.min("m") - 15).alias("least"), (F.max("m") + 15).alias("most"))
-    shaped = shaped.join(spans, "path").where("n between least and most").drop("least", "most")
+    shaped = keep(shaped.join(spans, "path").where("n between least and most").drop("least", "most"), "titles-shaped")
     sides = [df.withColumn("t", F.explode(_numbered(F.col(text)))) for df, text in ((entries, "loose"), (shaped, "other"))]
     times = sides[0].select("t").union(sides[1].select("t")).groupBy("t").agg(F.count("*").alias("times"))
 
@@ -125,6 +126,7 @@ def titles(paras: DataFrame, toc: DataFrame) -> DataFrame:
     found = entries.join(by_title("exact", 30), ["path", "pos"], "left").join(by_title("loose", 40), ["path", "pos"], "left")
     found = found.withColumn("start", F.coalesce("exact_at", "loose_at"))
     shaped = body.where(~F.col("t").startswith("제") & F.col("t").rlike(rf"(?U)({C.RULE_NOUNS})\s*$")).select("path", "p", "n", F.col("loose").alias("other"))
+    found = keep(found, "titles-found")  # read several times below
     near = title_candidates(found.where("start is null").select("path", "pos", "m", "loose"), shaped).withColumn("r", _likeness("other", "loose"))
     best = near.groupBy("path", "pos").agg(F.max(F.struct("r", (-F.col("p")).alias("q"))).alias("b")).where(F.col("b.r") >= C.TITLE_RATIO)
     found = found.join(best.select("path", "pos", (-F.col("b.q")).alias("like_at")), ["path", "pos"], "left")
