@@ -6,11 +6,14 @@ Workers call it, with retries and back-off; what cannot be got is a row with its
 
 import re
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from ..shipping import attach
 from . import boards
 
 #: Tries of a page, seconds of back-off for each try before, and between pages.
@@ -45,10 +48,10 @@ class Fetcher:
 class Pages(InputPartition):
     """The pages, or posts, of a partition."""
 
-    numbers: list[int]
+    numbers: Sequence[int]
 
 
-def _parts(numbers: list[int], each: int) -> list[Pages]:
+def _parts(numbers: Sequence[int], each: int) -> list[Pages]:
     return [Pages(numbers[a : a + each]) for a in range(0, len(numbers), each)]
 
 
@@ -61,7 +64,7 @@ def page_source(transport: Transport, name: str = "fetched_pages", **how) -> typ
     class Reader(DataSourceReader):
         def __init__(self, options):
             self.url = options["url"]
-            self.numbers = list(range(int(options.get("first", "1")), int(options["last"]) + 1))
+            self.numbers = range(int(options.get("first", "1")), int(options["last"]) + 1)
             self.each = int(options.get("each", "1"))
 
         def partitions(self):
@@ -142,17 +145,40 @@ def post_source(transport: Transport, name: str = "board_posts", **how) -> type[
     return Source
 
 
+#: Pages of a stored block, which a worker reads at once.
+BLOCK = 512
+
+
+def stored_pages(pages: DataFrame, path: str, key: str, column: str, block: int = BLOCK) -> "TableTransport":
+    """A transport that serves the rows of a table, by a copy at ``path`` in blocks of pages by their numbers."""
+    attach(pages.sparkSession)
+    rows = pages.where(F.col(key).isNotNull()).select(key, column, F.floor(F.col(key) / block).alias("block"))
+    rows.repartition("block").write.partitionBy("block").parquet(path)
+    return TableTransport(path, key, column, block)
+
+
 class TableTransport:
     """A transport that serves a stored table's rows instead of a site: the page asked for is the row of that
-    number.  A worker reads the row that it is asked for."""
+    number.  A worker reads the block of the page that it is asked for, and keeps it for the pages after it."""
 
-    def __init__(self, path: str, key: str, column: str):
-        self.path, self.key, self.column = path, key, column
+    def __init__(self, path: str, key: str, column: str, block: int = BLOCK):
+        self.path, self.key, self.column, self.block = path, key, column, block
+        self.held, self.rows = None, {}
 
-    def __call__(self, url: str, params: dict) -> bytes:
+    def _block(self, number: int) -> dict:
         import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        if self.held != number:
+            system, path = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
+            folder = f"{path}/block={number}"
+            there = system.get_file_info(folder).type == fs.FileType.Directory
+            table = ds.dataset(folder, filesystem=system, format="parquet").to_table([self.key, self.column]) if there else None
+            self.held, self.rows = number, dict(zip(*(table[c].to_pylist() for c in (self.key, self.column)), strict=True)) if there else {}
+        return self.rows
 
-        found = ds.dataset(self.path).to_table([self.column], filter=ds.field(self.key) == params["page"])[self.column].to_pylist()
-        if not found or found[0] is None:
+    def __call__(self, url: str, params: dict) -> bytes:
+        found = self._block(params["page"] // self.block).get(params["page"])
+        if found is None:
             raise LookupError(f"no page {params['page']}")
-        return found[0].encode()
+        return found.encode()

@@ -41,6 +41,20 @@ def test_pages_retries_and_errors(spark, tmp_path):
     assert load(last=0).count() == 0
 
 
+def test_stored_pages_are_read_by_blocks(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(n, f"page {n}" if n != 11 else None) for n in (*range(3, 9), 10, 11, 40)], "page_id long, html string")
+    served = fetch.stored_pages(pages, f"file://{tmp_path}/pages", "page_id", "html", block=4)
+    import pyarrow.dataset as ds
+
+    read, opened = [], ds.dataset
+    monkeypatch.setattr(ds, "dataset", lambda path, **more: read.append(path[-7:]) or opened(path, **more))
+    fetcher = fetch.Fetcher(served, back_off=0, delay=0)
+    got = {n: fetcher.get("pages", {"page": n}) for n in (3, 4, 5, 6, 7, 8, 9, 10, 11, 30, 40)}
+    assert got[3] == ("page 3", 1, None) and got[40] == ("page 40", 1, None)
+    assert [n for n, g in got.items() if g[0] is None and g[1] == 3] == [9, 11, 30]
+    assert read == ["block=0", "block=1", "block=2", "lock=10"]
+
+
 def test_back_off_grows(monkeypatch):
     slept = []
     monkeypatch.setattr(fetch.time, "sleep", slept.append)
