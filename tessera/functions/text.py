@@ -5,6 +5,8 @@ space; so patterns that must see Hangul, NBSP or U+3000 carry (?U) here.
 """
 
 import html
+import html.entities
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -47,10 +49,18 @@ def _unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
-def unescape_html(text) -> Column:
-    """Character references resolved; texts without any do not go to Python."""
+@F.pandas_udf(StringType())
+def _unescape_closed(s: pd.Series) -> pd.Series:
+    """Those that a semicolon ends."""
+    closed = re.compile("&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[0-9A-Za-z]+);")
+    return s.map(lambda t: closed.sub(lambda m: html.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html.entities.html5 else m[0], t), na_action="ignore")
+
+
+def unescape_html(text, closed: bool = False) -> Column:
+    """Character references resolved, or only those that a semicolon ends (``closed``): browsers also resolve
+    old ones without it.  Texts without any do not go to Python."""
     t = _col(text)
-    return F.coalesce(_unescape(F.when(t.contains("&"), t)), t)
+    return F.coalesce((_unescape_closed if closed else _unescape)(F.when(t.contains("&"), t)), t)
 
 
 def _without_tags(text) -> Column:
@@ -65,9 +75,9 @@ def _without_tags(text) -> Column:
     return F.concat(F.regexp_replace(head, r"<[^>]+>", " "), tail)
 
 
-def html_to_text(text) -> Column:
-    """What a reader sees of a page: no scripts, comments and tags, references resolved."""
-    t = unescape_html(_without_tags(text))
+def html_to_text(text, closed: bool = False) -> Column:
+    """What a reader sees of a page: no scripts, comments and tags, references resolved (see unescape_html())."""
+    t = unescape_html(_without_tags(text), closed)
     t = F.regexp_replace(t, C.CLICK_RESIDUE, " ")
     return clean_text(_without_attributes(t))
 

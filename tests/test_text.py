@@ -51,6 +51,12 @@ def test_residue_of_attributes(spark):
     assert value(spark, 'p q" value="1" r" src="2" s', T.html_to_text) == "s"
 
 
+def test_references_that_no_semicolon_ends(spark):
+    text = "<title>a&amp&amp; b&lt;&#44032; &notit; &copy</title>"
+    assert value(spark, text, T.html_to_text) == "a&& b<가 ¬it; ©"
+    assert value(spark, text, T.html_to_text, closed=True) == "a&amp& b<가 &notit; &copy"
+
+
 def test_residue_count(spark):
     df = spark.createDataFrame([('x체크박스" value="1" />',), ("깨끗",), (None,)], "text string")
     assert tuple(T.residue_count(df).first()) == (3, 1)
