@@ -122,16 +122,16 @@ def _rulebook_tables(spark, sf_dir) -> DataFrame:
     c = table(spark, sf_dir, "customer").where("c_name is not null").groupBy("c_nationkey", "c_mktsegment").agg(F.sort_array(F.collect_list(F.struct("c_custkey", "c_name"))).alias("rows"))
 
     def zipped(batches):
+        cell = lambda t, more="": f"<hp:tc><hp:p><hp:t>{t}</hp:t></hp:p>{more}</hp:tc>"
         for batch in batches:
-            packed = []
-            for rows in batch.column(1).to_pylist():
-                cell = lambda t, more="": f"<hp:tc><hp:p><hp:t>{t}</hp:t></hp:p>{more}</hp:tc>"
-                lines = [f"<hp:tr>{cell('head', '<hp:cellSpan colSpan=\"2\" rowSpan=\"1\"/>')}</hp:tr>", *(f"<hp:tr>{cell(f'{i + 1}. {r["c_name"]}')}{cell(r['c_custkey'])}</hp:tr>" for i, r in enumerate(rows))]
+            for at, rows in enumerate(batch.column(1)):
                 f = io.BytesIO()
-                with zipfile.ZipFile(f, "w") as z:
-                    z.writestr("Contents/section0.xml", f"<hp:p><hp:tbl>{''.join(lines)}</hp:tbl></hp:p>")
-                packed.append(f.getvalue())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["path", "content"])
+                with zipfile.ZipFile(f, "w") as z, z.open("Contents/section0.xml", "w", force_zip64=True) as out:
+                    out.write(f"<hp:p><hp:tbl><hp:tr>{cell('head', '<hp:cellSpan colSpan=\"2\" rowSpan=\"1\"/>')}</hp:tr>".encode())
+                    for i, r in enumerate(rows):
+                        out.write(f"<hp:tr>{cell(f'{i + 1}. {r["c_name"]}')}{cell(r['c_custkey'])}</hp:tr>".encode())
+                    out.write(b"</hp:tbl></hp:p>")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), pa.array([f.getvalue()], pa.binary())], ["path", "content"])
 
     return c.select(F.concat_ws("-", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("path"), "rows").mapInArrow(zipped, "path string, content binary")
 

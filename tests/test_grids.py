@@ -55,3 +55,12 @@ def test_start_pages(spark):
     df = spark.createDataFrame([("a", archive(section0=rows))], "path string, content binary")
     names = spark.createDataFrame([("First rule",), ("Second",), ("Third rule",), ("Fourth",)], "name string")
     assert sorted(map(tuple, grids.start_pages(grids.table_cells(df), names).collect())) == [("First rule", 12), ("Third rule", 30)]
+
+
+def test_cells_leave_a_file_as_they_are_read(spark, monkeypatch):
+    rows = 3000
+    cells = grids.iter_cells(archive(section0=tbl(*(tc(f"cell {i}" + "x" * 100) for i in range(rows)))))
+    assert next(cells)[-1].startswith("cell 0x") and cells.gi_frame is not None
+    monkeypatch.setattr(grids, "CELLS", 100)
+    files = spark.createDataFrame([("a", archive(section0=tbl(*(tc(i) for i in range(250))))), ("b", b"none"), ("c", None)], "path string, content binary")
+    assert sorted((r.path, r.row, r.text) for r in grids.table_cells(files).collect()) == sorted(("a", i, str(i)) for i in range(250))
