@@ -26,8 +26,8 @@ from ..shipping import attach
 from ..storage import shared_folder
 from . import keyword
 
-#: Documents of a shard, and its postings, but for a single longer document.
-SHARD_DOCS, SHARD_POSTINGS = 1 << 16, 1 << 23
+#: Documents of a shard, its postings, but for the rows that a step adds, and rows of a step.
+SHARD_DOCS, SHARD_POSTINGS, STEP = 1 << 13, 1 << 20, 64
 #: Documents of a block's range, buckets of terms, and rows of lists that are sent at a time.
 RANGE, BUCKETS, ROWS = 64, 16, 1024
 #: Scores are compared at 9 decimals; bounds allow for that, and for the order of sums.
@@ -93,8 +93,8 @@ def build(index: keyword.Index, path: str | None = None, k1: float = C.K1, b: fl
             return _inverted(part << 32 | shard, ids, k1 * (1 - b + b * dl.to_numpy() / mean), k1, flat.field("term"), flat.field("tf").to_numpy(), sizes)
 
         for batch in batches:
-            for a in range(0, batch.num_rows, ROWS):
-                rows.append(batch.slice(a, ROWS))
+            for a in range(0, batch.num_rows, min(STEP, ROWS)):
+                rows.append(batch.slice(a, min(STEP, ROWS)))
                 docs += rows[-1].num_rows
                 postings += pc.sum(pc.list_value_length(rows[-1].column(2))).as_py() or 0
                 if docs >= SHARD_DOCS or postings >= SHARD_POSTINGS:

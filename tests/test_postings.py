@@ -84,3 +84,11 @@ def test_matrices_of_weights_are_bounded(monkeypatch):
     monkeypatch.setattr(keyword, "MATRIX_BYTES", 200_000)
     parts = keyword._blocks(known)
     assert sum(b[2].nbytes for b in parts) <= 200_000 and sum((b[2] != 0).sum() for b in parts) == len(rows)
+
+
+def test_shards_end_within_a_batch(spark, monkeypatch):
+    monkeypatch.setattr(postings, "SHARD_POSTINGS", 640)
+    docs = spark.createDataFrame([(i, " ".join(f"w{i % 7}x{j}" for j in range(10))) for i in range(1000)], "doc_id long, text string").coalesce(1)
+    index = keyword.build(docs)
+    lists = postings.build(index._replace(forward=index.forward.coalesce(1)))
+    assert lists.lists.where("term is not null").groupBy("shard").agg(F.sum(F.size("docs")).alias("n")).agg(F.max("n")).first()[0] == 640
