@@ -94,8 +94,16 @@ def title_candidates(entries: DataFrame, shaped: DataFrame) -> DataFrame:
     whose characters allow a ratio of matching blocks of 0.9 or more, of lengths 15 apart at most.
 
     Blocks match no more characters than both have.  For the ratio both must share 9 of 20 of all characters, so
-    9 of 11 of each; hence one of the rarest L - ceil(9 L / 11) + 1 of its L is among as many
-    of the other's, and pairs are an equi-join by file and such a character."""
+    9 of 11 of each; hence two of the rarest L - ceil(9 L / 11) + 2 of its L are among as many
+    of the other's (of one, that one), and pairs are an equi-join by file and two such characters:
+    an alphabet is soon used up by many titles, its pairs are not."""
+    pairs = _met_pairs(entries, shaped)
+    shared = F.size(F.array_intersect(_numbered(F.col("loose")), _numbered(F.col("other"))))
+    return pairs.where(F.col("both") * 9 <= shared * 20).drop("both")
+
+
+def _met_pairs(entries: DataFrame, shaped: DataFrame) -> DataFrame:
+    """The pairs of title_candidates() before all of their characters are compared, with how many ``both`` have."""
     spans = entries.groupBy("path").agg((F.min("m") - 15).alias("least"), (F.max("m") + 15).alias("most"))
     shaped = keep(shaped.join(spans, "path").where("n between least and most").drop("least", "most"), "titles-shaped")
     sides = [df.withColumn("t", F.explode(_numbered(F.col(text)))) for df, text in ((entries, "loose"), (shaped, "other"))]
@@ -104,14 +112,14 @@ def title_candidates(entries: DataFrame, shaped: DataFrame) -> DataFrame:
     def rarest(side, keys):
         rows = side.join(times, "t").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("times", "t"))).alias("ts"))
         size = F.size("ts")
-        return rows.select(*keys, size.alias("size_" + keys[1]), F.explode(F.slice("ts", F.lit(1), size - F.floor((size * 9 + 10) / 11).cast("int") + 1)).alias("x")).withColumn("x", F.col("x.t"))
+        rows = rows.select(*keys, size.alias("size_" + keys[1]), F.slice("ts", F.lit(1), size - F.floor((size * 9 + 10) / 11).cast("int") + 2)["t"].alias("ts"))
+        two = F.flatten(F.transform("ts", lambda a, i: F.transform(F.slice("ts", i + 2, F.size("ts")), lambda b: F.xxhash64(a, b))))
+        return rows.withColumn("x", F.explode(F.when(F.size("ts") < 2, F.transform("ts", lambda a: F.xxhash64(a))).otherwise(two))).drop("ts")
 
     pairs = rarest(sides[0], ["path", "pos", "m", "loose"]).join(rarest(sides[1], ["path", "p", "n", "other"]), ["path", "x"])
     both = F.col("size_pos") + F.col("size_p")
     pairs = pairs.where((F.abs(F.col("n") - F.col("m")) <= 15) & (both * 9 <= F.least("size_pos", "size_p") * 20))
-    pairs = pairs.select("path", "pos", "p", "loose", "other", both.alias("both")).distinct()
-    shared = F.size(F.array_intersect(_numbered(F.col("loose")), _numbered(F.col("other"))))
-    return pairs.where(F.col("both") * 9 <= shared * 20).drop("both")
+    return pairs.select("path", "pos", "p", "loose", "other", both.alias("both")).distinct()
 
 
 def titles(paras: DataFrame, toc: DataFrame) -> DataFrame:

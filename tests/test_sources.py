@@ -206,6 +206,19 @@ def test_titles_by_candidates_equal_comparing_all(spark):
     assert alike and alike <= got and len(got) < len(names) * len(others) / 20
 
 
+def test_titles_of_a_small_alphabet_make_few_pairs(spark):
+    rng = random.Random(3)
+    letters = [chr(44032 + i) for i in range(60)]
+    names = ["".join(rng.sample(letters, 11)) for _ in range(1500)]
+    entries = spark.createDataFrame([("f", i, len(n), n) for i, n in enumerate(names[:700])] + [("f", 2000, 1, "가")], "path string, pos long, m long, loose string")
+    shaped = spark.createDataFrame([("f", i, len(n), n) for i, n in enumerate(names[690:])] + [("f", 3000, 1, "가")], "path string, p long, n long, other string")
+    pairs = rulebook.title_candidates(entries, shaped)
+    assert {(r.pos, r.p) for r in pairs.collect()} >= {(690 + i, i) for i in range(10)} | {(2000, 3000)}
+    met = pairs.select("path", "pos", "p").distinct().count()
+    before = rulebook._met_pairs(entries, shaped).count()
+    assert met <= before < 701 * 811 / 10
+
+
 def test_entries_of_one_title_and_long_bodies(spark, monkeypatch):
     monkeypatch.setattr(rulebook, "STRETCH", 3)
     toc = spark.createDataFrame([("f", 0, "가 규정"), ("f", 1, "가 규정"), ("f", 2, "나 규정"), ("f", 3, "없는 지침")], "path string, pos int, name string")
