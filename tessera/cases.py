@@ -294,9 +294,7 @@ def bm25_stored_index(spark, sf_dir):
     """The ten best documents by an index that was stored before."""
     path = _scratch(spark, "index")
     keyword.write_index(keyword.build(table(spark, sf_dir, "documents")), path)
-    found = keyword.scores(keyword.read_index(spark, path), _questions(spark, sf_dir))
-    order = Window.partitionBy("qid").orderBy(F.round("keyword", 9).desc(), "doc_id")
-    return found.withColumn("rank", F.row_number().over(order)).where("rank <= 10").select("qid", "doc_id", "rank", F.round("keyword", 4).alias("score"))
+    return keyword.topk(keyword.read_index(spark, path), _questions(spark, sf_dir), 10).select("qid", "doc_id", "rank", F.round("keyword", 4).alias("score"))
 
 
 @query("SELECT 'chunk' AS what, doc_id::VARCHAR AS id, sha256(text) AS text_sha256 FROM documents WHERE doc_id = 7 UNION ALL SELECT 'regulation', doc_id::VARCHAR, sha256(text) FROM documents WHERE doc_id = 8")

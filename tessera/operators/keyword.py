@@ -13,17 +13,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import constants as C
 from ..functions.text import let, tokens
 from ..shipping import attach
 from ..spread import spread
 from ..storage import keep
+from .vector import Best
 
 #: Rows of (question, term) that are broadcast at most; more are joined by a shuffle.
 MOST_TERMS = 200_000
-#: Questions of a matrix of weights at most, and postings that meet one at a time.
-BLOCK, AT_ONCE = 256, 8192
+#: Questions of a matrix of weights at most, postings that meet one at a time, and rows that are spread out for it.
+BLOCK, AT_ONCE, ROWS = 256, 8192, 256
 #: Bytes of all matrices, which are broadcast.
 MATRIX_BYTES = 64 << 20
 
@@ -114,8 +116,23 @@ def scores(docs: DataFrame | Index, queries: DataFrame, id_col: str = "doc_id",
     index = docs if isinstance(docs, Index) else build(docs, id_col, text_col)
     known, n_asked = weights(index.frequencies, index.stats, queries)
     if n_asked <= MOST_TERMS:
-        return _met(index.forward, known.toArrow(), k1, b)
-    postings = index.forward.select("doc_id", "dl", F.explode("terms").alias("t")).select("doc_id", "dl", "t.term", "t.tf")
+        return _met(index.forward, known.toArrow(), k1, b, None)
+    return _joined(index.forward, known, k1, b)
+
+
+def topk(docs: DataFrame | Index, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", k1: float = C.K1, b: float = C.B) -> DataFrame:
+    """(qid, doc_id, keyword, rank): the ``k`` best of scores(); of equal scores, at 9 decimals, the smaller id comes
+    first.  Only the best of each partition leave it."""
+    index = docs if isinstance(docs, Index) else build(docs, id_col, text_col)
+    known, n_asked = weights(index.frequencies, index.stats, queries)
+    found = _met(index.forward, known.toArrow(), k1, b, k) if n_asked <= MOST_TERMS else _joined(index.forward, known, k1, b)
+    order = Window.partitionBy("qid").orderBy(F.round("keyword", 9).desc(), "doc_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _joined(forward: DataFrame, known: DataFrame, k1: float, b: float) -> DataFrame:
+    """The same as _met() by a join of all postings with the terms asked for."""
+    postings = forward.select("doc_id", "dl", F.explode("terms").alias("t")).select("doc_id", "dl", "t.term", "t.tf")
     s = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     each = postings.join(known, "term").select("doc_id", s.alias("s"), "qid", "w")
     return each.groupBy("qid", "doc_id").agg(F.sum(F.col("w") * F.col("s")).alias("keyword"))
@@ -142,23 +159,24 @@ def _blocks(known: pa.Table) -> list[tuple[pa.Array, pa.Array, np.ndarray]]:
     return out
 
 
-def _met(forward: DataFrame, known: pa.Table, k1: float, b: float) -> DataFrame:
-    """The scores of each row of the index for all questions."""
+def _met(forward: DataFrame, known: pa.Table, k1: float, b: float, k: int | None) -> DataFrame:
+    """The scores of each row of the index for all questions, or of each partition's ``k`` best for each."""
     spark = forward.sparkSession
     attach(spark)
     mean = known["avgdl"][0].as_py() if known.num_rows else 1.0
     sent = spark.sparkContext.broadcast(_blocks(known))
     qid_type = known.schema.field("qid").type
 
-    def run(batches):
-        for batch in batches:
+    def scored(batches):
+        """(block, rows' ids, scores of rows and the block's questions)."""
+        for batch in (b.slice(a, ROWS) for b in batches for a in range(0, b.num_rows, ROWS)):
             ids, dl, lists = batch.columns
             sizes = pc.list_value_length(lists).to_numpy()
             flat = lists.flatten()
             term, tf = flat.field("term"), flat.field("tf").to_numpy().astype(float)
             row = np.repeat(np.arange(batch.num_rows), sizes)
             part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl.to_numpy()[row] / mean))
-            for terms, questions, weights in sent.value:
+            for block, (terms, _, weights) in enumerate(sent.value):
                 at = pc.fill_null(pc.index_in(term, value_set=terms), -1).to_numpy()
                 hit = np.flatnonzero(at >= 0)
                 r, t, s = row[hit], at[hit], part[hit]
@@ -169,10 +187,24 @@ def _met(forward: DataFrame, known: pa.Table, k1: float, b: float) -> DataFrame:
                     upto = edge[z] if z < len(edge) else len(r)
                     own = slice(edge[a], upto)
                     score = np.add.reduceat(weights[t[own]] * s[own, None], edge[a:z] - edge[a], axis=0)
-                    i, q = np.nonzero(score)
-                    yield pa.RecordBatch.from_arrays([questions.take(pa.array(q)), ids.take(pa.array(r[edge[a:z]][i])), pa.array(score[i, q])], ["qid", "doc_id", "keyword"])
+                    yield block, ids.take(pa.array(r[edge[a:z]])), score
                     a = z
 
+    names = ["qid", "doc_id", "keyword"]
+
+    def run(batches):
+        if k is None:
+            for block, ids, score in scored(batches):
+                i, q = np.nonzero(score)
+                yield pa.RecordBatch.from_arrays([sent.value[block][1].take(pa.array(q)), ids.take(pa.array(i)), pa.array(score[i, q])], names)
+            return
+        best, kind = [Best(questions, weights.T, k) for _, questions, weights in sent.value], None
+        for block, ids, score in scored(batches):
+            kind = ids.type
+            best[block].take(ids.to_numpy(zero_copy_only=False), np.where(score > 0, score, -np.inf).T)
+        for b in best:
+            yield from b.rows(names, kind)
+
     kinds = {f.name: f.dataType.simpleString() for f in forward.schema}
     return forward.select("doc_id", "dl", "terms").mapInArrow(run, f"qid {_spark_type(qid_type)}, doc_id {kinds['doc_id']}, keyword double")
 

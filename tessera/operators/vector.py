@@ -27,6 +27,10 @@ class Best:
         found = self.asked @ data.T
         if allowed is not None:
             found[~allowed] = -np.inf
+        self.take(ids, found)
+
+    def take(self, ids: np.ndarray, found: np.ndarray) -> None:
+        """Takes the best of some ids by what each query found of them; minus infinity is nothing."""
         value = np.concatenate([self.value, found], 1)
         ids = np.broadcast_to(ids, (len(self.asked), len(ids)))
         ids = ids if self.ids is None else np.concatenate([self.ids, ids], 1)

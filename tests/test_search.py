@@ -40,6 +40,22 @@ def test_keyword_scores(spark, monkeypatch, most):
         assert {r.doc_id: pytest.approx(r.keyword) for r in got if r.qid == q} == bm25(DOCS, text)
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_the_best_by_keyword_are_cut_where_they_are(spark, monkeypatch, most):
+    monkeypatch.setattr(keyword, "MOST_TERMS", most)
+    monkeypatch.setattr(keyword, "AT_ONCE", 3)
+    rng = random.Random(7)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(["ab", "cd", "ef", "gh"], k=rng.choice([0, 2, 3])))) for i in range(200)], "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(1, "ab"), (2, "ab cd cd"), (3, "none"), (4, "gh ef")], "qid long, text string")
+    index = keyword.build(docs)
+    every = sorted((r.qid, -round(r.keyword, 9), r.doc_id) for r in keyword.scores(index, asked).collect())
+    want = [(q, d) for q in (1, 2, 4) for _, _, d in [x for x in every if x[0] == q][:5]]
+    assert sorted((r.qid, r["rank"], r.doc_id) for r in keyword.topk(index, asked, 5).collect()) == [(q, i % 5 + 1, d) for i, (q, d) in enumerate(want)]
+    if most:
+        known, _ = keyword.weights(index.frequencies, index.stats, asked)
+        assert keyword._met(index.forward, known.toArrow(), 1.5, 0.75, 5).count() <= 3 * 5 * index.forward.rdd.getNumPartitions()
+
+
 def test_a_stored_index_scores_alike(spark, tmp_path):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     asked = spark.createDataFrame([(1, "휴학 휴학 신청"), (2, "등록금")], "qid long, text string")
