@@ -7,7 +7,8 @@ filters them, and the exact Jaccard index of the full shingle sets decides.
 The lists stay short without losing links: texts with equal sets are one class; a class
 is listed under its rarest retained values only, as many as a linked partner cannot
 all lack (the prefix principle); lists are split by set size; and a list is compared
-with one pivot first, after which only members of different components are left.
+with one pivot first, after which only members of different components are left.  Those
+of long lists meet in blocks of full sets, of which only links leave, not pairs.
 """
 
 import hashlib
@@ -28,6 +29,10 @@ from .storage import Scratch, few, keep
 SAFETY = 4.75
 #: Lists with more members than this, not all of one component, are settled by full sets.
 LONG_LIST = 64
+#: Values of a block of full sets, about; two blocks meet in a task.
+BLOCK_VALUES = 1 << 20
+#: Pairs whose common values are counted at a time, and entries of inverted lists that are read for that.
+PAIRS_AT_ONCE, ENTRIES_AT_ONCE = 1 << 21, 1 << 20
 
 
 def sketch_texts(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -> DataFrame:
@@ -107,16 +112,111 @@ def _open(lists: DataFrame, comp: DataFrame, scratch: Scratch) -> DataFrame:
 def _across(left: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of a list that lie in different components and may be linked.  Of two
     whole sets both ranks must allow the overlap that their sizes call for; and the smaller
-    one must have enough values besides those that it is alone with.  So a crowd that is
-    alike in less than a link calls for, as pages of one template are, makes no pairs."""
-    side = lambda x: left.select("h", "band", *(F.col(c).alias(c + x) for c in ("rep", "n", "pos", "whole", "alone", "c")))
+    one must have enough values besides those that it is alone with.  So texts that are
+    alike in less than a link calls for, as pages of one template are, make no pairs; nor
+    do two members of the crowd, which blocks() compares."""
+    side = lambda x: left.select("h", "band", *(F.col(c).alias(c + x) for c in ("rep", "n", "pos", "whole", "alone", "c", "crowd")))
     need = lambda m, n: F.ceil((F.col(m) + F.col(n)) * percent / (100 + percent))
     smaller = side("1").where(~F.col("whole1") | (need("n1", "n1") <= F.col("n1") - F.col("alone1")))
     ranks = (F.col("pos1") <= F.col("n1") - need("n1", "n2") + 1) & (F.col("pos2") <= F.col("n2") - need("n1", "n2") + 1)
-    met = smaller.join(side("2"), ["h", "band"]).where("c1 <> c2 and (n1 < n2 or n1 = n2 and rep1 < rep2)").where(F.col("n1") * 100 >= percent * F.col("n2"))
+    met = smaller.join(side("2"), ["h", "band"]).where("c1 <> c2 and not (crowd1 and crowd2) and (n1 < n2 or n1 = n2 and rep1 < rep2)").where(F.col("n1") * 100 >= percent * F.col("n2"))
     return met.where(~(F.col("whole1") & F.col("whole2")) | ranks).select(F.col("rep1").alias("a"), F.col("rep2").alias("b")).distinct()
 
 
+def spanning_links(values: np.ndarray, at: np.ndarray, label: np.ndarray, side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Linked pairs of sets, ``values[at[i]:at[i + 1]]`` each, as few as tie together all labels that
+    links between sets of different labels do; with ``side``, between sets of different sides.
+
+    Common values are counted by inverted lists; of a value that most sets have, the list has
+    those that lack it, so a crowd that is alike costs little more than its differences."""
+    rows, n = len(at) - 1, np.diff(at)
+    code = np.unique(values, return_inverse=True)[1]
+    row = np.repeat(np.arange(rows), n)
+    have = np.bincount(code)
+    most = np.flatnonzero(have * 2 > rows)
+    lacking = np.ones((len(most), rows), bool)
+    place = np.full(len(have), -1)
+    place[most] = np.arange(len(most))
+    own = place[code]
+    lacking[own[own >= 0], row[own >= 0]] = False
+    entry = np.concatenate([row[np.argsort(code, kind="stable")], np.nonzero(lacking)[1]])
+    length = have.copy()
+    start = np.cumsum(have) - have
+    length[most] = rows - have[most]
+    start[most] = len(code) + np.cumsum(length[most]) - length[most]
+    sums = lambda x: np.append(0, np.cumsum(x))[at]
+    common, cost = np.diff(sums(own >= 0)), np.diff(sums(length[code]))
+    root = {x: x for x in np.unique(label).tolist()}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    def counted(asked, of):
+        """How many list entries of the values ``of`` each asked set leads to each set."""
+        which = np.concatenate([np.arange(at[i], at[i + 1]) for i in asked])
+        who = np.repeat(np.arange(len(asked)), n[asked])[of[which]]
+        which = code[which[of[which]]]
+        many = length[which]
+        met = entry[np.repeat(start[which] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        return np.bincount(np.repeat(who, many) * rows + met, minlength=len(asked) * rows).reshape(len(asked), rows)
+
+    # Of two sets with different labels one is not of the most frequent label; neither has too many values for itself.
+    names, code_of_label = np.unique(label, return_inverse=True)
+    largest = names[np.bincount(code_of_label).argmax()]
+    able = np.diff(sums(have[code] > 1)) * 100 >= percent * n
+    asked, links, a = np.flatnonzero(able & (label != largest)), [], 0
+    upto = np.cumsum(cost[asked])
+    while a < len(asked):
+        z = max(a + 1, min(a + PAIRS_AT_ONCE // rows, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + ENTRIES_AT_ONCE, "right"))))
+        some = asked[a:z]
+        both = counted(some, own < 0) - counted(some, own >= 0) + common[some, None]
+        linked = (both * (100 + percent) >= percent * (n[some, None] + n)) & (label[some, None] != label)
+        if side is not None:
+            linked &= side[some, None] != side
+        x, y = np.nonzero(linked)
+        x = some[x]
+        for k in np.unique(np.stack([label[x], label[y]]), axis=1, return_index=True)[1].tolist():
+            u, v = find(int(label[x[k]])), find(int(label[y[k]]))
+            if u != v:
+                root[u] = v
+                links.append((int(x[k]), int(y[k])))
+        if len(x):
+            label = np.array([find(i) for i in names.tolist()])[code_of_label]
+        a = z
+    return links
+
+
+def _by_blocks(sets: DataFrame, left: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b): links that tie together what links between different components of the crowd do.
+
+    ``sets`` is (rep, n, values), ``left`` its open lists.  Members that lists lead to from one to the
+    other are a group, which is dealt out to blocks; two blocks at a time meet in a task."""
+    alike = F.ceil(F.col("n") * 2 * percent / (100 + percent)) <= F.col("n") - F.col("alone")
+    lists = scratch.keep(left.groupBy("h", "band").agg(F.min("rep").alias("first"), F.bool_or(alike).alias("alike")).where("alike").select("h", "band", "first"), "crowd-ends")
+    group = connected_components(left.join(lists, ["h", "band"]).select("rep", "first").distinct(), "rep", "first", scratch).toDF("rep", "g")
+    of = scratch.keep(left.select("rep", "n", "c").distinct().join(group, "rep"), "crowd-groups")
+    blocks = scratch.keep(of.groupBy("g").agg(F.ceil(F.sum("n") / BLOCK_VALUES).cast("int").alias("k")), "crowd-blocks")
+    own = of.join(blocks, "g").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int")).drop("n")
+    met = sets.select("rep", "values").join(own, "rep").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    met = met.select("g", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "rep", "c", "i", "values")
+
+    def run(table):
+        table = table.combine_chunks()
+        label = table["c"].combine_chunks().dictionary_encode()
+        label = (label.combine_chunks() if isinstance(label, pa.ChunkedArray) else label).indices.to_numpy(zero_copy_only=False)
+        lists = table["values"].combine_chunks()
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        at = lists.offsets.to_numpy().astype(np.int64)
+        side = table["i"].to_numpy() if table["lo"][0].as_py() != table["hi"][0].as_py() else None
+        found = spanning_links(lists.values.to_numpy()[at[0] : at[-1]], at - at[0], label, side, percent)
+        return pa.Table.from_arrays([table["rep"].take(pa.array([x[i] for x in found], pa.int64())) for i in (0, 1)], ["a", "b"])
+
+    kind = sets.schema["rep"].dataType.simpleString()
+    return scratch.keep(met.groupBy("g", "lo", "hi").applyInArrow(run, f"a {kind}, b {kind}"), "crowd-links")
+
+
 def _only(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """The rows of ``df`` whose ``key`` is in the stored one-column table ``ids``."""
     return df.join(few(ids.toDF(key)), key, "left_semi")
@@ -176,17 +276,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = check(tried)
     comp = scratch.keep(connected_components(links.union(_same_id(own, classes, scratch)), scratch=scratch), "components")
 
-    # Members of different components: in short lists by the same ranks, in long ones by those of their full sets.
+    # Members of different components: in short lists pairs by the same ranks, in long ones blocks of their full sets.
     left = _open(lists, comp, scratch)
-    more = _across(left.where(F.col("m") <= LONG_LIST), percent)
     crowd = scratch.keep(left.where(F.col("m") > LONG_LIST).select("rep").distinct(), "crowd")
-    if not crowd.isEmpty():
+    short, dense = left.where(F.col("m") <= LONG_LIST), None
+    if crowd.isEmpty():
+        short = short.withColumn("crowd", F.lit(False))
+    else:
         sets = full_sets(_only(docs.select(id_col, text_col), id_col, crowd), id_col, text_col, width)
         sets = scratch.keep(sets.select(F.col("id").alias("rep"), F.size("items").cast("bigint").alias("n"), F.col("items").alias("values")), "crowd-sets")
         exact = _open(scratch.keep(_listed(sets, None, percent, scratch), "crowd-lists"), comp, scratch)
-        more = more.union(_across(exact, percent)).distinct()
+        dense = _by_blocks(sets, exact, percent, scratch)
+        short = short.join(few(crowd).withColumn("crowd", F.lit(True)), "rep", "left").fillna(False, ["crowd"])
+    more = _across(short, percent)
     more = scratch.keep(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tried, ["a", "b"], "left_anti"), "more")
     links = check(more)
+    links = links if dense is None else links.union(dense)
     if not links.isEmpty():
         comp = scratch.keep(connected_components(forest(comp).union(links), scratch=scratch), "components")
     found = classes.select("sig", "rep").join(comp.toDF("rep", "c"), "rep", "left").select("sig", F.coalesce("c", "rep").alias("c"))

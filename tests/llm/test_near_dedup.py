@@ -2,6 +2,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -179,3 +180,41 @@ def test_clashing_columns_and_repeated_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, __at int, id int")
     got = near_dedup.without_near_duplicates(df)
     assert got.schema == df.schema and sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[3], rows[4]], key=str)
+
+
+@pytest.mark.parametrize("sides,percent,at_once", [(False, 60, 1 << 20), (True, 60, 1 << 20), (False, 80, 40), (True, 50, 40)])
+def test_spanning_links_tie_what_all_links_tie(monkeypatch, sides, percent, at_once):
+    monkeypatch.setattr(near_dedup, "ENTRIES_AT_ONCE", at_once)
+    rng = np.random.default_rng(percent + sides)
+    for rows in (2, 3, 40, 90):
+        core = rng.choice(1000, 20, replace=False)
+        sets = [np.unique(np.concatenate([core[rng.random(20) > 0.15], rng.choice(60, rng.integers(1, 7))])) for _ in range(rows)]
+        label, side = rng.integers(0, max(2, rows // 2), rows), rng.integers(0, 2, rows)
+        got = near_dedup.spanning_links(np.concatenate(sets), np.append(0, np.cumsum([len(x) for x in sets])), label, side if sides else None, percent)
+        linked = [(i, j) for i in range(rows) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j])) and not (sides and side[i] == side[j])]
+        assert {(max(x), min(x)) for x in got} <= set(linked)
+
+        def parts(links):
+            part = label.copy()
+            for i, j in links:
+                part[part == part[i]] = part[j]
+            return [[x == y for y in part] for x in part]
+
+        assert parts(got) == parts(linked) and len(got) < len(set(label.tolist()))
+
+
+@pytest.mark.parametrize("block", [1 << 20, 4000])
+def test_a_crowd_of_near_misses_makes_no_pairs(spark, monkeypatch, block):
+    """Copies of one text of which many have few edits in common: links are found, but pairs are no rows."""
+    monkeypatch.setattr(near_dedup, "BLOCK_VALUES", block, raising=False)
+    counted, check = [], near_dedup._verified
+    monkeypatch.setattr(near_dedup, "_verified", lambda pairs, *a: counted.append(pairs.count()) or check(pairs, *a))
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(300):
+        gone = set(rng.sample(range(0, 200, 4), rng.choice([0, 3, 6, 9, 10, 12])))
+        rows.append((i, " ".join(w for j, w in enumerate(base) if j not in gone)))
+    got = run(spark, rows, 5, 80)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows, 5, 80))
+    assert len({r.component_id for r in got}) > 20 and counted[-1] <= len(rows)
