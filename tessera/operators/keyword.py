@@ -31,15 +31,16 @@ MATRIX_BYTES = 64 << 20
 
 
 class Index(NamedTuple):
-    """forward: (doc_id, dl, terms of (term, tf)); frequencies: (term, df); stats: one row (n, total)."""
+    """forward: (doc_id, dl, terms of (term, tf), and columns carried along); frequencies: (term, df); stats: one
+    row (n, total)."""
 
     forward: DataFrame
     frequencies: DataFrame
     stats: DataFrame
 
 
-def tokenised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("ts"))
+def tokenised(docs: DataFrame, id_col: str, text_col: str, carried: tuple[str, ...] = ()) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("ts"), *carried)
 
 
 def counted(ts: Column) -> Column:
@@ -53,12 +54,13 @@ def counted(ts: Column) -> Column:
     return let(F.sort_array(ts), runs)
 
 
-def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
+def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> Index:
     """The index of ``docs``: its rows are stored once, and all else is read from them.  A null text
-    has no terms but counts as a document."""
-    rows = tokenised(spread(docs.select(id_col, text_col)), id_col, text_col)
+    has no terms but counts as a document.  Columns ``carried`` along may narrow ``forward`` before it is
+    scored; frequencies and stats stay those of all documents."""
+    rows = tokenised(spread(docs.select(id_col, text_col, *carried)), id_col, text_col, carried)
     none = F.array().cast("array<string>")
-    return _index(keep(rows.select("doc_id", let(F.coalesce("ts", none), lambda ts: F.struct(F.size(ts).alias("dl"), counted(ts).alias("terms"))).alias("r")).select("doc_id", "r.dl", "r.terms"), "keyword-index"))
+    return _index(keep(rows.select("doc_id", let(F.coalesce("ts", none), lambda ts: F.struct(F.size(ts).alias("dl"), counted(ts).alias("terms"))).alias("r"), *carried).select("doc_id", "r.dl", "r.terms", *carried), "keyword-index"))
 
 
 def _index(forward: DataFrame) -> Index:

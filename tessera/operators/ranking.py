@@ -28,7 +28,8 @@ def candidates(vector: DataFrame, keyword: DataFrame, vector_floor: float = C.VE
     zero = F.lit(0.0)
     rows = vector.select("qid", "chunk_id", "vector", zero.alias("keyword")).unionByName(keyword.select("qid", "chunk_id", zero.alias("vector"), "keyword"))
     # Each search has a pair once, so the sums are the two values; an aggregate needs no sort, as a join would.
-    both = rows.groupBy("qid", "chunk_id").agg(F.sum("vector").alias("vector"), F.sum("keyword").alias("keyword"))
+    # Dealt out by chunk, they meet what is known of chunks where they are.
+    both = rows.repartition("chunk_id").groupBy("qid", "chunk_id").agg(F.sum("vector").alias("vector"), F.sum("keyword").alias("keyword"))
     return both.where((F.col("vector") >= vector_floor) | (F.col("keyword") > keyword_floor))
 
 

@@ -18,6 +18,8 @@ from ..operators import keyword, postings, ranking, vector
 from ..storage import keep
 
 OPTIONS = {"top_k": ("int", 10), "sources": ("array<string>", None), "categories": ("array<string>", None), "include_repealed": ("boolean", False), "since": ("string", ""), "sort": ("string", "relevance")}
+#: Options that filter chunks, each with the column that it is about, and values of one that narrow an index at most.
+FILTERS, MOST_VALUES = {"sources": "source", "categories": "category"}, 1000
 REGULATION_FIELDS = ["enforce_date", "revision_date", "revision_type", "rule_no"]
 
 
@@ -51,10 +53,23 @@ def _allowed(source: str, category: str) -> Column:
     return one("sources", source) & one("categories", category)
 
 
+def _wanted(index: keyword.Index, queries: DataFrame) -> keyword.Index:
+    """The index with only those rows to be scored that the filters of some query allow, where it carries
+    what they are about."""
+    for wanted, have in FILTERS.items():
+        if have in index.forward.columns:
+            free = F.col(wanted).isNull() | (F.size(wanted) == 0)
+            any_free, values = queries.agg(F.bool_or(free), F.array_distinct(F.flatten(F.collect_set(wanted)))).first()
+            values = [v for v in values if v is not None]
+            if any_free is False and len(values) <= MOST_VALUES:
+                index = index._replace(forward=index.forward.where(F.col(have).isin(values)))
+    return index
+
+
 def _nearest(vectors: DataFrame, queries: DataFrame, meta: DataFrame, pool: int, filtered: bool) -> DataFrame:
     """Filters of source and category hold before the nearest are taken, all of them in the same pass.
     Vectors that are stored with ``source`` and ``category`` need no join for that."""
-    attributes = {"sources": "source", "categories": "category"} if filtered else None
+    attributes = FILTERS if filtered else None
     if filtered and not {"source", "category"} <= set(vectors.columns):
         vectors = vectors.select("chunk_id", "embedding").join(meta.select("chunk_id", "source", "category"), "chunk_id", "left")
     found = vector.nearest(vectors, queries.select("qid", "vector", *(attributes or ())), pool, "chunk_id", "embedding", attributes=attributes)
@@ -71,7 +86,9 @@ def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, regulation
     queries = checked(with_options(queries))
     meta = chunks.select("chunk_id", "reg_id", "source", "category", "name", "article", "clause")
     near = _nearest(vectors, queries, meta, pool, filtered)
-    index = index or keyword.build(chunks.select("chunk_id", searched_text().alias("text")), "chunk_id", "text")
+    carried = tuple(FILTERS.values()) if filtered else ()
+    index = index or keyword.build(chunks.select("chunk_id", searched_text().alias("text"), *carried), "chunk_id", "text", carried)
+    index = _wanted(index, queries) if filtered and isinstance(index, keyword.Index) else index
     asked = queries.select("qid", keyword.expanded_column("text").alias("text"))
     words = (postings if isinstance(index, postings.Postings) else keyword).scores(index, asked).withColumnRenamed("doc_id", "chunk_id")
     found = ranking.candidates(near, words, vector_floor)
@@ -81,7 +98,8 @@ def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, regulation
         have = [c for c in fields if c in regulations.columns]
         meta = meta.join(regulations.select(F.col("id").alias("reg_id"), *have), "reg_id", "left")
     meta = meta.withColumns({c: F.lit(None).cast("string") for c in fields if c not in meta.columns})
-    meta = ranking.with_twins(ranking.chunk_facts(meta, institution).drop("name"))
+    # Narrow rows that are read several times, and would else be made of the texts each time.
+    meta = keep(ranking.with_twins(ranking.chunk_facts(meta, institution).drop("name")), "chunk-facts")
     facts = ranking.query_facts(queries).drop("vector", "text")
     few = queries.count() <= keyword.MOST_TERMS
     small = lambda df: F.broadcast(df) if few else df
@@ -95,11 +113,13 @@ def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, regulation
     found = ranking.pooled(found).join(small(queries.select("qid", "text", "top_k", "sources", "sort")), "qid")
     found = found.withColumn("free", F.col("sources").isNull() | (F.size("sources") == 0)).drop("sources")
     found = _reranked(found, chunks, reranker) if reranker else ranking.ranked(found)
-    found = ranking.with_sources(found)
-    found = ranking.by_date(found.join(meta.drop("source", "merge_name", "twin", *(f"is_{k}" for k in ranking.PENALTIES)), "chunk_id"))
+    # The results are few as a rule, and meet the chunks where these lie.
+    found = keep(ranking.with_sources(found), "results")
+    few = found.count() <= keyword.MOST_TERMS
+    found = ranking.by_date(small(found).join(meta.drop("source", "merge_name", "twin", *(f"is_{k}" for k in ranking.PENALTIES)), "chunk_id"))
 
     rest = chunks.select("chunk_id", "name", F.col("text").alias("__text"), *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("article_title", "chapter", "department", "contact", "source_url", "law_url") if c in chunks.columns))
-    found = found.join(rest, "chunk_id")
+    found = small(found).join(rest, "chunk_id")
     location = F.concat_ws(" ", "article", F.when(F.coalesce("clause", F.lit("")) != "", F.col("clause")))
     return found.select(
         "qid", "rank", "chunk_id", "reg_id", "source", "category", "name", "article", F.coalesce("clause", F.lit("")).alias("clause"), location.alias("location"), *[c for c in rest.columns if c not in ("chunk_id", "name", "__text")],

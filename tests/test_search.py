@@ -253,6 +253,23 @@ def test_many_queries_are_one_plan(spark, corpus):
         assert alone == {k: v for k, v in together.items() if k[0] == i}
 
 
+def test_only_rows_that_some_filter_allows_are_scored(spark, corpus, monkeypatch):
+    """Same results and statistics; rows of other sources are not scored, unless a query allows all."""
+    chunks, vectors, regs = corpus
+    scored, scores = [], search.keyword.scores
+    monkeypatch.setattr(search.keyword, "scores", lambda index, *a: scored.append(index) or scores(index, *a))
+    total = chunks.count()
+    names = [r.source for r in chunks.select("source").distinct().orderBy("source").collect()]
+    key = lambda df, q: sorted((r["rank"], r.chunk_id, r.score) for r in df.collect() if r.qid == q)
+    rows = [(1, "휴학 신청", [1.0, 0.0], [names[0]]), (2, "등록금", [0.0, 1.0], None)]
+    asked = spark.createDataFrame(rows, "qid long, text string, vector array<double>, sources array<string>")
+    both = search.search(asked, chunks, vectors, regs)
+    one = search.search(asked.where("qid = 1"), chunks, vectors, regs)
+    assert key(one, 1) == key(both, 1) != []
+    assert [i.forward.count() for i in scored] == [total, chunks.where(F.col("source") == names[0]).count()]
+    assert scored[1].forward.count() < total and [i.stats.first().n for i in scored] == [total, total]
+
+
 def test_cache():
     cache, made = search.ResultCache(2), []
     make = lambda k: cache.get(k, lambda: made.append(k) or [k])
